@@ -4,10 +4,37 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import lengths, pieces
+from skein.llm import chat, lengths, pieces, sharding, urlfilter
 from skein.stage import read
 
+RULES = [
+    urlfilter.Rule("com", "/en/", "block"),
+    urlfilter.Rule("example.com", "/en/7", "allow"),
+    urlfilter.Rule("net", "/de/", "allow"),
+    urlfilter.Rule("example.net", "/de/8", "block"),
+    urlfilter.Rule("org", "/es/", "block"),
+]
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(read(spark, sf_dir, "documents"), 40)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_paths(chat.linear_messages(rows.unionByName(extra)))
+    back = chat.read_back(formatted, ["tree"])
+    return back.select(F.when(~F.col("tree.none"), F.col("tree.conv_id")).alias("conv_id"), *back.columns[1:])
+
+
+def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(read(spark, sf_dir, "pages"), RULES)
+
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.token_lengths(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -18,5 +45,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op10_sentencepiece)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_reply_trees, op6_url_cascade, op8_token_counts, op10_sentencepiece)}
+
+ORACLES = {
+    "op4_reply_trees": """
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized as (
+  select *, replace(replace(replace(role, '\\', '\\\\'), '#', '\\#'), '<', '\\<') as r,
+    replace(replace(replace(text, '\\', '\\\\'), '#', '\\#'), '<', '\\<') as t from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+  cast(sum(length(r) + length(t) + 14) as bigint) as formatted_chars
+from sized group by conv_id""",
+    "op6_url_cascade": """
+with rest as (
+  select page_id, case when url like '%://%' then substr(url, position('://' in url) + 3) else '' end as r from pages),
+bare as (select page_id, split_part(split_part(r, '#', 1), '?', 1) as r from rest),
+parts as (
+  select page_id, translate(split_part(r, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    substr(r, length(split_part(r, '/', 1)) + 1) as path from bare),
+rules(h, p, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+  ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fits as (
+  select page_id, h || p as rule, v,
+    row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) as n
+  from parts join rules on (host = h or host like '%.' || h) and starts_with(path, p))
+select parts.page_id, host, path, rule, coalesce(v, 'allow') as verdict
+from parts left join fits on fits.page_id = parts.page_id and n = 1""",
+}
