@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.llm.batches import map_texts
+from skein.stage import stage
 
 #: Lengths in a block of the two-step suffix sums.
 BLOCK = 1024
@@ -52,7 +53,7 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     ``docs``, ``tokens``: the totals; ``tokens_cut``: tokens left when each document is cut to L.
     """
     hist = lengths.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("block", F.expr(f"length div {BLOCK}"))
+    hist = stage(hist.withColumn("block", F.expr(f"length div {BLOCK}")))  # read twice below
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     blocks = (
