@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, lengths, pieces, sharding, urlfilter
+from skein.llm import chat, lengths, pieces, quality, sharding, toxicity, urlfilter
+from skein.llm.batches import fold
 from skein.stage import read
 
 RULES = [
@@ -19,6 +20,18 @@ RULES = [
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"), 40)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -45,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_reply_trees, op6_url_cascade, op8_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op6_url_cascade, op8_token_counts, op10_sentencepiece)}
 
 ORACLES = {
     "op4_reply_trees": """
