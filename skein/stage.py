@@ -50,3 +50,16 @@ def discard(*tables: DataFrame) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
+    """A small table of whole numbers and strings as literals of the plan; no Python worker makes it."""
+
+    def literal(value, kind: str) -> str:
+        if value is None:
+            return f"cast(null as {kind})"
+        text = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+        return f"cast({text} as {kind})"
+
+    values = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(row, schema, strict=True)) + ")" for row in rows)
+    return spark.sql(f"select * from values {values} as t({', '.join(n for n, _ in schema)})")
