@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, lengths, pieces, quality, sharding, toxicity, urlfilter
+from skein.llm import chat, lengths, neardup, pieces, quality, sharding, toxicity, urlfilter
 from skein.llm.batches import fold
 from skein.stage import read
 
@@ -54,11 +54,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(counted)
 
 
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op6_url_cascade, op8_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op6_url_cascade, op8_token_counts, op9_weighted_minhash, op10_sentencepiece)}
 
 ORACLES = {
     "op4_reply_trees": """

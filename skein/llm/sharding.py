@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.stage import stage
+from skein.stage import literal_rows, stage
 
 BINS = 512
 FEW = 256
@@ -71,7 +71,8 @@ def _routed(points: DataFrame, level: list[Node]) -> DataFrame:
     """``points`` with ``node`` moved one level down."""
     rows = [(n.first, n.dim, *n.cut, n.first + n.shards // 2) for n in level]
     # at most one row for each shard
-    cuts = F.broadcast(points.sparkSession.createDataFrame(rows, "node int, dim int, c0 long, c1 long, c2 long, right int"))
+    names = [("node", "int"), ("dim", "int"), ("c0", "long"), ("c1", "long"), ("c2", "long"), ("right", "int")]
+    cuts = F.broadcast(literal_rows(points.sparkSession, rows, names))
     at = F.element_at("v", F.col("dim") + 1)
     right = (at > F.col("c0")) | ((at == F.col("c0")) & ((F.col("content") > F.col("c1")) | ((F.col("content") == F.col("c1")) & (F.col("tie") >= F.col("c2")))))
     moved = F.when(F.col("right").isNotNull() & right, F.col("right")).otherwise(F.col("node"))
@@ -80,8 +81,8 @@ def _routed(points: DataFrame, level: list[Node]) -> DataFrame:
 
 def _within(points: DataFrame, searches: list[Search]) -> DataFrame:
     """Rows where a search still looks: its ``node``, the row's keys ``k0, content, tie``, and its ``bin``."""
-    schema = "node int, dim int, depth int, f0 long, f1 long, lo long, hi long, width long"
-    rows = F.broadcast(points.sparkSession.createDataFrame([s.row() for s in searches], schema))  # at most one row for each shard
+    names = [("node", "int"), ("dim", "int"), ("depth", "int"), *((n, "long") for n in ("f0", "f1", "lo", "hi", "width"))]
+    rows = F.broadcast(literal_rows(points.sparkSession, [s.row() for s in searches], names))  # at most one row for each shard
     k0 = F.element_at("v", F.col("dim") + 1)
     key = F.when(F.col("depth") == 0, k0).when(F.col("depth") == 1, F.col("content")).otherwise(F.col("tie"))
     inside = ((F.col("depth") == 0) | (k0 == F.col("f0"))) & ((F.col("depth") < 2) | (F.col("content") == F.col("f1"))) & key.between(F.col("lo"), F.col("hi"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.stage import stage
+from skein.stage import literal_rows, stage
 
 MAX_BITS = 1 << 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,7 +139,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], unlisted: str = "allow", key
     universe = stage(found.select("host", "path").select(F.explode(own).alias("c")).select("c.key").distinct())
     fits, verdicts = [], sorted({r.verdict for r in rules})
     for verdict in verdicts:
-        listed = spark.createDataFrame([(k,) for k in sorted({r.key for r in rules if r.verdict == verdict})], "key string")
+        listed = literal_rows(spark, [(k,) for k in sorted({r.key for r in rules if r.verdict == verdict})], [("key", "string")])
         cascade = build_cascade(listed, universe)
         best = F.array_max(_listed(F.col("candidates"), cascade))
         fits.append(F.struct(best["length"].alias("length"), best["host"].alias("h"), best["key"].alias("rule"), F.lit(verdict).alias("verdict")))
