@@ -1,24 +1,53 @@
-"""A corpus from raw documents to token ids, one operator a stage."""
+"""From raw documents to token ids: each stage applies one corpus operator to all that the one before kept."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import pieces
-from skein.stage import stage
+from skein.llm import decontaminate, neardup, pieces, quality, toxicity
+from skein.stage import read, stage
 
 
-def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as good."""
+    return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not scored as toxic."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("sentencepiece", sentencepiece_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
+
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, lengths, neardup, pieces, quality, sharding, toxicity, urlfilter
+from skein.llm import chat, decontaminate, lengths, neardup, pieces, quality, sharding, toxicity, urlfilter, vectors
 from skein.llm.batches import fold
 from skein.stage import read
 
@@ -45,10 +45,19 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.when(~F.col("tree.none"), F.col("tree.conv_id")).alias("conv_id"), *back.columns[1:])
 
 
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return judged.withColumn("kept", ~F.col("contaminated"))
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op7_itq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.token_lengths(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return lengths.length_histogram(counted)
@@ -62,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op6_url_cascade, op8_token_counts, op9_weighted_minhash, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece)}
 
 ORACLES = {
     "op4_reply_trees": """
