@@ -1,4 +1,6 @@
 """All registered queries with the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skein.plans import graphs, rating, reports
+
+QUERIES = {**graphs.QUERIES, **rating.QUERIES, **reports.QUERIES}
+ORACLES = {**graphs.ORACLES, **rating.ORACLES, **reports.ORACLES}
