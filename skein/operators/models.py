@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,10 +118,8 @@ def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 2, rate: float
     shard = F.pmod(F.xxhash64("u"), F.lit(shards))
     schema = "shard long, side string, id long, bias double, factors array<double>"
 
-    def run(key, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        data = pd.concat(list(rows)).sort_values(["u", "i"])
+    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        data = data.sort_values(["u", "i"])
         users, u = np.unique(data["u"], return_inverse=True)
         items, i = np.unique(data["i"], return_inverse=True)
         rng = np.random.default_rng(seed)
@@ -135,8 +132,8 @@ def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 2, rate: float
                 bu[a] += rate * (e - reg * bu[a])
                 bi[b] += rate * (e - reg * bi[b])
                 p[a], q[b] = p[a] + rate * (e * q[b] - reg * p[a]), q[b] + rate * (e * p[a] - reg * q[b])
-        for side, ids, bias, f in (("user", users, bu, p), ("item", items, bi, q)):
-            yield pd.DataFrame({"shard": key[0], "side": side, "id": ids, "bias": bias, "factors": list(f)})
+        sides = (("user", users, bu, p), ("item", items, bi, q))
+        return pd.concat([pd.DataFrame({"shard": key[0], "side": side, "id": ids, "bias": bias, "factors": list(f)}) for side, ids, bias, f in sides])
 
     return ratings.select("u", "i", "rating").withColumn("shard", shard).groupBy("shard").applyInPandas(run, schema)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,9 +145,6 @@ def linear_head(vector: str, coefficients: list[float]) -> Column:
 
 def mlp_head(rows: DataFrame, key: str, vector: str, w, hidden, bias, out) -> DataFrame:
     """``key, head``: w x + sum of out_h * relu(hidden_h x + bias_h), as matrix products over Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     w, hidden, bias, out = (np.asarray(a, float) for a in (w, hidden, bias, out))
 
     @F.pandas_udf("double")

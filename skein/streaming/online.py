@@ -11,10 +11,15 @@ from skein.operators.online import state
 from skein.stage import shared_dir
 
 
+def _pattern(path: str) -> str:
+    """The path as a glob: a table may be one file, which the file source takes only from a glob."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def rating_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """``pos, u, i, rating`` from the event files as they arrive."""
     schema = spark.read.parquet(path).schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_pattern(path))
     return e.select(F.col("event_id").alias("pos"), F.col("user_id").alias("u"), (F.col("event_id") % 97).alias("i"), (F.col("value") / 100.0).alias("rating"))
 
 
@@ -52,6 +57,6 @@ def streamed_state(spark: SparkSession, path: str, key: str, mean: float, stride
 def windowed_counts(spark: SparkSession, path: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """``start, event_type, n``: tumbling event-time windows with a watermark."""
     schema = spark.read.parquet(path).schema
-    e = spark.readStream.schema(schema).parquet(path).withWatermark("ts", late)
-    counted = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    e = spark.readStream.schema(schema).parquet(_pattern(path)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
     return drain(counted, "update", ["start", "event_type"])
