@@ -142,13 +142,13 @@ coalesce(pu.variance, 0) as uv, coalesce(pi.variance, 0) as iv, coalesce(pu.iqr,
 from base left join (select u, n, mean, variance, iqr, median, high, low from pu) pu on pu.u = base.u left join (select i, n, mean, variance, iqr, median from pi) pi on pi.i = base.i, ends)"""
 
 
-@query((bias_sql(1) + _P.replace("mu, low, high, coalesce(pu.n", "mu, coalesce(pu.n") + " select u, i, " + ", ".join(f"cast(round({v.replace('base.', '')}, 5) as double) + 0.0 as {k}" for k, v in FEATURES.items()) + " from wide"))
+@query((bias_sql(1) + _P.replace("mu, low, high, coalesce(pu.n", "mu, coalesce(pu.n") + " select u, i, " + ", ".join(f"cast(round(({v.replace('base.', '')}) + 1e-9, 5) as double) + 0.0 as {k}" for k, v in FEATURES.items()) + " from wide"))
 def feature_values(spark, d):
     """A choice of the calibration features, by value."""
     f, h, bias = _bias(spark, d, 1)
     known = calibrate.features(bias[2][0])
     wide = calibrate.joined_profiles(models.score_bias(h, *bias).select("u", "i", "score"), f)
-    return wide.select("u", "i", *[(F.round(known[k], 5) + 0.0).alias(k) for k in FEATURES])
+    return wide.select("u", "i", *[(F.round(known[k] + 1e-9, 5) + 0.0).alias(k) for k in FEATURES])
 
 
 COEFFICIENTS = {k: (0.9 if k == "pred" else 0.002 * (n % 5 - 2)) for n, k in enumerate(FEATURES)}

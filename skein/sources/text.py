@@ -21,7 +21,7 @@ def parse_edges(lines: DataFrame, strict: bool = True, column: str = "value") ->
     text = F.trim(column)
     rows = lines if strict else lines.where(text != "")
     parts = F.split(text, r"\s+")
-    src, dst = (F.expr(f"try_cast(split(trim({column}), '\\\\s+')[{k}] as bigint)") for k in (0, 1))
+    src, dst = (F.get(parts, F.lit(k)).try_cast("bigint") for k in (0, 1))
     good = (F.size(parts) == 2) & src.between(0, LARGEST_ID) & dst.between(0, LARGEST_ID)
     bad = F.raise_error(F.concat(F.lit("not an edge: '"), F.col(column), F.lit("'")))
     pair = F.struct(src.alias("src"), dst.alias("dst"))
