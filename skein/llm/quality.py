@@ -102,7 +102,7 @@ class Trees:
 def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
     """Logistic boosting on histograms. Features are binned at quantiles, so a split costs one pass over the bins."""
     share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Trees(float(np.log(share / (1 - share))), np.zeros((0, 2**DEPTH - 1), int), np.zeros((0, 2**DEPTH - 1)), np.zeros((0, 2**DEPTH)))
     n, m = x.shape
