@@ -13,7 +13,7 @@ highest windows and the others by their highest and by random ones. Scoring read
 no shuffle; words' input gates are computed once for each distinct word of a worker's bounded table.
 
 Special cases: a null or empty text is one empty window; texts of any length are scored whole; repeated
-rows get equal scores; without labelled rows of both classes every score is the share of label 1
+rows get equal scores (to five digits); without labelled rows of both classes every score is the share of label 1
 (0 if there are none); an empty table gives an empty one; other columns aren't read.
 """
 
@@ -211,7 +211,8 @@ class Net:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
-        return 1 / (1 + np.exp(-(self.scale * self.logits(texts) + self.shift)))
+        # Rounded, as single-precision sums differ in their last digits with a batch's size.
+        return np.round(1 / (1 + np.exp(-(self.scale * self.logits(texts) + self.shift))), 6)
 
 
 class Adam:
