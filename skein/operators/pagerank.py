@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import graph
-from skein.stage import discard, stage
+from skein.stage import discard, stage, stage_bucketed
 
 
 def weighted(edges: DataFrame, distinct: bool = False) -> DataFrame:
@@ -51,7 +51,8 @@ def pagerank(
         full = everyone.join(normalised(ranks), "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
         return full, rounds, delta
     links = weighted(edges, distinct)
-    links = stage(links.repartitionByRange(blocks, "dst") if blocks else links.repartition("src"))
+    # Bucketed by source, the edges stay where they are in every round; only ranks move to them, and sums by destination.
+    links = stage(links.repartitionByRange(blocks, "dst")) if blocks else stage_bucketed(links, "src")
     sources = links.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
     base = stage(everyone.join(sources, "node", "left").select("node", F.col("out").isNull().alias("dead")))
     n = base.count()
