@@ -165,6 +165,13 @@ def _few(spark, d):
     return edges_part(spark, d).where("src % 11 < 6 and dst > src")
 
 
+@query()
+def graph_prune_deadends_all(spark, d):
+    """The fixpoint over all edges of both graphs: parts, and suppliers to parts (where everything is a dead end in the end)."""
+    left = [graph.prune_dead_ends(e(spark, d)).select(F.lit(name).alias("graph"), "node") for name, e in (("part", edges_part), ("bipartite", edges_bipartite))]
+    return left[0].unionByName(left[1])
+
+
 @query(rank_sql() + f" select node, round(rank, 10) as rank from r{ROUNDS}")
 def pr_csr(spark, d):
     return ranked(pagerank(edges_part(spark, d), max_iter=ROUNDS)[0])
