@@ -184,6 +184,13 @@ def user_knn(spark, d):
     return scored.select("u", "i", F.round("score", 5).alias("score"))
 
 
+@query()
+def user_knn_all(spark, d):
+    """Every request, from residuals of every fitted rating."""
+    f, h, bias = _bias(spark, d, 1)
+    return models.user_knn(h, f, 10, 1.0, bias).select("u", "i", F.round("score", 5).alias("score"))
+
+
 @query()
 def mf_als(spark, d):
     """RMSE on rows that weren't fitted: bias model, then with factors by alternating least squares."""

@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 
 from skein.plans import catalog
@@ -32,3 +33,28 @@ def test_prune_takes_a_long_chain_apart(spark, tmp_path):
     got = catalog.QUERIES["graph_prune_deadends_all"](spark, str(tmp_path)).collect()
     assert {r["node"] for r in got if r["graph"] == "part"} == fixpoint(edges) == {1, 2, 3, *range(10, 22)}
     assert not [r for r in got if r["graph"] == "bipartite"]
+
+
+def test_user_knn_scores_every_request(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rated = {(u, int(i)): float(rng.integers(1, 50)) for u in range(1, 31) for i in rng.choice(np.arange(1, 13), 7, replace=False)}
+    lines(spark, tmp_path, [(u, [i for v, i in rated if v == u], [q for (v, _), q in rated.items() if v == u]) for u in range(1, 31)])
+    is_held = {k: (k[0] * 7919 + k[1] * 104729) % 10 < 2 for k in rated}
+    fit, held = ({k: r for k, r in rated.items() if is_held[k] == h} for h in (False, True))
+    mean, low, high = np.mean(list(fit.values())), min(fit.values()), max(fit.values())
+    shrunk = lambda rows: sum(rows) / (5 + len(rows))
+    bu = {u: shrunk([r - mean for (v, _), r in fit.items() if v == u]) for u in range(1, 31)}
+    bi = {i: shrunk([r - mean - bu[u] for (u, j), r in fit.items() if j == i]) for i in range(1, 13)}
+    base = {k: np.clip(mean + bu[k[0]] + bi[k[1]], low, high) for k in rated}
+    e = np.zeros((31, 13))
+    for k, r in fit.items():
+        e[k] = r - base[k]
+    norm = np.sqrt((e**2).sum(axis=1))
+    want = {}
+    for u, i in held:
+        others = [(e[u] @ e[v] / (norm[u] * norm[v] + 1e-6), v) for v in range(1, 31) if v != u and (v, i) in fit and any((u, j) in fit and (v, j) in fit for j in range(13))]
+        best = sorted(others, key=lambda x: (-abs(x[0]), x[1]))[:10]
+        want[u, i] = np.clip(base[u, i] + sum(s * e[v, i] for s, v in best) / (sum(abs(s) for s, _ in best) + 1), low, high)
+    got = {(r["u"], r["i"]): r["score"] for r in catalog.QUERIES["user_knn_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len({i for _, i in got}) > 5
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
