@@ -146,6 +146,14 @@ def graph_components(spark, d):
     return connected_components(edges_part(spark, d).where("src % 7 = dst % 7").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+@query()
+def graph_components_all(spark, d):
+    """Components over all edges."""
+    from skein.operators.components import connected_components
+
+    return connected_components(edges_part(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def _prune_sql(edges: str, rounds: int) -> str:
     parts = [edges, "p0 as (select distinct src, dst from edges)"]
     for k in range(rounds):
@@ -223,6 +231,12 @@ def pr_delete(spark, d):
     return ranked(pagerank(e, max_iter=ROUNDS, dead_ends="delete")[0])
 
 
+@query()
+def pr_delete_all(spark, d):
+    """All edges, repeated ones and self-loops included, as in the reference."""
+    return ranked(pagerank(edges_part(spark, d), max_iter=ROUNDS, dead_ends="delete")[0])
+
+
 @query()
 def pr_run(spark, d):
     """Rounds, last change and rank sum of a run to convergence."""

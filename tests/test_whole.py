@@ -58,3 +58,36 @@ def test_user_knn_scores_every_request(spark, tmp_path):
     got = {(r["u"], r["i"]): r["score"] for r in catalog.QUERIES["user_knn_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len({i for _, i in got}) > 5
     assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_components_join_through_every_edge(spark, tmp_path):
+    # Hardly an edge has ends that are equal modulo 7.
+    edges = lines(spark, tmp_path, [(1, [1, 2, 10, 3], None), (1, [20, 21], None), (1, [22, 21], None), (1, [30, 37, 31], None), (1, [40, 40], None)])
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in catalog.QUERIES["graph_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_delete_ranks_every_node(spark, tmp_path):
+    # 9, 19 and 29 end in 9; a chain ends in a dead end; 50 has a self-loop, 1 to 9 is there twice.
+    edges = lines(spark, tmp_path, [(1, [1, 9, 2, 19, 1, 29, 9, 29, 1, 9], None), (1, [2, 3, 4, 5], None), (1, [50, 50], None)])
+    nodes = {x for e in edges for x in e}
+    alive = sorted(fixpoint(edges))
+    m = np.zeros((len(alive),) * 2)
+    for a, b in edges:
+        if a in alive and b in alive:
+            m[alive.index(b), alive.index(a)] += 1
+    m /= m.sum(axis=0)
+    r = np.full(len(alive), 1 / len(alive))
+    for _ in range(10):
+        r = 0.15 / len(alive) + 0.85 * m @ r
+    got = {x["node"]: x["rank"] for x in catalog.QUERIES["pr_delete_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == nodes and {9, 19, 29} < set(alive) and got[5] == 0 < got[50]
+    assert np.allclose([got[x] for x in alive], r, atol=1e-9)
