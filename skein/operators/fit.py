@@ -191,6 +191,19 @@ def chebyshev_basis(x: Column, low: float, high: float, degree: int) -> dict[str
     return {f"t{k}": F.cos(k * F.acos(t)) for k in range(degree + 1)}
 
 
+def frequency_points(rows: DataFrame, key: str, residual: str, size: int, most: int = 65_536) -> list[tuple[float, float]]:
+    """What :func:`top_frequencies` takes: for each of ``size`` ids the mean residual, times the root of the id's rows over their mean; 0 for ids without rows.
+
+    Above ``most`` ids, so many bins of equal width take their place: frequencies up to half of ``most`` are found.
+    """
+    bins = min(size, most)
+    sums = rows.groupBy(F.expr(f"{key} * {bins} div {size}").alias("x")).agg(F.avg(residual).alias("m"), F.count("*").alias("n"))
+    found = sums.collect()  # bins rows at most
+    mean = sum(r["n"] for r in found) / max(bins, 1)
+    points = dict.fromkeys(range(bins), 0.0) | {r["x"]: r["m"] * math.sqrt(r["n"] / mean) for r in found}
+    return [(float(x), m) for x, m in points.items()]
+
+
 def top_frequencies(points: list[tuple[float, float]], keep: int) -> list[int]:
     """Frequencies of largest amplitude in a series of per-bin means."""
     amplitude = np.abs(np.fft.rfft(np.array([m for _, m in sorted(points)])))

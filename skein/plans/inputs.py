@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.stage import read
+from skein.operators.graph import ranked
+from skein.stage import read, stage
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 
@@ -67,3 +68,16 @@ def factors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = read(spark, d, "embeddings")
     users = e.where("vec_id < 250").select(F.col("vec_id").alias("u"), F.col("embedding").alias("pv"))
     return users, e.where("vec_id >= 250").select(F.col("vec_id").alias("i"), F.col("embedding").alias("qv"))
+
+
+def with_vectors(spark: SparkSession, d: str, rows: DataFrame, u: str, i: str) -> DataFrame:
+    """``rows`` with ``pv`` and ``qv``: of all n vectors, in order of id, the one at ``u`` modulo n and the one at ``i`` modulo n."""
+    v = stage(ranked(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "at"))
+    n = v.count()
+    p, q = (v.select(F.col("at").alias(f"_{c}"), F.col("embedding").alias(c)) for c in ("pv", "qv"))
+    return rows.withColumn("_pv", F.expr(f"pmod({u}, {n})")).withColumn("_qv", F.expr(f"pmod({i}, {n})")).join(p, "_pv").join(q, "_qv").drop("_pv", "_qv")
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """``pos, u, i, pv, qv``: a request for each row of the stream; its user has the vector at u modulo their number, its item, of id ``pos``, that at pos."""
+    return with_vectors(spark, d, stream(spark, d).select("pos", "u", F.col("pos").alias("i")), "u", "i")

@@ -9,7 +9,7 @@ from skein.plans import inputs
 from skein.plans.inputs import FACTORS, HELD, RATINGS, SPLIT, STREAM
 from skein.plans.registry import Registry
 from skein.sources import text
-from skein.stage import stage
+from skein.stage import read, stage
 from skein.streaming import online as streaming
 
 query = Registry()
@@ -344,6 +344,35 @@ def on_mlp_head(spark, d):
     return heads.select("u", F.round("head", 6).alias("head"))
 
 
+@query()
+def on_dot_predict_all(spark, d):
+    """Every request, as all the following."""
+    return inputs.requests(spark, d).select("pos", "u", "i", F.round(F.greatest(F.lit(0.5), F.least(F.lit(5.0), 3.0 + online.dot())), 6).alias("score"))
+
+
+@query()
+def on_pq_head_all(spark, d):
+    return inputs.requests(spark, d).select("pos", "u", "i", F.round(1.5 * online.dot(length=2), 6).alias("head"))
+
+
+@query()
+def on_segment_dot_all(spark, d):
+    return inputs.requests(spark, d).select("pos", "u", "i", F.round(online.segment_dot([16, 40, 64], [0.5, 1.0, -0.5]), 6).alias("score"))
+
+
+@query()
+def on_linear_head_all(spark, d):
+    """The heads of all vectors."""
+    return read(spark, d, "embeddings").select("vec_id", F.round(online.linear_head("embedding", [float(k % 5 - 2) for k in range(1, 65)]), 6).alias("head"))
+
+
+@query()
+def on_mlp_head_all(spark, d):
+    hidden = [[(k + h) % 3 - 1 for k in range(1, 9)] for h in range(4)]
+    heads = online.mlp_head(read(spark, d, "embeddings"), "vec_id", "embedding", [1.0] * 8, hidden, [0.1 * h for h in range(4)], [h - 1.0 for h in range(4)])
+    return heads.select("vec_id", F.round("head", 6).alias("head"))
+
+
 @query(f"with {STREAM}, us as (select distinct u from stream) select u, cast((u * 8 // 1000 + 1) * 0.5 * ((u % 7) - 3) + 2.0 * (u % 7) as double) as prior from us")
 def on_factor_user(spark, d):
     high = spark.range(8).select(F.col("id").alias("h"), F.array((F.col("id") + 1) * 0.5, F.lit(2.0)).alias("a"))
@@ -468,8 +497,6 @@ m as (select 'v' as kind, k - 1 as dim, e, x from l union all select 'v2', k - 1
 s as (select kind, cast(dim as int) as dim, abs(avg(x * e) - avg(x) * avg(e)) / sqrt(avg(x * x) - avg(x) ** 2) as strength from m group by kind, dim)
 select kind, dim, round(strength, 6) as strength from s order by s.strength desc limit 10""")
 def fit_feature_screen(spark, d):
-    from skein.stage import read
-
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
     rows = v.join(inputs.stream(spark, d), "pos").withColumn("e", F.col("rating") - MU)
     return _out(fit.screen(rows, {"v": "v"}, "e", 10))
@@ -482,6 +509,21 @@ def fit_fourier(spark, d):
     return inputs.stream(spark, d).where("pos < 2000").select("pos", *[(F.round(c, 6) + 0.0).alias(n) for n, c in f.items()], F.round(t["t2"], 6).alias("t2"))
 
 
+@query()
+def fit_fourier_all(spark, d):
+    """Bases of all rows, at the three strongest frequencies of each side's mean residuals over all rows."""
+    s = inputs.stream(spark, d)
+    n = s.agg(F.max("u") + 1, F.max("i") + 1).first()
+    columns = []
+    for key, size in zip(("u", "i"), n, strict=True):
+        keys = fit.top_frequencies(fit.frequency_points(s.withColumn("e", F.col("rating") - MU), key, "e", size), 3)
+        basis = list(fit.fourier_basis(F.col(key), float(size), keys).items())  # sine and cosine of each in turn
+        for k, frequency in enumerate(keys):
+            columns += [F.lit(frequency).alias(f"{key}_f{k}"), *[(F.round(c, 6) + 0.0).alias(f"{key}_{name[:3]}{k}") for name, c in basis[2 * k : 2 * k + 2]]]
+    t = fit.chebyshev_basis(F.col("u"), 0.0, float(n[0]), 2)
+    return s.select("pos", *columns, F.round(t["t2"], 6).alias("t2"))
+
+
 @query(f"with {STREAM} select case when pos < 0.6 * n then 'statistics' when pos < 0.8 * n then 'fit' else 'eval' end as part, count(*) as n, round(avg(rating), 6) as mean from stream, (select count(*) as n from stream) t group by 1")
 def fit_holdout(spark, d):
     s = inputs.stream(spark, d)

@@ -92,6 +92,13 @@ def parse_last_json(spark, d):
     return report.last_json(logs, "k bigint")
 
 
+@query()
+def parse_last_json_all(spark, d):
+    """The logs of all events."""
+    logs = read(spark, d, "events").select("event_id", F.concat(F.lit("starting\n"), "props", F.lit("\n \n")).alias("log"))
+    return report.last_json(logs, "k bigint")
+
+
 @query("select '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as json from region")
 def sink_json(spark, d):
     return text.json_lines(read(spark, d, "region").select("r_regionkey", "r_name"))
