@@ -152,15 +152,15 @@ def segment_points(rows: DataFrame, key: str, residual: str, width: int = 1) ->
     return rows.groupBy(x.cast("double").alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg(residual).alias("m"))
 
 
-def mixed_segments(rows: DataFrame, residual: str, users: int, items: int, rounds: int = 2) -> tuple[tuple, tuple]:
-    """Segmentations of user and item ids, each fitted to what the other leaves, in turns."""
+def mixed_segments(rows: DataFrame, residual: str, users: int, items: int, rounds: int = 2, widths: tuple[int, int] = (1, 1)) -> tuple[tuple, tuple]:
+    """Segmentations of user and item ids, in bins of ``widths`` ids, each fitted to what the other leaves, in turns."""
     from skein.operators.online import segment
 
     found: dict[str, tuple] = {"u": ([], [0.0]), "i": ([], [0.0])}
     for _ in range(rounds):
-        for key, other, n in (("u", "i", users), ("i", "u", items)):
+        for key, other, n, width in (("u", "i", users, widths[0]), ("i", "u", items, widths[1])):
             left = rows.withColumn("_left", F.col(residual) - segment(F.col(other), tuple(found[other][0]), tuple(found[other][1])))
-            points = segment_points(left, key, "_left").orderBy("x").collect()
+            points = segment_points(left, key, "_left", width).orderBy("x").collect()
             found[key] = segments([tuple(p) for p in points], n)
     return found["u"], found["i"]
 

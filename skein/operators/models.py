@@ -20,15 +20,19 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def bias_tables(ratings: DataFrame, shrink: float = 10.0, rounds: int = 1) -> tuple[DataFrame, DataFrame, tuple[float, float, float]]:
-    """``u, bu`` and ``i, bi`` of alternating shrunken biases, and (mean, low, high)."""
-    mean, low, high = limits(ratings)
+def bias_tables(
+    ratings: DataFrame, shrink: float = 10.0, rounds: int = 1, item_shrink: float | None = None, weights: tuple[float, float] = (1.0, 1.0), mean: float | None = None
+) -> tuple[DataFrame, DataFrame, tuple[float, float, float]]:
+    """``u, bu`` and ``i, bi`` of alternating shrunken biases, and (mean, low, high). ``weights`` multiply users' and items'; ``mean`` replaces the rows' own."""
+    average, low, high = limits(ratings)
+    mean = average if mean is None else mean
+    (wu, wi), item_shrink = weights, shrink if item_shrink is None else item_shrink
     rows = ratings.select("u", "i", (F.col("rating") - mean).alias("e"))
     bi, bu = None, None
     for _ in range(max(1, rounds)):
         left = rows if bi is None else rows.join(bi, "i").withColumn("e", F.col("e") - F.col("bi"))
-        bu = stage(left.groupBy("u").agg((F.sum("e") / (shrink + F.count("*"))).alias("bu")))
-        bi = stage(rows.join(bu, "u").groupBy("i").agg((F.sum(F.col("e") - F.col("bu")) / (shrink + F.count("*"))).alias("bi")))
+        bu = stage(left.groupBy("u").agg((wu * F.sum("e") / (shrink + F.count("*"))).alias("bu")))
+        bi = stage(rows.join(bu, "u").groupBy("i").agg((wi * F.sum(F.col("e") - F.col("bu")) / (item_shrink + F.count("*"))).alias("bi")))
     return bu, bi, (mean, low, high)
 
 

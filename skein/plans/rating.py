@@ -307,6 +307,13 @@ def on_moment_calibrated(spark, d):
     return _out(online.moments(inputs.stream(spark, d), "i", MU).withColumn("s3", F.round("s3", 5)))
 
 
+@query()
+def on_moment_calibrated_all(spark, d):
+    """The score of every row of the stream from both sides' moments over the whole stream, with the vectors at u and i."""
+    s = inputs.stream(spark, d)
+    return _out(online.moment_score(inputs.with_vectors(spark, d, s, "u", "i"), s, MU).select("pos", "score"))
+
+
 def dot_sql(first: int = 1, last: int = 64) -> str:
     return f"list_sum(list_transform(range({first}, {last + 1}), lambda k: pv[k]::double * qv[k]::double))"
 
@@ -425,6 +432,26 @@ def fit_ridge(spark, d):
     return fit.gram(_design(spark, d), ["one", "x1", "x2"], "e").withColumn("value", F.round("value", 5))
 
 
+@query()
+def fit_ridge_all(spark, d):
+    """Coefficients over the whole stream."""
+    found = fit.ridge(_columns(inputs.stream(spark, d)), ["one", "x1", "x2"], "e", 1e-4)
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double")
+
+
+@query()
+def fit_mixed_segments_all(spark, d):
+    """Segments of user and item ids in turns over the whole stream, ids in 2,000 bins of equal width at most."""
+    s = stage(_columns(inputs.stream(spark, d)))
+    widths = tuple(m // 2000 + 1 for m in s.agg(F.max("u"), F.max("i")).first())
+    sides = zip("ui", fit.mixed_segments(s, "e", 6, 4, 2, widths), strict=True)
+    return spark.createDataFrame([(side, k, v, c) for side, (cuts, values) in sides for k, (v, c) in enumerate(zip(values, [*cuts, None], strict=True))], "side string, segment int, value double, last double")
+
+
+def _columns(s):
+    return s.select("*", (F.col("rating") - MU).alias("e"), (F.col("u") / 150.0).alias("x1"), (F.col("i") / 97.0).alias("x2"), F.lit(1.0).alias("one"))
+
+
 def _design(spark, d):
     s = inputs.stream(spark, d).where("pos % 5 < 3")
     return s.select("*", (F.col("rating") - MU).alias("e"), (F.col("u") / 150.0).alias("x1"), (F.col("i") / 97.0).alias("x2"), F.lit(1.0).alias("one"))
