@@ -1,0 +1,16 @@
+"""Candidates of near-duplicate classes are ruled out by exact bounds only."""
+
+import numpy as np
+
+from skein.llm import neardup
+
+
+def test_candidates_with_few_agreeing_samples_are_verified():
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join([*words[:95], "x"]), " ".join(words[:40])]
+    bands = np.arange(3 * neardup.BANDS).reshape(3, -1)
+    bands[:, 0] = 0
+    samples = np.arange(3 * neardup.SAMPLES, dtype=np.uint16).reshape(3, -1)
+    samples[:, : neardup.ROWS] = 0  # a band's samples and no others
+    weights = neardup.Weights(np.zeros((neardup.SKETCH_DEPTH, 1 << neardup.SKETCH_BITS), np.int32), 3, 0.0)
+    assert neardup.link_texts([10, 20, 30], texts, [0, 0, 0], bands, samples, weights) == [(10, 20)]
