@@ -13,14 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that Python holds unpacked at once, so that very long texts stay within a worker's memory.
-SLICE_ROWS = 512
+#: Rows and bytes that Python holds unpacked at once, so that very long texts stay within a worker's memory; a longer row is alone.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, in slices of at most ``rows`` rows and, but for single rows, ``size`` bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

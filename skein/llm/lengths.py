@@ -1,18 +1,21 @@
 """Token counts from an exact histogram of encoded lengths.
 
 Every text is encoded whole and counted; documents are aggregated by length, which partial aggregation
-does before the shuffle. Suffix sums over the histogram then answer, for each context limit at once,
+does before the shuffle. Runs of whitespace that the pattern's matcher couldn't hold are cut out where
+the pattern itself cuts and counted as the one piece they are, so texts of any content are counted. Suffix sums over the histogram then answer, for each context limit at once,
 how many documents reach it, how many tokens lie in longer ones, and the tokens left if every document
 is cut there. They are computed in two steps, within blocks of lengths and over block totals, so that no task
 sees more than one block of the histogram.
 
-Special cases: null and empty texts have length 0; repeated rows count each time; an empty table
+Special cases: null and empty texts have length 0; texts of any length, also of one unbroken run, are counted whole; repeated rows count each time; an empty table
 gives an empty histogram; ties don't arise, as a length is one row; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +28,10 @@ from skein.stage import stage
 
 #: Lengths in a block of the two-step suffix sums.
 BLOCK = 1024
+#: Whitespace (the Unicode property, which the pattern's ``\\s`` stands for) that is counted apart, from this many characters on.
+LONG_RUN = 1000
+
+_long_run = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}").finditer
 
 
 def _encoding(ranks_path: str, pattern: str):
@@ -35,12 +42,31 @@ def _encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def counter(encoding) -> Callable[[str], int]:
+    """Number of tokens of a text, for patterns that read a run of whitespace as ``\\s+(?!\\S)|\\s+``.
+
+    Such a pattern takes a run as one piece, less its last character if something follows, and backtracks over each of its
+    characters on the way. Long runs are counted as that piece, and what stands between them is encoded as it is.
+    """
+    encode, piece = encoding.encode_ordinary, encoding._encode_single_piece
+
+    def count(text: str) -> int:
+        total = at = 0
+        for run in _long_run(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(encode(text[at : run.start()])) + len(piece(text[run.start() : end]))
+            at = end
+        return total + len(encode(text[at:]))
+
+    return count
+
+
 def token_lengths(docs: DataFrame, ranks_path: str, pattern: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keys`` and ``n_tokens`` (no special tokens) of each row."""
 
     def make():
-        encode = _encoding(ranks_path, pattern).encode_ordinary
-        return lambda texts: [[len(encode(t)) for t in texts]]
+        count = counter(_encoding(ranks_path, pattern))
+        return lambda texts: [list(map(count, texts))]
 
     return map_texts(docs, list(keys), [("n_tokens", T.LongType(), pa.int64())], make, text)
 

@@ -68,6 +68,32 @@ def test_token_lengths(spark):
     assert got == {k: len(encode(t or "")) for k, t in enumerate(ODD)}
 
 
+def test_token_lengths_of_long_runs(spark):
+    """Equal to the library wherever it can read the run; and a million blanks, letters or marks are counted."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoding = lengths._encoding(path, pattern)
+    count = lengths.counter(encoding)
+    n = lengths.LONG_RUN
+    for run in (" " * n, "\n" * (n + 1), " \n\t" * n, "\u3000\xa0" * n, "\x1c" * n, " " * (n - 1), "\r\n" * 20000):
+        for text in (run, run + "a", "a" + run, f"a{run}b{run}", f"{run}'s 1{run}\n!", f"{run}x {run}\u2003"):
+            assert count(text) == len(encoding.encode_ordinary(text)), repr(text[:20])
+    texts = [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000 + "end", "a" * 1_000_000, "!" * 1_000_000, "word " * 200_000]
+    got = {r["doc_id"]: r["n_tokens"] for r in lengths.token_lengths(docs(spark, texts), path, pattern).collect()}
+    assert got[0] == len(encoding._encode_single_piece(texts[0])) and got[2] == len(encoding._encode_single_piece(texts[2][:-4])) + len(encoding.encode_ordinary("\nend"))
+    assert [got[k] for k in (3, 4, 5)] == [len(encoding.encode_ordinary(texts[k])) for k in (3, 4, 5)]
+
+
+def test_slices_hold_bytes_and_keep_order():
+    import pyarrow as pa
+
+    from skein.llm.batches import slices
+
+    texts = ["a" * int(n) for n in np.random.default_rng(0).integers(0, 4000, 3000)] + ["b" * 100_000]
+    parts = list(slices([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], 512, 50_000))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= 50_000 for p in parts) and max(p.num_rows for p in parts) <= 512
+
+
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "# a \\ <b> </turn>\n### x\n"), (2, 5, "assistant", None), (2, 3, None, "q\n"), (None, 1, "user", "n"), (None, None, "user", "first"),
     (3, 0, "ro\nle", "\\n"), (3, 1, "assistant", "dup"), (3, 1, "assistant", "dup"), (3, 2, "assistant", "")
