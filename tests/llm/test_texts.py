@@ -1,14 +1,13 @@
 """Operators on texts: exact round trips, brute force, held-out accuracy, and the special cases of each."""
 
 import hashlib
-import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, lengths, neardup, pieces, quality, toxicity
+from skein.llm import chat, decontaminate, lengths, pieces, quality, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  two  spaces ", "a", "▁mark▁", "tab\tand\nline\n\n", "<s>x</s>", "ﬁ ünï 漢字 🙂🙂", "x" * 3000, "word " * 2000, "\x00nul"]
@@ -172,62 +171,6 @@ def test_tiling_equals_brute_force():
         assert abs(coverage - sum(t[0] for t in want) / 40) < 1e-9 and n == len(want)
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 12)  # so that groups are dealt out in several blocks
-    rng = np.random.default_rng(7)
-    base = [prose(rng, 120).split() for _ in range(6)]
-    texts = []
-    for k in range(90):
-        words = list(base[k % 6])
-        for at in rng.integers(0, 120, int(rng.integers(0, 5))):
-            words[at] = f"z{k}_{at}"
-        texts.append(" ".join(words))
-    texts += [prose(rng, 90) for _ in range(20)] + ["short one", "Short, one!", None, "", "", texts[0].upper()]
-    rows = docs(spark, texts)
-    rows = rows.unionByName(rows.where("doc_id = 3")).unionByName(docs(spark, [texts[1]], 0).withColumn("doc_id", F.lit(None).cast("long")))
-    got = neardup.near_duplicates(rows).collect()
-    sets = [({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()) for w in (re.findall(r"\w+", (t or "").lower()) for t in texts)]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    sure = True
-    for a in range(len(texts)):
-        for b in range(a):
-            if sets[a] and sets[b]:
-                s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                sure &= s < 0.78 or s >= 0.8 or find(a) == find(b)
-                if s >= 0.8:
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-    classes = {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None}
-    assert len(got) == len(texts) + 2 and sum(r["doc_id"] is None for r in got) == 1
-    differing = [k for k in range(len(texts)) if classes[k] != find(k)]
-    assert len(differing) <= 2, differing  # similarities at the threshold may fall either way by their weights
-    kept = neardup.keep_one_of_each(rows)
-    assert kept.columns == rows.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for c in classes.values()}) and ids.count(None) == 1
-    assert neardup.near_duplicates(rows.limit(0)).count() == 0
-
-
-def test_sampling_estimates_weighted_similarity():
-    rng = np.random.default_rng(9)
-    sampler, agree, exact = neardup.Sampler(), [], []
-    for _ in range(30):
-        common = rng.integers(0, 2**62, 150, dtype=np.uint64)
-        parts = [np.sort(np.append(common, rng.integers(0, 2**62, 30, dtype=np.uint64))) for _ in range(2)]
-        weight = {h: w for h, w in zip(common.tolist(), rng.uniform(1, 3, 150))}
-        both = [(p, np.array([weight.get(h, 1.5) * rng.choice([1, 1.0]) for h in p.tolist()], np.float32)) for p in parts]
-        drawn = [sampler(h, w, np.array([0, len(h)]))[0] for h, w in both]
-        agree.append((drawn[0] == drawn[1]).mean())
-        exact.append(neardup.similarity(*both))
-    assert abs(np.mean(agree) - np.mean(exact)) < 0.03
-
-
 def labelled(spark, kind):
     rng = np.random.default_rng(11)
     texts, marks = [], []
