@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, lengths, pieces, quality, toxicity
+from skein.llm import chat, lengths, pieces, quality, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  two  spaces ", "a", "▁mark▁", "tab\tand\nline\n\n", "<s>x</s>", "ﬁ ünï 漢字 🙂🙂", "x" * 3000, "word " * 2000, "\x00nul"]
@@ -125,52 +125,6 @@ def test_reply_trees(spark):
     assert chat.format_paths(rows, keep=2).count() == 5
 
 
-def test_tiling_catches_reordered_passages(spark):
-    rng = np.random.default_rng(3)
-    item = [f"b{k}" for k in range(40)]
-    half = " ".join(item[20:] + item[:20])
-    texts = [prose(rng, 200) + " " + " ".join(item).upper() + "! " + prose(rng, 50), prose(rng, 20) + ", " + half, prose(rng, 400), " ".join(item[:12]), None, "", "a b"]
-    texts += [" ".join(item[a] for a in rng.permutation(40)), (" ".join(item) + " ") * 50]
-    benchmark = spark.createDataFrame([(2, " ".join(item)), (1, " ".join(item)), (5, "b1 b2"), (None, None), (4, prose(rng, 30))], "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontaminate.judge_documents(docs(spark, texts), benchmark).collect()}
-    assert [k for k in got if got[k]["contaminated"]] == [0, 1, 8]
-    assert (got[0]["item_id"], got[0]["coverage"], got[0]["n_tiles"]) == (1, 1.0, 1) and got[1]["n_tiles"] == 2 and abs(got[3]["coverage"] - 0.3) < 1e-9
-    kept = decontaminate.keep_clean(docs(spark, texts), benchmark)
-    assert kept.columns == docs(spark, texts).columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 5, 6, 7}
-    assert decontaminate.judge_documents(docs(spark, texts), benchmark.limit(0)).where("contaminated").count() == 0
-
-
-def brute_tiles(doc, item):
-    """Greedy tiling by trying all positions."""
-    used_d, used_i, out = [False] * len(doc), [False] * len(item), []
-    while True:
-        best = (0, 0, 0)
-        for d in range(len(doc)):
-            for i in range(len(item)):
-                n = 0
-                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and not used_d[d + n] and not used_i[i + n]:
-                    n += 1
-                if n > best[0]:
-                    best = (n, d, i)
-        if best[0] < decontaminate.TILE:
-            return out
-        n, d, i = best
-        used_d[d : d + n], used_i[i : i + n] = [True] * n, [True] * n
-        out.append(best)
-
-
-def test_tiling_equals_brute_force():
-    rng = np.random.default_rng(5)
-    for _ in range(25):
-        item = [f"x{v}" for v in rng.integers(0, 3, 40)]
-        cuts = sorted(rng.integers(0, 40, 3))
-        doc = [f"x{v}" for v in rng.integers(0, 3, 30)] + item[cuts[1] : cuts[2]] + item[cuts[0] : cuts[1]] + item[5:25]
-        block = decontaminate.Benchmark([0], [" ".join(item)])
-        coverage, _, n = block.judge([" ".join(doc)])[0]
-        want = brute_tiles(doc, item)
-        assert abs(coverage - sum(t[0] for t in want) / 40) < 1e-9 and n == len(want)
-
-
 def labelled(spark, kind):
     rng = np.random.default_rng(11)
     texts, marks = [], []
