@@ -97,6 +97,45 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_dense_groups_equal_brute_force(spark, monkeypatch):
+    """Groups larger than a block, with repeated vectors; counts and components are exact where all pairs are found."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "STRIP", 16)
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 1, (3, 64))
+    x = np.concatenate([base[k % 3] + rng.normal(0, 0.05, 64) * (k % 5) for k in range(300)]).reshape(300, 64)
+    x = np.concatenate([x, x[:30], x[:30]]).astype(np.float32)
+    rows = [(k, [float(v) for v in row], k % 2) for k, row in enumerate(x)]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (y @ y.T >= 0.98) & (np.arange(360)[:, None] % 2 == np.arange(360) % 2)
+    want = near.sum(axis=1) - 1
+    found = np.array([got[k]["n_links"] for k in range(360)])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+    root = np.arange(360)
+    while True:
+        new = np.array([root[near[k]].min() for k in range(360)])
+        if (new == root).all():
+            break
+        root = new
+    assert [got[k]["component_id"] for k in range(360)] == root.tolist()
+
+
+def test_tables_grow_with_the_rows():
+    widths = [vectors.tables_for(n, 0.98) for n in (0, 100, 10_000, 10_000_000, 10**12)]
+    assert widths == sorted(widths) and all(t * w <= 10_000 for w, t in widths)
+    differ = np.arccos(0.98) / np.pi
+    assert all((1 - (1 - differ) ** w) ** t <= vectors.MISSED for w, t in widths)
+
+
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(v) for v in rng.normal(0, 1, 1 + k % 40)], 0) for k in range(200)]
+    rows += [(1000 + k, [2 * v for v in r[1]], 0) for k, r in enumerate(rows)] + [(None, rows[39][1], 0), (None, [float(v) for v in rng.normal(0, 1, 50)], 3)]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[1000 + k]["n_links"] >= 1 for k in range(200)) and all(got[1000 + k]["component_id"] <= k for k in range(200))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from skein.llm import toxicity
