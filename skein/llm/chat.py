@@ -6,14 +6,17 @@ root-to-leaf path a round, so a thread of n messages takes log2(n) joins. Branch
 ranked by the sum of their messages' scores (then length, then leaf), and each chosen path becomes
 one conversation.
 
+Paths are found and ranked on ids alone. Texts, known by a 128-bit hash of their message, join the chosen paths at the end and go
+once more to the task that formats the path, in its order; no task holds more than one path.
+
 The template marks a turn as ``### role``, its text and ``</turn>``, each on lines of their own. In roles and
 texts ``\\``, ``#`` and ``<`` are preceded by ``\\``, and a role's newline is ``\\n``, so no text can pass for
 a mark and unescaping gives it back. The loss mask is a list of (start, end) in code points: the escaped texts of the assistant.
 
 Special cases: a null text or role is empty; a message whose parent is null or missing is a root; messages on or
 below a cycle of replies have no root and no path; a path is formatted whole, however long; a
-tree's messages with one id are one message, the least by (parent, role, text); null tree ids are a
-tree of their own; an empty table gives an empty one; other columns aren't read.
+tree's messages with one id are one message, the least by (parent, role, hash of the text); messages without a tree or an id are left
+out, but conversations' rows without an id are one conversation; an empty table gives an empty one; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.llm.batches import slices
-from skein.stage import stage
+from skein.stage import discard, stage
 
 _special = re.compile(r"[\\#<]")
 _escaped = re.compile(r"\\(.)", re.DOTALL)
@@ -76,17 +79,17 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     ids = nodes.select("tree", "id")
     jump = stage(nodes.select("tree", "id", F.col("parent").alias("up_id")).join(ids.select("tree", F.col("id").alias("up_id")), ["tree", "up_id"]))
     parents = jump.select("tree", F.col("up_id").alias("id")).distinct()
-    leaves = ids.join(parents, ["tree", "id"], "left_anti")
-    roots = ids.join(jump, ["tree", "id"], "left_anti")
-    paths = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
+    roots = stage(ids.join(jump.select("tree", "id"), ["tree", "id"], "left_anti"))
+    paths = stage(ids.join(parents, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up")))
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     for step in (1 << i for i in range(int(largest).bit_length())):
         if jump.isEmpty():
             break
         above = paths.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up_id").alias("id"), (F.col("up") + step).alias("up"))
-        paths = stage(paths.unionByName(above))
         second = jump.select("tree", F.col("id").alias("up_id"), F.col("up_id").alias("far"))
-        jump = stage(jump.join(second, ["tree", "up_id"]).select("tree", "id", F.col("far").alias("up_id")))
+        before = paths, jump
+        paths, jump = stage(paths.unionByName(above)), stage(jump.join(second, ["tree", "up_id"]).select("tree", "id", F.col("far").alias("up_id")))
+        discard(*before)
     branches = (
         paths.join(nodes.select("tree", "id", "score"), ["tree", "id"])
         .join(roots.withColumn("is_root", F.lit(True)), ["tree", "id"], "left")
@@ -99,27 +102,49 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     return paths.join(chosen.select("tree", "leaf", "root", "rank"), ["tree", "leaf"]).select("tree", "root", "leaf", "rank", "up", "id")
 
 
-def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """``tree, root, leaf, rank, formatted, loss`` for each chosen path of ``messages`` (``tree, id, parent, role, text, score``)."""
-    first = F.min(F.struct("parent", "role", "text", "score"))
-    once = stage(messages.groupBy("tree", "id").agg(first.alias("m")).select("tree", "id", "m.parent", "m.role", "m.text", "m.score"))
-    turns = (
-        reply_paths(once, keep)
-        .join(once.select("tree", "id", "role", "text"), ["tree", "id"])
-        .groupBy("tree", "root", "leaf", "rank")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-    )
+def _hashes(*columns: Column | str) -> list[Column]:
+    return [F.xxhash64(*columns).alias("l1"), F.xxhash64(F.lit(1), *columns).alias("l2")]
+
+
+def _format(nodes: DataFrame, texts: DataFrame, keep: int) -> DataFrame:
+    """``tree, root, leaf, rank, formatted, loss`` of the chosen paths. ``nodes``: messages by id without their texts; ``texts``: role and text by the hash (``l1, l2``) in ``nodes``."""
+    nodes = stage(nodes)
+    placed = reply_paths(nodes, keep).join(nodes.select("tree", "id", "l1", "l2"), ["tree", "id"]).drop("id")
+    once = texts.groupBy("tree", "l1", "l2").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    path = ["tree", "root", "leaf", "rank"]
+    turns = stage(placed).join(once, ["tree", "l1", "l2"]).select(*path, "up", "role", "text")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*turns.schema.fields[:4], T.StructField("formatted", T.StringType()), T.StructField("loss", T.ArrayType(span))])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def emit(key: pa.RecordBatch, turns: list[tuple[str, str]]) -> pa.RecordBatch:
+        formatted, loss = format_turns(turns)
+        arrays = [*key.columns, pa.array([formatted], pa.string()), pa.array([[{"start": a, "end": b} for a, b in loss]], spans)]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            made = [format_turns([(t["role"], t["text"]) for t in c]) for c in part.column("turns").to_pylist()]
-            loss = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in made], spans)
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([f for f, _ in made], pa.string()), loss], names=schema.names)
+        held, now, key = [], None, None
+        for batch in slices(batches):
+            keys = batch.select(path)
+            for k, (at, role, text) in enumerate(zip(keys.to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                if at != now:
+                    if held:
+                        yield emit(key, held)
+                    held, now, key = [], at, keys.slice(k, 1)
+                held.append((role, text))
+        if held:
+            yield emit(key, held)
+
+    return turns.repartition(*path[:3]).sortWithinPartitions(*path, F.desc("up")).drop("up").mapInArrow(run, schema)
 
-    return turns.mapInArrow(run, schema)
+
+def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
+    """``tree, root, leaf, rank, formatted, loss`` for each chosen path of ``messages`` (``tree, id, parent, role, text, score``)."""
+    rows = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
+    rows = rows.where(F.col("tree").isNotNull() & F.col("id").isNotNull()).select("*", *_hashes("id", "role", "text"))
+    first = F.min(F.struct("parent", "role", "l1", "l2", "score")).alias("m")
+    nodes = rows.groupBy("tree", "id").agg(first).select("tree", "id", "m.parent", "m.score", "m.l1", "m.l2")
+    return _format(nodes, rows.select("tree", "l1", "l2", "role", "text"), keep)
 
 
 def read_back(formatted: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,10 +170,22 @@ def read_back(formatted: DataFrame, keys: list[str]) -> DataFrame:
     return formatted.select(*keys, "formatted", "loss").mapInArrow(run, schema)
 
 
-def linear_messages(conversations: DataFrame) -> DataFrame:
-    """Turns as reply trees: each conversation is a tree in which a row answers the one before it (by turn, role, text)."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    at = F.row_number().over(order).cast("long")
-    rows = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), at.alias("id"))
-    tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("conv_id"))
-    return rows.select(tree.alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.coalesce("role", F.lit("")).alias("role"), "text", F.lit(1.0).alias("score"))
+def format_conversations(conversations: DataFrame) -> DataFrame:
+    """Like :func:`format_paths` for rows of ``conv_id, turn, role, text``: each conversation is a tree in which a row answers the one before it (by turn, role, text).
+
+    ``tree`` is a struct of ``none`` (no id) and ``conv_id`` (0 without one). Rows are put in order without their texts; only where several texts
+    share conversation, turn and role do these take part.
+    """
+    tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("conv_id")).alias("tree")
+    rows = conversations.select(tree, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", *_hashes("turn", "role", "text"))
+    place = ["tree", "turn", "role"]
+    counted = stage(rows.groupBy(*place, "l1", "l2").agg(F.count("*").alias("n")))
+    tied = counted.groupBy(*place).agg(F.count("*").alias("texts")).where("texts > 1").select("tree", F.struct(F.col("turn").isNull().alias("none"), "turn", "role").alias("at"))
+    told = rows.withColumn("at", F.struct(F.col("turn").isNull().alias("none"), "turn", "role")).join(tied, ["tree", "at"], "left_semi")
+    told = told.groupBy("tree", "l1", "l2").agg(F.first("text").alias("tie"))
+    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", F.col("tie").asc_nulls_first(), "l1", "l2", "copy")
+    each = counted.join(told, ["tree", "l1", "l2"], "left").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    nodes = each.select("tree", F.row_number().over(order).cast("long").alias("id"), "l1", "l2")
+    nodes = nodes.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"), "l1", "l2")
+    return _format(nodes, rows.select("tree", "l1", "l2", "role", "text"), 1)

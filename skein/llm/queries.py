@@ -40,7 +40,7 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    formatted = chat.format_paths(chat.linear_messages(rows.unionByName(extra)))
+    formatted = chat.format_conversations(rows.unionByName(extra))
     back = chat.read_back(formatted, ["tree"])
     return back.select(F.when(~F.col("tree.none"), F.col("tree.conv_id")).alias("conv_id"), *back.columns[1:])
 

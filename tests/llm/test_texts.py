@@ -101,7 +101,7 @@ TURNS = [
 
 def test_chat_round_trip(spark):
     rows = spark.createDataFrame([(*t, "extra") for t in TURNS], "conv_id long, turn long, role string, text string, formatted string")
-    formatted = chat.format_paths(chat.linear_messages(rows))
+    formatted = chat.format_conversations(rows)
     back = {r["tree"]["conv_id"] if not r["tree"]["none"] else None: r for r in chat.read_back(formatted, ["tree"]).collect()}
     texts = {r["tree"]["conv_id"] if not r["tree"]["none"] else None: r for r in formatted.collect()}
     assert len(back) == 4
@@ -112,7 +112,7 @@ def test_chat_round_trip(spark):
         loss = "".join(x for r, x in want if r == "assistant")
         assert (row["n_turns"], row["loss_chars"], row["formatted_chars"]) == (len(want), len(loss), len(texts[conv]["formatted"]))
         assert row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    assert chat.format_paths(chat.linear_messages(rows.limit(0))).count() == 0
+    assert chat.format_conversations(rows.limit(0)).count() == 0
 
 
 def test_reply_trees(spark):
@@ -125,6 +125,49 @@ def test_reply_trees(spark):
     assert chat.format_paths(rows, keep=2).count() == 5
 
 
+def brute_paths(messages, keep):
+    """Chosen paths of one tree (id: parent, score) by walking up from each leaf."""
+    parents = {k: p if p in messages else None for k, (p, _) in messages.items()}
+    branches = {}
+    for leaf in messages.keys() - set(parents.values()):
+        path, at = [], leaf
+        while at is not None and at not in path:
+            path.append(at)
+            at = parents[at]
+        if at is None:
+            branches.setdefault(path[-1], []).append((-sum(messages[m][1] or 0 for m in path), -len(path), leaf, path[::-1]))
+    return {(root, rank + 1): b[3] for root, some in branches.items() for rank, b in enumerate(sorted(some)[:keep])}
+
+
+def test_reply_trees_equal_brute_force(spark):
+    """Branching trees with scores, ties, cycles, orphans and repeated messages."""
+    rng = np.random.default_rng(13)
+    trees = {}
+    for tree in range(25):
+        n = int(rng.integers(1, 40))
+        back = {k: int(rng.integers(0, k)) if k and rng.random() < 0.9 else None for k in range(n)}
+        trees[tree] = {k: (p if rng.random() > 0.03 else int(rng.integers(0, n + 5)), rng.choice([None, 0.5, 1.0, -1.0])) for k, p in back.items()}
+    rows = [(t, k, p, s, "assistant" if k % 2 else "user", f"m{k} <#\\> \n") for t, m in trees.items() for k, (p, s) in m.items()]
+    rows += rows[:30] + [(None, 1, None, 1.0, "user", "x"), (3, None, None, 1.0, "user", "x")]
+    frame = spark.createDataFrame([(*r, "extra") for r in rows], "tree long, id long, parent long, score double, role string, text string, leaf string")
+    got = {(r["tree"], r["root"], r["rank"]): chat.parse_turns(r["formatted"]) for r in chat.format_paths(frame, keep=3).collect()}
+    want = {}
+    for t, m in trees.items():
+        for (root, rank), path in brute_paths(m, 3).items():
+            want[t, root, rank] = [("assistant" if k % 2 else "user", f"m{k} <#\\> \n") for k in path]
+    assert got == want
+
+
+def test_long_conversations(spark):
+    """Thousands of turns, a text of a megabyte, one repeated row many times, and several texts at one turn."""
+    rows = [(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(5000)] + [(2, 0, "user", "# <\\" * 250_000), (2, 1, "assistant", "y")]
+    rows += [(3, 0, "assistant", "same")] * 700 + [(4, 0, "user", f"{9 - k}") for k in range(10)] + [(4, None, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["tree"]["conv_id"]: chat.parse_turns(r["formatted"]) for r in chat.format_conversations(frame).collect()}
+    assert got[1] == [r[2:] for r in rows[:5000]] and got[2] == [r[2:] for r in rows[5000:5002]]
+    assert got[3] == [("assistant", "same")] * 700 and got[4] == [("user", ""), *(("user", str(k)) for k in range(10))]
+
+
 def labelled(spark, kind):
     rng = np.random.default_rng(11)
     texts, marks = [], []
