@@ -4,10 +4,14 @@ A chunk is a run of whitespace markers with the characters up to the next marker
 the model has a marker after another character, no merge crosses from one chunk into the next, so
 each distinct chunk is segmented once, and a text's ids are its chunks' ids joined by position.
 
-The table of distinct chunks is kept by each Python worker and reused over its batches. A table for
-the whole corpus would move every word of every text through a shuffle to be joined back; this one
-moves none. It is emptied when it reaches ``TABLE_CHUNKS``, and chunks over ``LONGEST_KEPT``
-characters are segmented but not kept, so its memory is bounded.
+Documents are read in blocks of some megabytes. A block's texts become positions in its list of distinct chunks. The lists go,
+packed, to the parts of the corpus's table of distinct chunks (by the chunks' hash); a part segments each of its chunks once, and
+gives every block the ids of those it asked for, in the order in which it did. Blocks meet their answers again by a hash of their content,
+and positions become ids. What is shuffled is each block's distinct chunks, their ids, and the positions: less than the texts.
+Documents are read twice, so ``docs`` must give its rows in the same order again, as files do; otherwise a block
+finds no answer, which raises an error.
+
+Chunks over ``LONGEST`` characters, which hardly repeat, are segmented where they stand, so that the table's parts hold short ones only.
 
 Results for special cases: a null or empty text has the begin and end ids alone and decodes to "";
 texts of any length are encoded whole; repeated rows give repeated results; an empty table gives
@@ -18,24 +22,29 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import islice
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.batches import map_texts
+from skein.llm.batches import slices, texts_of
 
 MARK = "▁"
-TABLE_CHUNKS = 600_000
-LONGEST_KEPT = 48
+#: Characters and rows of a block, and characters of the longest chunk that goes to the table.
+BLOCK_CHARS, BLOCK_ROWS, LONGEST = 8 << 20, 20_000, 48
 
 _chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
-class ChunkTable:
-    """Distinct chunks of one model: ids as little-endian bytes, and the text they decode to."""
+class Model:
+    """Segments chunks; refuses models for which a text isn't its chunks."""
 
     def __init__(self, model_path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -44,73 +53,190 @@ class ChunkTable:
                 raise ValueError("pieces of this model cross whitespace markers")
         if self.model.encode("a  b", out_type=str)[0] != f"{MARK}a" or self.model.decode(self.model.encode("a  b ")) != "a  b ":
             raise ValueError("this model drops or rewrites whitespace")
-        self.begin, self.end = (int(i).to_bytes(4, "little") for i in (self.model.bos_id(), self.model.eos_id()))
+        self.begin, self.end = self.model.bos_id(), self.model.eos_id()
         self.lone = self.model.piece_to_id(MARK)
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
 
-    def _segment(self, chunks: list[str]) -> None:
+    def segment(self, chunks: list[str]) -> list[tuple[list[int], str]]:
+        """Ids of each chunk, and the text that they decode to after another chunk and its blank."""
         # The model puts its own marker before a text: the chunk's first one.
         found = self.model.encode([c[1:] for c in chunks], num_threads=1)
         found = [ids if len(c) > 1 else [self.lone] for c, ids in zip(chunks, found, strict=True)]
         # Decoding drops the first marker, as at the head of a text.
-        for c, ids, text in zip(chunks, found, self.model.decode(found, num_threads=1), strict=True):
-            self.ids[c] = b"".join(i.to_bytes(4, "little") for i in ids)
-            self.text[c] = text
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """For each text its ids, begin and end included, as little-endian 32-bit bytes, and the decoded text."""
-        out_ids, out_texts, todo = [], [], iter(texts)
-        while some := list(islice(todo, 64)):
-            split = [_chunks(MARK + t.replace(" ", MARK)) if t else [] for t in some]
-            new = set().union(*split).difference(self.ids)
-            if len(self.ids) + len(new) > TABLE_CHUNKS:
-                self.ids, self.text = {}, {}
-                new = set().union(*split)
-            self._segment(list(new))
-            for chunks in split:
-                out_ids.append(self.begin + b"".join(map(self.ids.__getitem__, chunks)) + self.end)
-                out_texts.append(" ".join(map(self.text.__getitem__, chunks)))
-            for c in new:
-                if len(c) > LONGEST_KEPT:
-                    del self.ids[c], self.text[c]
-        return out_ids, out_texts
+        return list(zip(found, self.model.decode(found, num_threads=1), strict=True))
+
+
+def pack_strings(strings: list[str]) -> bytes:
+    raw = [s.encode() for s in strings]
+    sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(raw)).tobytes() + sizes.tobytes() + b"".join(raw))
+
+
+def unpack_strings(blob: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = (4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)])).tolist()
+    return [raw[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def pack_segments(segments: list[tuple[list[int], str]]) -> bytes:
+    """Ids and decoded texts."""
+    sizes = np.fromiter((len(i) for i, _ in segments), np.uint32, len(segments))
+    flat = np.fromiter((x for i, _ in segments for x in i), np.uint32, int(sizes.sum()))
+    ids = zstandard.ZstdCompressor(level=3).compress(np.uint32(len(sizes)).tobytes() + sizes.tobytes() + flat.tobytes())
+    return len(ids).to_bytes(8, "little") + ids + pack_strings([t for _, t in segments])
+
+
+def unpack_segments(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Number of ids of each chunk, all ids, and decoded texts."""
+    cut = 8 + int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:cut]), np.uint32)
+    return raw[1 : 1 + raw[0]], raw[1 + raw[0] :], unpack_strings(blob[cut:])
+
+
+@dataclass
+class Block:
+    """Some documents: ``at``, positions of each one's chunks in the lists of all parts, one after the other, and then in ``long``."""
+
+    keys: pa.RecordBatch | None
+    name: bytes
+    parts: list[list[str]]
+    long: list[str]
+    at: list[np.ndarray]
+
+
+def _block(keys: list[pa.RecordBatch], texts: list[str], parts: int) -> Block:
+    found: dict[str, int] = {}
+    at, name = [], xxhash.xxh128()
+    for text in texts:
+        name.update(f"{len(text)}:{text}")
+        own = _chunks(MARK + text.replace(" ", MARK)) if text else []
+        at.append(np.fromiter((found.setdefault(c, len(found)) for c in own), np.int32, len(own)))
+    lists: list[list[str]] = [[] for _ in range(parts + 1)]
+    home = np.fromiter((parts if len(c) > LONGEST else xxhash.xxh32_intdigest(c) % parts for c in found), np.int32, len(found))
+    for c, p in zip(found, home.tolist(), strict=True):
+        lists[p].append(c)
+    place = np.empty(len(found), np.int32)
+    place[np.argsort(home, kind="stable")] = np.arange(len(found), dtype=np.int32)
+    whole = pa.Table.from_batches(keys).combine_chunks().to_batches() if keys and keys[0].num_columns else []
+    return Block(whole[0] if whole else None, name.digest(), lists[:-1], lists[-1], [place[x] for x in at])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str], column: str, parts: int) -> Iterator[Block]:
+    """Blocks end by the number and characters of their rows alone, so that they are the same whatever else is read with them."""
+    held, texts, chars = [], [], 0
+    for batch in slices(batches):
+        first = 0
+        own = texts_of(batch, column)
+        for k, text in enumerate(own):
+            texts.append(text)
+            chars += len(text)
+            if chars >= BLOCK_CHARS or len(texts) >= BLOCK_ROWS:
+                held.append(batch.select(keys).slice(first, k + 1 - first))
+                yield _block(held, texts, parts)
+                held, texts, chars, first = [], [], 0, k + 1
+        if first < len(own):
+            held.append(batch.select(keys).slice(first))
+    if texts:
+        yield _block(held, texts, parts)
+
+
+_PACKED = T.StructType([T.StructField("block", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("extra", T.BinaryType())])
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_PACKED.names)
+
+
+def _answers(docs: DataFrame, text: str, model_path: str, parts: int) -> DataFrame:
+    """Rows of ids: for each block and part of the table, those of the block's chunks there."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, [], text, parts):
+            yield _packed([(block.name, p, pack_strings(c), None) for p, c in enumerate(block.parts) if c])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table, now = Model(model_path), {}, None
+        for batch in slices(batches, rows=32):
+            out = []
+            for name, part, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "blob")), strict=True):
+                if part != now:
+                    table, now = {}, part  # the part's distinct chunks
+                chunks = unpack_strings(blob)
+                new = [c for c in chunks if c not in table]
+                table.update(zip(new, model.segment(new), strict=True))
+                out.append((name, part, pack_segments([table[c] for c in chunks]), None))
+            yield _packed(out)
+
+    return docs.select(text).mapInArrow(ask, _PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(answer, _PACKED)
+
+
+def _encoded(docs: DataFrame, model_path: str, keys: tuple[str, ...], text: str, out: list[tuple[str, T.DataType, pa.DataType]], finish: Callable) -> DataFrame:
+    """``keys`` with the columns that ``finish`` makes of a list of ids and decoded texts."""
+    parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = list(dict.fromkeys(keys))
+    schema = T.StructType([docs.schema[k] for k in own] + [T.StructField(n, t) for n, t, _ in out])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, options = Model(model_path), pa.ipc.IpcWriteOptions(compression="zstd")
+        for block in _blocks(batches, own, text, parts):
+            at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in block.at])]).astype(np.int32)), pa.array(np.concatenate(block.at)))
+            rows = pa.RecordBatch.from_arrays([*(block.keys.columns if block.keys is not None else []), at], names=[*own, "_at"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_batch(rows)
+            asked = sum(map(bool, block.parts))
+            extra = asked.to_bytes(4, "little") + pack_segments(model.segment(block.long))
+            yield _packed([(block.name, parts, sink.getvalue().to_pybytes(), extra)])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, now, answers = Model(model_path), None, {}
+        for batch in slices(batches, rows=32):
+            for name, part, blob, extra in zip(*(batch.column(c).to_pylist() for c in _PACKED.names), strict=True):
+                if name != now:
+                    now, answers = name, {}
+                if part < parts:
+                    answers[part] = blob  # blocks of equal content ask alike
+                    continue
+                if len(answers) != int.from_bytes(extra[:4], "little"):
+                    raise RuntimeError("documents came in another order when they were read again; write them to files first")
+                known = [unpack_segments(answers[p]) for p in sorted(answers)] + [unpack_segments(extra[4:])]
+                sizes, flat = (np.concatenate([k[i] for k in known]) for i in (0, 1))
+                decoded = [t for k in known for t in k[2]]
+                starts = np.cumsum(sizes, dtype=np.int64) - sizes
+                rows = pa.ipc.open_stream(blob).read_next_batch()
+                for a in range(0, rows.num_rows, 256):
+                    some = rows.slice(a, 256)
+                    ids, texts = [], []
+                    for at in some.column("_at"):
+                        at = at.values.to_numpy(zero_copy_only=False)
+                        n = sizes[at].astype(np.int64)
+                        places = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        ids.append(np.concatenate([[model.begin], flat[places], [model.end]]).astype("<u4"))
+                        texts.append(" ".join(map(decoded.__getitem__, at.tolist())))
+                    made = [pa.array(v, t) if isinstance(v, list) else v for v, (_, _, t) in zip(finish(ids, texts), out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(some.column(k) for k in own), *made], names=schema.names)
+
+    placed = docs.select(*dict.fromkeys([*own, text])).mapInArrow(place, _PACKED)
+    both = placed.unionByName(_answers(docs, text, model_path, parts))
+    return both.repartition("block").sortWithinPartitions("block", F.col("part")).mapInArrow(assemble, schema)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keys``, ``ids`` (array of int, begin and end included) and ``decoded`` for each row of ``docs``."""
 
-    def make():
-        import numpy as np
-
-        table = ChunkTable(model_path)
-
-        def run(texts: list[str]) -> list:
-            ids, decoded = table.encode(texts)
-            ends = np.cumsum([0] + [len(b) // 4 for b in ids], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            return [pa.ListArray.from_arrays(pa.array(ends), flat), decoded]
+    def finish(ids: list[np.ndarray], texts: list[str]) -> list:
+        ends = np.cumsum([0] + [len(i) for i in ids], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))), texts]
 
-        return run
-
-    return map_texts(docs, list(keys), [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("decoded", T.StringType(), pa.string())], make, text)
+    return _encoded(docs, model_path, keys, text, [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("decoded", T.StringType(), pa.string())], finish)
 
 
 def encode_digests(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keys``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: digests of what :func:`encode_documents` returns, made where the ids are."""
 
-    def make():
-        table = ChunkTable(model_path)
-
-        def run(texts: list[str]) -> list:
-            ids, decoded = table.encode(texts)
-            return [
-                [len(b) // 4 for b in ids],
-                [hashlib.sha256(b).hexdigest() for b in ids],
-                [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
-            ]
-
-        return run
+    def finish(ids: list[np.ndarray], texts: list[str]) -> list:
+        return [[len(i) for i in ids], [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], [hashlib.sha256(t.encode()).hexdigest() for t in texts]]
 
     out = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
-    return map_texts(docs, list(keys), out, make, text)
+    return _encoded(docs, model_path, keys, text, out, finish)

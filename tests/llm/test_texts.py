@@ -37,14 +37,40 @@ def test_pieces_equal_library(spark):
     assert pieces.encode_documents(docs(spark, texts).limit(0), MODEL).count() == 0
 
 
-def test_table_of_chunks_stays_bounded(monkeypatch):
-    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 50)
-    table = pieces.ChunkTable(MODEL)
+def test_blocks_and_parts_equal_library(spark, monkeypatch):
+    """Many blocks that share chunks, some of them alike, and chunks too long for the table."""
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 2000)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = np.random.default_rng(0)
-    texts = [prose(rng, 30) for _ in range(200)] + ["y" * 400]
-    ids, decoded = table.encode(texts)
-    assert decoded == texts and [np.frombuffer(b, "<u4").tolist()[1:-1] for b in ids] == table.model.encode(texts)
-    assert all(len(c) <= pieces.LONGEST_KEPT for c in table.ids)
+    texts = [prose(rng, int(rng.integers(0, 60)), 300) for _ in range(300)] + ["y" * 400, "z" * 49 + " " + "é" * 48] + ["same text of a block " * 120] * 5
+    got = {r["doc_id"]: r for r in pieces.encode_documents(docs(spark, texts).repartition(3, "doc_id").sortWithinPartitions("doc_id"), MODEL, ("doc_id", "kept")).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        ids = [sp.bos_id(), *sp.encode(t), sp.eos_id()]
+        assert got[k]["ids"] == ids and got[k]["decoded"] == sp.decode(ids) and got[k]["kept"] == 1.5
+    same = docs(spark, texts[:50])
+    assert pieces.encode_digests(same.unionByName(same), MODEL).groupBy("doc_id", "ids_sha256").count().where("count = 2").count() == 50
+
+
+def test_pieces_of_long_texts(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["a" * 1_000_000, " " * 300_000, "word " * 200_000, "漢字" * 100_000, "a\n" * 100_000]
+    got = {r["doc_id"]: r["ids_sha256"] for r in pieces.encode_digests(docs(spark, texts), MODEL).collect()}
+    for k, t in enumerate(texts):
+        ids = [sp.bos_id(), *sp.encode(t), sp.eos_id()]
+        assert got[k] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_chunks_pack_and_unpack():
+    rng = np.random.default_rng(2)
+    strings = ["", "\x00", "▁", "漢字", *(prose(rng, 3) for _ in range(50))]
+    assert pieces.unpack_strings(pieces.pack_strings(strings)) == strings and pieces.unpack_strings(pieces.pack_strings([])) == []
+    sizes, flat, texts = pieces.unpack_segments(pieces.pack_segments([([1, 2, 70_000], "a"), ([], ""), ([3], "b c")]))
+    assert (sizes.tolist(), flat.tolist(), texts) == ([3, 0, 1], [1, 2, 70_000, 3], ["a", "", "b c"])
 
 
 def test_length_histogram(spark):
