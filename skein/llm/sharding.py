@@ -3,17 +3,19 @@
 A node that must give k shards is split where floor(k/2)/k of its weight lies to the left, along the
 dimension on which it is widest (its range as a share of the whole table's), until every leaf is one shard. The
 weighted medians of all nodes of a level are found together, by histograms that Spark aggregates: each
-round narrows a node's interval ``BINS``-fold, until the rows left in it are few and are ordered
-exactly. At most nodes x BINS sums, or nodes x ``FEW`` rows, reach the driver in a round, however large the table is.
+round narrows the nodes' intervals, until the rows left in them are few and are ordered
+exactly. At most ``SUMS`` sums or rows (``LEAST_BINS`` a node, if that is more) reach the driver in a round, however large the table is.
+A level's cuts are array literals that rows look up by their node, and its rows are written before the next level.
 
-Rows are ordered by (dimension, content hash, hash of the id), so rows of equal text stay
+Rows are ordered by (dimension, content hash, hash of the id, number of the row), so rows of equal text stay
 together unless the cut would then be off by over ``TOLERANCE`` of a shard; a group of copies that is too large
-for that is split by id. Documents are read once; the tree works on a narrow table of
+for that is split. So a cut is off by half of the row at it or by ``TOLERANCE`` of a shard, whichever is more, and a shard by the sum of that over its levels (log2 of the shards):
+shards are near equal unless single texts weigh as much as shards. Documents are read once; the tree works on a narrow table of
 numbers. Slots within a shard come from counts of (shard, bucket) and a rank within each bucket,
 so no task ranks a whole shard. Only built-in functions are used.
 
 Special cases: a null text has no bytes (size 16 in the query) and hash 0; null metadata counts as
-empty; rows alike in id and text stay in one shard; a table with fewer rows than shards, or an
+0; numbers beyond 2**61 in size count as that; repeated rows and null ids are rows like others; a table with fewer rows than shards, or an
 empty one, leaves shards empty; other columns aren't read.
 """
 
@@ -21,16 +23,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.stage import literal_rows, stage
+from skein.stage import discard, stage
 
-BINS = 512
-FEW = 256
+#: Sums, or rows, that come to the driver in a round for all nodes together, and bins that a node has at least.
+SUMS, LEAST_BINS = 1 << 16, 64
 TOLERANCE = 0.01
 SLOT_BUCKETS = 256
+#: Numbers beyond it count as it, so that differences are whole numbers of 64 bits.
+FAR = 1 << 61
 
 
 @dataclass
@@ -58,49 +63,56 @@ class Search:
     fixed: tuple[int, ...] = ()
     before: int = 0
     few: bool = False
+    bins: int = 0
 
     @property
     def width(self) -> int:
-        return (self.hi - self.lo) // BINS + 1
+        return (self.hi - self.lo) // self.bins + 1
 
-    def row(self) -> tuple:
-        return (self.node.first, self.node.dim, len(self.fixed), *(*self.fixed, 0, 0)[:2], self.lo, self.hi, self.width)
 
+def _of_node(values: dict[int, int], shards: int) -> Column:
+    """A row's value by its node, from an array literal of one number for each shard; 0 for nodes without one."""
+    return F.element_at(F.lit(np.array([values.get(n, 0) for n in range(shards)], dtype=np.int64)), F.col("node") + 1)
 
-def _routed(points: DataFrame, level: list[Node]) -> DataFrame:
+
+def _routed(points: DataFrame, level: list[Node], shards: int) -> DataFrame:
     """``points`` with ``node`` moved one level down."""
-    rows = [(n.first, n.dim, *n.cut, n.first + n.shards // 2) for n in level]
-    # at most one row for each shard
-    names = [("node", "int"), ("dim", "int"), ("c0", "long"), ("c1", "long"), ("c2", "long"), ("right", "int")]
-    cuts = F.broadcast(literal_rows(points.sparkSession, rows, names))
-    at = F.element_at("v", F.col("dim") + 1)
-    right = (at > F.col("c0")) | ((at == F.col("c0")) & ((F.col("content") > F.col("c1")) | ((F.col("content") == F.col("c1")) & (F.col("tie") >= F.col("c2")))))
-    moved = F.when(F.col("right").isNotNull() & right, F.col("right")).otherwise(F.col("node"))
-    return points.join(cuts, "node", "left").select(*[c for c in points.columns if c != "node"], moved.alias("node"))
+    cut = [_of_node({n.first: n.cut[k] for n in level}, shards) for k in range(3)]
+    at = F.element_at("v", _of_node({n.first: n.dim for n in level}, shards).cast("int") + 1)
+    beyond = (at > cut[0]) | ((at == cut[0]) & ((F.col("content") > cut[1]) | ((F.col("content") == cut[1]) & (F.col("tie") >= cut[2]))))
+    right = _of_node({n.first: n.first + n.shards // 2 for n in level}, shards)
+    moved = F.when((right > 0) & beyond, right.cast("int")).otherwise(F.col("node"))
+    return points.withColumn("node", moved)
 
 
-def _within(points: DataFrame, searches: list[Search]) -> DataFrame:
+def _within(points: DataFrame, searches: list[Search], shards: int) -> DataFrame:
     """Rows where a search still looks: its ``node``, the row's keys ``k0, content, tie``, and its ``bin``."""
-    names = [("node", "int"), ("dim", "int"), ("depth", "int"), *((n, "long") for n in ("f0", "f1", "lo", "hi", "width"))]
-    rows = F.broadcast(literal_rows(points.sparkSession, [s.row() for s in searches], names))  # at most one row for each shard
-    k0 = F.element_at("v", F.col("dim") + 1)
-    key = F.when(F.col("depth") == 0, k0).when(F.col("depth") == 1, F.col("content")).otherwise(F.col("tie"))
-    inside = ((F.col("depth") == 0) | (k0 == F.col("f0"))) & ((F.col("depth") < 2) | (F.col("content") == F.col("f1"))) & key.between(F.col("lo"), F.col("hi"))
-    bin_of = F.floor((key - F.col("lo")) / F.col("width")).cast("int")
-    return points.join(rows, "node").where(inside).select("node", "weight", k0.alias("k0"), "content", "tie", bin_of.alias("bin"))
-
-
-def _narrow(points: DataFrame, searches: list[Search], limits: list[tuple[int, int]]) -> None:
+    of = lambda value: _of_node({s.node.first: value(s) for s in searches}, shards)
+    depth = of(lambda s: len(s.fixed))
+    k0 = F.element_at("v", of(lambda s: s.node.dim).cast("int") + 1)
+    key = F.when(depth == 0, k0).when(depth == 1, F.col("content")).otherwise(F.col("tie"))
+    fixed = [of(lambda s, k=k: (*s.fixed, 0, 0)[k]) for k in (0, 1)]
+    inside = ((depth == 0) | (k0 == fixed[0])) & ((depth < 2) | (F.col("content") == fixed[1])) & key.between(of(lambda s: s.lo), of(lambda s: s.hi))
+    # Bins only where a search is: other nodes have no width.
+    found = points.where(of(lambda s: 1) == 1).where(inside)
+    width, past = of(lambda s: s.width), key - of(lambda s: s.lo)
+    bin_of = F.round((past - F.pmod(past, width)) / width).cast("int")  # whole numbers of up to 62 bits
+    return found.select("node", "weight", k0.alias("k0"), "content", "tie", bin_of.alias("bin"))
+
+
+def _narrow(points: DataFrame, searches: list[Search], limits: list[tuple[int, int]], shards: int) -> None:
     """One histogram round for searches that still have many rows; ``limits``: ends of content and tie."""
+    for s in searches:
+        s.bins = max(LEAST_BINS, SUMS // len(searches))
     bins: dict[int, list] = {}
-    for n, b, weight, rows in _within(points, searches).groupBy("node", "bin").agg(F.sum("weight"), F.count("*")).collect():
+    for n, b, weight, rows in _within(points, searches, shards).groupBy("node", "bin").agg(F.sum("weight"), F.count("*")).collect():
         bins.setdefault(n, []).append((b, weight, rows))
     for s in searches:
         own = sorted(bins[s.node.first])
         for b, weight, rows in own:
             if s.before + weight >= s.target or b == own[-1][0]:
                 lo = s.lo + b * s.width
-                s.lo, s.hi, s.few = lo, min(s.hi, lo + s.width - 1), rows <= FEW
+                s.lo, s.hi, s.few = lo, min(s.hi, lo + s.width - 1), rows <= s.bins
                 break
             s.before += weight
         if not s.few and s.lo == s.hi:
@@ -110,11 +122,11 @@ def _narrow(points: DataFrame, searches: list[Search], limits: list[tuple[int, i
                 s.lo, s.hi, s.fixed = *limits[len(s.fixed)], (*s.fixed, s.lo)
 
 
-def _decide(points: DataFrame, searches: list[Search], tolerance: float) -> None:
+def _decide(points: DataFrame, searches: list[Search], tolerance: float, shards: int) -> None:
     """Order the few rows that each search has left, and put its cut nearest to the target."""
     rows: dict[int, list] = {}
-    # Rows alike in all keys are one sum: at most nodes x FEW.
-    for n, *key, weight in _within(points, searches).groupBy("node", "k0", "content", "tie").agg(F.sum("weight")).collect():
+    # Rows alike in all keys are one sum: at most SUMS, or LEAST_BINS a node.
+    for n, *key, weight in _within(points, searches, shards).groupBy("node", "k0", "content", "tie").agg(F.sum("weight")).collect():
         rows.setdefault(n, []).append((tuple(key), weight))
     for s in searches:
         at, cuts, last = s.before, [], None
@@ -129,7 +141,7 @@ def _decide(points: DataFrame, searches: list[Search], tolerance: float) -> None
 
 def kd_shards(points: DataFrame, dims: int, shards: int) -> DataFrame:
     """``points`` with ``node``, the shard of each row. Columns: ``weight``, ``v`` (array of ``dims`` longs), ``content``, ``tie``; none null."""
-    points = points.withColumn("node", F.lit(0))
+    points = stage(points.withColumn("node", F.lit(0)))
     level, whole, total = [Node(0, shards)] if shards > 1 else [], None, 0
     names = [*[F.element_at("v", i + 1) for i in range(dims)], F.col("content"), F.col("tie")]
     while level:
@@ -147,32 +159,36 @@ def kd_shards(points: DataFrame, dims: int, shards: int) -> DataFrame:
         if not searches:
             break
         while todo := [s for s in searches if not s.few]:
-            _narrow(points, todo, whole[-2:])
-        _decide(points, searches, TOLERANCE * total / shards)
-        points = _routed(points, [s.node for s in searches])
+            _narrow(points, todo, whole[-2:], shards)
+        _decide(points, searches, TOLERANCE * total / shards, shards)
+        before, points = points, stage(_routed(points, [s.node for s in searches], shards))
+        discard(before)
         level = [k for s in searches for k in s.node.kids() if k.shards > 1]
     return points
 
 
-def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("lang",), overhead: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("lang", "source"), overhead: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``size`` (bytes of the text plus ``overhead``), ``text_crc32``, ``shard`` and ``slot`` of each row.
 
-    The tree's dimensions are the size, the text's crc32, and the columns in ``metadata``: numbers by value,
-    anything else by the crc32 of its text.
+    The tree's dimensions are the size and the columns in ``metadata``: numbers by value, anything else by the crc32 of its text.
     """
     kinds = dict(docs.dtypes)
     numbers = ("tinyint", "smallint", "int", "bigint")
-    coded = [F.coalesce(F.col(c).cast("long") if kinds[c] in numbers else F.crc32(F.col(c).cast("string").cast("binary")), F.lit(0)) for c in metadata]
+    near = lambda c: F.greatest(F.least(c, F.lit(FAR)), F.lit(-FAR))
+    coded = [F.coalesce(near(F.col(c).cast("long")) if kinds[c] in numbers else F.crc32(F.col(c).cast("string").cast("binary")), F.lit(0)) for c in metadata]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
     content = F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0))
-    tie = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 50) - 1))
-    points = stage(docs.select(F.col(key).alias("id"), size.alias("weight"), content.alias("content"), tie.alias("tie"), F.array(*coded, size, content).alias("v")))
-    bucket = F.pmod(F.xxhash64("tie"), F.lit(SLOT_BUCKETS))
-    placed = kd_shards(points, len(coded) + 2, shards).select("id", "weight", "content", F.col("node").alias("shard"), bucket.alias("bucket"))
+    rows = docs.select(F.col(key).alias("id"), size.alias("weight"), content.alias("content"), F.array(*coded, size).alias("v"), F.monotonically_increasing_id().alias("row"))
+    rows = stage(rows)  # written, so the numbers stay
+    # Ties go by a hash of the id; rows that are alike in it too by their number, so that many of them can be parted.
+    tie = F.shiftleft(F.xxhash64("id").bitwiseAND(F.lit((1 << 38) - 1)), 12) + F.pmod(F.xxhash64("row"), F.lit(1 << 12))
+    placed = kd_shards(rows.withColumn("tie", tie), len(coded) + 1, shards)
+    bucket = F.pmod(F.xxhash64("row"), F.lit(SLOT_BUCKETS))
+    placed = placed.select("id", "weight", "content", "row", F.col("node").alias("shard"), bucket.alias("bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bucket").count()
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row"))
     # shards x SLOT_BUCKETS rows at most
     ranked = placed.withColumn("rank", rank).join(F.broadcast(starts), ["shard", "bucket"])
     slot = F.col("start") + F.col("rank") - 1

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import sharding, urlfilter, vectors
@@ -26,22 +27,70 @@ def check_shards(rows, shards, texts, tolerance=None):
 def test_shards(spark):
     rng = np.random.default_rng(1)
     texts = [("é" * int(n)) for n in rng.integers(5, 400, 2500)] + ["same text of a hot group"] * 1200 + [None, ""]
-    rows = spark.createDataFrame([(k, t, ["en", None, "de"][k % 3], 7) for k, t in enumerate(texts)], "doc_id long, text string, lang string, shard int")
+    rows = spark.createDataFrame([(k, t, ["en", None, "de"][k % 3], "s", 7) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, shard int")
     got = sharding.shard_documents(rows, 13).collect()
     assert len(got) == len(texts)
     check_shards(got, 13, texts, 0.15)
     # Copies of one text stay together where the balance allows.
     pairs = [t for t in texts[:100] for _ in range(2)]
-    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(pairs)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(pairs)], "doc_id long, text string, lang string, source string")
     where = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(rows, 2).collect()}
     assert sum(where[2 * k] != where[2 * k + 1] for k in range(100)) <= 1
 
 
+def brute_tree(points, dims, shards):
+    """Shard of each of ``points`` (weight, values, content, tie): sorts every node whole."""
+    ends = [(min(p[1][d] for p in points), max(p[1][d] for p in points)) for d in range(dims)]
+    tolerance = sharding.TOLERANCE * sum(p[0] for p in points) / shards
+    out = {}
+
+    def grow(own, first, k):
+        if k == 1 or not own:
+            out.update((p, first) for p in own)
+            return
+        share = [(max(points[p][1][d] for p in own) - min(points[p][1][d] for p in own)) / max(1, ends[d][1] - ends[d][0]) for d in range(dims)]
+        d = share.index(max(share))
+        order = sorted(own, key=lambda p: (points[p][1][d], *points[p][2:]))
+        target, at, cuts = sum(points[p][0] for p in own) * (k // 2) / k, 0, []
+        for n, p in enumerate([*order, None]):
+            apart = n in (0, len(order)) or (points[p][1][d], points[p][2]) != (points[order[n - 1]][1][d], points[order[n - 1]][2])
+            cuts.append((abs(at - target), n, apart))
+            at += points[p][0] if p is not None else 0
+        whole = [c for c in cuts if c[2] and c[0] <= tolerance]
+        n = min(whole or cuts)[1]
+        grow(order[:n], first, k // 2)
+        grow(order[n:], first + k // 2, k - k // 2)
+
+    grow(list(range(len(points))), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize(("sums", "shards"), [(1 << 16, 7), (128, 16), (256, 2)])
+def test_shards_equal_brute_force_tree(spark, monkeypatch, sums, shards):
+    monkeypatch.setattr(sharding, "SUMS", sums)
+    monkeypatch.setattr(sharding, "LEAST_BINS", 4)
+    rng = np.random.default_rng(sums)
+    points = [(int(rng.integers(1, 60)), (int(rng.choice([3, 9, 500])), int(rng.integers(-(2**61), 2**61)), int(rng.integers(0, 40))), int(rng.choice([7, 8, rng.integers(0, 2**32)])), k * 1000 + 5) for k in range(900)]
+    frame = spark.createDataFrame([(k, w, list(v), c, t) for k, (w, v, c, t) in enumerate(points)], "id long, weight long, v array<long>, content long, tie long")
+    got = {r["id"]: r["node"] for r in sharding.kd_shards(frame, 3, shards).collect()}
+    assert got == brute_tree(points, 3, shards)
+
+
 def test_shards_of_few_and_equal_rows(spark):
-    rows = spark.createDataFrame([(5, "a", "x")] * 3, "doc_id long, text string, lang string")
-    assert len({r["shard"] for r in sharding.shard_documents(rows, 4).collect()}) == 1
+    rows = spark.createDataFrame([(5, "a", "x", "y")] * 3, "doc_id long, text string, lang string, source string")
+    assert len(sharding.shard_documents(rows, 4).collect()) == 3
     assert sharding.shard_documents(rows.limit(0), 4).count() == 0
     assert sharding.shard_documents(rows, 1).agg(F.max("slot")).first()[0] == 2
+    # A third of all rows alike in id and text, null ids, extreme numbers, and one text as large as a shard.
+    odd = [(5, "same text", 2**63 - 1, None)] * 600 + [(None, f"t{k}" * 20, -(2**63), "s") for k in range(600)] + [(k, "x" * 50, k, "s") for k in range(600)] + [(9, "y" * 20_000, None, "s")]
+    frame = spark.createDataFrame(odd, "doc_id long, text string, lang long, source string")
+    got = sharding.shard_documents(frame, 8).collect()
+    sizes, slots = np.zeros(8, int), {}
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(odd) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sizes.max() <= sizes.mean() + 20_016
 
 
 def judged(url):
