@@ -3,6 +3,8 @@
 A stage that is read more than once, or a loop that would otherwise grow its plan,
 is written as Parquet under ``spark.checkpoint.dir`` and read back. The files
 survive the loss of executors, which cached or locally checkpointed blocks don't.
+
+What a block under :func:`owned` stages is dropped at its end; the rest when the process ends.
 """
 
 from __future__ import annotations
@@ -11,17 +13,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_staged: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests, local runs)."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a temporary folder if all of Spark runs on this machine, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -32,29 +39,65 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _staged[path] = (spark, None)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Like :func:`stage`, but bucketed and sorted by ``key``: joins on it read the table as it lies, and only the other side is shuffled."""
+def stage_bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Like :func:`stage`, but bucketed and sorted by ``keys``: joins on them read the table as it lies, and only the other side is shuffled."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"stage_{uuid.uuid4().hex}"
-    rows = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-    rows.option("path", f"{shared_dir(spark)}/{name.replace('_', '-')}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name.replace('_', '-')}"
+    _staged[path] = (spark, name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+def _drop(path: str) -> None:
+    spark, name = _staged.pop(path)
+    if name:
+        spark.sql(f"drop table if exists {name}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables made by :func:`stage` that nothing reads any more."""
+    """Delete the files and catalogue entries of staged tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        jvm = spark._jvm
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if "/stage-" in path:
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        for folder in {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in table.inputFiles()}:
+            for path in [p for p in _staged if p.endswith(f"/{folder}")]:
+                _drop(path)
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """Drops at its end what was staged inside; results must have been written or collected by then."""
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        for path in [p for p in _staged if p not in before]:
+            _drop(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, staged; what it staged on the way is dropped."""
+    with owned():
+        out = stage(make())
+        kept = {p: _staged.pop(p) for p in [next(reversed(_staged))]}
+    _staged.update(kept)
+    return out
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_staged):
+        if _staged[path][0].sparkContext._jsc is None:  # the session has ended; its own folder, if it had one, goes as a whole
+            _staged.pop(path)
+        else:
+            _drop(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
