@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, neardup, pieces, quality, toxicity
-from skein.stage import read, stage
+from skein.stage import read, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = read(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        docs = settled(lambda step=step, docs=docs: step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
