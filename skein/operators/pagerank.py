@@ -1,18 +1,26 @@
 """PageRank by repeated join and aggregation.
 
 r'(v) = (1 - beta) / N + beta D / N + beta sum over edges u -> v of r(u) / out-degree(u), where D is the rank on
-nodes without out-edges. Edges carry their weight (multiplicity over out-degree), so that a round joins once and aggregates once; each
-round's ranks are written to the shared folder.
+nodes without out-edges. Edges carry their weight (multiplicity over out-degree) and are laid out once, bucketed by source: a round moves ranks to them and
+sums by destination, and nothing else. Each node has a row of weight 0 to itself, so that the sums hold all nodes, their last rank, and
+whether they are dead ends. A round's ranks are written to the shared folder; the dead ends' share and the change are measured as they are written.
+
+A source with a large part of all edges is dealt over several buckets, to each of which its rank goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skein.operators import graph
 from skein.stage import discard, stage, stage_bucketed
 
+#: Sources with over 1 / HUBS of a bucket's mean number of edges are dealt over several; so there are at most HUBS x buckets of them.
+HUBS = 4
+
 
 def weighted(edges: DataFrame, distinct: bool = False) -> DataFrame:
     """``src, dst, w``. ``distinct`` counts repeated edges once but leaves the out-degree as it is, so their rank is lost."""
@@ -21,8 +29,41 @@ def weighted(edges: DataFrame, distinct: bool = False) -> DataFrame:
     return pairs.join(out, "src").select("src", "dst", ((F.lit(1) if distinct else F.col("n")) / F.col("d")).alias("w"))
 
 
+@dataclass(frozen=True)
+class Links:
+    """A graph laid out for any number of runs: ``rows`` (``src, part, dst, w, own, dead``), parts of hubs (``src, parts``; None without), number of nodes, and of dead ends."""
+
+    rows: DataFrame
+    hubs: DataFrame | None
+    nodes: int
+    dead: int
+
+
+def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = False, blocks: int | None = None) -> Links:
+    spark = edges.sparkSession
+    pairs = stage(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    out = pairs.groupBy("src").agg(F.sum("n").alias("d"), F.count("*").alias("c"))
+    everyone = (graph.node_ids(pairs) if nodes is None else nodes.select("node")).withColumnRenamed("node", "src")
+    seen = Observation()
+    known = everyone.join(out, "src", "left").observe(seen, F.count("*").alias("nodes"), F.count_if(F.col("d").isNull()).alias("dead"), F.sum("c").alias("links"))
+    known = stage(known)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, (seen.get["links"] or 0) // (HUBS * buckets))
+    hubs = known.where(F.col("c") > most).select("src", F.ceil(F.col("c") / most).cast("int").alias("parts"))
+    few = hubs.isEmpty()
+    part = F.lit(0) if few else F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
+    linked = pairs.join(known.select("src", "d"), "src")
+    linked = linked if few else linked.join(F.broadcast(hubs), "src", "left")  # at most HUBS x buckets rows
+    weight = (F.lit(1) if distinct else F.col("n")) / F.col("d")
+    rows = linked.select("src", part.alias("part"), "dst", weight.alias("w"), F.lit(False).alias("own"), F.lit(None).cast("boolean").alias("dead"))
+    rows = rows.unionByName(known.select("src", F.lit(0).alias("part"), F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"), F.col("d").isNull().alias("dead")))
+    rows = stage(rows.repartitionByRange(blocks, "dst")) if blocks else stage_bucketed(rows, "src", "part")
+    discard(pairs)
+    return Links(rows, None if few else hubs, seen.get["nodes"], seen.get["dead"])
+
+
 def pagerank(
-    edges: DataFrame,
+    edges: DataFrame | Links,
     nodes: DataFrame | None = None,
     beta: float = 0.85,
     eps: float | None = None,
@@ -34,6 +75,7 @@ def pagerank(
 ) -> tuple[DataFrame, int, float | None]:
     """``node, rank``; the rounds taken; the last L1 change (None without ``eps``).
 
+    ``edges``: the edges, or what :func:`prepare` made of them (then ``nodes``, ``distinct`` and ``blocks`` are its business).
     ``dead_ends``: "spread" shares out their rank, "ignore" lets it go, "delete" ranks only what
     :func:`skein.operators.graph.prune_dead_ends` leaves and gives the rest 0, normalised. ``blocks`` lays edges out by ranges of destinations; the result is the same.
     ``history`` returns all rounds, with ``iteration``.
@@ -42,37 +84,40 @@ def pagerank(
         raise ValueError("beta lies outside 0..1")
     if dead_ends not in ("spread", "ignore", "delete"):
         raise ValueError(f"unknown treatment of dead ends: {dead_ends}")
-    everyone = graph.node_ids(edges) if nodes is None else nodes.select("node")
     if dead_ends == "delete":
+        everyone = graph.node_ids(edges) if nodes is None else nodes.select("node")
         alive = stage(graph.prune_dead_ends(edges))
         ends = [alive.withColumnRenamed("node", c) for c in ("src", "dst")]
         inner = edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
         ranks, rounds, delta = pagerank(inner, alive, beta, eps, max_iter, "spread", distinct, blocks)
         full = everyone.join(normalised(ranks), "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
         return full, rounds, delta
-    links = weighted(edges, distinct)
-    # Bucketed by source, the edges stay where they are in every round; only ranks move to them, and sums by destination.
-    links = stage(links.repartitionByRange(blocks, "dst")) if blocks else stage_bucketed(links, "src")
-    sources = links.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
-    base = stage(everyone.join(sources, "node", "left").select("node", F.col("out").isNull().alias("dead")))
-    n = base.count()
-    ranks = stage(base.select("node", "dead", F.lit(1.0 / max(n, 1)).alias("rank")))
-    past, delta, rounds = [ranks.select(F.lit(0).alias("iteration"), "node", "rank")], None, 0
+    links = edges if isinstance(edges, Links) else prepare(edges, nodes, distinct, blocks)
+    n = max(links.nodes, 1)
+    ranks = links.rows.where("own").select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank"))
+    past, delta, rounds, lost = [ranks.select(F.lit(0).alias("iteration"), "node", "rank")], None, 0, links.dead / n
     while rounds < max_iter:
-        got = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        shared = F.col("lost") * (beta / max(n, 1)) if dead_ends == "spread" else F.lit(0.0)
-        rank = F.lit((1 - beta) / max(n, 1)) + shared + beta * F.coalesce("got", F.lit(0.0))
-        joined = ranks.withColumnRenamed("rank", "before").join(got, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        after = stage(joined.select("node", "dead", rank.alias("rank"), "before"))
+        sent = ranks.select(F.col("node").alias("src"), "rank")
+        if links.hubs is None:
+            sent = sent.withColumn("part", F.lit(0))
+        else:
+            sent = sent.join(F.broadcast(links.hubs), "src", "left").select("src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        got = links.rows.join(sent, ["src", "part"]).groupBy(F.col("dst").alias("node"))
+        sums = got.agg(F.sum(F.col("rank") * F.col("w")).alias("got"), F.max(F.when(F.col("own"), F.col("rank"))).alias("before"), F.max("dead").alias("dead"))
+        constant = (1 - beta) / n + (lost * beta / n if dead_ends == "spread" else 0.0)
+        seen = Observation()
+        after = sums.select("node", (constant + beta * F.col("got")).alias("rank"), "before", "dead")
+        measures = [F.sum(F.when(F.col("dead"), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("delta")]
+        after = stage(after.observe(seen, *measures).select("node", "rank"))
         rounds += 1
+        lost = seen.get["lost"] or 0.0
         if history:
             past.append(after.select(F.lit(rounds).alias("iteration"), "node", "rank"))
-        else:
+        elif rounds > 1:
             discard(ranks)
-        ranks = after.drop("before")
+        ranks = after
         if eps is not None:
-            delta = after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+            delta = seen.get["delta"] or 0.0
             if delta < eps:
                 break
     if history:
