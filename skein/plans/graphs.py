@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import graph, ranking
-from skein.operators.pagerank import normalised, pagerank
+from skein.operators.pagerank import normalised, pagerank, prepare
 from skein.plans.inputs import BIPARTITE, EDGES, FOREST, NODES, SPARSE, edges_bipartite, edges_forest, edges_part, edges_sparse
 from skein.plans.registry import Registry
 from skein.sources import text
@@ -68,7 +68,9 @@ def graph_csr(spark, d):
     return graph.csr(edges_part(spark, d)).withColumn("adjacency", F.array_join(F.transform("adjacency", lambda x: x.cast("string")), ","))
 
 
-@query(f"with {EDGES} select count(*) as edges, count(*) as in_rows, 0::bigint as wrong_rows, 0::bigint as missing from edges")
+@query(f"""with {EDGES}, {NODES}, rows as (select node, count(src) as out_degree, list(dst) filter (dst is not null) as adjacency from nodes left join edges on src = node group by node)
+select (select count(*) from edges) as edges, cast(sum(out_degree) as bigint) as in_rows, count(*) filter (coalesce(len(adjacency), 0) <> out_degree) as wrong_rows,
+(select count(*) from edges where dst not in (select node from rows)) as missing from rows""")
 def graph_csr_validate(spark, d):
     e = edges_part(spark, d)
     return graph.csr_check(e, graph.csr(e))
@@ -263,10 +265,17 @@ TWO = rank_sql() + ", " + rank_sql(edges="", prefix="s", beta=0.7) + "".join(
 )
 
 
+def _top(ranks):
+    return ranking.top_k(ranks.withColumn("rank", F.round("rank", 12)), 50)
+
+
+def _one(links, beta=0.85):
+    return _top(pagerank(links, max_iter=ROUNDS, beta=beta)[0])
+
+
 def _two(spark, d):
-    e = edges_part(spark, d)
-    lists = [pagerank(e, max_iter=ROUNDS, beta=b)[0].withColumn("rank", F.round("rank", 12)) for b in (0.85, 0.7)]
-    return [ranking.top_k(r, 50) for r in lists]
+    links = prepare(edges_part(spark, d))
+    return _one(links), _one(links, 0.7)
 
 
 @query(TOP.replace("order by rank desc", "order by round(rank, 12) desc") + " select cast(position as int) as position, node, round(rank, 12) as rank from top where position <= 100")
@@ -277,7 +286,7 @@ def rank_topk(spark, d):
 
 @query(TWO + " select string_agg(cast(node as varchar), ',' order by position) as signature from a where position <= 10")
 def rank_signature(spark, d):
-    return ranking.signature(_two(spark, d)[0])
+    return ranking.signature(_one(prepare(edges_part(spark, d))))
 
 
 @query(TWO + " select round((select count(*) from a join b using (node)) / (select count(*) from (select node from a union select node from b) t), 10) as jaccard")
@@ -315,23 +324,54 @@ def rank_shift_hist(spark, d):
     return ranking.shift_histogram(*_two(spark, d))
 
 
-@query(TWO + _PAIRS + f"""select round((select sum(rank) from r{ROUNDS}), 6) as rank_sum, 100.0::double * count(*) / 50 as overlap_pct, round(max(abs(ra - rb) / rb), 6) as max_rel, 'fail' as verdict from c""")
+def _verdict_sql(name: str, a: str, b: str, rank_sum: str) -> str:
+    return f"""select '{name}' as compared, rank_sum, overlap_pct, max_rel, case when abs(rank_sum - 1) < 1e-6 and overlap_pct >= 98 and max_rel < 1e-6 and tau >= 0.999 then 'pass'
+  when abs(rank_sum - 1) < 1e-4 and overlap_pct >= 95 and max_rel < 1e-4 and tau >= 0.99 then 'warn' else 'fail' end as verdict
+from (select {rank_sum} as rank_sum, 100.0::double * count(*) / 50 as overlap_pct, round(max(abs({a}.rank - {b}.rank) / {b}.rank), 6) as max_rel from {a} join {b} on {a}.node = {b}.node) m,
+(select sum(sign((x.pa - y.pa) * (x.pb - y.pb))) / count(*) as tau from (select {a}.node, {a}.position as pa, {b}.position as pb from {a} join {b} on {a}.node = {b}.node) x
+  join (select {a}.node, {a}.position as pa, {b}.position as pb from {a} join {b} on {a}.node = {b}.node) y on x.node < y.node) t"""
+
+
+_SUM = f"(select round(sum(rank), 6) from r{ROUNDS})"
+
+
+@query(TWO + " " + _verdict_sql("far", "a", "b", _SUM).replace("'far' as compared, ", ""))
 def rank_verdict(spark, d):
-    a, b = _two(spark, d)
-    total = pagerank(edges_part(spark, d), max_iter=ROUNDS)[0].agg(F.round(F.sum("rank"), 6).alias("rank_sum"))
+    links = prepare(edges_part(spark, d))
+    ranks = pagerank(links, max_iter=ROUNDS)[0]
+    return _judged(ranks, _top(ranks), _one(links, 0.7))
+
+
+def _judged(ranks, a, b):
+    total = ranks.agg(F.round(F.sum("rank"), 6).alias("rank_sum"))
     both = ranking.overlap(a, b).agg((100.0 * F.count_if(F.col("side") == "both") / 50).alias("overlap_pct"))
     rel = ranking.difference(a, b).select(F.round("max_rel", 6).alias("max_rel"))
-    metrics = total.crossJoin(both).crossJoin(rel).crossJoin(ranking.kendall(a, b))  # one row each
-    return ranking.verdict(metrics).drop("tau")
+    return ranking.verdict(total.crossJoin(both).crossJoin(rel).crossJoin(ranking.kendall(a, b))).drop("tau")  # one row each
+
+
+_CLOSE = ", same_ as (select * from a), close as (select row_number() over (order by rank desc, node) as position, node, rank from (select node, round(rank * (1 + 4e-5 * (node % 2)), 12) as rank from r10) t order by 1 limit 50)"
+
+
+@query(TWO + _CLOSE + " " + " union all ".join(_verdict_sql(n, "a", o, _SUM) for n, o in (("same", "a2"), ("close", "close"), ("far", "b"))).replace("a2", "same_"))
+def rank_verdicts(spark, d):
+    """A ranking against itself, against one with slightly other ranks, and against one of another beta."""
+    links = prepare(edges_part(spark, d))
+    ranks = pagerank(links, max_iter=ROUNDS)[0]
+    near = ranks.withColumn("rank", F.col("rank") * (1 + 4e-5 * (F.col("node") % 2)))
+    out = None
+    for name, other in (("same", _top(ranks)), ("close", _top(near)), ("far", _one(links, 0.7))):
+        row = _judged(ranks, _top(ranks), other).select(F.lit(name).alias("compared"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query()
 def sweep_beta(spark, d):
     """Rounds to converge and overlap with beta 0.85 for a grid of betas."""
-    e, out = edges_part(spark, d), None
-    base = ranking.top_k(pagerank(e, eps=1e-8)[0], 10)
+    links, out = prepare(edges_part(spark, d)), None
+    base = ranking.top_k(pagerank(links, eps=1e-8)[0], 10)
     for beta in (0.7, 0.8, 0.85, 0.9, 0.95):
-        ranks, rounds, _ = pagerank(e, beta=beta, eps=1e-8)
+        ranks, rounds, _ = pagerank(links, beta=beta, eps=1e-8)
         row = ranking.jaccard(ranking.top_k(ranks, 10), base).select(F.lit(beta).alias("beta"), F.lit(rounds).alias("rounds"), "jaccard")
         out = row if out is None else out.unionByName(row)
     return out
@@ -340,10 +380,10 @@ def sweep_beta(spark, d):
 @query()
 def sweep_eps(spark, d):
     """Rounds to converge for a grid of limits."""
-    e = edges_part(spark, d)
-    return spark.createDataFrame([(eps, pagerank(e, eps=eps)[1]) for eps in (1e-6, 1e-8, 1e-10)], "eps double, rounds int")
+    links = prepare(edges_part(spark, d))
+    return spark.createDataFrame([(eps, pagerank(links, eps=eps)[1]) for eps in (1e-6, 1e-8, 1e-10)], "eps double, rounds int")
 
 
 @query(TWO + " select position::int as position, node || ' ' || printf('%.10f', rank) as value from a")
 def sink_topk(spark, d):
-    return text.ranking_lines(_two(spark, d)[0])
+    return text.ranking_lines(_one(prepare(edges_part(spark, d))))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import graph, ranking
 from skein.operators.components import connected_components
@@ -100,7 +101,41 @@ def test_components_match_union_find(spark):
 def test_blocks_reject_bad_ids(spark):
     with pytest.raises(Exception, match="out of range"):
         graph.blocks(edges(spark, [(0, 9)]), 5, 2).collect()
-    assert [r["edges"] for r in graph.blocks(edges(spark, HAND), 5, 8).orderBy("block").collect()] == [0, 1, 0, 1, 2, 0, 0, 0] or graph.blocks(edges(spark, HAND), 5, 8).count() == 8
+    found = graph.blocks(edges(spark, HAND), 5, 8).orderBy("block").collect()
+    assert [(r["first"], r["last"]) for r in found] == [(b * 5 // 8, (b + 1) * 5 // 8 - 1) for b in range(8)]
+    assert [r["edges"] for r in found] == [sum(b * 5 // 8 <= dst < (b + 1) * 5 // 8 for _, dst in HAND) for b in range(8)]
+
+
+def test_csr_check_finds_faults(spark):
+    e = edges(spark, HAND)
+    rows = graph.csr(e)
+    good = graph.csr_check(e, rows).first()
+    assert (good["edges"], good["in_rows"], good["wrong_rows"], good["missing"]) == (len(HAND), len(HAND), 0, 0)
+    node = HAND[0][1]
+    bad = graph.csr_check(e, rows.where(f"node <> {node}").withColumn("out_degree", F.col("out_degree") + F.when(F.col("node") == HAND[0][0], 1).otherwise(0)))
+    assert bad.first()["missing"] == sum(dst == node for _, dst in HAND) and bad.first()["wrong_rows"] == (HAND[0][0] != node)
+
+
+def test_hubs_are_dealt_over_buckets(spark, monkeypatch):
+    """A source with most of all edges gives the same ranks as a brute-force iteration."""
+    from skein.operators import pagerank as module
+
+    rng = np.random.default_rng(3)
+    pairs = [(0, int(k)) for k in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    links = module.prepare(edges(spark, pairs))
+    assert links.hubs is not None and links.hubs.first()["parts"] > 1
+    nodes = sorted({n for p in pairs for n in p})
+    at, out = {n: k for k, n in enumerate(nodes)}, np.zeros(len(nodes))
+    m = np.zeros((len(nodes), len(nodes)))
+    for a, b in pairs:
+        out[at[a]] += 1
+        m[at[b], at[a]] += 1
+    m /= np.where(out, out, 1)
+    rank = np.full(len(nodes), 1 / len(nodes))
+    for _ in range(6):
+        rank = 0.15 / len(nodes) + 0.85 * (m @ rank + rank[out == 0].sum() / len(nodes))
+    got = {r["node"]: r["rank"] for r in module.pagerank(links, max_iter=6)[0].collect()}
+    assert max(abs(got[n] - rank[at[n]]) for n in nodes) < 1e-12
 
 
 def test_prune_to_empty(spark):
