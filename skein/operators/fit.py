@@ -7,7 +7,6 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.operators.graph import ranked
 from skein.stage import stage
@@ -23,7 +22,14 @@ def gram(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def ridge(rows: DataFrame, columns: list[str], target: str, rho: float) -> dict[str, float]:
     """Coefficients of (X'X + rho I) c = X'y; the sums come from Spark, the small system is solved here."""
-    found = {(r["a"], r["b"]): r["value"] for r in gram(rows, columns, target).collect()}  # (k + 1)(k + 2) / 2 numbers
+    return solve_ridge(gram_sums(rows, columns, target), columns, target, rho)
+
+
+def gram_sums(rows: DataFrame, columns: list[str], target: str) -> dict[tuple[str, str], float]:
+    return {(r["a"], r["b"]): r["value"] for r in gram(rows, columns, target).collect()}  # (k + 1)(k + 2) / 2 numbers
+
+
+def solve_ridge(found: dict[tuple[str, str], float], columns: list[str], target: str, rho: float) -> dict[str, float]:
     at = lambda x, y: found.get((x, y), found.get((y, x)))
     x = np.array([[at(a, b) for b in columns] for a in columns]) + rho * np.eye(len(columns))
     return dict(zip(columns, np.linalg.solve(x, np.array([at(a, target) for a in columns])), strict=True))
@@ -72,6 +78,16 @@ def hash_bin(key: Column, a: int, b: int, modulus: int, bins: int) -> Column:
     return F.pmod(F.pmod(key * a + b, F.lit(modulus)), F.lit(bins))
 
 
+def pair_hash_bin(u: Column, i: Column, a: int, b: int, modulus: int, bins: int) -> Column:
+    """(u a + i b) mod modulus mod bins: one bin for a pair of ids."""
+    return F.pmod(F.pmod(u * a + i * b, F.lit(modulus)), F.lit(bins))
+
+
+def multi_hash_bins(key: Column, multipliers: list[int], modulus: int, bins: int) -> list[Column]:
+    """A bin from each multiplier, so that ids which share one bin hardly share all."""
+    return [hash_bin(key, a, k, modulus, bins) for k, a in enumerate(multipliers)]
+
+
 def table(rows: DataFrame, bin_column: str, residual: str, shrink: float) -> DataFrame:
     """``bin, value``: shrunken means of the residual."""
     return rows.groupBy(F.col(bin_column).alias("bin")).agg((F.sum(residual) / (F.count("*") + shrink)).alias("value"))
@@ -91,29 +107,73 @@ def backfit(rows: DataFrame, bins: list[str], target: str, shrink: float, rounds
     return tables
 
 
-def greedy_tables(rows: DataFrame, candidates: list[str], target: str, shrink: float, budget: int, least_gain: float) -> list[str]:
-    """Bin columns taken one by one, each the one whose table lowers the squared error most, within a budget of bins.
-
-    A round measures all candidates in one aggregation of the rows, exploded by candidate.
+def backfit_until(rows: DataFrame, bins: list[str], target: str, shrink: float, patience: int, least: float = 0.0, most: int = 200) -> tuple[list[DataFrame], list[float]]:
+    """Like :func:`backfit`, round by round until ``patience`` rounds in turn lower the error by less than ``least``; the best round's tables, and all rounds' errors."""
+    rows = stage(rows.select(*bins, F.col(target).alias("_e")))
+    tables: list[DataFrame | None] = [None] * len(bins)
+    best, kept, errors, idle = float("inf"), [], [], 0
+    while idle < patience and len(errors) < most:
+        for k, own in enumerate(bins):
+            left = _without(rows, bins, [t if j != k else None for j, t in enumerate(tables)])
+            tables[k] = stage(table(left, own, "_left", shrink))
+        error = _without(rows, bins, tables).agg(F.sqrt(F.avg(F.col("_left") * F.col("_left")))).first()[0]
+        errors.append(error)
+        idle = 0 if error < best - least else idle + 1
+        if error < best - least:
+            best, kept = error, list(tables)
+    return kept, errors
+
+
+def _without(rows: DataFrame, bins: list[str], tables: list[DataFrame | None]) -> DataFrame:
+    """``rows`` with ``_left``: what the tables leave of ``_e``."""
+    left = F.col("_e")
+    for j, (name, t) in enumerate(zip(bins, tables, strict=True)):
+        if t is not None:
+            rows = rows.join(t.select(F.col("bin").alias(name), F.col("value").alias(f"_{j}")), name, "left")
+            left = left - F.coalesce(F.col(f"_{j}"), F.lit(0.0))
+    return rows.withColumn("_left", left)
+
+
+def greedy_tables(
+    rows: DataFrame, candidates: list[str | tuple[str, str]], target: str, shrink: float | list[float], budget: int, least_gain: float, idle_rounds: int = 1, repeat: bool = False
+) -> list[str] | list[tuple[tuple[str, ...], float]]:
+    """Tables taken one by one, each the one that lowers the squared error most, within a budget of bins; stops after ``idle_rounds`` rounds that gain too little.
+
+    A candidate is a bin column, or a pair of them: then its bins are the pairs that occur. With a list of shrinkages each candidate is tried with all, and (columns, shrinkage)
+    is returned; ``repeat`` lets a candidate be taken again. A round measures all candidates in one aggregation of the rows, exploded by candidate.
     """
-    chosen: list[str] = []
-    rows = rows.select(*candidates, F.col(target).alias("_e"))
-    while True:
-        rest = [c for c in candidates if c not in chosen]
+    shrinks = shrink if isinstance(shrink, list) else [shrink]
+    columns = {c if isinstance(c, str) else " x ".join(c): (c,) if isinstance(c, str) else tuple(c) for c in candidates}
+    bins = sorted({n for c in columns.values() for n in c})
+    rows = rows.select(*bins, F.col(target).cast("double").alias("_e"))
+    chosen: list[tuple[str, float]] = []
+    idle = 0
+    while idle < idle_rounds:
+        rest = [c for c in columns if repeat or c not in [n for n, _ in chosen]]
         if not rest:
-            return chosen
-        long = rows.select("_e", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("long").alias("bin")) for c in rest])).alias("x")).select("_e", "x.*")
+            break
+        of = lambda c: F.array_join(F.array(*[F.col(n).cast("string") for n in columns[c]]), " ")
+        long = rows.select("_e", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), of(c).alias("bin")) for c in rest])).alias("x")).select("_e", "x.*")
         sums = long.groupBy("c", "bin").agg(F.sum("_e").alias("s"), F.count("*").alias("n"))
-        value = F.col("s") / (F.col("n") + shrink)
-        gains = sums.groupBy("c").agg(F.sum(2 * value * F.col("s") - value * value * F.col("n")).alias("gain"), F.count("*").alias("bins"))
-        fitting = [r for r in gains.collect() if r["bins"] <= budget and r["gain"] >= least_gain]  # a row a candidate
+        gains = []
+        for k, lam in enumerate(shrinks):
+            value = F.col("s") / (F.col("n") + lam)
+            gains.append(F.sum(2 * value * F.col("s") - value * value * F.col("n")).alias(f"g{k}"))
+        found = sums.groupBy("c").agg(F.count("*").alias("bins"), *gains).collect()  # a row a candidate
+        fitting = [(r[f"g{k}"], r["c"], lam, r["bins"]) for r in found for k, lam in enumerate(shrinks) if r["bins"] <= budget]
         if not fitting:
-            return chosen
-        best = max(fitting, key=lambda r: (r["gain"], r["c"]))
-        chosen.append(best["c"])
-        budget -= best["bins"]
-        t = stage(table(rows, best["c"], "_e", shrink)).withColumnRenamed("bin", best["c"])
-        rows = stage(rows.join(t, best["c"], "left").withColumn("_e", F.col("_e") - F.coalesce("value", F.lit(0.0))).drop("value"))
+            break
+        gain, name, lam, used = max(fitting)
+        if gain < least_gain:
+            idle += 1  # the next round would find the same
+            continue
+        idle = 0
+        chosen.append((name, lam))
+        budget -= used
+        own = of(name)
+        t = stage(rows.groupBy(own.alias("_bin")).agg((F.sum("_e") / (F.count("*") + lam)).alias("_value")))
+        rows = stage(rows.withColumn("_bin", own).join(t, "_bin").withColumn("_e", F.col("_e") - F.col("_value")).drop("_value", "_bin"))
+    return [(columns[n], lam) for n, lam in chosen] if isinstance(shrink, list) else [n for n, _ in chosen]
 
 
 def segments(points: list[tuple[float, float, float]], count: int) -> tuple[list[float], list[float]]:
@@ -165,9 +225,19 @@ def mixed_segments(rows: DataFrame, residual: str, users: int, items: int, round
     return found["u"], found["i"]
 
 
-def screen(rows: DataFrame, vectors: dict[str, str], residual: str, keep: int) -> DataFrame:
-    """``kind, dim, strength``: the vector components (and squares) most correlated with the residual: abs(cov) / sd."""
+def screen(rows: DataFrame, vectors: dict[str, str], residual: str, keep: int, products: dict[str, tuple[str, str]] | None = None, scaled: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``kind, dim, strength``: the vector components (and squares) most correlated with the residual: abs(cov) / sd.
+
+    ``products`` of two vectors add their components' products, and these without sign (``abs_`` before the kind); ``scaled``: a vector times a number.
+    """
     parts = None
+    made = {k: F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")) for k, (a, b) in (products or {}).items()}
+    made |= {f"abs_{k}": F.transform(v, lambda x: F.abs(x)) for k, v in list(made.items())}
+    times = lambda vector, number: F.transform(vector, lambda x: x.cast("double") * F.col(number))
+    made |= {k: times(*both) for k, both in (scaled or {}).items()}
+    for kind, column in made.items():
+        one = rows.select(F.col(residual).alias("e"), F.posexplode(column).alias("dim", "x")).select(F.lit(kind).alias("kind"), "dim", "e", "x")
+        parts = one if parts is None else parts.unionByName(one)
     for kind, column in vectors.items():
         long = rows.select(F.col(residual).alias("e"), F.posexplode(column).alias("dim", "x"))
         for name, x in ((kind, F.col("x").cast("double")), (f"{kind}2", F.col("x").cast("double") ** 2)):
@@ -191,6 +261,11 @@ def chebyshev_basis(x: Column, low: float, high: float, degree: int) -> dict[str
     return {f"t{k}": F.cos(k * F.acos(t)) for k in range(degree + 1)}
 
 
+def product_basis(first: dict[str, Column], second: dict[str, Column]) -> dict[str, Column]:
+    """Two axes' bases and all products of one with the other."""
+    return {f"a_{k}": c for k, c in first.items()} | {f"b_{k}": c for k, c in second.items()} | {f"{k}_{m}": c * d for k, c in first.items() for m, d in second.items()}
+
+
 def frequency_points(rows: DataFrame, key: str, residual: str, size: int, most: int = 65_536) -> list[tuple[float, float]]:
     """What :func:`top_frequencies` takes: for each of ``size`` ids the mean residual, times the root of the id's rows over their mean; 0 for ids without rows.
 
@@ -219,7 +294,3 @@ def boosted(rows: DataFrame, columns: list[str], target: str, rounds: int = 20,
 
     trees = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), trees]).fit(rows)
-
-
-def running_rank(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.stage import stage
+from skein.operators.graph import ranked
+from skein.stage import discard, stage
 
 
 def limits(ratings: DataFrame) -> tuple[float, float, float]:
@@ -97,58 +100,94 @@ def user_knn(requests: DataFrame, ratings: DataFrame, k: int = 40, shrink: float
     return base.join(change, ["u", "i"], "left").select("u", "i", clip(F.col("score") + F.coalesce("change", F.lit(0.0)), low, high).alias("score"))
 
 
-def als_scores(requests: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 5, reg: float = 0.1, weight: float = 1.0, seed: int = 1) -> DataFrame:
+def als_scores(requests: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 5, reg: float = 0.1, weight: float = 1.0, seed: int = 1, bias: tuple | None = None) -> DataFrame:
     """``u, i, score``: alternating least squares on the bias model's residuals; pairs that it doesn't know keep the bias score.
 
-    This is the model that scales. It isn't the sequential gradient descent of :func:`sgd_factors`, whose result depends on the order of rows.
+    This is the model that scales. Its solver takes ids of 32 bits, so ids are numbered first.
     """
     from pyspark.ml.recommendation import ALS
 
-    bu, bi, ends = bias_tables(ratings)
-    base = score_bias(ratings, bu, bi, ends).select(F.col("u").cast("int"), F.col("i").cast("int"), (F.col("rating") - F.col("score")).alias("e"))
-    model = ALS(rank=rank, maxIter=rounds, regParam=reg, userCol="u", itemCol="i", ratingCol="e", coldStartStrategy="nan", seed=seed).fit(base)
-    scored = model.transform(score_bias(requests.select(F.col("u").cast("int"), F.col("i").cast("int")), bu, bi, ends))
+    bu, bi, ends = bias or bias_tables(ratings)
+    numbers = {k: stage(ranked(ratings.select(k).distinct(), k, f"_{k}")).select(k, F.col(f"_{k}").cast("int").alias(f"_{k}")) for k in "ui"}
+    base = score_bias(ratings, bu, bi, ends).select("u", "i", (F.col("rating") - F.col("score")).alias("e"))
+    base = base.join(numbers["u"], "u").join(numbers["i"], "i")
+    model = ALS(rank=rank, maxIter=rounds, regParam=reg, userCol="_u", itemCol="_i", ratingCol="e", coldStartStrategy="nan", seed=seed).fit(base)
+    scored = score_bias(requests.select("u", "i"), bu, bi, ends).join(numbers["u"], "u", "left").join(numbers["i"], "i", "left")
+    scored = model.transform(scored.fillna(-1, ["_u", "_i"]))  # a number that no row has
     _, low, high = ends
-    return scored.select(F.col("u").cast("long").alias("u"), F.col("i").cast("long").alias("i"), clip(F.col("score") + weight * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0)), low, high).alias("score"))
+    return scored.select("u", "i", clip(F.col("score") + weight * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0)), low, high).alias("score"))
+
+
+#: Ratings in a block of :func:`sgd_factors`, about.
+BLOCK_RATINGS = 200_000
 
 
-def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 2, rate: float = 0.01, reg: float = 0.02, shards: int = 1, seed: int = 1) -> DataFrame:
-    """``shard, side, id, bias, factors`` of matrix factorisation by sequential gradient descent within shards of users.
+def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 10, rate: float = 0.02, reg: float = 0.02, blocks: int | None = None, seed: int = 1, target: str = "rating", mean: float | None = None) -> DataFrame:
+    """``side, id, bias, factors`` of matrix factorisation by stochastic gradient descent, in strata.
 
-    With one shard this is the sequential method, for small data. With more, each shard's users see its own items' factors,
-    which :func:`score_factors` averages: data-parallel descent, bounded by a shard's rows.
+    Users and items are dealt into ``blocks`` each (so that a pair of blocks has some ``BLOCK_RATINGS`` ratings). An epoch goes through the strata: in one, each
+    block of users meets another block of items, so tasks share no factor and the steps are those of one sequential descent in some order. A user with very many
+    ratings is met in a part of them at a time. Factors are the same table for all, so their axes agree.
     """
-    mean = limits(ratings)[0]
-    shard = F.pmod(F.xxhash64("u"), F.lit(shards))
-    schema = "shard long, side string, id long, bias double, factors array<double>"
-
-    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values(["u", "i"])
-        users, u = np.unique(data["u"], return_inverse=True)
-        items, i = np.unique(data["i"], return_inverse=True)
-        rng = np.random.default_rng(seed)
-        p, q = rng.normal(0, 0.1, (len(users), rank)), rng.normal(0, 0.1, (len(items), rank))
-        bu, bi, r = np.zeros(len(users)), np.zeros(len(items)), data["rating"].to_numpy()
-        for _ in range(epochs):
-            for n in rng.permutation(len(r)):
-                a, b = u[n], i[n]
-                e = r[n] - mean - bu[a] - bi[b] - p[a] @ q[b]
-                bu[a] += rate * (e - reg * bu[a])
-                bi[b] += rate * (e - reg * bi[b])
-                p[a], q[b] = p[a] + rate * (e * q[b] - reg * p[a]), q[b] + rate * (e * p[a] - reg * q[b])
-        sides = (("user", users, bu, p), ("item", items, bi, q))
-        return pd.concat([pd.DataFrame({"shard": key[0], "side": side, "id": ids, "bias": bias, "factors": list(f)}) for side, ids, bias, f in sides])
-
-    return ratings.select("u", "i", "rating").withColumn("shard", shard).groupBy("shard").applyInPandas(run, schema)
-
-
-def score_factors(requests: DataFrame, factors: DataFrame, ends: tuple[float, float, float]) -> DataFrame:
-    """``u, i, score``; item factors are averaged over shards; what is unknown adds nothing."""
+    mean = ratings.agg(F.avg(target)).first()[0] if mean is None else mean
+    if blocks is None:
+        blocks = max(1, math.ceil(math.sqrt(ratings.count() / BLOCK_RATINGS)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    rows = stage(ratings.select("u", "i", (F.col(target) - (mean or 0.0)).alias("e"), block("u").alias("ub"), block("i").alias("ib")))
+    draw = F.array(*[F.randn(seed + k) * 0.1 for k in range(rank)])
+    factors = None
+    for side, key in (("user", "u"), ("item", "i")):
+        own = rows.select(F.lit(side).alias("side"), F.col(key).alias("id"), F.col(f"{key}b").alias("block")).distinct()
+        factors = own if factors is None else factors.unionByName(own)
+    factors = stage(factors.withColumn("bias", F.lit(0.0)).withColumn("factors", draw))
+    schema = "side string, id long, block int, bias double, factors array<double>"
+
+    def descend(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        known = data[data["side"].notna()]
+        users, items = (known[known["side"] == s].sort_values("id") for s in ("user", "item"))
+        met = data[data["side"].isna()].sort_values(["u", "i"])
+        if len(met):
+            u, i = np.searchsorted(users["id"], met["u"]), np.searchsorted(items["id"], met["i"])
+            p, q = (np.stack(t["factors"].to_list()) for t in (users, items))
+            bu, bi, e = users["bias"].to_numpy().copy(), items["bias"].to_numpy().copy(), met["e"].to_numpy()
+            order = np.random.default_rng([seed, *map(int, key)]).permutation(len(e))
+            for a, b, r in zip(u[order].tolist(), i[order].tolist(), e[order].tolist(), strict=True):
+                x, y = p[a].copy(), q[b]
+                off = r - bu[a] - bi[b] - x @ y
+                bu[a] += rate * (off - reg * bu[a])
+                bi[b] += rate * (off - reg * bi[b])
+                p[a] += rate * (off * y - reg * x)
+                q[b] += rate * (off * x - reg * y)
+            users, items = (t.assign(bias=b, factors=list(f)) for t, b, f in ((users, bu, p), (items, bi, q)))
+        return pd.concat([users, items])[["side", "id", "block", "bias", "factors"]]
+
+    for epoch in range(epochs):
+        for stratum in range(blocks):
+            # Block b of users meets block (b + stratum) of items.
+            task = F.when(F.col("side") == "user", F.col("block")).otherwise(F.pmod(F.col("block") - stratum, F.lit(blocks))).cast("int")
+            here = rows.where(F.pmod(F.col("ib") - F.col("ub"), F.lit(blocks)) == stratum).select(F.col("ub").alias("task"), "u", "i", "e")
+            both = factors.withColumn("task", task).unionByName(here, allowMissingColumns=True).withColumn("step", F.lit(epoch * blocks + stratum))
+            after = stage(both.groupBy("task", "step").applyInPandas(descend, schema))
+            discard(factors)
+            factors = after
+    return factors.drop("block")
+
+
+def score_factors(requests: DataFrame, factors: DataFrame, ends: tuple[float, float, float], base: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
+    """``u, i, score``: the mean, or ``base`` (``u, i, score``), plus ``weight`` times biases and product; what is unknown adds nothing."""
     mean, low, high = ends
-    one = factors.select("side", "id", "bias", F.posexplode("factors").alias("k", "x")).groupBy("side", "id", "k").agg(F.avg("x").alias("x"), F.avg("bias").alias("bias"))
-    one = one.groupBy("side", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("f"), F.avg("bias").alias("b"))
-    users = one.where("side = 'user'").select(F.col("id").alias("u"), F.col("f").alias("p"), F.col("b").alias("bu"))
-    items = one.where("side = 'item'").select(F.col("id").alias("i"), F.col("f").alias("q"), F.col("b").alias("bi"))
+    users = factors.where("side = 'user'").select(F.col("id").alias("u"), F.col("factors").alias("p"), F.col("bias").alias("bu"))
+    items = factors.where("side = 'item'").select(F.col("id").alias("i"), F.col("factors").alias("q"), F.col("bias").alias("bi"))
     dot = F.aggregate(F.zip_with("p", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    raw = F.lit(mean) + F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0)) + F.coalesce(dot, F.lit(0.0))
-    return requests.join(users, "u", "left").join(items, "i", "left").select("u", "i", clip(raw, low, high).alias("score"))
+    added = F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0)) + F.coalesce(dot, F.lit(0.0))
+    rows = requests.select("u", "i") if base is None else base.select("u", "i", F.col("score").alias("_base"))
+    start = F.lit(mean) if base is None else F.col("_base")
+    return rows.join(users, "u", "left").join(items, "i", "left").select("u", "i", clip(start + weight * added, low, high).alias("score"))
+
+
+def residual_factors(requests: DataFrame, ratings: DataFrame, bias: tuple, weight: float = 1.0, **how) -> DataFrame:
+    """``u, i, score``: the bias model plus ``weight`` times factors by gradient descent on what it leaves."""
+    bu, bi, ends = bias
+    left = score_bias(ratings, bu, bi, ends).select("u", "i", (F.col("rating") - F.col("score")).alias("e"))
+    factors = sgd_factors(left, target="e", mean=0.0, **how)
+    return score_factors(requests, factors, ends, score_bias(requests.select("u", "i"), bu, bi, ends), weight)

@@ -202,9 +202,16 @@ def mf_als(spark, d):
 
 @query()
 def mf_sgd(spark, d):
-    """Scores of factors by sequential gradient descent within shards of users."""
+    """Scores of factors by gradient descent in strata of blocks."""
     f, h = _split(spark, d)
-    return models.score_factors(h, models.sgd_factors(f, shards=8), models.limits(f))
+    return models.score_factors(h, models.sgd_factors(f, epochs=2, blocks=3), models.limits(f))
+
+
+@query()
+def residual_mf(spark, d):
+    """The bias model with factors of what it leaves, by gradient descent."""
+    f, h, bias = _bias(spark, d, 1)
+    return models.residual_factors(h, f, bias, 0.5, epochs=2, blocks=3)
 
 
 @query(f"with {SPLIT} select u, u || '|' || count(*) || chr(10) || string_agg(i || ' ' || cast(cast(round_even(rating, 0) as bigint) as varchar), chr(10) order by i) as value from held group by u")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,25 @@ def windowed_counts(spark: SparkSession, path: str, width: str = "1 hour", late:
     e = spark.readStream.schema(schema).parquet(_pattern(path)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counted = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
     return drain(counted, "update", ["start", "event_type"])
+
+
+def refit_per_batch(ratings: DataFrame, refit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``refit`` of the whole history after each batch of a stream of ratings: its rows with ``batch``, the number of the batch.
+
+    Batches are kept as tables by their number, so a batch that is repeated after a failure is in the history once.
+    """
+    spark = ratings.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def learn(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/history/batch={number}")
+        history = spark.read.parquet(f"{path}/history").where(F.col("batch") <= number).drop("batch")
+        refit(history).write.mode("overwrite").parquet(f"{path}/fitted/batch={number}")
+        last.append(number)
+
+    query = ratings.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-log").foreachBatch(learn).start()
+    query.awaitTermination()
+    if not last:
+        return refit(spark.createDataFrame([], ratings.schema)).withColumn("batch", F.lit(None).cast("int"))
+    return spark.read.parquet(f"{path}/fitted")
