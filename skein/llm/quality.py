@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
     usable = fold("doc_id", held_out[0]) != held_out[1] if held_out else F.lit(True)
     sample, counts = labelled_sample(docs, labels, "quality", usable, per_class)
     floats = ("stats", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))
-    found = map_texts(sample, ["doc_id", "label"], [floats], lambda: lambda texts: [[statistics(t) for t in texts]]).dropDuplicates(["doc_id"])
+    found = map_texts(sample, ["doc_id", "label"], [floats], lambda: lambda texts: [[statistics(t) for t in texts]])
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class rows of numbers
     y = np.array([r["label"] for r in rows], float)
     kept = {c: max(1, int((y == c).sum())) for c in (0, 1)}

@@ -7,7 +7,7 @@ units read each window in both directions, attention pools their states, and a l
 scores it. A document's score is its highest window's, calibrated on sampled documents kept from training.
 
 Training, in numpy on the driver, takes a bounded sample: at most ``PER_CLASS`` labelled documents of each
-class with at most ``LONGEST`` words, and a fixed number of batches. Labels are of documents, not
+class with at most ``LONGEST`` words and ``LONGEST_BYTES`` bytes, and a fixed number of batches. Labels are of documents, not
 windows: first every window has its document's label, then toxic documents are stood for by their
 highest windows and the others by their highest and by random ones. Scoring reads every document once, with
 no shuffle; words' input gates are computed once for each distinct word of a worker's bounded table.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from skein.llm.batches import fold, keep_rows, map_texts
 from skein.llm.labelled import labelled_sample
 
-PER_CLASS, LONGEST = 1500, 1500
+PER_CLASS, LONGEST, LONGEST_BYTES = 1500, 1500, 24_000
 THRESHOLD = 0.3
 WINDOW, STEP = 32, 24
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND = 8192, 8192, 12, 8, 8
@@ -303,9 +303,10 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_out: tuple[int, int] | None = (4, 2)) -> Net:
     """A network fitted to ``labels.toxic``, of rows outside the held-out fold (parts, remainder)."""
     usable = fold("doc_id", held_out[0]) != held_out[1] if held_out else F.lit(True)
-    short = docs.where(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\s+")) < LONGEST)
+    held = F.coalesce("text", F.lit(""))
+    short = docs.where((F.octet_length(held) <= LONGEST_BYTES) & (F.regexp_count(held, F.lit(r"\s+")) < LONGEST))
     sample, counts = labelled_sample(short, labels, "toxic", usable, per_class)
-    rows = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class texts of LONGEST words
+    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class texts of LONGEST words and LONGEST_BYTES
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([r["text"] or "" for r in rows], np.array([r["label"] for r in rows], float), share)
 
