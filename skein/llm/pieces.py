@@ -4,10 +4,11 @@ A chunk is a run of whitespace markers with the characters up to the next marker
 the model has a marker after another character, no merge crosses from one chunk into the next, so
 each distinct chunk is segmented once, and a text's ids are its chunks' ids joined by position.
 
-Documents are read in blocks of some megabytes. A block's texts become positions in its list of distinct chunks. The lists go,
-packed, to the parts of the corpus's table of distinct chunks (by the chunks' hash); a part segments each of its chunks once, and
+Documents are read in blocks of some megabytes. A block's distinct chunks are numbered as they appear, and its texts become these numbers. The chunks go,
+packed, to the parts of the corpus's table of distinct chunks (by their hash); a part segments each of its chunks once, and
 gives every block the ids of those it asked for, in the order in which it did. Blocks meet their answers again by a hash of their content,
-and positions become ids. What is shuffled is each block's distinct chunks, their ids, and the positions: less than the texts.
+and numbers become ids. What is shuffled is each block's distinct chunks, their ids, and the numbers: less than the texts.
+Decoding joins what the library makes of each piece, in bytes, as pieces may be parts of a character.
 Documents are read twice, so ``docs`` must give its rows in the same order again, as files do; otherwise a block
 finds no answer, which raises an error.
 
@@ -24,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from skein.llm.batches import slices, texts_of
 
 MARK = "▁"
 #: Characters and rows of a block, and characters of the longest chunk that goes to the table.
-BLOCK_CHARS, BLOCK_ROWS, LONGEST = 8 << 20, 20_000, 48
+BLOCK_CHARS, BLOCK_ROWS, LONGEST = 32 << 20, 50_000, 48
 
 _chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
 
@@ -55,14 +57,28 @@ class Model:
             raise ValueError("this model drops or rewrites whitespace")
         self.begin, self.end = self.model.bos_id(), self.model.eos_id()
         self.lone = self.model.piece_to_id(MARK)
+        self.surface = self._surfaces()
 
-    def segment(self, chunks: list[str]) -> list[tuple[list[int], str]]:
-        """Ids of each chunk, and the text that they decode to after another chunk and its blank."""
+    def _surfaces(self) -> list[bytes]:
+        """What each piece adds to a decoded text, past its head."""
+        head = self.model.encode("a")
+        before, out = len(self.model.decode(head)), []
+        for i in range(self.model.get_piece_size()):
+            if self.model.is_byte(i):
+                out.append(bytes([int(self.model.id_to_piece(i)[1:-1], 16)]))
+            else:
+                out.append(self.model.decode([*head, i])[before:].encode())
+        return out
+
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk."""
         # The model puts its own marker before a text: the chunk's first one.
         found = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        found = [ids if len(c) > 1 else [self.lone] for c, ids in zip(chunks, found, strict=True)]
-        # Decoding drops the first marker, as at the head of a text.
-        return list(zip(found, self.model.decode(found, num_threads=1), strict=True))
+        return [ids if len(c) > 1 else [self.lone] for c, ids in zip(chunks, found, strict=True)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of a whole text's ids; the first marker is the model's own."""
+        return b"".join(map(self.surface.__getitem__, ids.tolist()))[1:].decode()
 
 
 def pack_strings(strings: list[str]) -> bytes:
@@ -78,47 +94,57 @@ def unpack_strings(blob: bytes) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def pack_segments(segments: list[tuple[list[int], str]]) -> bytes:
-    """Ids and decoded texts."""
-    sizes = np.fromiter((len(i) for i, _ in segments), np.uint32, len(segments))
-    flat = np.fromiter((x for i, _ in segments for x in i), np.uint32, int(sizes.sum()))
-    ids = zstandard.ZstdCompressor(level=3).compress(np.uint32(len(sizes)).tobytes() + sizes.tobytes() + flat.tobytes())
-    return len(ids).to_bytes(8, "little") + ids + pack_strings([t for _, t in segments])
+def pack_numbers(*arrays: np.ndarray) -> bytes:
+    """Whole numbers of up to 32 bits, compressed byte by byte of their size: most are small."""
+    out = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        blob = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+        out.append(len(blob).to_bytes(4, "little") + blob)
+    return b"".join(out)
+
+
+def unpack_numbers(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 4 : at + 4 + n]), np.uint8).reshape(4, -1)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += 4 + n
+    return out
 
 
-def unpack_segments(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Number of ids of each chunk, all ids, and decoded texts."""
-    cut = 8 + int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:cut]), np.uint32)
-    return raw[1 : 1 + raw[0]], raw[1 + raw[0] :], unpack_strings(blob[cut:])
+def pack_segments(segments: list[list[int]]) -> bytes:
+    """How many ids each chunk has, and all ids."""
+    sizes = np.fromiter(map(len, segments), np.uint32, len(segments))
+    return pack_numbers(sizes, np.fromiter(chain.from_iterable(segments), np.uint32, int(sizes.sum())))
 
 
 @dataclass
 class Block:
-    """Some documents: ``at``, positions of each one's chunks in the lists of all parts, one after the other, and then in ``long``."""
+    """Some documents: the numbers of each one's chunks, the part of each chunk (the last: ``long`` ones), and the parts' chunks in the order of their numbers."""
 
     keys: pa.RecordBatch | None
     name: bytes
+    numbers: list[np.ndarray]
+    home: np.ndarray
     parts: list[list[str]]
     long: list[str]
-    at: list[np.ndarray]
 
 
 def _block(keys: list[pa.RecordBatch], texts: list[str], parts: int) -> Block:
     found: dict[str, int] = {}
-    at, name = [], xxhash.xxh128()
+    numbers, name = [], xxhash.xxh128()
     for text in texts:
         name.update(f"{len(text)}:{text}")
         own = _chunks(MARK + text.replace(" ", MARK)) if text else []
-        at.append(np.fromiter((found.setdefault(c, len(found)) for c in own), np.int32, len(own)))
+        numbers.append(np.fromiter((found.setdefault(c, len(found)) for c in own), np.uint32, len(own)))
     lists: list[list[str]] = [[] for _ in range(parts + 1)]
     home = np.fromiter((parts if len(c) > LONGEST else xxhash.xxh32_intdigest(c) % parts for c in found), np.int32, len(found))
     for c, p in zip(found, home.tolist(), strict=True):
         lists[p].append(c)
-    place = np.empty(len(found), np.int32)
-    place[np.argsort(home, kind="stable")] = np.arange(len(found), dtype=np.int32)
     whole = pa.Table.from_batches(keys).combine_chunks().to_batches() if keys and keys[0].num_columns else []
-    return Block(whole[0] if whole else None, name.digest(), lists[:-1], lists[-1], [place[x] for x in at])
+    return Block(whole[0] if whole else None, name.digest(), numbers, home, lists[:-1], lists[-1])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str], column: str, parts: int) -> Iterator[Block]:
@@ -180,13 +206,13 @@ def _encoded(docs: DataFrame, model_path: str, keys: tuple[str, ...], text: str,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, options = Model(model_path), pa.ipc.IpcWriteOptions(compression="zstd")
         for block in _blocks(batches, own, text, parts):
-            at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in block.at])]).astype(np.int32)), pa.array(np.concatenate(block.at)))
-            rows = pa.RecordBatch.from_arrays([*(block.keys.columns if block.keys is not None else []), at], names=[*own, "_at"])
+            rows = block.keys if own else pa.RecordBatch.from_arrays([pa.nulls(len(block.numbers))], names=["none"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
                 writer.write_batch(rows)
-            asked = sum(map(bool, block.parts))
-            extra = asked.to_bytes(4, "little") + pack_segments(model.segment(block.long))
+            asked = np.array([sum(map(bool, block.parts))])
+            sizes = np.array([len(x) for x in block.numbers])
+            extra = pack_numbers(asked, sizes, np.concatenate(block.numbers), block.home) + pack_segments(model.segment(block.long))
             yield _packed([(block.name, parts, sink.getvalue().to_pybytes(), extra)])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,24 +224,26 @@ def _encoded(docs: DataFrame, model_path: str, keys: tuple[str, ...], text: str,
                 if part < parts:
                     answers[part] = blob  # blocks of equal content ask alike
                     continue
-                if len(answers) != int.from_bytes(extra[:4], "little"):
+                asked, chunks, numbers, home, *long = unpack_numbers(extra)
+                if len(answers) != asked[0]:
                     raise RuntimeError("documents came in another order when they were read again; write them to files first")
-                known = [unpack_segments(answers[p]) for p in sorted(answers)] + [unpack_segments(extra[4:])]
+                known = [unpack_numbers(answers[p]) for p in sorted(answers)] + [long]
                 sizes, flat = (np.concatenate([k[i] for k in known]) for i in (0, 1))
-                decoded = [t for k in known for t in k[2]]
-                starts = np.cumsum(sizes, dtype=np.int64) - sizes
+                # The answers stand in the order of parts, and of numbers within them.
+                order = np.argsort(home, kind="stable")
+                first, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+                first[order], size[order] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+                ends = np.cumsum(chunks, dtype=np.int64)
                 rows = pa.ipc.open_stream(blob).read_next_batch()
                 for a in range(0, rows.num_rows, 256):
-                    some = rows.slice(a, 256)
-                    ids, texts = [], []
-                    for at in some.column("_at"):
-                        at = at.values.to_numpy(zero_copy_only=False)
-                        n = sizes[at].astype(np.int64)
-                        places = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    ids = []
+                    for end, count in zip(ends[a : a + 256], chunks[a : a + 256], strict=True):
+                        at = numbers[end - count : end]
+                        n = size[at]
+                        places = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                         ids.append(np.concatenate([[model.begin], flat[places], [model.end]]).astype("<u4"))
-                        texts.append(" ".join(map(decoded.__getitem__, at.tolist())))
-                    made = [pa.array(v, t) if isinstance(v, list) else v for v, (_, _, t) in zip(finish(ids, texts), out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(some.column(k) for k in own), *made], names=schema.names)
+                    made = [pa.array(v, t) if isinstance(v, list) else v for v, (_, _, t) in zip(finish(ids, [model.decode(i) for i in ids]), out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(k).slice(a, 256) for k in own), *made], names=schema.names)
 
     placed = docs.select(*dict.fromkeys([*own, text])).mapInArrow(place, _PACKED)
     both = placed.unionByName(_answers(docs, text, model_path, parts))
