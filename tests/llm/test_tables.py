@@ -114,6 +114,25 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(rows.limit(0), RULES).count() == 0
 
 
+def test_long_lists_are_parted(spark, monkeypatch):
+    """Lists that need more bits than a filter may have give the same verdicts by several cascades."""
+    rng = np.random.default_rng(12)
+    hosts = [f"h{k}.{t}" for k in range(60) for t in ("com", "net")]
+    rules = [urlfilter.Rule(h, f"/{k % 5}/", "block" if k % 3 else "allow") for k, h in enumerate(hosts[:90])]
+    urls = [f"https://{'w.' * int(n)}{rng.choice(hosts)}/{int(rng.integers(0, 6))}/x" for n in rng.integers(0, 3, 400)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    whole = sorted(urlfilter.judge_urls(rows, rules).collect())
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 128)
+    assert sorted(urlfilter.judge_urls(rows, rules).collect()) == whole and {r["verdict"] for r in whole} == {"allow", "block"} and any(r["rule"] for r in whole)
+
+
+def test_long_urls(spark):
+    """Hosts of very many dots and very long paths are judged like others."""
+    urls = ["http://" + "a." * 200_000 + "example.com/en/7", "http://" + "." * 100_000 + "net/de/", "http://b.org/es/" + "x/" * 500_000, "http://" + "c" * 1_000_000, "://" * 100_000]
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()}
+    assert all((got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == judged(u) for k, u in enumerate(urls))
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{n}" for n in range(3000)]
     listed = set(keys[::7])
