@@ -212,6 +212,20 @@ def segment_points(rows: DataFrame, key: str, residual: str, width: int = 1) ->
     return rows.groupBy(x.cast("double").alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg(residual).alias("m"))
 
 
+#: Bins of ids that the segments' programme takes at most: it is quadratic in them.
+MOST_BINS = 4000
+
+
+def bounded_points(rows: DataFrame, key: str, residual: str) -> list[tuple[float, float, float]]:
+    """Points of :func:`segment_points` in order, in bins as wide as it takes for at most ``MOST_BINS``."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        raise ValueError("no rows to segment")
+    width = (high - low) // MOST_BINS + 1
+    shifted = rows.withColumn("_id", F.col(key) - low)
+    return [(x + low, w, m) for x, w, m in segment_points(shifted, "_id", residual, width).orderBy("x").collect()]  # MOST_BINS rows at most
+
+
 def mixed_segments(rows: DataFrame, residual: str, users: int, items: int, rounds: int = 2, widths: tuple[int, int] = (1, 1)) -> tuple[tuple, tuple]:
     """Segmentations of user and item ids, in bins of ``widths`` ids, each fitted to what the other leaves, in turns."""
     from skein.operators.online import segment

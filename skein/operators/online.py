@@ -19,11 +19,20 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 100_000
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class Scoring:
-    """Parameters of the score; ``None`` for a stride switches that side's state off, for the intercept it is the mean."""
+    """Parameters of the score; ``None`` for a stride switches that side's state off, for the intercept it is the mean. Fitted numbers have no defaults."""
 
     mean: float
+    intercept: float | None
+    log_user: float
+    log_item: float
+    root_user: float
+    root_item: float
+    user_weight: float
+    item_weight: float
+    user_shrink: float
+    item_shrink: float
     low: float = 0.5
     high: float = 5.0
     item_stride: int | None = 4
@@ -31,16 +40,6 @@ class Scoring:
     user_stride: int | None = 10
     user_phase: int = 0
     scale_items: bool = True
-    # Fixed values.
-    intercept: float | None = 3.29021835
-    log_user: float = 0.00526042003
-    log_item: float = 0.0137246884
-    root_user: float = 0.156752408
-    root_item: float = 0.143476963
-    user_weight: float = 1.15040135
-    item_weight: float = 0.881480813
-    user_shrink: float = 20.0
-    item_shrink: float = 5.0
     thresholds: tuple[float, ...] = ()
     values: tuple[float, ...] = field(default=(0.0,))
 

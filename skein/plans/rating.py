@@ -230,7 +230,9 @@ def state_sql(key: str, stride: int, phase: int, scale: int = 1, where: str = "t
 
 
 USERS, ITEMS = state_sql("u", 10, 0), state_sql("i", 4, 2, 4)
-P = online.Scoring(mean=MU, low=0.0, high=5.0)
+#: Numbers of the published score. Fixed values.
+SCORE = {"intercept": 3.29021835, "log_user": 0.00526042003, "log_item": 0.0137246884, "root_user": 0.156752408, "root_item": 0.143476963, "user_weight": 1.15040135, "item_weight": 0.881480813, "user_shrink": 20.0, "item_shrink": 5.0}
+P = online.Scoring(mean=MU, low=0.0, high=5.0, **SCORE)
 SHARED = f"with {STREAM}, us as ({USERS}), its as ({ITEMS}), req as (select u, i, rating, pos from stream where pos % 3 = 1)"
 
 
@@ -282,7 +284,7 @@ def on_segment_prior(spark, d):
 
 @query(SHARED + f" select pos, round(greatest(0.0, least(5.0, {P.intercept} + {SEGMENT} + {CU} + {CI})), 6) as score" + JOINED)
 def on_predict(spark, d):
-    p = online.Scoring(mean=MU, low=0.0, high=5.0, thresholds=THRESHOLDS, values=VALUES)
+    p = online.Scoring(mean=MU, low=0.0, high=5.0, thresholds=THRESHOLDS, values=VALUES, **SCORE)
     return _out(online.score(_requests(spark, d), *online.fit_states(inputs.stream(spark, d), p), p), "pos", "score")
 
 
@@ -520,9 +522,9 @@ def fit_greedy_tables(spark, d):
 
 @query()
 def fit_segments_dp(spark, d):
-    """Optimal segments of user ids for the mean residual."""
-    points = fit.segment_points(_design(spark, d), "u", "e").orderBy("x").collect()
-    cuts, values = fit.segments([tuple(p) for p in points], 6)
+    """Optimal segments of user ids for the mean residual; ids are in bins, of which there are at most fit.MOST_BINS."""
+    rows = _design(spark, d)
+    cuts, values = fit.segments(fit.bounded_points(rows, "u", "e"), 6)
     return spark.createDataFrame([(k, v, float(c) if c is not None else None) for k, (v, c) in enumerate(zip(values, [*cuts, None], strict=True))], "segment int, value double, last double")
 
 

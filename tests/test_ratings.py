@@ -46,7 +46,7 @@ def test_ensemble_weights(spark):
 
 
 def test_online_contract(spark):
-    p = online.Scoring(mean=3.0, intercept=None, item_stride=1, item_phase=0, user_stride=1, user_phase=0, scale_items=False, log_user=0, log_item=0, root_user=0, root_item=0)
+    p = online.Scoring(mean=3.0, intercept=None, item_stride=1, item_phase=0, user_stride=1, user_phase=0, scale_items=False, log_user=0, log_item=0, root_user=0, root_item=0, user_weight=1.15, item_weight=0.88, user_shrink=20.0, item_shrink=5.0)
     requests = spark.createDataFrame([(0, 0), (1, 1), (-1, 0)], "u long, i long")
     assert {r["score"] for r in online.score(requests, None, None, p).collect()} == {3.0}
     rows = spark.createDataFrame([(0, 0, 0, 5.0), (1, 1, 1, 1.0), (2, 0, 0, 5.0), (3, 2, 2, 4.0)], "pos long, u long, i long, rating double")
@@ -65,6 +65,32 @@ def test_stream_equals_batch_in_several_batches(spark, tmp_path):
         assert sorted((r["u"], round(r["s"], 9), r["n"]) for r in got.collect()) == want
 
 
+def test_late_rows_and_windows_that_expire(spark, tmp_path):
+    """A row behind the watermark is left out; one that is late but not behind it counts."""
+    path = tmp_path / "events.parquet"
+    for k, minutes in enumerate(([0, 10, 70], [400], [5, 350], [395])):
+        rows = [(m, f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00") for m in minutes]
+        spark.createDataFrame(rows, "event_id long, ts string").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("x").alias("event_type")).coalesce(1).write.mode("append").parquet(str(path))
+    schema = spark.read.parquet(str(path)).schema
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path)).withWatermark("ts", "2 hours")
+    counted = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.hour("w.start").alias("start"), "event_type", "n")
+    got = {r["start"]: r["n"] for r in streaming.drain(counted, "update", ["start", "event_type"]).collect()}
+    assert got == {0: 2, 1: 1, 6: 2, 5: 1}
+
+
+def test_sources_and_sinks_by_file(spark, tmp_path):
+    ranks = spark.createDataFrame([(2, 10, 0.25), (1, 7, 0.5)], "position int, node long, rank double")
+    text.write_ranking(ranks, str(tmp_path / "rank"))
+    back = text.ranking(spark.read.text(str(tmp_path / "rank"))).orderBy(F.desc("rank")).collect()
+    assert [(r["node"], r["rank"]) for r in back] == [(7, 0.5), (10, 0.25)]
+    text.write_csv(ranks, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+    scores = spark.createDataFrame([(1, 0, 5, 3.25), (1, 1, 6, 4.0), (2, 2, 5, 1.5)], "u long, pos long, i long, score double")
+    text.write_predictions(scores, str(tmp_path / "pred"))
+    lines = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "pred")).collect())
+    assert "1|2" in lines and "2|1" in lines
+
+
 def test_grouped_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1|2\n5  30\n6 40\n\n2|1\n5 10\n")
     assert sorted(map(tuple, text.grouped_ratings(spark, str(tmp_path / "a.txt")).collect())) == [(1, 5, 30.0), (1, 6, 40.0), (2, 5, 10.0)]
