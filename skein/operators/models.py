@@ -34,9 +34,10 @@ def bias_tables(
     bi, bu = None, None
     for _ in range(max(1, rounds)):
         left = rows if bi is None else rows.join(bi, "i").withColumn("e", F.col("e") - F.col("bi"))
-        bu = stage(left.groupBy("u").agg((wu * F.sum("e") / (shrink + F.count("*"))).alias("bu")))
+        bu = left.groupBy("u").agg((wu * F.sum("e") / (shrink + F.count("*"))).alias("bu"))
+        # One table a round: users' biases are made on the way to the items', and once more for the last round's.
         bi = stage(rows.join(bu, "u").groupBy("i").agg((wi * F.sum(F.col("e") - F.col("bu")) / (item_shrink + F.count("*"))).alias("bi")))
-    return bu, bi, (mean, low, high)
+    return stage(bu), bi, (mean, low, high)
 
 
 def score_bias(requests: DataFrame, bu: DataFrame, bi: DataFrame, ends: tuple[float, float, float]) -> DataFrame:

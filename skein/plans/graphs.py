@@ -139,16 +139,16 @@ def graph_wcc(spark, d):
     return graph.component_sizes(edges_forest(spark, d))
 
 
-@query(f"""with recursive {EDGES}, few as (select src, dst from edges where src % 7 = dst % 7),
-both_ways as (select src as a, dst as b from few union select dst, src from few), walk(a, b) as (select a, b from both_ways union select a, a from both_ways union select w.a, n.b from walk w join both_ways n on n.a = w.b)
-select a as node, min(b) as component from walk group by a""")
-def graph_components(spark, d):
-    from skein.operators.components import connected_components
-
-    return connected_components(edges_part(spark, d).where("src % 7 = dst % 7").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+def _labels_sql(rounds: int) -> str:
+    """Least labels spread over all edges, and along the labels themselves, round by round; the last is ``c{rounds}(node, label)``."""
+    parts = [f"with {EDGES}, {NODES}, both_ways as (select src as a, dst as b from edges union select dst, src from edges), c0 as (select node, node as label from nodes)"]
+    for k in range(rounds):
+        parts.append(f"n{k} as materialized (select node, least(label, coalesce(m, label)) as label from c{k} left join (select a, min(label) as m from both_ways join c{k} on node = b group by a) t on a = node)")
+        parts.append(f"c{k + 1} as materialized (select x.node, y.label from n{k} x join n{k} y on y.node = x.label)")
+    return ", ".join(parts)
 
 
-@query()
+@query(_labels_sql(12) + " select node, label as component from c12")
 def graph_components_all(spark, d):
     """Components over all edges."""
     from skein.operators.components import connected_components
@@ -156,26 +156,11 @@ def graph_components_all(spark, d):
     return connected_components(edges_part(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-def _prune_sql(edges: str, rounds: int) -> str:
-    parts = [edges, "p0 as (select distinct src, dst from edges)"]
-    for k in range(rounds):
-        parts.append(f"p{k + 1} as materialized (select src, dst from p{k} where dst in (select src from p{k}))")
-    return "with " + ", ".join(parts)
-
-
-FEW = f"{EDGES.replace('edges as', 'e0 as')}, edges as (select src, dst from e0 where src % 11 < 6 and dst > src)"
-
-
-@query(_prune_sql(FEW, 6) + " select distinct src as node from p5")
-def graph_prune_deadends(spark, d):
-    return graph.prune_dead_ends(_few(spark, d), rounds=6)
+_WHOLE = ", ".join(f"{n}{k + 1} as materialized (select src, dst from {n}{k} where dst in (select src from {n}{k}))" for n in "pb" for k in range(24))
 
 
-def _few(spark, d):
-    return edges_part(spark, d).where("src % 11 < 6 and dst > src")
-
-
-@query()
+@query(f"""with {EDGES}, {BIPARTITE.replace('edges as', 'two as')}, p0 as (select distinct src, dst from edges), b0 as (select src, dst from two), {_WHOLE}
+select distinct 'part' as graph, src as node from p24 union all select distinct 'bipartite', src from b24""")
 def graph_prune_deadends_all(spark, d):
     """The fixpoint over all edges of both graphs: parts, and suppliers to parts (where everything is a dead end in the end)."""
     left = [graph.prune_dead_ends(e(spark, d)).select(F.lit(name).alias("graph"), "node") for name, e in (("part", edges_part), ("bipartite", edges_bipartite))]
@@ -217,23 +202,17 @@ def pr_normalize(spark, d):
     return ranked(normalised(pagerank(edges_bipartite(spark, d), max_iter=ROUNDS, dead_ends="ignore")[0]))
 
 
-DELETE = (
+DELETE_ALL = (
     "with "
     + EDGES.replace("edges as", "e0 as")
-    + ", every as (select src as node from e0 union select dst from e0), p1 as (select distinct src, dst from e0 where dst <> src and dst % 10 < 9 and src % 10 < 9), "
-    + ", ".join(f"p{k + 1} as materialized (select src, dst from p{k} where dst in (select src from p{k}))" for k in range(1, 9))
-    + ", edges as (select src, dst from p9), every9 as (select src as node from p1 union select dst from p1), nodes as (select distinct src as node from edges), "
+    + ", every as (select src as node from e0 union select dst from e0), p0 as (select distinct src, dst from e0), "
+    + ", ".join(f"p{k + 1} as materialized (select src, dst from p{k} where dst in (select src from p{k}))" for k in range(24))
+    + ", nodes as (select distinct src as node from p24), edges as (select src, dst from e0 where src in (select node from nodes) and dst in (select node from nodes)), "
     + rank_sql(edges="")
 )
 
 
-@query(DELETE + f" select every9.node, round(coalesce(rank, 0.0), 10) as rank from every9 left join r{ROUNDS} r on r.node = every9.node")
-def pr_delete(spark, d):
-    e = edges_part(spark, d).where("dst <> src and dst % 10 < 9 and src % 10 < 9").distinct()
-    return ranked(pagerank(e, max_iter=ROUNDS, dead_ends="delete")[0])
-
-
-@query()
+@query(DELETE_ALL + f" select every.node, round(coalesce(rank, 0.0), 10) as rank from every left join r{ROUNDS} r on r.node = every.node")
 def pr_delete_all(spark, d):
     """All edges, repeated ones and self-loops included, as in the reference."""
     return ranked(pagerank(edges_part(spark, d), max_iter=ROUNDS, dead_ends="delete")[0])
@@ -387,3 +366,6 @@ def sweep_eps(spark, d):
 @query(TWO + " select position::int as position, node || ' ' || printf('%.10f', rank) as value from a")
 def sink_topk(spark, d):
     return text.ranking_lines(_one(prepare(edges_part(spark, d))))
+
+
+query.also({n: f"{n}_all" for n in ("graph_components", "graph_prune_deadends", "pr_delete")})

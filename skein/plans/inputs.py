@@ -23,8 +23,6 @@ RATINGS = """ratings as (select o_custkey as u, l_partkey as i, avg(l_quantity)
 HELD = "(u * 7919 + i * 104729) % 10 < 2"
 SPLIT = f"{RATINGS}, fit as (select * from ratings where not ({HELD})), held as (select * from ratings where {HELD})"
 STREAM = """stream as (select event_id as pos, user_id as u, event_id % 97 as i, "value" / 100.0 as rating from events)"""
-FACTORS = """p as (select vec_id as u, embedding as pv from embeddings where vec_id < 250),
-q as (select vec_id as i, embedding as qv from embeddings where vec_id >= 250)"""
 
 
 def edges_part(spark: SparkSession, d: str) -> DataFrame:
@@ -64,12 +62,6 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("pos"), F.col("user_id").alias("u"), (F.col("event_id") % 97).alias("i"), (F.col("value") / 100.0).alias("rating"))
 
 
-def factors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = read(spark, d, "embeddings")
-    users = e.where("vec_id < 250").select(F.col("vec_id").alias("u"), F.col("embedding").alias("pv"))
-    return users, e.where("vec_id >= 250").select(F.col("vec_id").alias("i"), F.col("embedding").alias("qv"))
-
-
 def with_vectors(spark: SparkSession, d: str, rows: DataFrame, u: str, i: str) -> DataFrame:
     """``rows`` with ``pv`` and ``qv``: of all n vectors, in order of id, the one at ``u`` modulo n and the one at ``i`` modulo n."""
     v = stage(ranked(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "at"))

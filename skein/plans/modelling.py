@@ -210,7 +210,7 @@ def fit_factor_id(spark, d):
 @query()
 def fit_greedy_pairs(spark, d):
     """Tables over single bins and pairs of them, with several shrinkages, until two rounds gain too little."""
-    s = inputs.stream(spark, d).where("pos % 5 < 3")
+    s = inputs.stream(spark, d)
     bins = {f"u{n}": F.col("u") % n for n in (4, 8)} | {f"i{n}": F.col("i") % n for n in (4, 8)}
     rows = s.select((F.col("rating") - MU).alias("e"), *[c.alias(n) for n, c in bins.items()])
     pairs = [(a, b) for a in ("u4", "u8") for b in ("i4", "i8")]
@@ -241,7 +241,7 @@ def fit_fourier_ridge(spark, d):
 @query()
 def on_full_sgd(spark, d):
     """After each batch, factors are fitted anew to all rows so far, and score the requests."""
-    requests = inputs.stream(spark, d).where("pos % 3 = 1").select("u", "i")
+    requests = inputs.stream(spark, d).select("u", "i")
 
     def refit(history):
         factors = models.sgd_factors(history, 4, 2, 0.008, 0.04, mean=P.mean)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import calibrate, fit, models, online, ratings
 from skein.plans import inputs
-from skein.plans.inputs import FACTORS, HELD, RATINGS, SPLIT, STREAM
+from skein.plans.inputs import HELD, RATINGS, SPLIT, STREAM
 from skein.plans.registry import Registry
 from skein.sources import text
 from skein.stage import read, stage
@@ -170,21 +170,14 @@ def feature_calibrate_all(spark, d):
     return calibrate.calibrate(base, f, {k: (0.9 if k == "pred" else 1e-5 * (n % 7 - 3)) for n, k in enumerate(names)}, 1.0, bias[2])
 
 
-KNN = """, res as materialized (select fit.u, fit.i, rating - greatest(low, least(high, mu + coalesce(bu, 0) + coalesce(bi, 0))) as e from fit left join bu0 using (u) left join bi0 using (i), ends where fit.i % 10 = 0),
+KNN = """, res as materialized (select fit.u, fit.i, rating - greatest(low, least(high, mu + coalesce(bu, 0) + coalesce(bi, 0))) as e from fit left join bu0 using (u) left join bi0 using (i), ends ),
 norms as (select u, sqrt(sum(e * e)) as n from res group by u), sim as materialized (select a.u, b.u as v, sum(a.e * b.e) / (max(x.n) * max(y.n) + 1e-6) as s
 from res a join res b on a.i = b.i and a.u <> b.u join norms x on x.u = a.u join norms y on y.u = b.u group by a.u, b.u),
 ranked as (select h.u, h.i, s, e, row_number() over (partition by h.u, h.i order by round(abs(s), 9) desc, v) as n from base h join res on res.i = h.i and res.u <> h.u join sim on sim.u = h.u and sim.v = res.u),
 change as (select u, i, sum(s * e) / (sum(abs(s)) + 1.0) as c from ranked where n <= 10 group by u, i)"""
 
 
-@query(bias_sql(1) + KNN + " select base.u, base.i, round(greatest(low, least(high, score + coalesce(c, 0))), 5) as score from base left join change using (u, i), ends where base.i % 10 = 0")
-def user_knn(spark, d):
-    f, h, bias = _bias(spark, d, 1)
-    scored = models.user_knn(h.where("i % 10 = 0"), f.where("i % 10 = 0"), 10, 1.0, bias)
-    return scored.select("u", "i", F.round("score", 5).alias("score"))
-
-
-@query()
+@query(bias_sql(1) + KNN + " select base.u, base.i, round(greatest(low, least(high, score + coalesce(c, 0))), 5) as score from base left join change using (u, i), ends")
 def user_knn_all(spark, d):
     """Every request, from residuals of every fitted rating."""
     f, h, bias = _bias(spark, d, 1)
@@ -233,7 +226,7 @@ USERS, ITEMS = state_sql("u", 10, 0), state_sql("i", 4, 2, 4)
 #: Numbers of the published score. Fixed values.
 SCORE = {"intercept": 3.29021835, "log_user": 0.00526042003, "log_item": 0.0137246884, "root_user": 0.156752408, "root_item": 0.143476963, "user_weight": 1.15040135, "item_weight": 0.881480813, "user_shrink": 20.0, "item_shrink": 5.0}
 P = online.Scoring(mean=MU, low=0.0, high=5.0, **SCORE)
-SHARED = f"with {STREAM}, us as ({USERS}), its as ({ITEMS}), req as (select u, i, rating, pos from stream where pos % 3 = 1)"
+SHARED = f"with {STREAM}, us as ({USERS}), its as ({ITEMS}), req as (select u, i, rating, pos from stream)"
 
 
 def component_sql(s: str, n: str, p: tuple) -> str:
@@ -246,7 +239,7 @@ JOINED = " from req left join us on us.u = req.u left join its on its.i = req.i"
 
 
 def _requests(spark, d):
-    return inputs.stream(spark, d).where("pos % 3 = 1").select("u", "i", "rating", "pos")
+    return inputs.stream(spark, d).select("u", "i", "rating", "pos")
 
 
 @query(f"with {STREAM} select 'u' as side, u as id, round(s, 6) as s, n from ({USERS}) t union all select 'i', i, round(s, 6), n from ({ITEMS}) t")
@@ -327,65 +320,40 @@ def dot_sql(first: int = 1, last: int = 64) -> str:
     return f"list_sum(list_transform(range({first}, {last + 1}), lambda k: pv[k]::double * qv[k]::double))"
 
 
-def _pairs(spark, d):
-    p, q = inputs.factors(spark, d)
-    return p.join(q, F.col("u") % 50 == F.col("i") % 50)
-
-
-@query(f"with {FACTORS} select u, i, round(greatest(0.5, least(5.0, 3.0 + {dot_sql()})), 6) as score from p join q on u % 50 = i % 50")
-def on_dot_predict(spark, d):
-    return _pairs(spark, d).select("u", "i", F.round(F.greatest(F.lit(0.5), F.least(F.lit(5.0), 3.0 + online.dot())), 6).alias("score"))
-
-
-@query(f"with {FACTORS} select u, i, round(1.5 * {dot_sql(1, 2)}, 6) as head from p join q on u % 50 = i % 50")
-def on_pq_head(spark, d):
-    return _pairs(spark, d).select("u", "i", F.round(1.5 * online.dot(length=2), 6).alias("head"))
-
-
-@query(f"with {FACTORS} select u, i, round(0.5 * {dot_sql(1, 16)} + 1.0 * {dot_sql(17, 40)} - 0.5 * {dot_sql(41, 64)}, 6) as score from p join q on u % 50 = i % 50")
-def on_segment_dot(spark, d):
-    return _pairs(spark, d).select("u", "i", F.round(online.segment_dot([16, 40, 64], [0.5, 1.0, -0.5]), 6).alias("score"))
-
-
-@query(f"with {FACTORS} select u, round(list_sum(list_transform(range(1, 65), lambda k: pv[k]::double * (k % 5 - 2))), 6) as head from p")
-def on_linear_head(spark, d):
-    return inputs.factors(spark, d)[0].select("u", F.round(online.linear_head("pv", [float(k % 5 - 2) for k in range(1, 65)]), 6).alias("head"))
+_N = "(select count(*) from embeddings)"
+REQUESTS = f"""{STREAM}, v as (select row_number() over (order by vec_id) - 1 as at, embedding from embeddings),
+req as (select pos, u, pos as i, p.embedding as pv, q.embedding as qv from stream join v p on p.at = u % {_N} join v q on q.at = pos % {_N})"""
 
 
-@query(f"""with {FACTORS}, hid as (select u, h, greatest(0, 0.1 * h + list_sum(list_transform(range(1, 9), lambda k: pv[k]::double * ((k + h) % 3 - 1)))) * (h - 1) as v from p, range(4) t(h))
-select p.u, round(list_sum(list_transform(range(1, 9), lambda k: pv[k]::double)) + (select sum(v) from hid where hid.u = p.u), 6) as head from p""")
-def on_mlp_head(spark, d):
-    hidden = [[(k + h) % 3 - 1 for k in range(1, 9)] for h in range(4)]
-    heads = online.mlp_head(inputs.factors(spark, d)[0], "u", "pv", [1.0] * 8, hidden, [0.1 * h for h in range(4)], [h - 1.0 for h in range(4)])
-    return heads.select("u", F.round("head", 6).alias("head"))
-
-
-@query()
+@query(f"with {REQUESTS} select pos, u, i, round(greatest(0.5, least(5.0, 3.0 + {dot_sql()})), 6) as score from req")
 def on_dot_predict_all(spark, d):
     """Every request, as all the following."""
     return inputs.requests(spark, d).select("pos", "u", "i", F.round(F.greatest(F.lit(0.5), F.least(F.lit(5.0), 3.0 + online.dot())), 6).alias("score"))
 
 
-@query()
+@query(f"with {REQUESTS} select pos, u, i, round(1.5 * {dot_sql(1, 2)}, 6) as head from req")
 def on_pq_head_all(spark, d):
     return inputs.requests(spark, d).select("pos", "u", "i", F.round(1.5 * online.dot(length=2), 6).alias("head"))
 
 
-@query()
+@query(f"with {REQUESTS} select pos, u, i, round(0.5 * {dot_sql(1, 16)} + 1.0 * {dot_sql(17, 40)} - 0.5 * {dot_sql(41, 64)}, 6) as score from req")
 def on_segment_dot_all(spark, d):
     return inputs.requests(spark, d).select("pos", "u", "i", F.round(online.segment_dot([16, 40, 64], [0.5, 1.0, -0.5]), 6).alias("score"))
 
 
-@query()
+@query("select vec_id, round(list_sum(list_transform(range(1, 65), lambda k: embedding[k]::double * (k % 5 - 2))), 6) as head from embeddings")
 def on_linear_head_all(spark, d):
     """The heads of all vectors."""
     return read(spark, d, "embeddings").select("vec_id", F.round(online.linear_head("embedding", [float(k % 5 - 2) for k in range(1, 65)]), 6).alias("head"))
 
 
-@query()
+@query("""with hid as (select vec_id, h, greatest(0, 0.1 * h + list_sum(list_transform(range(1, 65), lambda k: embedding[k]::double * ((k + h) % 3 - 1)))) * (h - 1) as v from embeddings, range(4) t(h)),
+s as (select vec_id, sum(v) as v from hid group by vec_id)
+select embeddings.vec_id, round(list_sum(list_transform(range(1, 65), lambda k: embedding[k]::double)) + s.v, 6) as head from embeddings join s using (vec_id)""")
 def on_mlp_head_all(spark, d):
-    hidden = [[(k + h) % 3 - 1 for k in range(1, 9)] for h in range(4)]
-    heads = online.mlp_head(read(spark, d, "embeddings"), "vec_id", "embedding", [1.0] * 8, hidden, [0.1 * h for h in range(4)], [h - 1.0 for h in range(4)])
+    """Over all 64 components."""
+    hidden = [[(k + h) % 3 - 1 for k in range(1, 65)] for h in range(4)]
+    heads = online.mlp_head(read(spark, d, "embeddings"), "vec_id", "embedding", [1.0] * 64, hidden, [0.1 * h for h in range(4)], [h - 1.0 for h in range(4)])
     return heads.select("vec_id", F.round("head", 6).alias("head"))
 
 
@@ -397,7 +365,7 @@ def on_factor_user(spark, d):
     return online.factor_user(users, high, low, 1000, 8).select("u", F.round("prior", 6).alias("prior"))
 
 
-@query(f"with {STREAM} select pos, {MU}::double as score from stream where pos % 3 = 1")
+@query(f"with {STREAM} select pos, {MU}::double as score from stream")
 def on_noop(spark, d):
     return online.score(_requests(spark, d), None, None, P).select("pos", "score")
 
@@ -432,7 +400,7 @@ def rep_ablation(spark, d):
     return out
 
 
-@query(f"""with {STREAM}, f as (select *, rating - {MU} as e, u / 150.0 as x1, i / 97.0 as x2, 1.0 as one from stream where pos % 5 < 3)
+@query(f"""with {STREAM}, f as (select *, rating - {MU} as e, u / 150.0 as x1, i / 97.0 as x2, 1.0 as one from stream)
 select 'e' as a, 'e' as b, round(sum(e * e), 5) as value from f union all select 'one', 'one', round(sum(one), 5) from f union all select 'one', 'x1', round(sum(x1), 5) from f
 union all select 'one', 'x2', round(sum(x2), 5) from f union all select 'one', 'e', round(sum(e), 5) from f union all select 'x1', 'x1', round(sum(x1 * x1), 5) from f union all select 'x1', 'x2', round(sum(x1 * x2), 5) from f
 union all select 'x1', 'e', round(sum(x1 * e), 5) from f union all select 'x2', 'x2', round(sum(x2 * x2), 5) from f union all select 'x2', 'e', round(sum(x2 * e), 5) from f""")
@@ -462,7 +430,7 @@ def _columns(s):
 
 
 def _design(spark, d):
-    s = inputs.stream(spark, d).where("pos % 5 < 3")
+    s = inputs.stream(spark, d)
     return s.select("*", (F.col("rating") - MU).alias("e"), (F.col("u") / 150.0).alias("x1"), (F.col("i") / 97.0).alias("x2"), F.lit(1.0).alias("one"))
 
 
@@ -512,8 +480,8 @@ def fit_backfit(spark, d):
 
 @query()
 def fit_greedy_tables(spark, d):
-    """Tables taken forward, one by one, on the fit share of the stream."""
-    s = inputs.stream(spark, d).where("pos % 5 < 3")
+    """Tables taken forward, one by one."""
+    s = inputs.stream(spark, d)
     bins = {f"u{n}": F.col("u") % n for n in (4, 8, 16)} | {f"i{n}": F.col("i") % n for n in (4, 8, 16)}
     rows = s.select((F.col("rating") - MU).alias("e"), *[c.alias(n) for n, c in bins.items()])
     chosen = fit.greedy_tables(rows, list(bins), "e", 10.0, 40, 1.0)
@@ -528,7 +496,7 @@ def fit_segments_dp(spark, d):
     return spark.createDataFrame([(k, v, float(c) if c is not None else None) for k, (v, c) in enumerate(zip(values, [*cuts, None], strict=True))], "segment int, value double, last double")
 
 
-@query(f"""with {FACTORS}, {STREAM}, r as (select vec_id as pos, e.embedding as v, s.rating - {MU} as e from embeddings e join stream s on s.pos = e.vec_id), l as (select e, k, v[k]::double as x from r, range(1, 65) t(k)),
+@query(f"""with {STREAM}, r as (select vec_id as pos, e.embedding as v, s.rating - {MU} as e from embeddings e join stream s on s.pos = e.vec_id), l as (select e, k, v[k]::double as x from r, range(1, 65) t(k)),
 m as (select 'v' as kind, k - 1 as dim, e, x from l union all select 'v2', k - 1, e, x * x from l),
 s as (select kind, cast(dim as int) as dim, abs(avg(x * e) - avg(x) * avg(e)) / sqrt(avg(x * x) - avg(x) ** 2) as strength from m group by kind, dim)
 select kind, dim, round(strength, 6) as strength from s order by s.strength desc limit 10""")
@@ -538,11 +506,12 @@ def fit_feature_screen(spark, d):
     return _out(fit.screen(rows, {"v": "v"}, "e", 10))
 
 
-@query(f"with {STREAM} select pos, round(sin(u * 2 * pi() / 150 * 3), 6) + 0.0 as sin3, round(cos(u * 2 * pi() / 150 * 3), 6) + 0.0 as cos3, round(2 * (2 * u / 1000.0 - 1) ** 2 - 1, 6) as t2 from stream where pos < 2000")
-def fit_fourier(spark, d):
+@query(f"with {STREAM} select pos, round(sin(u * 2 * pi() / 150 * 3), 6) + 0.0 as sin3, round(cos(u * 2 * pi() / 150 * 3), 6) + 0.0 as cos3, round(2 * (2 * u / 1000.0 - 1) ** 2 - 1, 6) as t2 from stream")
+def fit_fourier_basis(spark, d):
+    """Bases of given frequencies for every row."""
     f = fit.fourier_basis(F.col("u"), 150.0, [3])
     t = fit.chebyshev_basis(F.col("u"), 0.0, 1000.0, 2)
-    return inputs.stream(spark, d).where("pos < 2000").select("pos", *[(F.round(c, 6) + 0.0).alias(n) for n, c in f.items()], F.round(t["t2"], 6).alias("t2"))
+    return inputs.stream(spark, d).select("pos", *[(F.round(c, 6) + 0.0).alias(n) for n, c in f.items()], F.round(t["t2"], 6).alias("t2"))
 
 
 @query()
@@ -584,3 +553,6 @@ def fit_gbdt(spark, d):
     x = s.where(F.col("pos") >= 0.6 * n).join(u.select("u", (F.col("s") / (F.col("n") + 20)).alias("xu")), "u", "left").join(i.select("i", (F.col("s") / (F.col("n") + 5)).alias("xi")), "i", "left").na.fill(0.0)
     model = fit.boosted(x.where(F.col("pos") < 0.8 * n), ["xu", "xi"], "rating", 5, 3)
     return ratings.rmse(model.transform(x.where(F.col("pos") >= 0.8 * n)).withColumnRenamed("prediction", "score"))
+
+
+query.also({n: f"{n}_all" for n in ("user_knn", "on_dot_predict", "on_pq_head", "on_segment_dot", "on_linear_head", "on_mlp_head")} | {"fit_fourier": "fit_fourier_basis"})

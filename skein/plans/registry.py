@@ -18,3 +18,9 @@ class Registry:
             return f
 
         return keep
+
+    def also(self, names: dict[str, str]) -> None:
+        """Register queries under second names."""
+        for name, of in names.items():
+            self.queries[name] = self.queries[of]
+            self.oracles[name] = self.oracles[of]

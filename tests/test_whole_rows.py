@@ -39,8 +39,8 @@ def test_every_vector_has_heads(spark, data):
     linear = rows(spark, "on_linear_head_all", data, "vec_id", "head")
     assert np.allclose([linear[k] for k in range(VECTORS)], v @ [k % 5 - 2 for k in range(1, 65)], atol=1e-5) and len(linear) == VECTORS
     mlp = rows(spark, "on_mlp_head_all", data, "vec_id", "head")
-    hidden = np.array([[(k + h) % 3 - 1 for k in range(1, 9)] for h in range(4)])
-    want = v[:, :8].sum(axis=1) + np.maximum(v[:, :8] @ hidden.T + 0.1 * np.arange(4), 0) @ (np.arange(4) - 1.0)
+    hidden = np.array([[(k + h) % 3 - 1 for k in range(1, 65)] for h in range(4)])
+    want = v.sum(axis=1) + np.maximum(v @ hidden.T + 0.1 * np.arange(4), 0) @ (np.arange(4) - 1.0)
     assert np.allclose([mlp[k] for k in range(VECTORS)], want, atol=1e-5) and len(mlp) == VECTORS
 
 
