@@ -227,13 +227,14 @@ def pr_run(spark, d):
 
 @query()
 def pr_compare_strategies(spark, d):
-    """Each treatment of dead ends against spreading them: rank sum and overlap of the first ten nodes."""
+    """Each treatment of dead ends against spreading them: rounds, last change, rank sum, nodes with and without rank, and overlap of the first ten nodes."""
     e, out, base = edges_bipartite(spark, d), None, None
     for how in ("spread", "ignore", "delete"):
-        ranks, rounds, _ = pagerank(e, dead_ends=how, eps=1e-6)
+        ranks, rounds, delta = pagerank(e, dead_ends=how, eps=1e-6)
         top = ranking.top_k(ranks, 10)
         base = base or top
-        row = ranks.agg(F.lit(how).alias("dead_ends"), F.round(F.sum("rank"), 6).alias("rank_sum"), F.lit(rounds).alias("rounds")).crossJoin(ranking.jaccard(top, base))
+        counts = [F.count_if(F.col("rank") > 0).alias("active"), F.count_if(F.col("rank") == 0).alias("removed"), F.lit(delta).alias("delta")]
+        row = ranks.agg(F.lit(how).alias("dead_ends"), F.round(F.sum("rank"), 6).alias("rank_sum"), F.lit(rounds).alias("rounds"), *counts).crossJoin(ranking.jaccard(top, base))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -10,7 +10,7 @@ from skein.operators import compose, design, fit, models, online, ratings
 from skein.operators.compose import Bias, Blend, Ensemble, Fitted, ItemMean
 from skein.plans import inputs
 from skein.plans.inputs import HELD, STREAM
-from skein.plans.rating import MEANS, MU, P, _out, _split, bias_sql, state_sql
+from skein.plans.rating import MEANS, MU, SCORE, SEGMENT, THRESHOLDS, VALUES, P, _out, _split, bias_sql, component_sql, state_sql
 from skein.plans.registry import Registry
 from skein.stage import read, shared_dir, stage
 from skein.streaming import online as streaming
@@ -248,3 +248,53 @@ def on_full_sgd(spark, d):
         return models.score_factors(requests, factors, (P.mean, 0.5, 5.0))
 
     return streaming.refit_per_batch(streaming.rating_stream(spark, f"{d}/events.parquet"), refit)
+
+
+#: The score with parts of it switched off: parameters, sides that have a state, strides of users and items with their phases.
+_FULL = {"thresholds": THRESHOLDS, "values": VALUES}
+VARIANTS = {
+    "full": (_FULL, "ui", (10, 0, 4, 2)),
+    "no prior": ({}, "ui", (10, 0, 4, 2)),
+    "no counts": (_FULL | {"log_user": 0.0, "log_item": 0.0, "root_user": 0.0, "root_item": 0.0}, "ui", (10, 0, 4, 2)),
+    "no user residual": (_FULL | {"user_weight": 0.0}, "ui", (10, 0, 4, 2)),
+    "no item residual": (_FULL | {"item_weight": 0.0}, "ui", (10, 0, 4, 2)),
+    "item only": (_FULL, "i", (10, 0, 4, 2)),
+    "constant": (_FULL, "", (10, 0, 4, 2)),
+    "other strides": (_FULL, "ui", (5, 1, 2, 1)),
+}
+
+
+def _variant_sql(name: str) -> str:
+    changed, sides, (us, up, its, ip) = VARIANTS[name]
+    p = SCORE | changed
+    users, items = state_sql("u", us, up), state_sql("i", its, ip, its)
+    of = {"u": component_sql("x.s", "x.n", (p["log_user"], p["root_user"], p["user_weight"], p["user_shrink"])), "i": component_sql("y.s", "y.n", (p["log_item"], p["root_item"], p["item_weight"], p["item_shrink"]))}
+    total = " + ".join([str(p["intercept"]), SEGMENT if "thresholds" in p else "0.0", *[of[k] for k in sides]]) if sides else str(MU)
+    return f"select '{name}' as variant, greatest(0.0, least(5.0, {total})) as score, req.rating from stream req left join ({users}) x on x.u = req.u left join ({items}) y on y.i = req.i"
+
+
+@query(f"with {STREAM}, s as (" + " union all ".join(map(_variant_sql, VARIANTS)) + ") select variant, round(sqrt(avg((score - rating) ** 2)), 6) as rmse, count(*) as n from s group by variant")
+def rep_ablation_grid(spark, d):
+    """The score's error with each of its parts switched off."""
+    s, out = inputs.stream(spark, d), None
+    for name, (changed, sides, (us, up, its, ip)) in VARIANTS.items():
+        p = online.Scoring(mean=MU, low=0.0, high=5.0, user_stride=us, user_phase=up, item_stride=its, item_phase=ip, **(SCORE | changed))
+        users, items = online.fit_states(s, p)
+        row = ratings.rmse(online.score(s.select("u", "i", "rating"), users if "u" in sides else None, items if "i" in sides else None, p)).select(F.lit(name).alias("variant"), F.round("rmse", 6).alias("rmse"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+MASKS = {"all": (0.0, 9.0), "below 4": (0.0, 4.0), "from 4": (4.0, 9.0), "2 to 4": (2.0, 4.0)}
+
+
+@query(f"""with {STREAM}, m(mask, lo, hi) as (values {", ".join(f"('{n}', {a}::double, {b}::double)" for n, (a, b) in MASKS.items())})
+select side, mask, phase, count(*) filter (rating >= lo and rating < hi) as kept, round(coalesce(sum(rating - {MU}) filter (rating >= lo and rating < hi), 0), 6) as s
+from (select 'item' as side, pos % 4 as phase, rating from stream union all select 'user', pos % 10, rating from stream) t, m group by side, mask, phase""")
+def fit_gate_grid(spark, d):
+    """Residual sums for each mask of ratings and each sampling phase of items and users: the whole grid in one pass."""
+    sides = F.explode(F.array(F.struct(F.lit("item").alias("side"), (F.col("pos") % 4).alias("phase")), F.struct(F.lit("user").alias("side"), (F.col("pos") % 10).alias("phase"))))
+    masks = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), ((F.col("rating") >= a) & (F.col("rating") < b)).alias("keep")) for n, (a, b) in MASKS.items()]))
+    rows = inputs.stream(spark, d).select("rating", "pos", sides.alias("x")).select("rating", "x.*").select("*", masks.alias("m")).select("rating", "side", "phase", "m.*")
+    e = F.when(F.col("keep"), F.col("rating") - MU)
+    return _out(rows.groupBy("side", "mask", "phase").agg(F.count(e).alias("kept"), F.coalesce(F.sum(e), F.lit(0.0)).alias("s")))
