@@ -15,12 +15,12 @@ def held(spark):
 
 
 def test_owned_and_settled_tables_are_dropped(spark):
-    before = held(spark)
+    before, names = held(spark), {t.name for t in spark.catalog.listTables()}
     with stage.owned():
         a = stage.stage(spark.range(5))
         b = stage.stage_bucketed(spark.range(5), "id")
         assert a.join(b, "id").count() == 5 and len(held(spark)) == len(before) + 2
-    assert held(spark) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+    assert held(spark) == before and {t.name for t in spark.catalog.listTables()} == names
     out = stage.settled(lambda: stage.stage(spark.range(7)).where("id > 2"))
     assert out.count() == 4 and len(held(spark)) == len(before) + 1
     stage.discard(out)
