@@ -75,21 +75,29 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
 
     ``messages`` has ``tree, id, parent, score``, ids unique within a tree and no null in tree or id.
     """
-    nodes = stage(messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
-    ids = nodes.select("tree", "id")
-    jump = stage(nodes.select("tree", "id", F.col("parent").alias("up_id")).join(ids.select("tree", F.col("id").alias("up_id")), ["tree", "up_id"]))
+    messages = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = stage(messages.join(messages.groupBy("tree").agg(F.count("*").alias("size")), "tree"))
+    ids = nodes.select("tree", "id", "size")
+    jump = stage(nodes.select("tree", "id", "size", F.col("parent").alias("up_id")).join(ids.select("tree", F.col("id").alias("up_id")), ["tree", "up_id"]))
     parents = jump.select("tree", F.col("up_id").alias("id")).distinct()
-    roots = stage(ids.join(jump.select("tree", "id"), ["tree", "id"], "left_anti"))
-    paths = stage(ids.join(parents, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up")))
-    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    roots = stage(ids.join(jump.select("tree", "id"), ["tree", "id"], "left_anti").drop("size"))
+    parts = [stage(ids.join(parents, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", "size", F.lit(0).cast("long").alias("up")))]
+    largest = nodes.agg(F.max("size")).first()[0] or 0
     for step in (1 << i for i in range(int(largest).bit_length())):
+        # Trees of up to ``step`` messages have no path that long: their rows stay out of this round and the later ones.
+        near, large = None, F.col("size") > step
+        for part in parts:
+            near = part.where(large) if near is None else near.unionByName(part.where(large))
+        parts.append(stage(near.join(jump.drop("size"), ["tree", "id"]).select("tree", "leaf", F.col("up_id").alias("id"), "size", (F.col("up") + step).alias("up"))))
+        second = jump.select("tree", F.col("id").alias("up_id"), F.col("up_id").alias("far"))
+        before, jump = jump, stage(jump.where(F.col("size") > 2 * step).join(second, ["tree", "up_id"]).select("tree", "id", "size", F.col("far").alias("up_id")))
+        discard(before)
         if jump.isEmpty():
             break
-        above = paths.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up_id").alias("id"), (F.col("up") + step).alias("up"))
-        second = jump.select("tree", F.col("id").alias("up_id"), F.col("up_id").alias("far"))
-        before = paths, jump
-        paths, jump = stage(paths.unionByName(above)), stage(jump.join(second, ["tree", "up_id"]).select("tree", "id", F.col("far").alias("up_id")))
-        discard(*before)
+    paths = parts[0]
+    for part in parts[1:]:
+        paths = paths.unionByName(part)
+    paths = paths.drop("size")
     branches = (
         paths.join(nodes.select("tree", "id", "score"), ["tree", "id"])
         .join(roots.withColumn("is_root", F.lit(True)), ["tree", "id"], "left")
@@ -182,8 +190,12 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     place = ["tree", "turn", "role"]
     counted = stage(rows.groupBy(*place, "l1", "l2").agg(F.count("*").alias("n")))
     tied = counted.groupBy(*place).agg(F.count("*").alias("texts")).where("texts > 1").select("tree", F.struct(F.col("turn").isNull().alias("none"), "turn", "role").alias("at"))
-    told = rows.withColumn("at", F.struct(F.col("turn").isNull().alias("none"), "turn", "role")).join(tied, ["tree", "at"], "left_semi")
-    told = told.groupBy("tree", "l1", "l2").agg(F.first("text").alias("tie"))
+    tied = stage(tied)
+    if tied.isEmpty():  # else texts of the rows at these places join in; they alone are moved if Spark can broadcast the places
+        told = counted.select("tree", "l1", "l2", F.lit(None).cast("string").alias("tie")).limit(0)
+    else:
+        told = rows.withColumn("at", F.struct(F.col("turn").isNull().alias("none"), "turn", "role")).join(tied, ["tree", "at"], "left_semi")
+        told = told.groupBy("tree", "l1", "l2").agg(F.first("text").alias("tie"))
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", F.col("tie").asc_nulls_first(), "l1", "l2", "copy")
     each = counted.join(told, ["tree", "l1", "l2"], "left").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     nodes = each.select("tree", F.row_number().over(order).cast("long").alias("id"), "l1", "l2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import chat, decontaminate, lengths, neardup, pieces, quality, sharding, toxicity, urlfilter, vectors
 from skein.llm.batches import fold
-from skein.stage import read
+from skein.stage import literal_rows, read
 
 RULES = [
     urlfilter.Rule("com", "/en/", "block"),
@@ -39,7 +39,8 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    columns = [("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string")]
+    extra = literal_rows(spark, [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], columns)
     formatted = chat.format_conversations(rows.unionByName(extra))
     back = chat.read_back(formatted, ["tree"])
     return back.select(F.when(~F.col("tree.none"), F.col("tree.conv_id")).alias("conv_id"), *back.columns[1:])
