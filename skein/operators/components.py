@@ -7,7 +7,7 @@ of the longest path, and partial aggregation takes the weight of nodes with very
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skein.stage import discard, stage
@@ -32,8 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stage(edges.where("a <> b").select("a", "b").distinct())
     mark = None
     while True:
-        after = stage(_small_star(_large_star(now)))
-        count, total = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()  # measured while the round's table is written
+        measures = [F.count("*").alias("count"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("total")]
+        after = stage(_small_star(_large_star(now)).observe(seen, *measures))
+        count, total = (seen.get.get(k) for k in ("count", "total"))
         discard(now)
         now = after
         if (count, total) == mark or not count:
