@@ -1,7 +1,7 @@
 """Linear calibration of a base score by features of the user's and item's profiles.
 
 Features are built by rule from a few symbols of the pair: the base score, and for either side its count, mean, median,
-variance, range and so on. Names are part of the interface.
+variance, range and so on. Names are part of the interface. All scales, powers and thresholds in this file are fixed values.
 """
 
 from __future__ import annotations

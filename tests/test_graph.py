@@ -20,6 +20,7 @@ def ranks_of(df):
     return {r["node"]: r["rank"] for r in df.collect()}
 
 
+# A graph small enough to rank by hand, and its ranks below.
 HAND = [(0, 1), (1, 2), (2, 0), (3, 2)]
 
 
