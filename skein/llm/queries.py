@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, lengths, neardup, pieces, quality, sharding, toxicity, urlfilter, vectors
+from skein.llm import chat, decontaminate, lengths, neardup, periodic, pieces, quality, sharding, toxicity, urlfilter, vectors
 from skein.llm.batches import fold
 from skein.stage import literal_rows, read
 
@@ -72,7 +72,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", periodic.plant_period().alias("text"))
+    return periodic.run_digests(periodic.periodic_runs(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece, op11_periodic_runs)}
 
 ORACLES = {
     "op4_reply_trees": """
