@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, lengths, neardup, periodic, pieces, quality, sharding, toxicity, urlfilter, vectors
+from skein.llm import chat, decontaminate, hardnegatives, lengths, neardup, periodic, pieces, quality, sharding, toxicity, urlfilter, vectors
 from skein.llm.batches import fold
 from skein.stage import literal_rows, read
 
@@ -77,7 +77,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece, op11_periodic_runs)}
+def op12_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.floor(x.cast("double") * 256)))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("embedding"), label.alias("label"))
+    return hardnegatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece, op11_periodic_runs, op12_pivot_negatives)}
 
 ORACLES = {
     "op4_reply_trees": """
@@ -109,4 +116,22 @@ fits as (
   from parts join rules on (host = h or host like '%.' || h) and starts_with(path, p))
 select parts.page_id, host, path, rule, coalesce(v, 'allow') as verdict
 from parts left join fits on fits.page_id = parts.page_id and n = 1""",
+    "op12_pivot_negatives": """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from rows a join rows b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, other as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+negatives as (
+  select p.anchor_id, positive_id, positive_score, other as negative_id, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, other) as rank
+  from positives p join scored s on s.anchor_id = p.anchor_id and not same
+    and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from negatives where rank <= 5""",
 }
