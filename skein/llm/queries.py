@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, hardnegatives, lengths, neardup, periodic, pieces, quality, sharding, toxicity, urlfilter, vectors
+from skein.llm import chat, decontaminate, hardnegatives, lengths, neardup, packing, periodic, pieces, quality, sharding, toxicity, urlfilter, vectors
 from skein.llm.batches import fold
 from skein.stage import literal_rows, read
 
@@ -84,7 +84,12 @@ def op12_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece, op11_periodic_runs, op12_pivot_negatives)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_gru, op3_kd_shards, op4_reply_trees, op5_string_tiling, op6_url_cascade, op7_itq_neardup, op8_token_counts, op9_weighted_minhash, op10_sentencepiece, op11_periodic_runs, op12_pivot_negatives, op13_best_fit_packing)}
 
 ORACLES = {
     "op4_reply_trees": """
