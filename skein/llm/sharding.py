@@ -7,12 +7,11 @@ round narrows the nodes' intervals, until the rows left in them are few and are
 exactly. At most ``SUMS`` sums or rows (``LEAST_BINS`` a node, if that is more) reach the driver in a round, however large the table is.
 A level's cuts are array literals that rows look up by their node, and its rows are written before the next level.
 
-Rows are ordered by (dimension, content hash, hash of the id, number of the row), so rows of equal text stay
-together unless the cut would then be off by over ``TOLERANCE`` of a shard; a group of copies that is too large
-for that is split. So a cut is off by half of the row at it or by ``TOLERANCE`` of a shard, whichever is more, and a shard by the sum of that over its levels (log2 of the shards):
-shards are near equal unless single texts weigh as much as shards. Documents are read once; the tree works on a narrow table of
-numbers. Slots within a shard come from counts of (shard, bucket) and a rank within each bucket,
-so no task ranks a whole shard. Only built-in functions are used.
+Rows of equal text are one point of the tree, with the sum of their weights and the least of their metadata, so they share a shard whatever their languages and sources are. Only a group of
+copies over ``GROUP`` of a shard, and over the largest single text, is parted, into points of about that weight. Points are ordered by (dimension, content hash, hash of text and part). So a
+cut is off by half of the point at it, and a shard by the sum of that over its levels (log2 of the shards): shards are near equal unless single texts weigh as much as
+shards. Documents are read once; the tree works on a narrow table of numbers, and rows find their point by the text's hash, its size and the part. Slots within a shard come from counts of
+(shard, bucket) and a rank within each bucket, so no task ranks a whole shard. Only built-in functions are used.
 
 Special cases: a null text has no bytes (size 16 in the query) and hash 0; null metadata counts as
 0; numbers beyond 2**61 in size count as that; repeated rows and null ids are rows like others; a table with fewer rows than shards, or an
@@ -32,7 +31,8 @@ from skein.stage import discard, stage
 
 #: Sums, or rows, that come to the driver in a round for all nodes together, and bins that a node has at least.
 SUMS, LEAST_BINS = 1 << 16, 64
-TOLERANCE = 0.01
+#: Of a shard: what a cut may be off so that points alike in dimension and content stay together; weight of a group of copies that is parted.
+TOLERANCE, GROUP = 0.01, 0.05
 SLOT_BUCKETS = 256
 #: Numbers beyond it count as it, so that differences are whole numbers of 64 bits.
 FAR = 1 << 61
@@ -167,6 +167,29 @@ def kd_shards(points: DataFrame, dims: int, shards: int) -> DataFrame:
     return points
 
 
+#: What rows of equal text have in common.
+GROUPED = ["text", "size", "content"]
+
+
+def text_points(rows: DataFrame, dims: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their ``part``, and the points of the tree: one for each text, or for each part of a text whose copies weigh too much together."""
+    least = [F.min(F.element_at("v", i + 1)).alias(f"v{i}") for i in range(dims)]
+    groups = stage(rows.groupBy(*GROUPED).agg(F.count("*").alias("n"), *least))
+    total, largest = groups.agg(F.sum(F.col("n") * F.col("size")), F.max("size")).first()
+    limit = max(GROUP * (total or 0) / shards, largest or 0)
+    parts = F.ceil(F.col("n") * F.col("size") / F.lit(float(limit or 1)))
+    heavy = groups.where(parts > 1).select(*GROUPED, parts.alias("parts"), *[f"v{i}" for i in range(dims)])  # at most shards / GROUP rows
+    # Copies are dealt by their number; what isn't heavy is one part.
+    dealt = rows.join(F.broadcast(heavy.select(*GROUPED, "parts")), GROUPED, "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row"), "parts")).otherwise(0)).drop("parts")
+    halves = dealt.join(F.broadcast(heavy), GROUPED).groupBy(*GROUPED, "part", *[f"v{i}" for i in range(dims)]).agg(F.count("*").alias("n"))
+    single = groups.where(parts <= 1).withColumn("part", F.lit(0).cast("long"))
+    both = single.unionByName(halves)
+    tie = F.xxhash64(*GROUPED, "part").bitwiseAND(F.lit((1 << 50) - 1))
+    points = both.select(*GROUPED, "part", (F.col("n") * F.col("size")).alias("weight"), F.array(*[f"v{i}" for i in range(dims)]).alias("v"), tie.alias("tie"))
+    return dealt, points
+
+
 def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("lang", "source"), overhead: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``size`` (bytes of the text plus ``overhead``), ``text_crc32``, ``shard`` and ``slot`` of each row.
 
@@ -178,13 +201,13 @@ def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("
     coded = [F.coalesce(near(F.col(c).cast("long")) if kinds[c] in numbers else F.crc32(F.col(c).cast("string").cast("binary")), F.lit(0)) for c in metadata]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
     content = F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0))
-    rows = docs.select(F.col(key).alias("id"), size.alias("weight"), content.alias("content"), F.array(*coded, size).alias("v"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(key).alias("id"), size.alias("size"), content.alias("content"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.array(*coded, size).alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = stage(rows)  # written, so the numbers stay
-    # Ties go by a hash of the id; rows that are alike in it too by their number, so that many of them can be parted.
-    tie = F.shiftleft(F.xxhash64("id").bitwiseAND(F.lit((1 << 38) - 1)), 12) + F.pmod(F.xxhash64("row"), F.lit(1 << 12))
-    placed = kd_shards(rows.withColumn("tie", tie), len(coded) + 1, shards)
+    rows, points = text_points(rows, len(coded) + 1, shards)
+    placed = kd_shards(points, len(coded) + 1, shards).select(*GROUPED, "part", "node")
+    placed = rows.join(placed, [*GROUPED, "part"])
     bucket = F.pmod(F.xxhash64("row"), F.lit(SLOT_BUCKETS))
-    placed = placed.select("id", "weight", "content", "row", F.col("node").alias("shard"), bucket.alias("bucket"))
+    placed = placed.select("id", "size", "content", "row", F.col("node").alias("shard"), bucket.alias("bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bucket").count()
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -192,4 +215,4 @@ def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("
     # shards x SLOT_BUCKETS rows at most
     ranked = placed.withColumn("rank", rank).join(F.broadcast(starts), ["shard", "bucket"])
     slot = F.col("start") + F.col("rank") - 1
-    return ranked.select(F.col("id").alias(key), F.col("weight").alias("size"), F.col("content").alias("text_crc32"), "shard", slot.alias("slot"))
+    return ranked.select(F.col("id").alias(key), "size", F.col("content").alias("text_crc32"), "shard", slot.alias("slot"))

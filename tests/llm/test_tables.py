@@ -76,6 +76,41 @@ def test_shards_equal_brute_force_tree(spark, monkeypatch, sums, shards):
     assert got == brute_tree(points, 3, shards)
 
 
+@pytest.mark.parametrize("shards", [3, 8])
+def test_copies_share_a_shard_whatever_their_metadata(spark, shards):
+    rng = np.random.default_rng(shards)
+    texts = [f"text {k} " + "x" * int(rng.integers(0, 900)) for k in range(300)]
+    rows = [(n, texts[int(k)], f"l{rng.integers(5)}", int(rng.integers(50))) for n, k in enumerate(rng.zipf(1.3, 1500) % 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source int")
+    got = {r["doc_id"]: r for r in sharding.shard_documents(frame, shards).collect()}
+    groups = {}
+    for n, t, _, _ in rows:
+        groups.setdefault(t, []).append(n)
+    total = sum(len(t) + 16 for _, t, _, _ in rows)
+    limit = max(sharding.GROUP * total / shards, max(map(len, texts)) + 16)
+    parted = 0
+    for t, own in groups.items():
+        here = len({got[n]["shard"] for n in own})
+        assert here <= -(-len(own) * (len(t) + 16) // limit)
+        parted += here > 1
+    assert parted <= shards / sharding.GROUP and any(len(own) > 1 for own in groups.values())
+    # The tree of the texts' points is that of brute force, and rows lie where their point does.
+    def crc(s):
+        return zlib.crc32(s.encode())
+
+    table = spark.createDataFrame([(n, hash(t) % 2**40, len(t) + 16, crc(t), [crc(a), b, len(t) + 16], n) for n, t, a, b in rows], "id long, text long, size long, content long, v array<long>, row long")
+    dealt, points = sharding.text_points(table, 3, shards)
+    flat = [(r["weight"], tuple(r["v"]), r["content"], r["tie"]) for r in points.collect()]
+    assert sum(p[0] for p in flat) == total
+    for r in points.collect():
+        own = [(crc(rows[n][2]), rows[n][3]) for n in groups[next(t for t in groups if crc(t) == r["content"])]]
+        assert tuple(r["v"][:2]) == (min(a for a, _ in own), min(b for _, b in own))
+    wanted = {flat[k]: shard for k, shard in brute_tree(flat, 3, shards).items()}
+    placed = {(r["weight"], tuple(r["v"]), r["content"], r["tie"]): r["node"] for r in sharding.kd_shards(points, 3, shards).collect()}
+    assert placed == wanted
+    assert dealt.groupBy("text", "size", "content", "part").count().count() == len(flat)
+
+
 def test_shards_of_few_and_equal_rows(spark):
     rows = spark.createDataFrame([(5, "a", "x", "y")] * 3, "doc_id long, text string, lang string, source string")
     assert len(sharding.shard_documents(rows, 4).collect()) == 3
