@@ -8,7 +8,7 @@ exactly. At most ``SUMS`` sums or rows (``LEAST_BINS`` a node, if that is more)
 A level's cuts are array literals that rows look up by their node, and its rows are written before the next level.
 
 Rows of equal text are one point of the tree, with the sum of their weights and the least of their metadata, so they share a shard whatever their languages and sources are. Only a group of
-copies over ``GROUP`` of a shard, and over the largest single text, is parted, into points of about that weight. Points are ordered by (dimension, content hash, hash of text and part). So a
+copies over ``GROUP`` of a shard, and over the largest single text, is parted, into points of about that weight. Points are ordered by (dimension, heaviest first, hash of text and part). So a
 cut is off by half of the point at it, and a shard by the sum of that over its levels (log2 of the shards): shards are near equal unless single texts weigh as much as
 shards. Documents are read once; the tree works on a narrow table of numbers, and rows find their point by the text's hash, its size and the part. Slots within a shard come from counts of
 (shard, bucket) and a rank within each bucket, so no task ranks a whole shard. Only built-in functions are used.
@@ -168,7 +168,7 @@ def kd_shards(points: DataFrame, dims: int, shards: int) -> DataFrame:
 
 
 #: What rows of equal text have in common.
-GROUPED = ["text", "size", "content"]
+GROUPED = ["text", "size", "crc"]
 
 
 def text_points(rows: DataFrame, dims: int, shards: int) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +185,10 @@ def text_points(rows: DataFrame, dims: int, shards: int) -> tuple[DataFrame, Dat
     halves = dealt.join(F.broadcast(heavy), GROUPED).groupBy(*GROUPED, "part", *[f"v{i}" for i in range(dims)]).agg(F.count("*").alias("n"))
     single = groups.where(parts <= 1).withColumn("part", F.lit(0).cast("long"))
     both = single.unionByName(halves)
-    tie = F.xxhash64(*GROUPED, "part").bitwiseAND(F.lit((1 << 50) - 1))
-    points = both.select(*GROUPED, "part", (F.col("n") * F.col("size")).alias("weight"), F.array(*[f"v{i}" for i in range(dims)]).alias("v"), tie.alias("tie"))
+    weight, tie = F.col("n") * F.col("size"), F.xxhash64(*GROUPED, "part").bitwiseAND(F.lit((1 << 50) - 1))
+    # Of points alike in a dimension the heavy come first, so that cuts among them fall between light ones.
+    heavy_first = -F.shiftleft(F.least(weight, F.lit(1 << 40)), 20) + F.pmod(tie, F.lit(1 << 20))
+    points = both.select(*GROUPED, "part", weight.alias("weight"), F.array(*[f"v{i}" for i in range(dims)]).alias("v"), heavy_first.alias("content"), tie.alias("tie"))
     return dealt, points
 
 
@@ -201,13 +203,13 @@ def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("
     coded = [F.coalesce(near(F.col(c).cast("long")) if kinds[c] in numbers else F.crc32(F.col(c).cast("string").cast("binary")), F.lit(0)) for c in metadata]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
     content = F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0))
-    rows = docs.select(F.col(key).alias("id"), size.alias("size"), content.alias("content"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.array(*coded, size).alias("v"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(key).alias("id"), size.alias("size"), content.alias("crc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.array(*coded, size).alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = stage(rows)  # written, so the numbers stay
     rows, points = text_points(rows, len(coded) + 1, shards)
     placed = kd_shards(points, len(coded) + 1, shards).select(*GROUPED, "part", "node")
     placed = rows.join(placed, [*GROUPED, "part"])
     bucket = F.pmod(F.xxhash64("row"), F.lit(SLOT_BUCKETS))
-    placed = placed.select("id", "size", "content", "row", F.col("node").alias("shard"), bucket.alias("bucket"))
+    placed = placed.select("id", "size", "crc", "row", F.col("node").alias("shard"), bucket.alias("bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bucket").count()
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -215,4 +217,4 @@ def shard_documents(docs: DataFrame, shards: int, metadata: tuple[str, ...] = ("
     # shards x SLOT_BUCKETS rows at most
     ranked = placed.withColumn("rank", rank).join(F.broadcast(starts), ["shard", "bucket"])
     slot = F.col("start") + F.col("rank") - 1
-    return ranked.select(F.col("id").alias(key), "size", F.col("content").alias("text_crc32"), "shard", slot.alias("slot"))
+    return ranked.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", slot.alias("slot"))
