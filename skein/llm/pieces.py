@@ -9,9 +9,10 @@ packed, to the parts of the corpus's table of distinct chunks (by their hash); a
 gives every block the ids of those it asked for, in the order in which it did. Blocks meet their answers again by a hash of their content,
 and numbers become ids. What is shuffled is each block's distinct chunks, their ids, and the numbers: less than the texts.
 Decoding joins what the library makes of each piece, in bytes, as pieces may be parts of a character.
-Documents are read twice, so ``docs`` must give its rows in the same order again, as files do; otherwise a block
-finds no answer, which raises an error.
+Documents are read twice and must give their rows in the same order again, as files do. What isn't a plain reading of files (a join's or shuffle's output, random choices) is
+written first and read from there.
 
+A part remembers up to ``TABLE`` chunks at once; where it has more, it starts again, and chunks that come back are segmented again, with the same ids.
 Chunks over ``LONGEST`` characters, which hardly repeat, are segmented where they stand, so that the table's parts hold short ones only.
 
 Results for special cases: a null or empty text has the begin and end ids alone and decodes to "";
@@ -37,10 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.batches import slices, texts_of
+from skein.stage import stage
 
 MARK = "▁"
 #: Characters and rows of a block, and characters of the longest chunk that goes to the table.
 BLOCK_CHARS, BLOCK_ROWS, LONGEST = 32 << 20, 50_000, 48
+#: Chunks that a part of the table holds in memory at once.
+TABLE = 1_000_000
 
 _chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
 
@@ -189,6 +193,8 @@ def _answers(docs: DataFrame, text: str, model_path: str, parts: int) -> DataFra
                 if part != now:
                     table, now = {}, part  # the part's distinct chunks
                 chunks = unpack_strings(blob)
+                if len(table) > TABLE:
+                    table = {}
                 new = [c for c in chunks if c not in table]
                 table.update(zip(new, model.segment(new), strict=True))
                 out.append((name, part, pack_segments([table[c] for c in chunks]), None))
@@ -197,10 +203,22 @@ def _answers(docs: DataFrame, text: str, model_path: str, parts: int) -> DataFra
     return docs.select(text).mapInArrow(ask, _PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(answer, _PACKED)
 
 
+def _rereadable(docs: DataFrame) -> DataFrame:
+    """``docs`` if it only reads files, which come in the same order again, else a table written from it."""
+
+    def plain(plan) -> bool:
+        kids = plan.children()
+        own = plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") or plan.nodeName().startswith(("LogicalRelation", "Relation"))
+        return own and plan.deterministic() and all(plain(kids.apply(k)) for k in range(kids.size()))
+
+    return docs if plain(docs._jdf.queryExecution().optimizedPlan()) else stage(docs)
+
+
 def _encoded(docs: DataFrame, model_path: str, keys: tuple[str, ...], text: str, out: list[tuple[str, T.DataType, pa.DataType]], finish: Callable) -> DataFrame:
     """``keys`` with the columns that ``finish`` makes of a list of ids and decoded texts."""
     parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = list(dict.fromkeys(keys))
+    docs = _rereadable(docs.select(*dict.fromkeys([*own, text])))
     schema = T.StructType([docs.schema[k] for k in own] + [T.StructField(n, t) for n, t, _ in out])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +263,7 @@ def _encoded(docs: DataFrame, model_path: str, keys: tuple[str, ...], text: str,
                     made = [pa.array(v, t) if isinstance(v, list) else v for v, (_, _, t) in zip(finish(ids, [model.decode(i) for i in ids]), out, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(rows.column(k).slice(a, 256) for k in own), *made], names=schema.names)
 
-    placed = docs.select(*dict.fromkeys([*own, text])).mapInArrow(place, _PACKED)
+    placed = docs.mapInArrow(place, _PACKED)
     both = placed.unionByName(_answers(docs, text, model_path, parts))
     return both.repartition("block").sortWithinPartitions("block", F.col("part")).mapInArrow(assemble, schema)
 

@@ -54,6 +54,23 @@ def test_blocks_and_parts_equal_library(spark, monkeypatch):
     assert pieces.encode_digests(same.unionByName(same), MODEL).groupBy("doc_id", "ids_sha256").count().where("count = 2").count() == 50
 
 
+def test_pieces_of_rows_in_no_stable_order(spark, monkeypatch, tmp_path):
+    """What a shuffle, a join or a random choice returns is encoded like files are; a part's table that starts again gives the same ids."""
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(pieces, "TABLE", 5)
+    rng = np.random.default_rng(8)
+    texts = [prose(rng, 1, 60) for _ in range(120)] + ["same words"] * 30
+    docs(spark, texts).write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    want = {r["doc_id"]: r["ids_sha256"] for r in pieces.encode_digests(files, MODEL).collect()}
+    known = pieces.Model(MODEL)
+    assert want[0] == hashlib.sha256(np.array([known.begin, *known.model.encode(texts[0]), known.end], "<u4").tobytes()).hexdigest()
+    other = files.select("doc_id", F.rand().alias("x"))
+    for rows in (files.repartition(7), files.orderBy(F.rand()), files.join(other, "doc_id"), files.where("doc_id >= 0").select("text", "doc_id")):
+        assert {r["doc_id"]: r["ids_sha256"] for r in pieces.encode_digests(rows, MODEL).collect()} == want
+    assert pieces.encode_digests(files.unionByName(files).repartition(5), MODEL).count() == 300
+
+
 def test_pieces_of_long_texts(spark):
     import sentencepiece
 
