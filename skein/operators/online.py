@@ -123,56 +123,89 @@ def moments(rows: DataFrame, key: str, mean: float) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(e).alias("s1"), F.sum(e * e).alias("s2"), F.sum(e * e * e).alias("s3"))
 
 
-#: Fixed values of :func:`moment_score`, users' and items': weights of the terms that a side has by itself, in the order of ``own`` there.
-MOMENT_OWN = {
-    "u": (0.8282023, 0.0724656, 0.3500099, -0.1483637, -0.0694664, 0.1128627, 0.1603299, 0.0333305, -0.1111785, -0.1682727, -0.0045373, 0.2081790, 0.0260719, -0.1280049, 1.2661248, 0.2241798, -0.0694539, -0.0854149, -0.6939124, -0.0405988),
-    "i": (0.9197124, 0.0934311, 1.2312059, 0.1891792, -0.1821118, 0.0284896, 0.2473170, -0.0467627, 0.0903438, -0.4104867, -0.0004702, -0.1444060, 0.0460050, 0.3323592, -1.2649461, -0.4601425, 0.0403028, -0.0054509, 0.6714242, 0.0815008),
-}
-MOMENT_COLD = {"u": -0.1528766 - 0.0462231 + 0.3500099, "i": -0.4050162 - 0.1327588 - 0.0963986 + 1.2312059}
-MOMENT_SMALL = 1000
+@dataclass(frozen=True, kw_only=True)
+class MomentScoring:
+    """Parameters of :func:`moment_score`; fitted numbers have no defaults. Dictionaries are by side, ``u`` and ``i``."""
+
+    mean: float
+    intercept: float
+    #: Of the terms that a side has by itself, in the order of :func:`moment_terms`.
+    own: dict[str, tuple[float, ...]]
+    #: (least count, greatest count or None, weight) of the steps by a key's count.
+    steps: dict[str, tuple[tuple[int, int | None, float], ...]]
+    #: Added for a key without rows, beside its steps and the root term.
+    absent: dict[str, float]
+    #: Of products of both sides, by their letters: "bm" is the user's b times the item's m; and of the difference of the log counts.
+    pairs: dict[str, float]
+    log_difference: float
+    #: Ends and weights of the vectors' segments, and a constant beside them.
+    bounds: tuple[int, ...] = ()
+    segment_weights: tuple[float, ...] = ()
+    segment_constant: float = 0.0
+    #: Shrinkage and damping of the biases, and their rounds.
+    user_shrink: float
+    item_shrink: float
+    damping: tuple[float, float]
+    rounds: int = 4
+    #: Rows below which the biases alone score.
+    small: int = 1000
+    low: float = 0.5
+    high: float = 5.0
 
 
-def moment_features(rows: DataFrame, key: str, bias: DataFrame, mean: float) -> DataFrame:
-    """``key`` and, each with its letter in front: b (bias), l (log count), m (mean), v (variance), s (deviation), t (signed cube root of the third central moment), own (the side's part of the score)."""
+def moment_terms() -> tuple[Column, ...]:
+    """The terms of one side: b (bias), l (log count), r (inverse root count), m (mean), v (variance), s (deviation), t (signed cube root of the third central moment), and their products."""
+    b, log, r, m, v, s, t = map(F.col, "blrmvst")
+    return (b, log, r, b * b, F.abs(b), m, v, m * m, F.abs(m), s, log * log, b * m, m * v, m * r, b * r, t, t * t, t * m, t * r, t * log)
+
+
+def moment_features(sums: DataFrame, key: str, bias: DataFrame, p: MomentScoring) -> DataFrame:
+    """``key`` and, each with its letter in front: b, l, m, v, s, t as in :func:`moment_terms` and own (the side's part of the score), from power sums (:func:`moments`)."""
     m1, m2, m3 = (F.col(c) / F.col("n") for c in ("s1", "s2", "s3"))
     third = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
-    x = moments(rows, key, mean).join(bias.withColumnRenamed(f"b{key}", "b"), key).withColumns({"l": F.log1p("n"), "r": 1 / F.sqrt(F.col("n") + 1.0), "m": m1, "v": F.greatest(F.lit(0.0), m2 - m1 * m1), "t": F.signum(third) * F.cbrt(F.abs(third))})
+    x = sums.join(bias.withColumnRenamed(f"b{key}", "b"), key).withColumns({"l": F.log1p("n"), "r": 1 / F.sqrt(F.col("n") + 1.0), "m": m1, "v": F.greatest(F.lit(0.0), m2 - m1 * m1), "t": F.signum(third) * F.cbrt(F.abs(third))})
     x = x.withColumn("s", F.sqrt("v"))
-    b, log, r, m, v, s, t = map(F.col, "blrmvst")
-    own = (b, log, r, b * b, F.abs(b), m, v, m * m, F.abs(m), s, log * log, b * m, m * v, m * r, b * r, t, t * t, t * m, t * r, t * log)
-    total = sum((w * c for w, c in zip(MOMENT_OWN[key], own, strict=True)), F.lit(0.0))
-    steps = ((F.col("n") <= 10, -0.0462231), (F.col("n") > 100, -0.0106357)) if key == "u" else ((F.col("n") <= 3, -0.1327588), (F.col("n") <= 10, -0.0963986), (F.col("n") > 20, 0.0254704))
-    for true, w in steps:
-        total = total + F.when(true, w).otherwise(0.0)
+    total = sum((w * c for w, c in zip(p.own[key], moment_terms(), strict=True)), F.lit(0.0))
+    for least, most, w in p.steps[key]:
+        total = total + F.when((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most), w).otherwise(0.0)
     return x.select(key, *[F.col(c).alias(f"{key}{c}") for c in "blmvst"], total.alias(f"{key}own"))
 
 
-def moment_score(requests: DataFrame, rows: DataFrame, mean: float, low: float = 0.5, high: float = 5.0) -> DataFrame:
-    """``requests`` with ``score`` from both sides' moments and biases (four rounds) over ``rows``; the biases alone below ``MOMENT_SMALL`` rows, ``mean`` without rows.
+def moment_score(
+    requests: DataFrame, rows: DataFrame, p: MomentScoring, known_users: int | None = None, known_items: int | None = None, sums: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """``requests`` with ``score`` from both sides' moments and biases over ``rows``; the biases alone below ``p.small`` rows, the mean without rows or for an id out of range.
 
-    Requests with vectors ``pv`` and ``qv`` of 32 numbers or more have products of their segments added.
+    ``sums`` are the sides' power sums where a stream has kept them. Requests with vectors ``pv`` and ``qv`` that are long enough have products of their segments added.
     """
     n = rows.count()
     if not n:
-        return requests.withColumn("score", F.lit(mean))
+        return requests.withColumn("score", F.lit(p.mean))
     from skein.operators.models import bias_tables
 
-    bu, bi, _ = bias_tables(rows, 24.0, 4, 4.5, (0.90, 0.97), mean)
-    sides = [moment_features(rows, key, bias, mean) for key, bias in (("u", bu), ("i", bi))]
+    bu, bi, _ = bias_tables(rows, p.user_shrink, p.rounds, p.item_shrink, p.damping, p.mean)
+    sides = [moment_features(sums[key] if sums else moments(rows, key, p.mean), key, bias, p) for key, bias in (("u", bu), ("i", bi))]
     x = requests
     for key, side in zip("ui", sides, strict=True):
         x = x.join(side, key, "left")
-    has = {key: {c: F.coalesce(F.col(f"{key}{c}"), F.lit(MOMENT_COLD[key] if c == "own" else 0.0)) for c in ("b", "l", "m", "v", "s", "t", "own")} for key in "ui"}
+    # A key without rows: count 0, so its root term is its weight, and its steps are those from 0 on.
+    cold = {k: p.absent[k] + p.own[k][2] + sum(w for least, _, w in p.steps[k] if least == 0) for k in "ui"}
+    has = {key: {c: F.coalesce(F.col(f"{key}{c}"), F.lit(cold[key] if c == "own" else 0.0)) for c in ("b", "l", "m", "v", "s", "t", "own")} for key in "ui"}
     u, i = has["u"], has["i"]
-    total = 2.8272202 + u["own"] + i["own"] - 0.0041441 * u["l"] * i["l"] - 0.0209655 * (u["l"] - i["l"]) - 1.6734969 * u["b"] * i["b"]
-    total = total + (-0.5421882 * u["m"] + 1.0260082 * u["b"]) * i["m"] + 0.7570391 * i["b"] * u["m"] + 0.3827873 * i["s"] * u["s"] - 0.2084104 * u["v"] * i["v"]
-    total = total + 0.0061272 * u["t"] * i["t"] - 0.0862444 * u["t"] * i["m"] + 0.0641967 * i["t"] * u["m"] + 0.1059355 * u["t"] * i["s"] + 0.0212622 * i["t"] * u["s"]
-    if {"pv", "qv"} <= set(requests.columns):
-        products = -0.00090916 + segment_dot([4, 8, 16, 32], [0.6753163, 0.8459537, 0.8912842, 0.6222440])
-        total = total + F.when((F.size("pv") >= 32) & (F.size("qv") >= 32), products).otherwise(0.0)
-    if n < MOMENT_SMALL:
-        total = F.lit(mean) + u["b"] + i["b"]
-    return x.withColumn("score", F.greatest(F.lit(low), F.least(F.lit(high), total))).select(*requests.columns, "score")
+    total = p.intercept + u["own"] + i["own"] + p.log_difference * (u["l"] - i["l"])
+    for letters, w in p.pairs.items():
+        total = total + w * u[letters[0]] * i[letters[1]]
+    if p.bounds and {"pv", "qv"} <= set(requests.columns):
+        products = p.segment_constant + segment_dot(list(p.bounds), list(p.segment_weights))
+        total = total + F.when((F.size("pv") >= p.bounds[-1]) & (F.size("qv") >= p.bounds[-1]), products).otherwise(0.0)
+    if n < p.small:
+        total = F.lit(p.mean) + u["b"] + i["b"]
+    inside = F.lit(True)
+    for side, known in (("u", known_users), ("i", known_items)):
+        if known is not None:
+            inside = inside & F.col(side).between(0, known - 1)
+    clipped = F.greatest(F.lit(p.low), F.least(F.lit(p.high), total))
+    return x.withColumn("score", F.when(F.coalesce(inside, F.lit(False)), clipped).otherwise(p.mean)).select(*requests.columns, "score")
 
 
 def dot(p: str = "pv", q: str = "qv", first: int = 1, length: int | None = None) -> Column:

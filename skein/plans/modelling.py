@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from skein.operators import compose, design, fit, models, online, ratings
 from skein.operators.compose import Bias, Blend, Ensemble, Fitted, ItemMean
 from skein.plans import inputs
 from skein.plans.inputs import HELD, STREAM
-from skein.plans.rating import MEANS, MU, SCORE, SEGMENT, THRESHOLDS, VALUES, P, _out, _split, bias_sql, component_sql, state_sql
+from skein.plans.rating import MEANS, MU, SCORE, SEGMENT, THRESHOLDS, VALUES, P, _batches, _out, _split, bias_sql, component_sql, state_sql
 from skein.plans.registry import Registry
-from skein.stage import read, shared_dir, stage
+from skein.stage import read, scratch, stage
 from skein.streaming import online as streaming
 
 query = Registry()
@@ -78,7 +76,7 @@ def sink_model_tables(spark, d):
     """A model's tables, saved and loaded again."""
     f, _ = _split(spark, d)
     bu, bi, _ = models.bias_tables(f, 5.0, 1)
-    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    path = scratch(spark, "model")
     compose.save_tables({"users": bu, "items": bi}, path)
     t = compose.load_tables(spark, path, ["users", "items"])
     return _out(t["users"].select(F.lit("u").alias("side"), F.col("u").alias("id"), F.col("bu").alias("value")).unionByName(t["items"].select(F.lit("i").alias("side"), F.col("i").alias("id"), F.col("bi").alias("value"))))
@@ -247,7 +245,7 @@ def on_full_sgd(spark, d):
         factors = models.sgd_factors(history, 4, 2, 0.008, 0.04, mean=P.mean)
         return models.score_factors(requests, factors, (P.mean, 0.5, 5.0))
 
-    return streaming.refit_per_batch(streaming.rating_stream(spark, f"{d}/events.parquet"), refit)
+    return streaming.refit_per_batch(_batches(spark, d), refit)
 
 
 #: The score with parts of it switched off: parameters, sides that have a state, strides of users and items with their phases.

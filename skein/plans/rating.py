@@ -309,11 +309,87 @@ def on_moment_calibrated(spark, d):
     return _out(online.moments(inputs.stream(spark, d), "i", MU).withColumn("s3", F.round("s3", 5)))
 
 
+#: Numbers of the published score. Fixed values.
+MOMENTS = online.MomentScoring(
+    mean=MU,
+    intercept=2.8272202,
+    own={
+        "u": (0.8282023, 0.0724656, 0.3500099, -0.1483637, -0.0694664, 0.1128627, 0.1603299, 0.0333305, -0.1111785, -0.1682727, -0.0045373, 0.2081790, 0.0260719, -0.1280049, 1.2661248, 0.2241798, -0.0694539, -0.0854149, -0.6939124, -0.0405988),
+        "i": (0.9197124, 0.0934311, 1.2312059, 0.1891792, -0.1821118, 0.0284896, 0.2473170, -0.0467627, 0.0903438, -0.4104867, -0.0004702, -0.1444060, 0.0460050, 0.3323592, -1.2649461, -0.4601425, 0.0403028, -0.0054509, 0.6714242, 0.0815008),
+    },
+    steps={"u": ((0, 10, -0.0462231), (101, None, -0.0106357)), "i": ((0, 3, -0.1327588), (0, 10, -0.0963986), (21, None, 0.0254704))},
+    absent={"u": -0.1528766, "i": -0.4050162},
+    pairs={"ll": -0.0041441, "bb": -1.6734969, "mm": -0.5421882, "bm": 1.0260082, "mb": 0.7570391, "ss": 0.3827873, "vv": -0.2084104, "tt": 0.0061272, "tm": -0.0862444, "mt": 0.0641967, "ts": 0.1059355, "st": 0.0212622},
+    log_difference=-0.0209655,
+    bounds=(4, 8, 16, 32),
+    segment_weights=(0.6753163, 0.8459537, 0.8912842, 0.6222440),
+    segment_constant=-0.00090916,
+    user_shrink=24.0,
+    item_shrink=4.5,
+    damping=(0.90, 0.97),
+)
+
+
 @query()
 def on_moment_calibrated_all(spark, d):
     """The score of every row of the stream from both sides' moments over the whole stream, with the vectors at u and i."""
     s = inputs.stream(spark, d)
-    return _out(online.moment_score(inputs.with_vectors(spark, d, s, "u", "i"), s, MU).select("pos", "score"))
+    return _out(online.moment_score(inputs.with_vectors(spark, d, s, "u", "i"), s, MOMENTS).select("pos", "score"))
+
+
+def _batch_rows(spark, d):
+    """A third of the event table: three batches, and a short fourth where it isn't divisible."""
+    return max(1, read(spark, d, "events").count() // 3)
+
+
+def _batches(spark, d):
+    return streaming.batched_ratings(spark, f"{d}/events.parquet", _batch_rows(spark, d))
+
+
+_BATCHED = f"{STREAM}, batched as (select *, pos // (select greatest(1, count(*) // 3) from stream) as batch from stream)"
+
+
+@query(f"with {_BATCHED} select batch, count(*) as n, min(pos) as first, max(pos) as last, round(sum(rating), 5) as total from batched group by batch")
+def stream_batches(spark, d):
+    """The stream as a source of fixed batches of rows, the last one shorter."""
+    rows = streaming.updates(_batches(spark, d), "append")
+    return rows.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.round(F.sum("rating"), 5).alias("total"))
+
+
+@query(f"""with {_BATCHED}, sums as (select batch, i, sum((rating - {MU}) * 4) as s, count(*) * 4 as n from batched where pos % 4 = 2 group by batch, i)
+select batch, i, round(sum(s) over w, 6) as s, cast(sum(n) over w as bigint) as n from sums window w as (partition by i order by batch)""")
+def on_refresh_touched(spark, d):
+    """What each batch refreshes: the new state of the items that it touched."""
+    rows = streaming.updates(online.state(_batches(spark, d), "i", MU, 4, 2, True))
+    return _out(rows.withColumn("batch", F.col("batch").cast("long")))
+
+
+@query(f"""with {_BATCHED}, sums as (select batch, u, count(*) as n, sum(rating - {MU}) as s1, sum((rating - {MU}) ** 2) as s2, sum((rating - {MU}) ** 3) as s3 from batched group by batch, u)
+select batch, u, cast(sum(n) over w as bigint) as n, round(sum(s1) over w, 5) as s1, round(sum(s2) over w, 5) as s2, round(sum(s3) over w, 4) as s3 from sums window w as (partition by u order by batch)""")
+def stream_moments(spark, d):
+    """Count and power sums of users over batches: the state of each user that a batch touched."""
+    rows = streaming.updates(online.moments(_batches(spark, d), "u", MU)).withColumn("batch", F.col("batch").cast("long"))
+    return rows.select("batch", "u", "n", F.round("s1", 5).alias("s1"), F.round("s2", 5).alias("s2"), F.round("s3", 4).alias("s3"))
+
+
+def _moment_sql(key: str) -> str:
+    """Terms of a side from its power sums, with the bias left out."""
+    return f"""m{key} as (select {key}, n, s1 / n as m, greatest(0, s2 / n - (s1 / n) ** 2) as v, s3 / n - 3 * s1 / n * s2 / n + 2 * (s1 / n) ** 3 as c
+  from (select {key}, count(*)::double as n, sum(rating - {MU}) as s1, sum((rating - {MU}) ** 2) as s2, sum((rating - {MU}) ** 3) as s3 from stream group by {key}))"""
+
+
+@query(f"""with {STREAM}, {_moment_sql("u")}, {_moment_sql("i")}, f as (select 'u' as side, u as id, n, m, v, c from mu union all select 'i', i, n, m, v, c from mi)
+select side, id, cast(n as bigint) as n, round(ln(1 + n), 6) as l, round(m + 1e-10, 6) as m, round(v + 1e-10, 6) as v, round(sqrt(v), 5) as s, round(case when abs(c) < 1e-9 then 0 else sign(c) * cbrt(abs(c)) end, 4) as t from f""")
+def on_moment_features(spark, d):
+    """Mean, variance, deviation and cube root of the third central moment of each key, from sums kept over batches."""
+    out = None
+    for key in "ui":
+        sums = streaming.drain(online.moments(_batches(spark, d), key, MU), "update", [key])
+        made = online.moment_features(sums, key, sums.select(key, F.lit(0.0).alias(f"b{key}")), MOMENTS).join(sums.select(key, "n"), key)
+        t = F.col(f"{key}t")
+        one = made.select(F.lit(key).alias("side"), F.col(key).cast("long").alias("id"), "n", F.round(f"{key}l", 6).alias("l"), *[F.round(F.col(f"{key}{c}") + 1e-10, 6).alias(c) for c in "mv"], F.round(f"{key}s", 5).alias("s"), F.round(F.when(F.abs(t) < 1e-3, 0.0).otherwise(t), 4).alias("t"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def dot_sql(first: int = 1, last: int = 64) -> str:
@@ -373,12 +449,12 @@ def on_noop(spark, d):
 @query(f"with {STREAM} select i, round(s, 6) as s, n from ({ITEMS}) t")
 def stream_update_sampled(spark, d):
     """The item state as Structured Streaming, in update mode: each batch emits touched keys only."""
-    return _out(streaming.streamed_state(spark, f"{d}/events.parquet", "i", MU, 4, 2, True))
+    return _out(streaming.drain(online.state(_batches(spark, d), "i", MU, 4, 2, True), "update", ["i"]))
 
 
 @query(f"with {STREAM} select u, round(s, 6) as s, n from ({USERS}) t")
 def stream_user_state(spark, d):
-    return _out(streaming.streamed_state(spark, f"{d}/events.parquet", "u", MU, 10, 0, mode="complete"))
+    return _out(streaming.drain(online.state(_batches(spark, d), "u", MU, 10, 0), "complete", ["u"]))
 
 
 @query('select date_trunc(\'hour\', ts) as start, event_type, count(*) as n from events group by 1, 2')

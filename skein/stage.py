@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own['dir']}"
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one that is dropped like a staged table."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _staged[path] = (spark, None)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from skein.operators.online import state
-from skein.stage import shared_dir
+from skein.sources.batches import rating_batches
+from skein.stage import scratch
 
 
 def _pattern(path: str) -> str:
@@ -24,27 +27,56 @@ def rating_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> D
     return e.select(F.col("event_id").alias("pos"), F.col("user_id").alias("u"), (F.col("event_id") % 97).alias("i"), (F.col("value") / 100.0).alias("rating"))
 
 
-def drain(streaming: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """Run a streaming query over all that is there now and return its result.
+def batched_ratings(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """``pos, u, i, rating`` of the event table in fixed batches of ``rows`` rows."""
+    e = rating_batches(spark, path, rows, ["event_id", "user_id", "value"])
+    return e.select(F.col("event_id").alias("pos"), F.col("user_id").alias("u"), (F.col("event_id") % 97).alias("i"), (F.col("value") / 100.0).alias("rating"))
 
-    ``complete``: the last batch's table. ``update``: the newest row of each key over all batches, of which each holds changed keys only.
-    Batches are tables in the shared folder, named by batch, so a batch that is repeated after a failure replaces itself.
+
+def run_out(writer: DataStreamWriter, fixed: bool) -> None:
+    """Run a query until all that is there has been processed; sources of fixed batches know no bounded trigger and are stopped then."""
+    if not fixed:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def _is_fixed(streaming: DataFrame) -> bool:
+    return "rating_batches" in streaming._jdf.queryExecution().analyzed().toString()
+
+
+def updates(streaming: DataFrame, mode: str = "update", path: str | None = None) -> DataFrame:
+    """Every row that each batch of a streaming query over all that is there now gives out, with its ``batch``.
+
+    Batches are tables in the shared folder, named by batch, so a batch that is repeated after a failure replaces itself. ``path`` is where they and the query's progress are kept to go on from; without it they are dropped like staged tables.
     """
     spark = streaming.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    last: list[int] = []
+    path = path or scratch(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last.append(number)
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = streaming.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-log").foreachBatch(keep).start()
-    query.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], streaming.schema)
+    run_out(streaming.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").foreachBatch(keep), _is_fixed(streaming))
+    schema = T.StructType([*streaming.schema.fields, T.StructField("batch", T.IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/rows")
+    except AnalysisException:  # no batch
+        return spark.createDataFrame([], schema)
+
+
+def drain(streaming: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """Run a streaming query over all that is there now and return its result.
+
+    ``complete``: the last batch's table. ``update``: the newest row of each key over all batches, of which each holds changed keys only.
+    """
+    rows = updates(streaming, mode)
     if mode == "complete":
-        return spark.read.schema(streaming.schema).parquet(f"{path}/batch={max(last)}")
-    rows = spark.read.parquet(path)
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
     values = [c for c in streaming.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("v"))
     return newest.select(*keys, *[f"v.{c}" for c in values])
@@ -69,7 +101,7 @@ def refit_per_batch(ratings: DataFrame, refit: Callable[[DataFrame], DataFrame])
     Batches are kept as tables by their number, so a batch that is repeated after a failure is in the history once.
     """
     spark = ratings.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     last: list[int] = []
 
     def learn(batch: DataFrame, number: int) -> None:
@@ -78,8 +110,7 @@ def refit_per_batch(ratings: DataFrame, refit: Callable[[DataFrame], DataFrame])
         refit(history).write.mode("overwrite").parquet(f"{path}/fitted/batch={number}")
         last.append(number)
 
-    query = ratings.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-log").foreachBatch(learn).start()
-    query.awaitTermination()
+    run_out(ratings.writeStream.option("checkpointLocation", f"{path}/log").foreachBatch(learn), _is_fixed(ratings))
     if not last:
         return refit(spark.createDataFrame([], ratings.schema)).withColumn("batch", F.lit(None).cast("int"))
     return spark.read.parquet(f"{path}/fitted")

@@ -80,7 +80,7 @@ def test_ridge_and_mixed_segments_of_all_rows(spark, data):
 
 
 def test_moment_score_of_every_row(spark, data):
-    """The reference's terms, one by one (solution-6-2.cpp), in double precision."""
+    """The score's terms, one by one, in double precision."""
     _, users, rating, v = data
     items, e = np.arange(EVENTS) % 97, rating - 2.5
     side = {}
