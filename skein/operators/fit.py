@@ -177,32 +177,68 @@ def greedy_tables(
 
 
 def segments(points: list[tuple[float, float, float]], count: int) -> tuple[list[float], list[float]]:
-    """Thresholds and values of the best piecewise constant fit to (x, weight, mean), by dynamic programming over prefix sums.
+    """Thresholds and values of the best piecewise constant fit to (x, weight, mean), exact for any order of means; an x between two segments belongs to the later one.
 
-    ``points`` are distinct x in order: per-bin sums from Spark, at most a few thousand.
+    ``points`` are distinct x in order. The best last cut doesn't move monotonically with the end where means aren't sorted, so halving the cuts isn't exact; functional pruning is: for each number of segments
+    a candidate cut is kept while there is a value of the last segment for which no other cut is better, which is two intervals at most as kept here. A few dozen candidates stay, so time is in proportion to
+    points; all numbers of segments advance together, point by point.
     """
     x, w, m = (np.array(c, float) for c in zip(*points, strict=True))
-    count = min(count, len(x))
-    sw, s1, s2 = (np.concatenate([[0], np.cumsum(v)]) for v in (w, w * m, w * m * m))
-
-    def cost(a: np.ndarray, b: int) -> np.ndarray:
-        return s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / np.maximum(sw[b] - sw[a], 1e-300)
-
-    best, back = np.full(len(x) + 1, np.inf), []
-    best[0] = 0
-    for _ in range(count):
-        now, came = np.full(len(x) + 1, np.inf), np.zeros(len(x) + 1, int)
-        for b in range(1, len(x) + 1):
-            total = best[:b] + cost(np.arange(b), b)
-            came[b] = total.argmin()
-            now[b] = total[came[b]]
-        best, back = now, [*back, came]
-    cuts, b = [], len(x)
-    for came in reversed(back):
-        cuts.append((int(came[b]), b))
-        b = int(came[b])
+    n = len(x)
+    count = min(count, n)
+    sums = np.stack([np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * m, w * m * m)])
+    slack, rows, width, used = 1e-12 * max(1.0, sums[2, -1]), np.arange(count), 32, 1
+    # Of each candidate: place, error before it, intervals (low, high, low, high), and the sums up to it.
+    empty = np.array([0, np.inf, -np.inf, np.inf, np.inf, -np.inf, 0, 0, 0])[:, None, None]
+    held = np.broadcast_to(empty, (9, count, width)).copy()
+    held[1, 0, 0] = 0
+    back, before = np.zeros((count, n + 1), np.int32), np.full(count, np.inf)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for b in range(1, n + 1):
+            now = held[:, :, :used]
+            weight = sums[0, b] - now[6]
+            mean = (sums[1, b] - now[7]) / weight
+            error = now[1] + (sums[2, b] - now[8]) - mean * mean * weight
+            best = error.argmin(axis=1)
+            reached = error[rows, best]
+            back[:, b] = now[0, rows, best]
+            before[1:] = reached[:-1]
+            new = held[:, :, used] if used < width else np.empty((9, count))
+            new[:] = empty[:, :, 0]
+            # Values of the last segment for which a candidate is no worse than a new one here: about its mean, as far as its error leaves room.
+            reach = np.sqrt((before[:, None] - error + slack) / weight)
+            low, high = mean - reach, mean + reach
+            for k in (2, 4):
+                np.maximum(now[k], low, out=now[k])
+                np.minimum(now[k + 1], high, out=now[k + 1])
+            dead = ~((now[2] <= now[3]) | (now[4] <= now[5]))
+            now[1][dead] = np.inf
+            # A new candidate is left what lies outside the widest of these and those that overlap its ends.
+            reach = np.where(dead | np.isnan(reach), -1.0, reach)
+            widest = reach.argmax(axis=1)
+            some = reach[rows, widest] >= 0
+            left, right = (np.where(some, side[rows, widest], end) for side, end in ((low, np.inf), (high, -np.inf)))
+            over = [(reach >= 0) & (low <= end[:, None]) & (high >= end[:, None]) for end in (left, right)]
+            left = np.minimum(left, np.where(over[0], low, np.inf).min(axis=1))
+            right = np.maximum(right, np.where(over[1], high, -np.inf).max(axis=1))
+            new[3], new[4], new[5] = np.where(some, left, np.inf), np.where(some, right, np.inf), np.where(some, np.inf, -np.inf)
+            new[0], new[1], new[6:] = b, before, sums[:, b, None]
+            if used == width:
+                alive = np.isfinite(held[1])
+                most = int(alive.sum(axis=1).max(initial=0))
+                order = np.argsort(~alive, axis=1, kind="stable")[:, :most]
+                width = width * 2 if 2 * most > width else width
+                packed = np.broadcast_to(empty, (9, count, width)).copy()
+                packed[:, :, :most] = np.take_along_axis(held, order[None], axis=2)
+                held, used = packed, most
+                held[:, :, used] = new
+            used += 1
+    cuts, b = [], n
+    for k in reversed(range(count)):
+        cuts.append((int(back[k, b]), b))
+        b = cuts[-1][0]
     cuts.reverse()
-    values = [float((s1[b] - s1[a]) / max(sw[b] - sw[a], 1e-300)) for a, b in cuts]
+    values = [float((sums[1, b] - sums[1, a]) / max(sums[0, b] - sums[0, a], 1e-300)) for a, b in cuts]
     return [float(x[b - 1]) for _, b in cuts[:-1]], values
 
 
@@ -212,12 +248,12 @@ def segment_points(rows: DataFrame, key: str, residual: str, width: int = 1) ->
     return rows.groupBy(x.cast("double").alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg(residual).alias("m"))
 
 
-#: Bins of ids that the segments' programme takes at most: it is quadratic in them.
-MOST_BINS = 4000
+#: Distinct ids that segments are fitted to on the driver, point by point; more are put into so many bins of equal width.
+MOST_BINS = 1_000_000
 
 
 def bounded_points(rows: DataFrame, key: str, residual: str) -> list[tuple[float, float, float]]:
-    """Points of :func:`segment_points` in order, in bins as wide as it takes for at most ``MOST_BINS``."""
+    """Points of :func:`segment_points` in order: each id by itself, or, over ``MOST_BINS`` ids from the least to the greatest, bins as wide as it takes."""
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         raise ValueError("no rows to segment")

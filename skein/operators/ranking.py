@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators.graph import ranked
+from skein.stage import stage
+
 
 def top_k(ranks: DataFrame, k: int) -> DataFrame:
     """``position, node, rank``: highest rank first, then least node. The limit is taken before positions, which see k rows."""
@@ -41,6 +48,68 @@ def kendall(a: DataFrame, b: DataFrame, ties: bool = False) -> DataFrame:
     return pairs.agg((F.sum("s") / F.nullif(total, F.lit(0))).alias("tau"))
 
 
+#: Rows that a task counts inversions among at least, and parts of each ranking at most.
+LEAST_PART, MOST_PARTS = 4096, 1000
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs of places of which the earlier has the greater value: bit by bit, ones before zeros among values alike in higher bits."""
+    total, v = 0, values.astype(np.int64)
+    top = int(v.max(initial=0)).bit_length()
+    for bit in reversed(range(top)):
+        ones = (v >> bit) & 1
+        before = np.cumsum(ones)
+        head = v >> (bit + 1)
+        first = np.flatnonzero(np.diff(head, prepend=-1))
+        group = np.cumsum(np.diff(head, prepend=-1) != 0) - 1
+        total += int(((before - (before[first] - ones[first])[group]) * (1 - ones)).sum())
+        v = v[np.argsort(v >> bit, kind="stable")]
+    return total
+
+
+def kendall_full(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: tau over all nodes of both rankings (``node, rank``, ordered by rank from high to low, then node); concordant less discordant pairs over their sum, null under two nodes.
+
+    Discordant pairs are counted, not listed: places in both orders are cut into parts of equal size. Pairs that lie in different parts of both follow from the counts of nodes by both parts (``MOST_PARTS`` squared
+    numbers at most); pairs within a part of either are inversions in the other order, which one task counts for each part, in n log n.
+    """
+    both = a.select("node", F.col("rank").alias("ra")).join(b.select("node", F.col("rank").alias("rb")), "node")
+    for side in "ab":
+        key = F.struct((-F.col(f"r{side}")).alias("r"), "node")
+        both = ranked(both.withColumn("_key", key), "_key", f"p{side}").drop("_key")
+    both = stage(both.select("pa", "pb"))
+    n = both.count()
+    size = max(LEAST_PART, -(-n // MOST_PARTS))
+    parted = both.select("pa", "pb", F.expr(f"pa div {size}").alias("ga"), F.expr(f"pb div {size}").alias("gb"))
+    cells = parted.groupBy("ga", "gb").count().collect()  # MOST_PARTS squared rows at most
+    grid = np.zeros((n // size + 1, n // size + 1), np.int64)
+    for r in cells:
+        grid[r["ga"], r["gb"]] = r["count"]
+    later = grid[:, ::-1].cumsum(axis=1)[:, ::-1] - grid  # the same part of a, later parts of b
+    apart = sum(int(x) * int(y) for x, y in zip(grid[1:].ravel(), later.cumsum(axis=0)[:-1].ravel(), strict=True) if x)
+    # Within a part of a, all pairs; within a part of b, those in different parts of a.
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ga").alias("part"), F.col("pa").alias("at"), F.col("pb").alias("v")), F.struct(F.lit(1).alias("side"), F.col("gb").alias("part"), F.col("pb").alias("at"), F.col("ga").alias("v"))))
+    rows = parted.select(sides.alias("x")).select("x.*").repartition("side", "part").sortWithinPartitions("side", "part", "at")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, total = None, [], 0
+        for batch in batches:
+            key = batch.column("side").to_numpy() * (MOST_PARTS + 1) + batch.column("part").to_numpy()
+            values = batch.column("v").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y > x and key[x] != now:
+                    total += inversions(np.concatenate(held)) if held else 0
+                    now, held = key[x], []
+                held.append(values[x:y])
+        total += inversions(np.concatenate(held)) if held else 0
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["inside"])
+
+    inside = rows.mapInArrow(count, "inside long").agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"))
+    pairs = n * (n - 1) // 2
+    return inside.select(F.when(F.lit(pairs > 0), 1 - 2 * (F.col("inside") + apart) / F.lit(max(pairs, 1))).alias("tau"))
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """``side, node``: in both, only in the first, only in the second."""
     left, right = a.select("node"), b.select("node")

@@ -282,9 +282,16 @@ def rank_kendall(spark, d):
     return ranking.kendall(*_two(spark, d)).select(F.round("tau", 10).alias("tau"))
 
 
-@query(TWO + _PAIRS + " select round(sum(sign((x.pa - y.pa) * (x.pb - y.pb))) / sum(abs(sign((x.pa - y.pa) * (x.pb - y.pb)))), 10) as tau from c x join c y on x.node < y.node")
+_WHOLE = rank_sql() + ", " + rank_sql(edges="", prefix="s", beta=0.7) + "".join(f", {n} as (select node, row_number() over (order by round(rank, 12) desc, node) as position from {r}{ROUNDS})" for n, r in (("wa", "r"), ("wb", "s")))
+
+
+@query(_WHOLE + """, c as (select node, wa.position as pa, wb.position as pb from wa join wb using (node))
+select round(sum(sign((x.pa - y.pa) * (x.pb - y.pb))) / sum(abs(sign((x.pa - y.pa) * (x.pb - y.pb)))), 10) as tau from c x join c y on x.node < y.node""")
 def rank_kendall_full(spark, d):
-    return ranking.kendall(*_two(spark, d), ties=True).select(F.round("tau", 10).alias("tau"))
+    """Agreement of two whole rankings, by counted inversions."""
+    links = prepare(edges_part(spark, d))
+    a, b = (pagerank(links, max_iter=ROUNDS, beta=beta)[0].withColumn("rank", F.round("rank", 12)) for beta in (0.85, 0.7))
+    return ranking.kendall_full(a, b).select(F.round("tau", 10).alias("tau"))
 
 
 @query(TWO + """ select 'both' as side, node from a where node in (select node from b) union all select 'left', node from a where node not in (select node from b)

@@ -494,9 +494,9 @@ def fit_ridge_all(spark, d):
 
 @query()
 def fit_mixed_segments_all(spark, d):
-    """Segments of user and item ids in turns over the whole stream, ids in 2,000 bins of equal width at most."""
+    """Segments of user and item ids in turns over the whole stream."""
     s = stage(_columns(inputs.stream(spark, d)))
-    widths = tuple(m // 2000 + 1 for m in s.agg(F.max("u"), F.max("i")).first())
+    widths = tuple(m // fit.MOST_BINS + 1 for m in s.agg(F.max("u"), F.max("i")).first())
     sides = zip("ui", fit.mixed_segments(s, "e", 6, 4, 2, widths), strict=True)
     return spark.createDataFrame([(side, k, v, c) for side, (cuts, values) in sides for k, (v, c) in enumerate(zip(values, [*cuts, None], strict=True))], "side string, segment int, value double, last double")
 
@@ -566,7 +566,7 @@ def fit_greedy_tables(spark, d):
 
 @query()
 def fit_segments_dp(spark, d):
-    """Optimal segments of user ids for the mean residual; ids are in bins, of which there are at most fit.MOST_BINS."""
+    """Optimal segments of user ids for the mean residual."""
     rows = _design(spark, d)
     cuts, values = fit.segments(fit.bounded_points(rows, "u", "e"), 6)
     return spark.createDataFrame([(k, v, float(c) if c is not None else None) for k, (v, c) in enumerate(zip(values, [*cuts, None], strict=True))], "segment int, value double, last double")
