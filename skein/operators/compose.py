@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import calibrate, models, ratings
@@ -73,11 +74,77 @@ class Calibrated:
     intercept: float = 0.0
 
 
-Model = Bias | ItemMean | Factors | Neighbours | Blend | Ensemble | Calibrated
+@dataclass(frozen=True)
+class Stack:
+    """``parts`` with weights fitted by least squares, in two levels, to scores of rows that the parts weren't fitted to.
+
+    ``groups`` are the stacks of the first level, each a choice of parts by number; the second level weighs their scores. ``calibration`` names features of
+    :mod:`skein.operators.calibrate` whose coefficients are fitted to what the second level leaves.
+    """
+
+    parts: tuple[Model, ...]
+    groups: tuple[tuple[int, ...], ...] = ()
+    folds: int = 5
+    ridge: float = 1e-3
+    calibration: tuple[str, ...] = ()
+
+
+Model = Bias | ItemMean | Factors | Neighbours | Blend | Ensemble | Calibrated | Stack
+
+
+def fold_of(folds: int, u: str = "u", i: str = "i") -> Column:
+    """Fold of a rating by its ids."""
+    return F.expr(f"pmod(pmod({u}, 10007) * 31 + pmod({i}, 10007) * 17, {folds})").cast("int")
+
+
+def fold_grams(rows: DataFrame, columns: list[Column], target: str = "rating") -> dict[int, np.ndarray]:
+    """For each fold the sums of products of 1, the columns and the target with each other: all that least squares over any folds need."""
+    z = [F.lit(1.0), *columns, F.col(target).cast("double")]
+    rows = rows.select("fold", *[c.alias(f"_{k}") for k, c in enumerate(z)])
+    pairs = [(a, b) for a in range(len(z)) for b in range(a, len(z))]
+    sums = [F.sum(F.col(f"_{a}") * F.col(f"_{b}")).alias(f"s{a}_{b}") for a, b in pairs]
+    out = {}
+    for r in rows.groupBy("fold").agg(*sums).collect():  # a row a fold
+        g = np.zeros((len(z), len(z)))
+        for a, b in pairs:
+            g[a, b] = g[b, a] = r[f"s{a}_{b}"]
+        out[r["fold"]] = g
+    return out
+
+
+def solve_gram(gram: np.ndarray, columns: list[int], ridge: float) -> np.ndarray:
+    """Coefficients of the intercept and the columns (numbered from 1) by least squares; ``ridge``, in rows, holds all but the intercept."""
+    at = [0, *columns]
+    penalty = ridge * np.diag([0.0, *np.ones(len(columns))])
+    return np.linalg.lstsq(gram[np.ix_(at, at)] + penalty, gram[at, -1], rcond=None)[0]
+
+
+def stack_weights(grams: dict[int, np.ndarray], groups: list[tuple[int, ...]], ridge: float) -> np.ndarray:
+    """Intercept and a weight for each part, both levels multiplied out.
+
+    The second level is fitted to first-level scores of each fold with first-level weights of the other folds; they are linear in the parts' scores, so the folds' sums of products give them without another pass.
+    """
+    k = next(iter(grams.values())).shape[0] - 2
+    whole = sum(grams.values())
+
+    def first(gram: np.ndarray) -> np.ndarray:
+        """From 1, parts and target to 1, the groups' scores and target."""
+        w = np.zeros((k + 2, len(groups) + 2))
+        w[0, 0] = w[-1, -1] = 1
+        for g, parts in enumerate(groups):
+            columns = [p + 1 for p in parts]
+            w[[0, *columns], g + 1] = solve_gram(gram, columns, ridge)
+        return w
+
+    if len(groups) == 1:
+        return first(whole)[:-1, 1]
+    level = [first(whole - g if len(grams) > 1 else whole) for g in grams.values()]
+    second = sum(w.T @ g @ w for w, g in zip(level, grams.values(), strict=True))
+    return first(whole)[:-1, :-1] @ solve_gram(second, list(range(1, len(groups) + 1)), ridge)
 
 
 def make_model(name: str, bias: Bias = Bias(), rank: int = 8, weight: float = 0.3) -> Model:
-    """A composition by name: ``baseline``, ``mf``, ``residual``, ``blend`` or ``ensemble`` (blends and neighbours over one strong bias model)."""
+    """A composition by name: ``baseline``, ``mf``, ``residual``, ``blend``, ``ensemble`` (blends and neighbours over one strong bias model, equal in kind) or ``stack`` (their parts, with fitted weights in two levels)."""
     strong = Bias(2.0, 20)
     known = {
         "baseline": bias,
@@ -86,6 +153,8 @@ def make_model(name: str, bias: Bias = Bias(), rank: int = 8, weight: float = 0.
         "blend": Blend(bias, Factors(bias, rank), weight),
         "ensemble": Ensemble(((0.4, Blend(strong, Factors(strong, 2 * rank), 0.45)), (0.4, Blend(strong, Factors(strong, rank, reg=0.3), 0.45)), (0.1, Neighbours(strong)), (0.1, strong)), normalize=True),
     }
+    base, deep, near = Factors(strong, 2 * rank), Factors(strong, rank, reg=0.3), Neighbours(strong)
+    known["stack"] = Stack((strong, Bias(10.0, 3), ItemMean(), base, deep, near), groups=((0, 1, 2), (0, 3, 4), (0, 3, 4, 5)))
     if name not in known:
         raise ValueError(f"unknown model {name}; known: {sorted(known)}")
     return known[name]
@@ -106,6 +175,53 @@ class Fitted:
             self.fits += 1
         return self.tables[model]
 
+    def out_of_fold(self, parts: tuple[Model, ...], folds: int) -> DataFrame:
+        """``u, i, rating, fold, x0, x1, ...``: each rating with every part's score, fitted to the ratings of the other folds; equal parts are fitted once a fold."""
+        rows = stage(self.ratings.select("u", "i", "rating", fold_of(folds).alias("fold")))
+        out = None
+        for fold in range(folds):
+            here, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold).drop("fold")
+            fitted = Fitted(stage(rest))
+            asked, done = stage(here.select("u", "i").distinct()), {}
+            for k, part in enumerate(parts):
+                here = here.join(fitted._scored(part, asked, done).withColumnRenamed("score", f"x{k}"), ["u", "i"])
+            self.fits += fitted.fits
+            out = here if out is None else out.unionByName(here)
+        return stage(out)
+
+    def stacked(self, stack: Stack) -> Model:
+        """The stack as a composition with fitted weights, and coefficients if it is calibrated."""
+        if stack in self.tables:
+            return self.tables[stack][0]
+        n = len(stack.parts)
+        groups = [*(stack.groups or (tuple(range(n)),))]
+        rows = self.out_of_fold(stack.parts, stack.folds)
+        grams = fold_grams(rows, [F.col(f"x{k}") for k in range(n)])
+        if not grams:
+            raise ValueError("no ratings to fit a stack to")
+        w = stack_weights(grams, groups, stack.ridge)
+        model: Model = Ensemble(tuple((float(v), p) for v, p in zip(w[1:], stack.parts, strict=True)), float(w[0]))
+        if stack.calibration:
+            # Features of a row come from the ratings of the other folds, as its parts' scores do; the score there is of weights from the other folds.
+            names, own = ["pred", *stack.calibration], None
+            whole = sum(grams.values())
+            for fold, gram in grams.items():
+                v = stack_weights({f: g for f, g in grams.items() if f != fold}, groups, stack.ridge) if len(grams) > 1 else w
+                here = rows.where(F.col("fold") == fold)
+                score = sum((float(x) * F.col(f"x{k}") for k, x in enumerate(v[1:])), F.lit(float(v[0])))
+                rest = rows.where(F.col("fold") != fold).select("u", "i", "rating") if len(grams) > 1 else rows.select("u", "i", "rating")
+                mean = float((whole - gram)[0, -1] / max((whole - gram)[0, 0], 1.0)) if len(grams) > 1 else self.ends[0]
+                known = calibrate.features(mean)
+                low, high = self.ends[1:]
+                made = calibrate.joined_profiles(here.select("u", "i", F.greatest(F.lit(low), F.least(F.lit(high), score)).alias("score")), rest)
+                made = made.select("u", "i", *[known[c].alias(f"f{k}") for k, c in enumerate(names)]).join(here.select("u", "i", "rating", "fold"), ["u", "i"])
+                own = made if own is None else own.unionByName(made)
+            total = sum(fold_grams(stage(own), [F.col(f"f{k}") for k in range(len(names))]).values())
+            c = solve_gram(total, list(range(1, len(names) + 1)), stack.ridge)
+            model = Calibrated(model, tuple((n_, float(x)) for n_, x in zip(names, c[1:], strict=True)), float(c[0]))
+        self.tables[stack] = (model,)
+        return model
+
     def scores(self, model: Model, requests: DataFrame) -> DataFrame:
         """``u, i, score`` of each distinct requested pair."""
         asked = stage(requests.select("u", "i").distinct())
@@ -130,6 +246,8 @@ class Fitted:
             out = models.blend(again(model.base), again(model.other), model.weight, self.ends)
         elif isinstance(model, Ensemble):
             out = models.ensemble([(w, again(m)) for w, m in model.parts], self.ends, model.intercept, model.normalize)
+        elif isinstance(model, Stack):
+            out = again(self.stacked(model))
         else:
             out = calibrate.calibrate(again(model.model), self.ratings, dict(model.coefficients), model.intercept, self.ends)
         done[model] = stage(out)

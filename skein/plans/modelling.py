@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import compose, design, fit, models, online, ratings
 from skein.operators.compose import Bias, Blend, Ensemble, Fitted, ItemMean
 from skein.plans import inputs
-from skein.plans.inputs import HELD, STREAM
+from skein.plans.inputs import HELD, RATINGS, STREAM
 from skein.plans.rating import MEANS, MU, SCORE, SEGMENT, THRESHOLDS, VALUES, P, _batches, _out, _split, bias_sql, component_sql, state_sql
 from skein.plans.registry import Registry
 from skein.stage import read, scratch, stage
@@ -40,6 +40,36 @@ def make_model_ensemble(spark, d):
     return out
 
 
+@query()
+def make_model_stack(spark, d):
+    """A stack of biases and item means whose weights are fitted to ratings that its parts weren't, and each part, on ratings that took no part."""
+    f, h = _split(spark, d)
+    fitted = Fitted(f)
+    parts = (Bias(5.0, 1), Bias(50.0, 2), ItemMean())
+    stack = compose.Stack(parts, groups=((0, 1), (1, 2)), folds=3, calibration=("inv_uc", "inv_ic"))
+    out = None
+    for name, model in (("stack", stack), *((f"part {k}", p) for k, p in enumerate(parts))):
+        row = ratings.rmse(fitted.scores(model, h).join(h, ["u", "i"])).select(F.lit(name).alias("model"), F.round("rmse", 4).alias("rmse"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_FOLD = "((u % 10007) * 31 + (i % 10007) * 17) % 3"
+
+
+@query(f"""with {RATINGS}, r as (select u, i, rating, {_FOLD} as fold from ratings),
+x as (select a.u, a.i, a.rating, a.fold, coalesce((select avg(b.rating) from r b where b.i = a.i and b.fold <> a.fold), (select avg(c.rating) from r c where c.fold <> a.fold)) as x from r a),
+s as (select fold, count(*)::double as n, sum(x) as sx, sum(x * x) as sxx, sum(rating) as sy, sum(x * rating) as sxy from x group by fold),
+t as (select sum(n) as n, sum(sx) as sx, sum(sxx) as sxx, sum(sy) as sy, sum(sxy) as sxy from s),
+w as (select (n * sxy - sx * sy) / (n * sxx - sx * sx) as slope, * from t)
+select 'intercept' as term, round((sy - slope * sx) / n, 4) as weight from w union all select 'item mean', round(slope, 4) from w""")
+def fit_stack_weights(spark, d):
+    """Weights of one part by the normal equations over out-of-fold scores."""
+    model = Fitted(inputs.ratings(spark, d)).stacked(compose.Stack((ItemMean(),), folds=3, ridge=0.0))
+    rows = [("intercept", round(model.intercept, 4)), ("item mean", round(model.parts[0][0], 4))]
+    return spark.createDataFrame(rows, "term string, weight double")
+
+
 @query(bias_sql(1) + MEANS + _ONE + " select u, i, round(score, 6) as score from blended")
 def predict_run(spark, d):
     """A model fitted to all ratings that are known scores requests; repeated ones are one row."""
