@@ -181,40 +181,40 @@ def bin_multi_hash(spark, d):
 
 
 def _vectors(spark, d):
-    """The stream's rows with a residual, the vector at their position as ``p`` and another as ``q``, and the user's mean residual."""
-    v = read(spark, d, "embeddings")
-    n = v.count()
-    s = inputs.stream(spark, d).withColumn("e", F.col("rating") - MU)
+    """Every row of the stream with a residual, its user's vector as ``p``, another by its position as ``q``, and the user's mean residual."""
+    s = inputs.stream(spark, d).withColumn("e", F.col("rating") - MU).withColumn("other", F.col("pos") * 7 + 3)
     m = s.groupBy("u").agg(F.avg("e").alias("m"))
-    p, q = v.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("p")), v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("q"))
-    return s.join(p, "pos").withColumn("other", F.expr(f"(pos * 7 + 3) % {n}")).join(q, "other").join(m, "u")
+    return inputs.with_vectors(spark, d, s, "u", "other").withColumnsRenamed({"pv": "p", "qv": "q"}).join(m, "u")
 
 
-@query(f"""with {STREAM}, r0 as (select *, rating - {MU} as e from stream), um as (select u, avg(e) as m from r0 group by u),
-r as (select r0.pos, e, um.m, a.embedding as p, b.embedding as q from r0 join embeddings a on a.vec_id = r0.pos join embeddings b on b.vec_id = (r0.pos * 7 + 3) % (select count(*) from embeddings) join um on um.u = r0.u),
+@query(f"""with {STREAM}, r0 as (select *, rating - {MU} as e from stream), um as (select u, avg(e) as m from r0 group by u), w as (select row_number() over (order by vec_id) - 1 as at, embedding from embeddings),
+c as (select count(*) as n from embeddings), r as (select r0.pos, e, um.m, a.embedding as p, b.embedding as q from r0 join c on true join w a on a.at = r0.u % c.n join w b on b.at = (r0.pos * 7 + 3) % c.n join um on um.u = r0.u),
 l as (select e, k - 1 as dim, p[k]::double as x, p[k]::double * q[k]::double as y, p[k]::double * m as z from r, range(1, 65) t(k)),
 k as (select 'p' as kind, dim, e, x from l union all select 'p2', dim, e, x * x from l union all select 'pq', dim, e, y from l union all select 'abs_pq', dim, e, abs(y) from l union all select 'pu', dim, e, z from l),
 s as (select kind, cast(dim as int) as dim, abs(avg(x * e) - avg(x) * avg(e)) / sqrt(avg(x * x) - avg(x) ** 2) as strength from k group by kind, dim)
 select kind, dim, round(strength, 6) as strength from s order by s.strength desc limit 10""")
 def fit_feature_screen_products(spark, d):
-    rows = _vectors(spark, d)
+    rows = stage(_vectors(spark, d).select("e", "p", "q", "m"))
     return _out(fit.screen(rows, {"p": "p"}, "e", 10, {"pq": ("p", "q")}, {"pu": ("p", "m")}))
 
 
 @query()
 def fit_heads(spark, d):
-    """Errors of the mean, of a linear, a pair and a small MLP head on the same rows."""
-    rows = stage(_vectors(spark, d).select("e", F.slice("p", 1, 16).alias("p"), F.slice("q", 1, 16).alias("q")))
+    """Errors of the fitted mean, of a linear, a pair and a small MLP head, fitted to the first four fifths of the stream, on the rest."""
+    n = inputs.stream(spark, d).count()
+    every = stage(_vectors(spark, d).select("pos", "e", "p", "q"))
+    rows, later = (every.where(side).drop("pos") for side in (F.col("pos") < 0.8 * n, F.col("pos") >= 0.8 * n))
+    mean = rows.agg(F.avg("e")).first()[0]
     linear = design.linear_head(rows, ["p", "q"], "e", 1.0)
     a, b = design.pair_head(rows, "p", "q", "e", 2, 1.0, 2)
     w, hidden, bias, out, c = design.mlp_head(rows, ["p", "q"], "e", 4, 20)
-    both = rows.withColumn("x", F.concat("p", "q"))
-    made = {"mean": F.lit(0.0), "linear": linear[0] + online.linear_head("x", linear[1:].tolist()), "pair": design.pair_score("p", "q", a, b)}
+    both = later.withColumn("x", F.concat("p", "q"))
+    made = {"mean": F.lit(mean), "linear": linear[0] + online.linear_head("x", linear[1:].tolist()), "pair": design.pair_score("p", "q", a, b)}
     relu = F.lit(c) + online.linear_head("x", w.tolist())
     for h, o, m in zip(hidden.tolist(), out.tolist(), bias.tolist(), strict=True):
         relu = relu + o * F.greatest(F.lit(0.0), online.linear_head("x", h) + m)
     made["mlp"] = relu
-    long = both.select("e", F.explode(F.array(*[F.struct(F.lit(n).alias("head"), c.alias("s")) for n, c in made.items()])).alias("x"))
+    long = both.select("e", F.explode(F.array(*[F.struct(F.lit(n_).alias("head"), c_.alias("s")) for n_, c_ in made.items()])).alias("x"))
     return long.groupBy("x.head").agg(F.round(F.sqrt(F.avg(F.pow(F.col("x.s") - F.col("e"), F.lit(2)))), 5).alias("rmse"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import calibrate, fit, models, online, ratings
+from skein.operators import calibrate, fit, models, online, ratings, trees
 from skein.plans import inputs
 from skein.plans.inputs import HELD, RATINGS, SPLIT, STREAM
 from skein.plans.registry import Registry
@@ -572,14 +572,15 @@ def fit_segments_dp(spark, d):
     return spark.createDataFrame([(k, v, float(c) if c is not None else None) for k, (v, c) in enumerate(zip(values, [*cuts, None], strict=True))], "segment int, value double, last double")
 
 
-@query(f"""with {STREAM}, r as (select vec_id as pos, e.embedding as v, s.rating - {MU} as e from embeddings e join stream s on s.pos = e.vec_id), l as (select e, k, v[k]::double as x from r, range(1, 65) t(k)),
+@query(f"""with {STREAM}, w as (select row_number() over (order by vec_id) - 1 as at, embedding from embeddings),
+r as (select w.embedding as v, rating - {MU} as e from stream join w on w.at = u % (select count(*) from embeddings)), l as (select e, k, v[k]::double as x from r, range(1, 65) t(k)),
 m as (select 'v' as kind, k - 1 as dim, e, x from l union all select 'v2', k - 1, e, x * x from l),
 s as (select kind, cast(dim as int) as dim, abs(avg(x * e) - avg(x) * avg(e)) / sqrt(avg(x * x) - avg(x) ** 2) as strength from m group by kind, dim)
 select kind, dim, round(strength, 6) as strength from s order by s.strength desc limit 10""")
 def fit_feature_screen(spark, d):
-    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("v"))
-    rows = v.join(inputs.stream(spark, d), "pos").withColumn("e", F.col("rating") - MU)
-    return _out(fit.screen(rows, {"v": "v"}, "e", 10))
+    """The ten strongest components of users' vectors, over every row of the stream."""
+    rows = inputs.with_vectors(spark, d, inputs.stream(spark, d), "u", "pos").select(F.col("pv").alias("v"), (F.col("rating") - MU).alias("e"))
+    return _out(fit.screen(stage(rows), {"v": "v"}, "e", 10))
 
 
 @query(f"with {STREAM} select pos, round(sin(u * 2 * pi() / 150 * 3), 6) + 0.0 as sin3, round(cos(u * 2 * pi() / 150 * 3), 6) + 0.0 as cos3, round(2 * (2 * u / 1000.0 - 1) ** 2 - 1, 6) as t2 from stream")
@@ -622,13 +623,17 @@ def fit_gate_scan(spark, d):
 
 @query()
 def fit_gbdt(spark, d):
-    """RMSE of boosted trees on statistics of earlier rows, on rows after those fitted."""
+    """RMSE of boosted trees, grown leaf by leaf on statistics of earlier rows, on rows after those fitted."""
     s = inputs.stream(spark, d)
     n = s.count()
-    u, i = (online.state(s.where(F.col("pos") < 0.6 * n), k, MU) for k in ("u", "i"))
-    x = s.where(F.col("pos") >= 0.6 * n).join(u.select("u", (F.col("s") / (F.col("n") + 20)).alias("xu")), "u", "left").join(i.select("i", (F.col("s") / (F.col("n") + 5)).alias("xi")), "i", "left").na.fill(0.0)
-    model = fit.boosted(x.where(F.col("pos") < 0.8 * n), ["xu", "xi"], "rating", 5, 3)
-    return ratings.rmse(model.transform(x.where(F.col("pos") >= 0.8 * n)).withColumnRenamed("prediction", "score"))
+    x = s.where(F.col("pos") >= 0.6 * n)
+    for k, shrink in (("u", 20), ("i", 5)):
+        known = online.state(s.where(F.col("pos") < 0.6 * n), k, MU).select(k, (F.col("s") / (F.col("n") + shrink)).alias(f"x{k}"), F.log1p("n").alias(f"l{k}"))
+        x = x.join(known, k, "left")
+    x = x.na.fill(0.0)
+    first = trees.boost(x.where(F.col("pos") < 0.8 * n), ["xu", "xi", "lu", "li", "u"], "rating", 3, 8)
+    forest = trees.boost(x.where(F.col("pos") < 0.8 * n), ["xu", "xi", "lu", "li", "u"], "rating", 2, 8, start=first)
+    return ratings.rmse(x.where(F.col("pos") >= 0.8 * n).withColumn("score", forest.score()))
 
 
 query.also({n: f"{n}_all" for n in ("user_knn", "on_dot_predict", "on_pq_head", "on_segment_dot", "on_linear_head", "on_mlp_head")} | {"fit_fourier": "fit_fourier_basis"})
