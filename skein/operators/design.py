@@ -31,8 +31,8 @@ def terms(user: tuple[str, str], item: tuple[str, str], user_shrinks: list[float
     return out
 
 
-def ridge_grid(rows: DataFrame, columns: list[str], target: str, rhos: list[float], low: float, high: float, offset: str | None = None) -> tuple[DataFrame, dict[float, dict[str, float]]]:
-    """``rho, rmse`` (of the clipped prediction) and the coefficients for each rho: one pass for the sums, one for all errors. ``offset`` is added to predictions."""
+def ridge_grid(rows: DataFrame, columns: list[str], target: str, rhos: list[float], low: float, high: float, offset: str | None = None, held: DataFrame | None = None) -> tuple[DataFrame, dict[float, dict[str, float]]]:
+    """``rho, rmse`` (of the clipped prediction) and the coefficients for each rho: one pass for the sums, one for all errors. ``offset`` is added to predictions; errors are those on ``held``, or else on the rows fitted."""
     found = fit.gram_sums(rows, columns, target)
     solved = {rho: fit.solve_ridge(found, columns, target, rho) for rho in rhos}
     base = F.col(offset) if offset else F.lit(0.0)
@@ -43,7 +43,7 @@ def ridge_grid(rows: DataFrame, columns: list[str], target: str, rhos: list[floa
         for name, v in c.items():
             p = p + F.col(name) * v
         errors.append(F.struct(F.lit(rho).alias("rho"), F.pow(F.greatest(F.lit(low), F.least(F.lit(high), p)) - wanted, F.lit(2)).alias("e")))
-    grid = rows.select(F.explode(F.array(*errors)).alias("x")).groupBy("x.rho").agg(F.sqrt(F.avg("x.e")).alias("rmse"))
+    grid = (rows if held is None else held).select(F.explode(F.array(*errors)).alias("x")).groupBy("x.rho").agg(F.sqrt(F.avg("x.e")).alias("rmse"))
     return grid, solved
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators.components import connected_components
-from skein.stage import discard, stage
+from skein.stage import discard, scratch, stage
 
 #: Ids from 0 are kept as indices when at least this share of 0..max occurs.
 DENSE_SHARE = 0.5
@@ -122,17 +124,52 @@ def component_sizes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return found.groupBy("component").agg(F.count("*").alias("nodes"))
 
 
+#: Parts by hash that edges are stored in for pruning, and tables of one kind that are kept before they become one.
+PARTS, TABLES = 16, 8
+
+
+def _part(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(PARTS)).cast("int")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def prune_dead_ends(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Nodes left after repeatedly taking out those without an edge to a remaining node; ``rounds`` limits the repetition."""
-    now = stage(edges.distinct())
-    alive = node_ids(now)
-    done = 0
+    """Nodes left after repeatedly taking out those without an edge to a remaining node; ``rounds`` limits the repetition.
+
+    A round joins only edges into nodes that just went: they count down their sources' out-degrees, and sources that reach none go next. So each edge is joined once, however long the chains are.
+    Edges lie in parts by their target's hash, of which a round reads those that it has nodes in.
+    """
+    now = stage(edges.select("src", "dst").distinct())
+    degree = now.groupBy("src").agg(F.count("*").alias("degree"))
+    path = scratch(now.sparkSession, "parted")
+    into = now.join(degree, "src").withColumn("part", _part("dst"))
+    into.repartition("part", F.pmod(F.xxhash64("src"), F.lit(PARTS))).write.partitionBy("part").parquet(path)  # a hub's edges lie in several files
+    into = now.sparkSession.read.schema(into.schema).parquet(path)
+    front = stage(now.select(F.col("dst").alias("node")).distinct().join(degree.select(F.col("src").alias("node")), "node", "left_anti"))
+    gone, counted, done = [], [], 0
     while rounds is None or done < rounds:
-        alive = now.select(F.col("src").alias("node")).distinct()
-        left = stage(now.join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-        done += 1
-        if left.count() == now.count():
-            discard(left)
+        parts = [r[0] for r in front.select(_part("node")).distinct().collect()]  # PARTS at most
+        if not parts:
             break
-        now = left
-    return alive
+        done += 1
+        gone.append(front)
+        met = into.where(F.col("part").isin(parts)).join(front.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        hit = stage(met.groupBy(F.col("src").alias("node"), "degree").agg(F.count("*").alias("n")))
+        total = hit
+        if counted:
+            earlier = _union(counted).join(hit.select("node"), "node", "left_semi")
+            total = earlier.unionByName(hit).groupBy("node", "degree").agg(F.sum("n").alias("n"))
+        front = stage(total.where("n = degree").select("node"))
+        counted.append(hit)
+        if len(counted) > TABLES:
+            before, after = counted, _union(counted).groupBy("node", "degree").agg(F.sum("n").alias("n")).where("n < degree")
+            counted = [stage(after)]
+            discard(*before)
+        if len(gone) > TABLES:
+            before, gone = gone, [stage(_union(gone))]
+            discard(*before)
+    alive = node_ids(now)
+    return alive.join(_union(gone), "node", "left_anti") if gone else alive

@@ -73,9 +73,9 @@ def _drop(path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete the files and catalogue entries of staged tables that nothing reads any more."""
     for table in tables:
-        for folder in {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in table.inputFiles()}:
-            for path in [p for p in _staged if p.endswith(f"/{folder}")]:
-                _drop(path)
+        folders = {part for f in table.inputFiles() for part in f.split("/")[-3:-1]}  # a table's files lie in its folder, or in parts of it
+        for path in [p for p in _staged if p.rsplit("/", 1)[1] in folders]:
+            _drop(path)
 
 
 @contextmanager

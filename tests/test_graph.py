@@ -141,3 +141,23 @@ def test_hubs_are_dealt_over_buckets(spark, monkeypatch):
 
 def test_prune_to_empty(spark):
     assert graph.prune_dead_ends(edges(spark, [(0, 1), (1, 2)])).count() == 0
+
+
+def test_pruning_meets_each_edge_once(spark, monkeypatch):
+    """Long chains, a hub, a cycle, loops and repeated edges against a plain peel; only edges into nodes that just went are joined."""
+    from skein.operators import graph
+
+    rng = np.random.default_rng(4)
+    pairs = [(k, k + 1) for k in range(30)] + [(200 + k, 30) for k in range(40)] + [(500, 501), (501, 500), (501, 7), (7, 7), (600, 500), (600, 601)] + [(int(a), int(b)) for a, b in rng.integers(700, 760, (70, 2))]
+    pairs += pairs[:9]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    for rounds in (None, 0, 1, 3):
+        left, done = {n for p in pairs for n in p}, 0
+        while rounds is None or done < rounds:
+            stay = {s for s, t in pairs if s in left and t in left}
+            done += 1
+            if stay == left:
+                break
+            left = stay
+        assert {r[0] for r in graph.prune_dead_ends(edges, rounds).collect()} == left
+    assert graph.prune_dead_ends(edges.limit(0)).collect() == []
