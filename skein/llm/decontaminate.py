@@ -1,8 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are read as lower-cased words. Every ``TILE`` words of an item are a seed, known by a rolling hash
-(Karp-Rabin); documents are joined with items on the hashes they share. A pair stays while enough of the item's seeds are in the
-document for its coverage to be reached at all, and is then tiled: the longest match not yet marked is marked as a tile on both sides, what
+(Karp-Rabin); documents are joined with items on the hashes they share. An item leaves out of the join its commonest seeds (of those in more
+than ``COMMON`` texts) as long as the words that they cover together are fewer than it needs: where it is leaked, other seeds cover the rest.
+A phrase that many items and documents share thus makes no pairs by itself. A pair stays while its shared seeds may cover what is needed, first by their
+sums, then by the union of their places, and is then tiled: the longest match not yet marked is marked as a tile on both sides, what
 it cuts off from other matches is matched again, and so on while ``TILE`` words are left. An item is leaked into a document
 when its tiles cover ``COVERAGE`` of its words, in whatever order the passages stand. An item of fewer than ``TILE`` words is one seed of
 its own length: it is leaked where its words stand together.
@@ -36,6 +38,8 @@ from skein.llm.batches import slices, texts_of
 from skein.stage import stage
 
 TILE, COVERAGE = 5, 0.5
+#: Texts that hold a seed before items try to do without it. Any number gives the same results.
+COMMON = 100
 #: Bits of the filter for each seed, and the least and most of them in all, as powers of two; parts in which it is put together.
 BITS_PER_SEED, LEAST_BITS, MOST_BITS, PARTS = 1024, 16, 27, 16
 TABLE_WORDS = 500_000
@@ -115,9 +119,37 @@ def tiles(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def least_seeds(words: int, coverage: float) -> int:
-    """Seeds of an item that a text must have to cover it: tiles of TILE words, the shortest, take one seed for TILE words."""
-    return max(1, math.ceil(math.ceil(coverage * words - 1e-9) / TILE))
+def needed(words: int, coverage: float) -> int:
+    """Words of an item that its tiles must cover."""
+    return max(1, math.ceil(coverage * words - 1e-9))
+
+
+def leave_out(seeds: np.ndarray, size: int, need: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words covered by the seeds of ``common`` (the first ones first) that are left out, and which places of ``seeds`` stay.
+
+    Seeds are left out while all the words that they cover are fewer than ``need``.
+    """
+    covered, stay, n = np.zeros(len(seeds) + max(size - 1, 0), bool), np.ones(len(seeds), bool), 0
+    order = np.argsort(seeds, kind="stable")
+    first, end = (np.searchsorted(seeds[order], common, side=side) for side in ("left", "right"))
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        at = order[a:b]
+        places = np.unique(at[:, None] + np.arange(size))
+        more = int(np.count_nonzero(~covered[places]))
+        if n + more < need:
+            covered[places] = True
+            stay[at] = False
+            n += more
+    return covered, stay
+
+
+def may_cover(known: np.ndarray, item: np.ndarray, coverage: float) -> bool:
+    """Whether the seeds of ``item`` (of ``TILE`` words and more) among ``known`` (sorted) cover the words it needs. Tiles lie within what they cover."""
+    wanted = rolling(item)
+    if not len(known):
+        return False
+    hit = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+    return int(np.count_nonzero(np.convolve(hit, np.ones(TILE, np.int64)))) >= needed(len(item), coverage)
 
 
 def _text_hash(text: str) -> list[Column]:
@@ -125,21 +157,43 @@ def _text_hash(text: str) -> list[Column]:
 
 
 def _seeds(items: DataFrame, coverage: float) -> DataFrame:
-    """``hash, item, times, least, size`` of each distinct seed of each item."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("hash", "item", "times", "least", "size")])
+    """``hash, item, words, need, size`` of each distinct seed that an item (``item, text, common``) doesn't leave out.
+
+    ``words`` is what the seed covers at most beside those left out, ``need`` what all of them must cover.
+    """
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("hash", "item", "words", "need", "size")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Coder()
         for batch in slices(batches):
-            for item, text in zip(batch.column("item").to_pylist(), texts_of(batch), strict=True):
+            for item, text, common in zip(batch.column("item").to_pylist(), texts_of(batch), batch.column("common").to_pylist(), strict=True):
                 codes = code(text)
                 size = min(TILE, len(codes))
-                hashes, times = np.unique(rolling(codes, size) if size else np.zeros(0, np.uint64), return_counts=True)
-                n = len(hashes)
-                columns = [hashes.view(np.int64), np.full(n, item), times, np.full(n, least_seeds(len(codes), coverage) if size == TILE else 1), np.full(n, size)]
+                seeds = rolling(codes, size) if size else np.zeros(0, np.uint64)
+                need = needed(len(codes), coverage)
+                covered, stay = leave_out(seeds, size, need, np.array(common or [], np.int64).view(np.uint64))
+                free = np.concatenate([[0], np.cumsum(~covered)])
+                hashes, which = np.unique(seeds, return_inverse=True)
+                words = np.bincount(which[stay], (free[size:] - free[: len(free) - size])[stay] if size else None, len(hashes))
+                keep = words > 0
+                n = int(keep.sum())
+                columns = [hashes[keep].view(np.int64), np.full(n, item), words[keep], np.full(n, need - int(covered.sum())), np.full(n, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=schema.names)
 
-    return items.select("item", "text").mapInArrow(run, schema)
+    return items.select("item", "text", "common").mapInArrow(run, schema)
+
+
+def _candidates(texts: DataFrame, seeds: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """``t1, t2, item`` of texts (``t1, t2, hashes``) and items whose shared seeds may cover enough of the item."""
+    found = texts.select("t1", "t2", F.explode("hashes").alias("hash"))
+    common = stage(found.groupBy("hash").count().where(F.col("count") > COMMON))
+    if not common.isEmpty():
+        held = seeds.join(common, "hash").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("count", "hash")), asc=False).alias("common"))
+        held = stage(held.select("item", F.col("common.hash").alias("common")))
+        lighter = stage(_seeds(items.select("item", "text").join(held, "item"), coverage))
+        seeds = seeds.join(held, "item", "left_anti").unionByName(lighter)
+    shared = found.join(seeds, "hash").groupBy("t1", "t2", "item").agg(F.sum("words").alias("words"), F.first("need").alias("need"))
+    return shared.where("words >= need").select("t1", "t2", "item")
 
 
 def _probe(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,21 +268,24 @@ def _with_hits(texts: DataFrame, held: Filter) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _tiled(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
-    """``t1, t2, item, coverage, n_tiles`` of pairs of a text and an item."""
+def _tiled(pairs: DataFrame, texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """``t1, t2, item, coverage, n_tiles`` of pairs of a text and an item whose shared seeds cover ``least`` of it."""
     heads = texts.join(pairs.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("t1", "t2", F.lit(-1).cast("long").alias("item"), "text")
     rows = heads.unionByName(pairs.join(items.select("item", "text"), "item").select("t1", "t2", "item", "text"))
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, doc = Coder(), None
+        code, doc, known = Coder(), None, None
         for batch in slices(batches):
             keep, coverage, n_tiles = [], [], []
             for k, (item, text) in enumerate(zip(batch.column("item").to_pylist(), texts_of(batch), strict=True)):
                 if item < 0:
                     doc = code(text)
+                    known = np.unique(rolling(doc))
                     continue
                 words = code(text)
+                if len(words) >= TILE and not may_cover(known, words, least):
+                    continue
                 found = tiles(doc, words)
                 keep.append(k)
                 coverage.append(sum(t[0] for t in found) / len(words))
@@ -245,12 +302,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, key: str, tex
         raise ValueError("coverage is a share above 0")
     items = benchmark.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     items = stage(items.withColumn("item", F.monotonically_increasing_id()))  # written, so the numbers stay
-    seeds = stage(_seeds(items, coverage))
+    seeds = stage(_seeds(items.withColumn("common", F.lit(None).cast("array<long>")), coverage))
     read = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(*_text_hash("text"), "text")
     texts = stage(_with_hits(read, Filter(seeds)).dropDuplicates(["t1", "t2"]))
-    shared = texts.select("t1", "t2", F.explode("hashes").alias("hash")).join(seeds, "hash")
-    pairs = shared.groupBy("t1", "t2", "item").agg(F.sum("times").alias("n"), F.first("least").alias("least")).where("n >= least").select("t1", "t2", "item")
-    tiled = _tiled(stage(pairs), texts, items).where(F.col("coverage") >= coverage - 1e-12).join(items.select("item", "id"), "item")
+    pairs = stage(_candidates(texts, seeds, items, coverage))
+    tiled = _tiled(pairs, texts, items, coverage).where(F.col("coverage") >= coverage - 1e-12).join(items.select("item", "id"), "item")
     best = F.min(F.struct((-F.col("coverage")).alias("less"), F.col("id").isNull().alias("none"), "id", "n_tiles")).alias("best")
     return tiled.groupBy("t1", "t2").agg(best).select("t1", "t2", F.col("best.id").alias("item_id"), (-F.col("best.less")).alias("coverage"), F.col("best.n_tiles").alias("n_tiles"))
 

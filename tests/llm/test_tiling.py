@@ -51,8 +51,10 @@ def test_tiles_equal_brute_force():
         assert decontaminate.tiles(code(" ".join(doc)), code(" ".join(item))) == brute_tiles(doc, item)
 
 
-def test_documents_equal_brute_force(spark):
-    """All pairs of documents and items, of one word and more, with equal items, null ids and texts."""
+@pytest.mark.parametrize("common", [decontaminate.COMMON, 2, 0])
+def test_documents_equal_brute_force(spark, monkeypatch, common):
+    """All pairs of documents and items, of one word and more, with equal items, null ids and texts, whichever seeds count as common."""
+    monkeypatch.setattr(decontaminate, "COMMON", common)
     rng = np.random.default_rng(6)
     bench = [(k, prose(rng, int(rng.choice([1, 2, 3, 4, 5, 6, 12, 30])), 25)) for k in range(25)]
     bench += [(40, bench[0][1]), (None, bench[3][1]), (None, None), (41, ""), (42, "..."), (1, prose(rng, 20, 25))]
@@ -81,6 +83,34 @@ def test_documents_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [k for k in got if not got[k]["contaminated"]]
 
 
+def test_common_phrases_make_no_pairs(spark, monkeypatch):
+    """Items and documents that share a line; one document holds an item whole, one only its end, one the line and its end."""
+    rng = np.random.default_rng(9)
+    line = " ".join(f"c{k}" for k in range(12))
+    bench = [(k, line + " " + prose(rng, 28)) for k in range(60)]
+    texts = [prose(rng, 60) + " " + line + " " + prose(rng, 60) for _ in range(240)]
+    end = " ".join(bench[7][1].split()[-20:])
+    texts += [bench[5][1], "x " + end, line + " y " + " ".join(bench[9][1].split()[-8:]), line + " z " + " ".join(bench[11][1].split()[-7:])]
+    tiled, tile = [], decontaminate._tiled
+    monkeypatch.setattr(decontaminate, "_tiled", lambda pairs, *rest: tiled.append(pairs.count()) or tile(pairs, *rest))
+    got = decontaminate.judge_documents(docs(spark, texts), items(spark, bench)).where("contaminated")
+    assert {r["doc_id"]: (r["item_id"], round(r["coverage"], 6), r["n_tiles"]) for r in got.collect()} == {240: (5, 1.0, 1), 241: (7, 0.5, 1), 242: (9, 0.5, 2)}
+    assert tiled[0] <= 10  # of 14,640
+
+
+def test_left_out_seeds_cover_less_than_needed():
+    rng, code = np.random.default_rng(4), decontaminate.Coder()
+    for _ in range(200):
+        words = code(" ".join(f"x{v}" for v in rng.integers(0, 3, int(rng.integers(1, 40)))))
+        size = min(decontaminate.TILE, len(words))
+        seeds, need = decontaminate.rolling(words, size), decontaminate.needed(len(words), float(rng.choice([0.2, 0.5, 1.0])))
+        common = rng.permutation(np.unique(seeds))[: int(rng.integers(0, 8))]
+        covered, stay = decontaminate.leave_out(seeds, size, need, common)
+        union = {p + j for p in np.flatnonzero(~stay) for j in range(size)}
+        assert union == set(np.flatnonzero(covered)) and len(union) < need
+        assert not set(seeds[~stay]) & set(seeds[stay]) and set(seeds[~stay]) <= set(common)
+
+
 def test_reordered_passages_and_thresholds(spark):
     rng = np.random.default_rng(3)
     item = [f"b{k}" for k in range(40)]
