@@ -69,33 +69,93 @@ def ensemble(scored: list[tuple[float, DataFrame]], ends: tuple[float, float, fl
     return long.groupBy("u", "i").agg(clip(F.sum("part") + intercept, low, high).alias("score"))
 
 
-def user_similarity(residuals: DataFrame) -> DataFrame:
-    """``u, v, s``: shrunken cosine of users' residuals over shared items; a pair of users in one row.
+#: Ratings and requests in a block of users of :func:`neighbours`, about, and products of two ratings held at once.
+KNN_ROWS, PRODUCTS = 200_000, 2_000_000
 
-    Items rated by very many users are the cost here: rows grow with the square of an item's raters, as the measure itself does.
+
+def _meet(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``keys`` and in ``ordered`` (sorted) of all pairs of equal values."""
+    first, end = np.searchsorted(ordered, keys), np.searchsorted(ordered, keys, side="right")
+    n = end - first
+    left = np.repeat(np.arange(len(keys)), n)
+    return left, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _norms(users: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(users, return_inverse=True)
+    return at, np.sqrt(np.bincount(at, e * e, len(known)))
+
+
+def neighbours(requests: DataFrame, residuals: DataFrame, k: int, absolute: bool = True) -> DataFrame:
+    """``u, i, v, s, e``: for each distinct request the k raters of its item most like its user (ties: least id), with their likeness and residual.
+
+    Likeness is the shrunken cosine of residuals over shared items; raters without one aren't taken. Users are dealt into blocks of some ``KNN_ROWS`` ratings, and each pair of blocks is one task: it makes the
+    products of its users' residuals, keeps the k best for each request and forgets the rest. So no pair of users is ever a row: ratings are sent once for each block, and at most k rows
+    for each request and block come back, however many raters an item has. A user's ratings, one for each item at most, are in one task.
     """
-    norms = residuals.groupBy("u").agg(F.sqrt(F.sum(F.col("e") * F.col("e"))).alias("norm"))
-    a = residuals.select("i", "u", F.col("e").alias("ea"))
-    b = residuals.select("i", F.col("u").alias("v"), F.col("e").alias("eb"))
-    dots = a.join(b, "i").where("u < v").groupBy("u", "v").agg(F.sum(F.col("ea") * F.col("eb")).alias("dot"))
-    nv = norms.select(F.col("u").alias("v"), F.col("norm").alias("norm_v"))
-    return dots.join(norms, "u").join(nv, "v").select("u", "v", (F.col("dot") / (F.col("norm") * F.col("norm_v") + 1e-6)).alias("s"))
+    asked = requests.select("u", "i").where("u is not null and i is not null").distinct()
+    rated = residuals.where("u is not null and i is not null and e is not null")
+    blocks = max(1, math.ceil(max(rated.count(), asked.count()) / KNN_ROWS))
+    own = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = rated.select(own.alias("p"), every.alias("q"), F.lit(0).alias("kind"), "u", "i", "e")
+    rows = rows.unionByName(rated.select(every.alias("p"), own.alias("q"), F.lit(1).alias("kind"), "u", "i", "e"))
+    rows = rows.unionByName(asked.select(own.alias("p"), every.alias("q"), F.lit(2).alias("kind"), "u", "i", F.lit(0.0).alias("e")))
+
+    def best(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"u": [], "i": [], "v": [], "s": [], "e": []})]
+        ours, theirs, wanted = (data[data["kind"] == n] for n in range(3))
+        ours = ours[ours["u"].isin(wanted["u"])].sort_values(["u", "i"])
+        theirs = theirs.sort_values(["i", "u"])
+        wanted = wanted[wanted["i"].isin(theirs["i"]) & wanted["u"].isin(ours["u"])].sort_values(["u", "i"])
+        if len(ours) and len(wanted):
+            u, i, e = (ours[c].to_numpy() for c in ("u", "i", "e"))
+            users, known = np.unique(u), np.unique(theirs["u"])
+            items, residual = theirs["i"].to_numpy(), theirs["e"].to_numpy()
+            at, norm_u = _norms(u, e)
+            by, norm_v = _norms(theirs["u"].to_numpy(), residual)
+            wu, wi = wanted["u"].to_numpy(), wanted["i"].to_numpy()
+            # Users are gone through in runs of about PRODUCTS products, those of requests with raters included.
+            size = np.zeros(len(users))
+            for whose, what in ((u, i), (wu, wi)):
+                n = np.searchsorted(items, what, side="right") - np.searchsorted(items, what)
+                size += np.bincount(np.searchsorted(users, whose), n, len(users))
+            run = np.cumsum(size) // PRODUCTS
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(users)]])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                low, high = users[a], users[b - 1]
+                mine = slice(np.searchsorted(u, low), np.searchsorted(u, high, side="right"))
+                x, y = _meet(i[mine], items)
+                pair, which = np.unique(at[mine][x] * len(known) + by[y], return_inverse=True)
+                s = np.bincount(which, e[mine][x] * residual[y], len(pair)) / (norm_u[pair // len(known)] * norm_v[pair % len(known)] + 1e-6)
+                asks = slice(np.searchsorted(wu, low), np.searchsorted(wu, high, side="right"))
+                x, y = _meet(wi[asks], items)
+                who = wu[asks][x]
+                asked_pair = np.searchsorted(users, who) * len(known) + by[y]
+                place = np.minimum(np.searchsorted(pair, asked_pair), max(len(pair) - 1, 0))
+                good = (pair[place] == asked_pair) & (known[by[y]] != who) if len(pair) else np.zeros(len(x), bool)
+                x, y, s = x[good], y[good], s[place[good]]
+                order = np.lexsort((by[y], -np.abs(s) if absolute else -s, x))
+                rank = np.arange(len(order)) - np.searchsorted(x[order], x[order])
+                order = order[rank < k]
+                x, y = x[order], y[order]
+                out.append(pd.DataFrame({"u": wu[asks][x], "i": wi[asks][x], "v": known[by[y]], "s": s[order], "e": residual[y]}))
+        return pd.concat(out[1:] or out)
+
+    near = rows.groupBy("p", "q").applyInPandas(best, "u long, i long, v long, s double, e double")
+    order = F.abs("s") if absolute else F.col("s")
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("u", "i").orderBy(order.desc(), "v"))).where(F.col("n") <= k).drop("n")
 
 
 def user_knn(requests: DataFrame, ratings: DataFrame, k: int = 40, shrink: float = 1.0, bias: tuple | None = None, absolute: bool = True) -> DataFrame:
-    """``u, i, score``: the bias score plus the similarity-weighted residuals of the k raters most alike (ties: least id)."""
+    """``u, i, score``: the bias score plus the similarity-weighted residuals of the k raters most alike (ties: least id). Repeated requests are scored alike."""
     if k < 1:
         raise ValueError("k is below 1")
     bu, bi, ends = bias or bias_tables(ratings)
     base = score_bias(requests.select("u", "i"), bu, bi, ends)
     once = ratings.groupBy("u", "i").agg(F.max("rating").alias("rating"))
     residuals = stage(score_bias(once, bu, bi, ends).select("u", "i", (F.col("rating") - F.col("score")).alias("e")))
-    half = user_similarity(residuals)
-    similar = stage(half.unionByName(half.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")))
-    raters = residuals.select("i", F.col("u").alias("v"), "e")
-    found = requests.select("u", "i").join(raters, "i").where("u <> v").join(similar, ["u", "v"])
-    order = F.abs("s") if absolute else F.col("s")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("u", "i").orderBy(order.desc(), "v"))).where(F.col("n") <= k)
+    best = neighbours(requests, residuals, k, absolute)
     change = best.groupBy("u", "i").agg((F.sum(F.col("s") * F.col("e")) / (F.sum(F.abs("s")) + shrink)).alias("change"))
     _, low, high = ends
     return base.join(change, ["u", "i"], "left").select("u", "i", clip(F.col("score") + F.coalesce("change", F.lit(0.0)), low, high).alias("score"))

@@ -195,3 +195,39 @@ def test_fourier_fit_finds_planted_frequencies(spark):
     made = fit.product_basis(fit.fourier_basis(F.col("u"), 60.0, keys[0]), fit.fourier_basis(F.col("i"), 40.0, keys[1]))
     grid, _ = design.ridge_grid(s.select("e", F.lit(1.0).alias("one"), *[c.alias(k) for k, c in made.items()]), ["one", *made], "e", [1e-6], -9.0, 9.0)
     assert grid.first()["rmse"] < 1e-5
+
+
+@pytest.mark.parametrize(("rows", "products", "absolute"), [(10**6, 10**6, True), (40, 30, True), (40, 30, False)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, rows, products, absolute):
+    """Ties, a hot item, users without ratings, items without raters, nulls and repeated requests, in one block and in many."""
+    monkeypatch.setattr(models, "KNN_ROWS", rows)
+    monkeypatch.setattr(models, "PRODUCTS", products)
+    rng = np.random.default_rng(8)
+    e = {(u, 1): float(rng.normal()) for u in range(60)}
+    e.update({(u, int(i)): float(rng.normal()) for u in range(50) for i in rng.integers(2, 30, 6)})
+    e.update({(70, i): e.get((3, i), 0.0) for i in range(1, 30) if (3, i) in e})  # as like to all as 3 is
+    e[80, 99] = 1.0  # shares no item with anyone
+    asked = [(int(u), int(i)) for u, i in zip(rng.integers(0, 75, 150), rng.integers(1, 32, 150), strict=True)] + [(5, 1), (5, 1), (80, 1), (1, 99)]
+    requests = spark.createDataFrame([*asked, (None, 1), (5, None)], "u long, i long")
+    table = spark.createDataFrame([(u, i, x) for (u, i), x in e.items()] + [(None, 1, 1.0), (4, None, 1.0)], "u long, i long, e double")
+    by = {}
+    for (u, i), x in e.items():
+        by.setdefault(u, {})[i] = x
+    norm = {u: sum(x * x for x in row.values()) ** 0.5 for u, row in by.items()}
+    want = set()
+    for u, i in set(asked):
+        near = []
+        for v in by:
+            shared = by.get(u, {}).keys() & by[v].keys()
+            if v != u and i in by[v] and shared:
+                s = round(sum(by[u][j] * by[v][j] for j in shared) / (norm[u] * norm[v] + 1e-6), 9)
+                near.append((-abs(s) if absolute else -s, v, s))
+        want |= {(u, i, v, s, round(by[v][i], 9)) for _, v, s in sorted(near)[:4]}
+    got = models.neighbours(requests, table, 4, absolute).collect()
+    assert len(got) == len(want) and {(r["u"], r["i"], r["v"], round(r["s"], 9), round(r["e"], 9)) for r in got} == want
+
+
+def test_neighbours_of_nothing(spark):
+    none = spark.createDataFrame([], "u long, i long, e double")
+    some = spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], none.schema)
+    assert not models.neighbours(none, some, 3).collect() and not models.neighbours(some, none, 3).collect()
