@@ -99,6 +99,64 @@ def test_grouped_files(spark, tmp_path):
         text.grouped_ratings(spark, str(tmp_path / "b.txt")).collect()
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of some 200 bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_grouped_files_over_many_blocks(spark, tmp_path, small_blocks):
+    """Groups that span blocks, empty ones, blank lines between groups, no newline at the end, two files: as a reader of whole files has them."""
+    rng = np.random.default_rng(3)
+    want = []
+    for name in "ab":
+        out = []
+        for u in range(60):
+            n = int(rng.choice([0, 1, 3, 90]))
+            group = [(int(i), float(r)) for i, r in zip(rng.integers(0, 10**6, n), rng.integers(0, 100, n), strict=True)]
+            out += [f"{u}|{n}", *(f"{i}  {r}" for i, r in group), *[""] * int(rng.integers(0, 3))]
+            want += [(u, k, i, r) for k, (i, r) in enumerate(group)]
+        (tmp_path / name).write_text("\n".join(out))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    assert sorted(map(tuple, text.grouped_ratings(spark, str(tmp_path)).collect())) == sorted((u, i, r) for u, _, i, r in want)
+    assert sorted(map(tuple, text.grouped_requests(spark, str(tmp_path)).collect())) == sorted((u, k, i) for u, k, i, _ in want)
+
+
+@pytest.mark.parametrize(
+    ("tail", "said"),
+    [
+        ("7|3\n1 2\n2 2", r"group 7 ends after 2 of 3 rows \(line 104"),
+        ("7|3\n1 2\n8|0\n", r"group 7 ends after 1 of 3 rows \(line 104"),
+        ("7|1\n1 2\n3 4\n", r"not a group's head: '3 4' \(line 104"),
+        ("7|x\n", r"not a group's head: '7\|x' \(line 102"),
+        ("7|2\n1 2\n3\n", r"group 7 ends after 1 of 2 rows: '3' \(line 104"),
+        ("7|2\n1 2\n\n", r"group 7 ends after 1 of 2 rows \(line 104"),
+    ],
+)
+def test_errors_of_grouped_files_name_the_line(spark, tmp_path, small_blocks, tail, said):
+    (tmp_path / "a").write_text("1|100\n" + "5 6\n" * 100 + tail)
+    with pytest.raises(Exception, match=said):
+        text.grouped_ratings(spark, str(tmp_path)).collect()
+
+
+def test_lines_that_are_no_edges(spark, tmp_path, small_blocks):
+    lines = ["1 2"] * 300
+    for k, bad in ((0, "x 1"), (150, "1 2 3"), (299, "-1 4"), (77, "")):
+        lines[k] = bad
+    (tmp_path / "e").write_text("\n".join(lines) + "\n")
+    assert sorted((r["line"], r["value"]) for r in text.edge_errors(spark, str(tmp_path)).collect()) == [(1, "x 1"), (78, ""), (151, "1 2 3"), (300, "-1 4")]
+
+
+def test_empty_grouped_files(spark, tmp_path):
+    (tmp_path / "a").write_text("")
+    (tmp_path / "b").write_text("\n\n")
+    assert not text.grouped_ratings(spark, str(tmp_path)).collect()
+
+
 def test_binary_sources(spark, tmp_path):
     binary.register(spark)
     p, q = np.arange(6, dtype="<f4").reshape(3, 2), np.ones((2, 2), "<f4")
