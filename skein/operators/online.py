@@ -74,6 +74,33 @@ def segment(u: Column, thresholds: tuple[float, ...], values: tuple[float, ...])
     return F.element_at(F.array(*map(F.lit, values)), below + 1)
 
 
+def segment_join(rows: DataFrame, segments: DataFrame, key: str = "u", below: float = 0.0) -> DataFrame:
+    """``rows`` with ``value``: that of the greatest ``threshold`` of ``segments`` (``threshold, value``; whole numbers, each once) below the key, else ``below``; a null key has ``below``.
+
+    For tables of segments of any length. Thresholds bound intervals, which are cut at multiples of a power of two, so that there are at most twice as many pieces as segments and an interval's pieces
+    and the keys inside join on equal buckets; the interval is then the one whose bounds hold the key. Spark picks the join by the sizes of both sides.
+    """
+    least, most, n = segments.agg(F.min("threshold"), F.max("threshold"), F.count("*")).first()
+    if not n:
+        return rows.withColumn("value", F.lit(below))
+    bits = max(0, ((most - least) // n).bit_length())
+    # Buckets by rank of thresholds would need an order of all; these need none. Keys beyond the ends fall into the last bucket or none.
+    bucket = lambda c: F.shiftright(F.least(c, F.lit(most + 1)) - F.lit(least), bits)
+    after = F.lead("threshold").over(Window.partitionBy("_part").orderBy("threshold"))
+    # The next threshold, found within parts of neighbouring buckets; the last of a part ends at the first of a later one.
+    parts = segments.select(F.col("threshold").cast("long"), "value", F.shiftright(F.col("threshold") - F.lit(least), bits + 12).alias("_part"))
+    firsts = parts.groupBy("_part").agg(F.min("threshold").alias("first"))
+    firsts = firsts.select("_part", F.lead("first").over(Window.orderBy("_part")).alias("next"))  # one row for each 4,096 buckets
+    bounds = parts.withColumn("after", after).join(firsts, "_part").select("threshold", "value", F.coalesce("after", "next", F.lit(most + 1)).alias("_end"))
+    # An interval holds the keys from threshold + 1 to _end; the last one has no end.
+    pieces = bounds.select(
+        F.col("threshold").alias("_start"), F.when(F.col("threshold") < most, F.col("_end")).alias("_end"), "value", F.explode(F.sequence(bucket(F.col("threshold") + 1), bucket(F.col("_end")))).alias("_bucket"),
+    )
+    keyed = rows.withColumn("_bucket", bucket(F.col(key).cast("long"))).alias("r")
+    inside = (F.col("r._bucket") == F.col("s._bucket")) & (F.col(f"r.{key}") > F.col("s._start")) & (F.col("s._end").isNull() | (F.col(f"r.{key}") <= F.col("s._end")))
+    return keyed.join(pieces.alias("s"), inside, "left").select(*[F.col(f"r.{c}") for c in rows.columns], F.coalesce("s.value", F.lit(below)).alias("value"))
+
+
 def score(requests: DataFrame, users: DataFrame | None, items: DataFrame | None, p: Scoring, known_users: int | None = None, known_items: int | None = None) -> DataFrame:
     """``requests`` with ``score``. No state at all, or an id out of range, gives the mean."""
     if users is None and items is None:

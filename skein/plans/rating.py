@@ -275,6 +275,15 @@ def on_segment_prior(spark, d):
     return inputs.stream(spark, d).select("u").distinct().select("u", online.segment(F.col("u"), THRESHOLDS, VALUES).alias("value"))
 
 
+@query(SHARED + f""", cuts as (select i as threshold, avg(rating - {MU}) as value from stream group by i), ids as (select distinct u from stream)
+select u, round(coalesce(value, 0.5), 6) as value from ids asof left join cuts on ids.u > cuts.threshold""")
+def on_segment_join(spark, d):
+    """As many segments as there are items: users' ids fall between the items' ids, whose mean residuals are the values."""
+    stream = inputs.stream(spark, d)
+    cuts = stage(stream.groupBy(F.col("i").alias("threshold")).agg(F.avg(F.col("rating") - MU).alias("value")))
+    return _out(online.segment_join(stream.select("u").distinct(), cuts, "u", 0.5))
+
+
 @query(SHARED + f" select pos, round(greatest(0.0, least(5.0, {P.intercept} + {SEGMENT} + {CU} + {CI})), 6) as score" + JOINED)
 def on_predict(spark, d):
     p = online.Scoring(mean=MU, low=0.0, high=5.0, thresholds=THRESHOLDS, values=VALUES, **SCORE)

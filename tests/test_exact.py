@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from skein.operators import fit, ranking
+from skein.operators import fit, online, ranking
 
 
 def best_error(w, m, count):
@@ -76,3 +76,21 @@ def test_kendall_of_whole_rankings(spark, monkeypatch, part):
     assert ranking.kendall_full(frames[0], frames[0]).first()["tau"] == 1
     assert ranking.kendall_full(frames[0].limit(1), frames[0]).first()["tau"] is None
     assert ranking.kendall_full(frames[0].limit(0), frames[1]).first()["tau"] is None
+
+
+@pytest.mark.parametrize("spread", [3, 1000, 10**12])
+def test_segments_are_joined_by_buckets(spark, spread):
+    """Thousands of segments, even and crowded together, keys on thresholds, beyond both ends and null; no nested loop in the plan."""
+    rng = np.random.default_rng(spread)
+    cuts = sorted({int(x) for x in np.concatenate([rng.integers(-spread, spread, 3000), spread * 5 + rng.integers(0, 50, 40)])})
+    keys = [int(x) for x in rng.integers(-2 * spread, 12 * spread, 3000)] + cuts[:200] + [cuts[0] - 1, cuts[0], cuts[-1], cuts[-1] + 1, 10**15, -(10**15)]
+    rows = spark.createDataFrame([(k, "x") for k in [*keys, None]], "u long, value2 string")
+    segments = spark.createDataFrame([(t, float(k)) for k, t in enumerate(cuts)], "threshold long, value double")
+    got = online.segment_join(rows, segments, "u", -1.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = sorted((k, float(np.searchsorted(cuts, k, side="left")) - 1) for k in keys)
+    assert sorted((r["u"], r["value"]) for r in got.where("u is not null").collect()) == want
+    assert [r["value"] for r in got.where("u is null").collect()] == [-1.0]
+    assert online.segment_join(rows, segments.limit(0), "u", 2.0).where("value = 2").count() == len(keys) + 1
+    assert online.segment_join(rows, segments.limit(1), "u", 2.0).count() == len(keys) + 1
