@@ -13,7 +13,7 @@ def events(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["fit_fourier", "fit_fourier_basis"])
+@pytest.mark.parametrize("name", ["on_factor_user", "fit_fourier", "fit_fourier_basis"])
 def test_users_beyond_a_thousand(spark, events, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
