@@ -141,6 +141,24 @@ def test_copies_do_not_make_their_words_common(spark):
     assert np.median(weights(common, np.ones(len(common)))) > 1.5
 
 
+def test_every_row_counts_its_share(spark):
+    """Rows with one least shingle hash count equal parts of one, whatever else they hold; rows alike in all are rows too."""
+    rng = np.random.default_rng(6)
+    base = prose(rng, 60)
+    texts = [f"{base} {prose(rng, 2 * k)}" for k in range(12)]
+    texts += [texts[3], prose(rng, 80), prose(rng, 500), "", None]
+    rows = [*enumerate(texts), (3, texts[3])]
+    split = [t or "" for _, t in rows]
+    found, _, starts, _ = neardup.Shingler()(split)
+    groups = [found[a:b].min() if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    alike = Counter(groups)
+    assert max(n for g, n in alike.items() if g is not None) > 3
+    want = sum((b - a) / alike[g] for g, a, b in zip(groups, starts[:-1], starts[1:], strict=True) if g is not None)
+    weights = neardup.document_frequencies(frame(spark, rows))
+    assert weights.docs == len(alike) - 1
+    assert [float(s.sum(dtype=np.float64)) for s in weights.sketch] == pytest.approx([want, want], rel=1e-5)
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(9)
     sampler, agree, exact = neardup.Sampler(), [], []
