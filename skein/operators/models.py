@@ -81,26 +81,31 @@ def _meet(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return left, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def _norms(users: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, at = np.unique(users, return_inverse=True)
-    return at, np.sqrt(np.bincount(at, e * e, len(known)))
-
-
 def neighbours(requests: DataFrame, residuals: DataFrame, k: int, absolute: bool = True) -> DataFrame:
     """``u, i, v, s, e``: for each distinct request the k raters of its item most like its user (ties: least id), with their likeness and residual.
 
-    Likeness is the shrunken cosine of residuals over shared items; raters without one aren't taken. Users are dealt into blocks of some ``KNN_ROWS`` ratings, and each pair of blocks is one task: it makes the
-    products of its users' residuals, keeps the k best for each request and forgets the rest. So no pair of users is ever a row: ratings are sent once for each block, and at most k rows
-    for each request and block come back, however many raters an item has. A user's ratings, one for each item at most, are in one task.
+    Likeness is the shrunken cosine of residuals over shared items; raters without one aren't taken. Users are dealt into blocks of some ``KNN_ROWS`` ratings by ranges of ids, and each pair of blocks that meet in an
+    item is one task: it makes the products of its users' residuals, keeps the k best for each request and forgets the rest. So no pair of users is ever a row: a rating is sent to those blocks only that
+    have to do with its item (so never more often than the item has raters and requests), and at most k rows for each request and block come back. A user's ratings, one for each item at most, are in one block.
     """
     asked = requests.select("u", "i").where("u is not null and i is not null").distinct()
     rated = residuals.where("u is not null and i is not null and e is not null")
-    blocks = max(1, math.ceil(max(rated.count(), asked.count()) / KNN_ROWS))
-    own = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = rated.select(own.alias("p"), every.alias("q"), F.lit(0).alias("kind"), "u", "i", "e")
-    rows = rows.unionByName(rated.select(every.alias("p"), own.alias("q"), F.lit(1).alias("kind"), "u", "i", "e"))
-    rows = rows.unionByName(asked.select(own.alias("p"), every.alias("q"), F.lit(2).alias("kind"), "u", "i", F.lit(0.0).alias("e")))
+    rows = rated.select("u", "i", "e", F.lit(True).alias("rates")).unionByName(asked.select("u", "i", F.lit(0.0).alias("e"), F.lit(False).alias("rates")))
+    rows = stage(rows)
+    counts = rows.agg(F.count_if("rates").alias("r"), F.count_if(~F.col("rates")).alias("a")).first()
+    blocks = max(1, math.ceil(max(counts["r"], counts["a"]) / KNN_ROWS))
+    ranges = rows.repartitionByRange(blocks, "u").select("u", "i", "e", "rates", F.spark_partition_id().alias("block"))
+    users = ranges.groupBy("u").agg(F.first("block").alias("block"), F.sqrt(F.sum(F.col("e") * F.col("e"))).alias("norm"))
+    rows = rows.join(stage(users), "u")
+    rows = stage(rows)
+    # Blocks with raters of an item, each with or without requests: every pair of them that an item has is a task.
+    meets = rows.groupBy("i", "block").agg(F.max("rates").alias("has"))
+    held = meets.groupBy("i").agg(F.collect_list(F.when(F.col("has"), F.col("block"))).alias("with_raters"), F.collect_list("block").alias("any"))
+    met = rows.join(held, "i")
+    kind = F.when(F.col("rates"), 0).otherwise(2)
+    ours = met.select(F.col("block").alias("p"), F.explode("with_raters").alias("q"), kind.alias("kind"), "u", "i", "e", "norm")
+    theirs = met.where("rates").select(F.explode("any").alias("p"), F.col("block").alias("q"), F.lit(1).alias("kind"), "u", "i", "e", "norm")
+    rows = ours.unionByName(theirs)
 
     def best(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"u": [], "i": [], "v": [], "s": [], "e": []})]
@@ -112,8 +117,9 @@ def neighbours(requests: DataFrame, residuals: DataFrame, k: int, absolute: bool
             u, i, e = (ours[c].to_numpy() for c in ("u", "i", "e"))
             users, known = np.unique(u), np.unique(theirs["u"])
             items, residual = theirs["i"].to_numpy(), theirs["e"].to_numpy()
-            at, norm_u = _norms(u, e)
-            by, norm_v = _norms(theirs["u"].to_numpy(), residual)
+            at, by = np.searchsorted(users, u), np.searchsorted(known, theirs["u"].to_numpy())
+            norm_u, norm_v = np.empty(len(users)), np.empty(len(known))
+            norm_u[at], norm_v[by] = ours["norm"].to_numpy(), theirs["norm"].to_numpy()
             wu, wi = wanted["u"].to_numpy(), wanted["i"].to_numpy()
             # Users are gone through in runs of about PRODUCTS products, those of requests with raters included.
             size = np.zeros(len(users))

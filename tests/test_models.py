@@ -231,3 +231,27 @@ def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], "u long, i long, e double")
     some = spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], none.schema)
     assert not models.neighbours(none, some, 3).collect() and not models.neighbours(some, none, 3).collect()
+
+
+def test_neighbours_send_ratings_to_blocks_of_their_items_only(spark, monkeypatch):
+    """Users in groups that share no item: rows sent grow with the groups, not with their square."""
+    sent = []
+
+    def counted(groups):
+        rows = [(100 * g + u, 100 * g + i, float(u + i + 1)) for g in range(groups) for u in range(8) for i in range(5)]
+        table = spark.createDataFrame(rows, "u long, i long, e double")
+        monkeypatch.setattr(models, "KNN_ROWS", 40)
+        original = type(table).groupBy
+
+        def watched(self, *keys):
+            if keys == ("p", "q"):
+                sent.append(self.count())
+            return original(self, *keys)
+
+        monkeypatch.setattr(type(table), "groupBy", watched)
+        models.neighbours(table.select("u", "i"), table, 3).count()
+        monkeypatch.setattr(type(table), "groupBy", original)
+
+    for groups in (4, 16):
+        counted(groups)
+    assert sent[1] < 6 * sent[0]
