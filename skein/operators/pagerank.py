@@ -85,47 +85,78 @@ def pagerank(
     if dead_ends not in ("spread", "ignore", "delete"):
         raise ValueError(f"unknown treatment of dead ends: {dead_ends}")
     if dead_ends == "delete":
-        everyone = graph.node_ids(edges) if nodes is None else nodes.select("node")
+        edges = stage(edges.select("src", "dst"))  # read several times
+        everyone = stage(graph.node_ids(edges)) if nodes is None else nodes.select("node")
         alive = stage(graph.prune_dead_ends(edges))
         ends = [alive.withColumnRenamed("node", c) for c in ("src", "dst")]
         inner = edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
         ranks, rounds, delta = pagerank(inner, alive, beta, eps, max_iter, "spread", distinct, blocks)
+        discard(edges, alive)
         full = everyone.join(normalised(ranks), "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
         return full, rounds, delta
     links = edges if isinstance(edges, Links) else prepare(edges, nodes, distinct, blocks)
+    if not history:
+        return pageranks(links, [(beta, eps)], max_iter, dead_ends)[0]
+    past: list[DataFrame] = []
+    _, rounds, delta = pageranks(links, [(beta, eps)], max_iter, dead_ends, past)[0]
+    return _history(past), rounds, delta
+
+
+def _history(past: list[DataFrame]) -> DataFrame:
+    out = past[0]
+    for p in past[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def pageranks(links: Links, runs: list[tuple[float, float | None]], max_iter: int = 200, dead_ends: str = "spread", past: list[DataFrame] | None = None) -> list[tuple[DataFrame, int, float | None]]:
+    """What :func:`pagerank` returns for each of several (beta, eps) on one graph, in one row of rounds: edges are read and destinations shuffled once a round for all.
+
+    A run ends in the round in which its change falls below its own eps; runs of one beta share their ranks. ``past`` gets the first beta's ranks of each round.
+    """
     n = max(links.nodes, 1)
-    ranks = links.rows.where("own").select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank"))
-    past, delta, rounds, lost = [ranks.select(F.lit(0).alias("iteration"), "node", "rank")], None, 0, links.dead / n
-    while rounds < max_iter:
-        sent = ranks.select(F.col("node").alias("src"), "rank")
+    betas = list(dict.fromkeys(beta for beta, _ in runs))
+    column = {beta: f"r{k}" for k, beta in enumerate(betas)}
+    ranks = links.rows.where("own").select(F.col("src").alias("node"), *[F.lit(1.0 / n).alias(c) for c in column.values()])
+    lost, rounds, kept = dict.fromkeys(betas, links.dead / n), 0, True
+    done: dict[int, tuple[DataFrame, int, float | None]] = {}
+    delta: dict[float, float | None] = dict.fromkeys(betas)
+    if past is not None:
+        past.append(ranks.select(F.lit(0).alias("iteration"), "node", F.col("r0").alias("rank")))
+    while rounds < max_iter and len(done) < len(runs):
+        now = list(dict.fromkeys(beta for k, (beta, _) in enumerate(runs) if k not in done))
+        measured = {beta for k, (beta, eps) in enumerate(runs) if k not in done and eps is not None}
+        sent = ranks.select(F.col("node").alias("src"), *[column[b] for b in now])
         if links.hubs is None:
             sent = sent.withColumn("part", F.lit(0))
         else:
-            sent = sent.join(F.broadcast(links.hubs), "src", "left").select("src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            sent = sent.join(F.broadcast(links.hubs), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         got = links.rows.join(sent, ["src", "part"]).groupBy(F.col("dst").alias("node"))
-        sums = got.agg(F.sum(F.col("rank") * F.col("w")).alias("got"), F.max(F.when(F.col("own"), F.col("rank"))).alias("before"), F.max("dead").alias("dead"))
-        constant = (1 - beta) / n + (lost * beta / n if dead_ends == "spread" else 0.0)
+        sums = [F.sum(F.col(column[b]) * F.col("w")).alias(f"got_{column[b]}") for b in now]
+        sums += [F.max(F.when(F.col("own"), F.col(column[b]))).alias(f"before_{column[b]}") for b in now if b in measured]
+        constant = {b: (1 - b) / n + (lost[b] * b / n if dead_ends == "spread" else 0.0) for b in now}
+        made = [(constant[b] + b * F.col(f"got_{column[b]}")).alias(column[b]) for b in now]
+        after = got.agg(*sums, F.max("dead").alias("dead")).select("node", *made, "dead", *[f"before_{column[b]}" for b in now if b in measured])
+        measures = [F.sum(F.when(F.col("dead"), F.col(column[b]))).alias(f"lost_{column[b]}") for b in now]
+        measures += [F.sum(F.abs(F.col(column[b]) - F.col(f"before_{column[b]}"))).alias(f"delta_{column[b]}") for b in now if b in measured]
         seen = Observation()
-        after = sums.select("node", (constant + beta * F.col("got")).alias("rank"), "before", "dead")
-        measures = [F.sum(F.when(F.col("dead"), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("delta")]
-        after = stage(after.observe(seen, *measures).select("node", "rank"))
+        after = stage(after.observe(seen, *measures).select("node", *[column[b] for b in now]))
         rounds += 1
-        lost = seen.get["lost"] or 0.0
-        if history:
-            past.append(after.select(F.lit(rounds).alias("iteration"), "node", "rank"))
-        elif rounds > 1:
+        if not kept:
             discard(ranks)
-        ranks = after
-        if eps is not None:
-            delta = seen.get["delta"] or 0.0
-            if delta < eps:
-                break
-    if history:
-        out = past[0]
-        for p in past[1:]:
-            out = out.unionByName(p)
-        return out, rounds, delta
-    return ranks.select("node", "rank"), rounds, delta
+        ranks, kept = after, past is not None
+        if past is not None:
+            past.append(ranks.select(F.lit(rounds).alias("iteration"), "node", F.col("r0").alias("rank")))
+        for b in now:
+            lost[b] = seen.get[f"lost_{column[b]}"] or 0.0
+            delta[b] = (seen.get[f"delta_{column[b]}"] or 0.0) if b in measured else None
+        for k, (b, eps) in enumerate(runs):
+            if k not in done and eps is not None and delta[b] < eps:
+                done[k], kept = (ranks.select("node", F.col(column[b]).alias("rank")), rounds, delta[b]), True
+    for k, (b, eps) in enumerate(runs):
+        if k not in done:
+            done[k] = (ranks.select("node", F.col(column[b]).alias("rank")), rounds, None if eps is None else delta[b])
+    return [done[k] for k in range(len(runs))]
 
 
 def normalised(ranks: DataFrame, tolerance: float = 1e-6) -> DataFrame:

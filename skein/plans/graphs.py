@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import graph, ranking
-from skein.operators.pagerank import normalised, pagerank, prepare
+from skein.operators.pagerank import normalised, pagerank, pageranks, prepare
 from skein.plans.inputs import BIPARTITE, EDGES, FOREST, NODES, SPARSE, edges_bipartite, edges_forest, edges_part, edges_sparse
 from skein.plans.registry import Registry
 from skein.sources import text
@@ -249,13 +249,17 @@ def _top(ranks):
     return ranking.top_k(ranks.withColumn("rank", F.round("rank", 12)), 50)
 
 
-def _one(links, beta=0.85):
-    return _top(pagerank(links, max_iter=ROUNDS, beta=beta)[0])
+def _one(links):
+    return _top(pagerank(links, max_iter=ROUNDS)[0])
+
+
+def _both(spark, d):
+    """Ranks with beta 0.85 and with 0.7, in the same rounds."""
+    return [ranks for ranks, _, _ in pageranks(prepare(edges_part(spark, d)), [(0.85, None), (0.7, None)], ROUNDS)]
 
 
 def _two(spark, d):
-    links = prepare(edges_part(spark, d))
-    return _one(links), _one(links, 0.7)
+    return tuple(map(_top, _both(spark, d)))
 
 
 @query(TOP.replace("order by rank desc", "order by round(rank, 12) desc") + " select cast(position as int) as position, node, round(rank, 12) as rank from top where position <= 100")
@@ -289,8 +293,7 @@ _WHOLE = rank_sql() + ", " + rank_sql(edges="", prefix="s", beta=0.7) + "".join(
 select round(sum(sign((x.pa - y.pa) * (x.pb - y.pb))) / sum(abs(sign((x.pa - y.pa) * (x.pb - y.pb)))), 10) as tau from c x join c y on x.node < y.node""")
 def rank_kendall_full(spark, d):
     """Agreement of two whole rankings, by counted inversions."""
-    links = prepare(edges_part(spark, d))
-    a, b = (pagerank(links, max_iter=ROUNDS, beta=beta)[0].withColumn("rank", F.round("rank", 12)) for beta in (0.85, 0.7))
+    a, b = (ranks.withColumn("rank", F.round("rank", 12)) for ranks in _both(spark, d))
     return ranking.kendall_full(a, b).select(F.round("tau", 10).alias("tau"))
 
 
@@ -324,9 +327,8 @@ _SUM = f"(select round(sum(rank), 6) from r{ROUNDS})"
 
 @query(TWO + " " + _verdict_sql("far", "a", "b", _SUM).replace("'far' as compared, ", ""))
 def rank_verdict(spark, d):
-    links = prepare(edges_part(spark, d))
-    ranks = pagerank(links, max_iter=ROUNDS)[0]
-    return _judged(ranks, _top(ranks), _one(links, 0.7))
+    ranks, far = _both(spark, d)
+    return _judged(ranks, _top(ranks), _top(far))
 
 
 def _judged(ranks, a, b):
@@ -342,11 +344,10 @@ _CLOSE = ", same_ as (select * from a), close as (select row_number() over (orde
 @query(TWO + _CLOSE + " " + " union all ".join(_verdict_sql(n, "a", o, _SUM) for n, o in (("same", "a2"), ("close", "close"), ("far", "b"))).replace("a2", "same_"))
 def rank_verdicts(spark, d):
     """A ranking against itself, against one with slightly other ranks, and against one of another beta."""
-    links = prepare(edges_part(spark, d))
-    ranks = pagerank(links, max_iter=ROUNDS)[0]
+    ranks, far = _both(spark, d)
     near = ranks.withColumn("rank", F.col("rank") * (1 + 4e-5 * (F.col("node") % 2)))
     out = None
-    for name, other in (("same", _top(ranks)), ("close", _top(near)), ("far", _one(links, 0.7))):
+    for name, other in (("same", _top(ranks)), ("close", _top(near)), ("far", _top(far))):
         row = _judged(ranks, _top(ranks), other).select(F.lit(name).alias("compared"), "*")
         out = row if out is None else out.unionByName(row)
     return out
@@ -355,10 +356,10 @@ def rank_verdicts(spark, d):
 @query()
 def sweep_beta(spark, d):
     """Rounds to converge and overlap with beta 0.85 for a grid of betas."""
-    links, out = prepare(edges_part(spark, d)), None
-    base = ranking.top_k(pagerank(links, eps=1e-8)[0], 10)
-    for beta in (0.7, 0.8, 0.85, 0.9, 0.95):
-        ranks, rounds, _ = pagerank(links, beta=beta, eps=1e-8)
+    betas, out = (0.7, 0.8, 0.85, 0.9, 0.95), None
+    found = dict(zip(betas, pageranks(prepare(edges_part(spark, d)), [(beta, 1e-8) for beta in betas]), strict=True))
+    base = ranking.top_k(found[0.85][0], 10)
+    for beta, (ranks, rounds, _) in found.items():
         row = ranking.jaccard(ranking.top_k(ranks, 10), base).select(F.lit(beta).alias("beta"), F.lit(rounds).alias("rounds"), "jaccard")
         out = row if out is None else out.unionByName(row)
     return out
@@ -367,8 +368,9 @@ def sweep_beta(spark, d):
 @query()
 def sweep_eps(spark, d):
     """Rounds to converge for a grid of limits."""
-    links = prepare(edges_part(spark, d))
-    return spark.createDataFrame([(eps, pagerank(links, eps=eps)[1]) for eps in (1e-6, 1e-8, 1e-10)], "eps double, rounds int")
+    limits = (1e-6, 1e-8, 1e-10)
+    found = pageranks(prepare(edges_part(spark, d)), [(0.85, eps) for eps in limits])
+    return spark.createDataFrame([(eps, rounds) for eps, (_, rounds, _) in zip(limits, found, strict=True)], "eps double, rounds int")
 
 
 @query(TWO + " select position::int as position, node || ' ' || printf('%.10f', rank) as value from a")

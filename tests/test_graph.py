@@ -161,3 +161,20 @@ def test_pruning_meets_each_edge_once(spark, monkeypatch):
             left = stay
         assert {r[0] for r in graph.prune_dead_ends(edges, rounds).collect()} == left
     assert graph.prune_dead_ends(edges.limit(0)).collect() == []
+
+
+def test_runs_in_the_same_rounds_equal_runs_by_themselves(spark, monkeypatch):
+    """Several betas and limits take as many rounds as the longest, and each its own."""
+    from skein.operators import pagerank as module
+
+    rng = np.random.default_rng(5)
+    links = module.prepare(edges(spark, [(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))]))
+    runs = [(0.85, 1e-3), (0.5, 1e-4), (0.85, 1e-5), (0.7, None)]
+    alone = [module.pagerank(links, beta=beta, eps=eps, max_iter=30) for beta, eps in runs]
+    staged, plain = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df: staged.append(1) or plain(df))
+    together = module.pageranks(links, runs, 30)
+    assert len(staged) == max(rounds for _, rounds, _ in alone) == 30
+    for (a, n, x), (b, m, y) in zip(alone, together, strict=True):
+        a, b = ({r["node"]: r["rank"] for r in t.collect()} for t in (a, b))
+        assert n == m and a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-14 and (x is y is None or abs(x - y) < 1e-12)
