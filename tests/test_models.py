@@ -255,3 +255,14 @@ def test_neighbours_send_ratings_to_blocks_of_their_items_only(spark, monkeypatc
     for groups in (4, 16):
         counted(groups)
     assert sent[1] < 6 * sent[0]
+
+
+def test_gram_of_components_made_in_the_tasks(spark):
+    """Products of two vectors' components, made from rows in a task, sum to what they sum to here."""
+    rng = np.random.default_rng(12)
+    p, q, y = rng.normal(0, 1, (50, 4)), rng.normal(0, 1, (50, 3)), rng.normal(0, 1, 50)
+    frame = spark.createDataFrame([(a.tolist(), b.tolist(), float(c)) for a, b, c in zip(p, q, y, strict=True)], "p array<double>, q array<double>, y double")
+    make = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
+    gram, product, weight = design.vector_gram(frame, ["p", "q"], "y", made=make)
+    x = np.concatenate([np.ones((50, 1)), make(p, q)], axis=1)
+    assert weight == 50 and np.allclose(gram, x.T @ x) and np.allclose(product, x.T @ y)
