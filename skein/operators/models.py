@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,56 +187,108 @@ def als_scores(requests: DataFrame, ratings: DataFrame, rank: int = 8, rounds: i
     return scored.select("u", "i", clip(F.col("score") + weight * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0)), low, high).alias("score"))
 
 
-#: Ratings in a block of :func:`sgd_factors`, about.
-BLOCK_RATINGS = 200_000
+#: Ratings in a pair of blocks of :func:`sgd_factors`, about, and ids in a pair.
+BLOCK_RATINGS, BLOCK_IDS = 2_000_000, 2_000_000
+
+
+def _levels(u: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """A level for each rating in turn: one above those of the ratings before it of the same user or item. Ratings of one level share no factor."""
+    users, items = [-1] * (int(u.max()) + 1), [-1] * (int(i.max()) + 1)
+    out = []
+    for a, b in zip(u.tolist(), i.tolist(), strict=True):
+        level = max(users[a], items[b]) + 1
+        users[a] = items[b] = level
+        out.append(level)
+    return np.array(out)
+
+
+def _descend(users: tuple, items: tuple, u: np.ndarray, i: np.ndarray, e: np.ndarray, rate: float, reg: float) -> None:
+    """Steps of one sequential descent over ratings in their order, in place; ``users`` and ``items`` are (biases, factors) and ``u`` and ``i`` places there. Steps of one level are made at once."""
+    (bu, p), (bi, q) = users, items
+    level = _levels(np.unique(u, return_inverse=True)[1], np.unique(i, return_inverse=True)[1])
+    order = np.argsort(level, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
+        a, b = u[at], i[at]
+        x, y, s, t = p[a], q[b], bu[a], bi[b]
+        off = e[at] - s - t - (x * y).sum(1)
+        bu[a], bi[b] = s + rate * (off - reg * s), t + rate * (off - reg * t)
+        p[a], q[b] = x + rate * (off[:, None] * y - reg * x), y + rate * (off[:, None] * x - reg * y)
 
 
 def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 10, rate: float = 0.02, reg: float = 0.02, blocks: int | None = None, seed: int = 1, target: str = "rating", mean: float | None = None) -> DataFrame:
     """``side, id, bias, factors`` of matrix factorisation by stochastic gradient descent, in strata.
 
-    Users and items are dealt into ``blocks`` each (so that a pair of blocks has some ``BLOCK_RATINGS`` ratings). An epoch goes through the strata: in one, each
-    block of users meets another block of items, so tasks share no factor and the steps are those of one sequential descent in some order. A user with very many
+    Users and items are dealt into ``blocks`` each (by default so that a pair of blocks has some ``BLOCK_RATINGS`` ratings; more where a pair would have over ``BLOCK_IDS`` ids). An epoch goes through the strata:
+    in one, each block of users meets another block of items, so tasks share no factor and the steps are those of one sequential descent in some order. A task holds the factors of its two blocks;
+    ratings pass by them in Arrow batches, by a hash and then in random order, and steps in a batch that share no factor are made together. A user with very many
     ratings is met in a part of them at a time. Factors are the same table for all, so their axes agree.
     """
     mean = ratings.agg(F.avg(target)).first()[0] if mean is None else mean
-    if blocks is None:
-        blocks = max(1, math.ceil(math.sqrt(ratings.count() / BLOCK_RATINGS)))
+    known = stage(ratings.where(F.col("u").isNotNull() & F.col("i").isNotNull() & F.col(target).isNotNull()).select("u", "i", (F.col(target) - (mean or 0.0)).alias("e")))
+    ids = None
+    for side, key in (("user", "u"), ("item", "i")):
+        own = known.select(F.lit(side).alias("side"), F.col(key).alias("id")).distinct()
+        ids = own if ids is None else ids.unionByName(own)
+    ids = stage(ids)
+    blocks = blocks or math.ceil(math.sqrt(known.count() / BLOCK_RATINGS))
+    blocks = max(1, blocks, math.ceil(ids.count() / BLOCK_IDS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    rows = stage(ratings.select("u", "i", (F.col(target) - (mean or 0.0)).alias("e"), block("u").alias("ub"), block("i").alias("ib")))
     draw = F.array(*[F.randn(seed + k) * 0.1 for k in range(rank)])
-    factors = None
-    for side, key in (("user", "u"), ("item", "i")):
-        own = rows.select(F.lit(side).alias("side"), F.col(key).alias("id"), F.col(f"{key}b").alias("block")).distinct()
-        factors = own if factors is None else factors.unionByName(own)
-    factors = stage(factors.withColumn("bias", F.lit(0.0)).withColumn("factors", draw))
+    factors = stage(ids.select("side", "id", block("id").alias("block"), F.lit(0.0).alias("bias"), draw.alias("factors")))
+    discard(ids)
     schema = "side string, id long, block int, bias double, factors array<double>"
 
-    def descend(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
-        known = data[data["side"].notna()]
-        users, items = (known[known["side"] == s].sort_values("id") for s in ("user", "item"))
-        met = data[data["side"].isna()].sort_values(["u", "i"])
-        if len(met):
-            u, i = np.searchsorted(users["id"], met["u"]), np.searchsorted(items["id"], met["i"])
-            p, q = (np.stack(t["factors"].to_list()) for t in (users, items))
-            bu, bi, e = users["bias"].to_numpy().copy(), items["bias"].to_numpy().copy(), met["e"].to_numpy()
-            order = np.random.default_rng([seed, *map(int, key)]).permutation(len(e))
-            for a, b, r in zip(u[order].tolist(), i[order].tolist(), e[order].tolist(), strict=True):
-                x, y = p[a].copy(), q[b]
-                off = r - bu[a] - bi[b] - x @ y
-                bu[a] += rate * (off - reg * bu[a])
-                bi[b] += rate * (off - reg * bi[b])
-                p[a] += rate * (off * y - reg * x)
-                q[b] += rate * (off * x - reg * y)
-            users, items = (t.assign(bias=b, factors=list(f)) for t, b, f in ((users, bu, p), (items, bi, q)))
-        return pd.concat([users, items])[["side", "id", "block", "bias", "factors"]]
-
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, met = None, [[], []], 0  # the factors of the task at hand, by kind: batches, then (ids, blocks, biases, factors); and batches of ratings that it met
+
+        def ready() -> None:
+            for k in range(2):
+                if isinstance(held[k], list):
+                    parts = held[k] or [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty((0, rank)))]
+                    held[k] = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ready()
+            for side, (id_, home, bias, rows) in zip(("user", "item"), held, strict=True):
+                for at in range(0, len(id_), 50_000):
+                    cut = slice(at, at + 50_000)
+                    n = len(id_[cut])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rank), pa.array(rows[cut].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([side] * n), pa.array(id_[cut]), pa.array(home[cut]), pa.array(bias[cut]), lists], ["side", "id", "block", "bias", "factors"])
+
+        for batch in batches:
+            tasks, kinds, step = (batch.column(c).to_numpy() for c in ("task", "kind", "step"))
+            starts = [0, *(np.flatnonzero((np.diff(tasks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(starts[:-1], starts[1:], strict=True):
+                if first == end:
+                    continue
+                if tasks[first] != task:
+                    if task is not None:
+                        yield from done()
+                    task, held, met = int(tasks[first]), [[], []], 0
+                part, kind = batch.slice(first, end - first), int(kinds[first])
+                a, b, e = (part.column(c).to_numpy() for c in "abe")
+                if kind < 2:
+                    held[kind].append((a, b.astype(np.int32), e, part.column("factors").flatten().to_numpy().reshape(-1, rank)))
+                    continue
+                ready()
+                users, items = held
+                order = np.lexsort((e, b, a))[np.random.default_rng([seed, task, int(step[first]), *([met] if met else [])]).permutation(len(e))]
+                _descend(users[2:], items[2:], np.searchsorted(users[0], a[order]), np.searchsorted(items[0], b[order]), e[order], rate, reg)
+                met += 1
+        if task is not None:
+            yield from done()
+
+    side = F.when(F.col("side") == "user", 0).otherwise(1)
     for epoch in range(epochs):
         for stratum in range(blocks):
             # Block b of users meets block (b + stratum) of items.
             task = F.when(F.col("side") == "user", F.col("block")).otherwise(F.pmod(F.col("block") - stratum, F.lit(blocks))).cast("int")
-            here = rows.where(F.pmod(F.col("ib") - F.col("ub"), F.lit(blocks)) == stratum).select(F.col("ub").alias("task"), "u", "i", "e")
-            both = factors.withColumn("task", task).unionByName(here, allowMissingColumns=True).withColumn("step", F.lit(epoch * blocks + stratum))
-            after = stage(both.groupBy("task", "step").applyInPandas(descend, schema))
+            own = factors.select(task.alias("task"), side.alias("kind"), F.col("id").alias("order"), F.col("id").alias("a"), F.col("block").cast("long").alias("b"), F.col("bias").alias("e"), "factors")
+            here = known.where(F.pmod(block("i") - block("u"), F.lit(blocks)) == stratum)
+            here = here.select(block("u").alias("task"), F.lit(2).alias("kind"), F.xxhash64("u", "i", F.lit(seed), F.lit(epoch)).alias("order"), F.col("u").alias("a"), F.col("i").alias("b"), "e", F.lit(None).cast("array<double>").alias("factors"))
+            tasks = own.unionByName(here).repartitionById(blocks, F.col("task")).sortWithinPartitions("task", "kind", "order", "a", "b", "e").withColumn("step", F.lit(epoch * blocks + stratum))
+            after = stage(tasks.mapInArrow(descend, schema))
             discard(factors)
             factors = after
     return factors.drop("block")

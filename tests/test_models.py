@@ -266,3 +266,37 @@ def test_gram_of_components_made_in_the_tasks(spark):
     gram, product, weight = design.vector_gram(frame, ["p", "q"], "y", made=make)
     x = np.concatenate([np.ones((50, 1)), make(p, q)], axis=1)
     assert weight == 50 and np.allclose(gram, x.T @ x) and np.allclose(product, x.T @ y)
+
+
+def test_steps_made_at_once_equal_steps_in_turn():
+    """Levels of ratings, those of crowded items and repeated pairs too, give what a plain sequential descent gives."""
+    rng = np.random.default_rng(5)
+    u, i, e = rng.integers(0, 50, 600), rng.integers(0, 7, 600), rng.normal(0, 1, 600)
+    p, q, bu, bi = rng.normal(0, 0.1, (50, 3)), rng.normal(0, 0.1, (7, 3)), np.zeros(50), np.zeros(7)
+    got = [a.copy() for a in (bu, p, bi, q)]
+    models._descend(tuple(got[:2]), tuple(got[2:]), u, i, e, 0.05, 0.02)
+    for a, b, r in zip(u, i, e, strict=True):
+        x, y = p[a].copy(), q[b].copy()
+        off = r - bu[a] - bi[b] - x @ y
+        bu[a] += 0.05 * (off - 0.02 * bu[a])
+        bi[b] += 0.05 * (off - 0.02 * bi[b])
+        p[a] += 0.05 * (off * y - 0.02 * x)
+        q[b] += 0.05 * (off * x - 0.02 * y)
+    assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(got, (bu, p, bi, q), strict=True))
+
+
+def test_a_task_of_gradient_descent_holds_no_more_ids_than_asked(spark, monkeypatch):
+    """Ids beyond what a pair of blocks may have are dealt over more blocks; ratings come in several batches."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(int(a), int(b), float(r)) for a, b, r in zip(rng.integers(0, 300, 3000), rng.integers(0, 200, 3000), rng.normal(3, 1, 3000))], "u long, i long, rating double")
+    monkeypatch.setattr(models, "BLOCK_IDS", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    staged, make = [], models.stage
+    monkeypatch.setattr(models, "stage", lambda df: staged.append(make(df)) or staged[-1])
+    try:
+        factors = models.sgd_factors(rows, 2, 1, 0.05, 0.02, 1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(staged) == 3 + 5 and len(factors) == len({(r["side"], r["id"]) for r in factors}) == 500
+    assert all(r["bias"] for r in factors)
