@@ -213,6 +213,10 @@ def moment_score(
     bu, bi, _ = bias_tables(rows, p.user_shrink, p.rounds, p.item_shrink, p.damping, p.mean)
     sides = [moment_features(sums[key] if sums else moments(rows, key, p.mean), key, bias, p) for key, bias in (("u", bu), ("i", bi))]
     x = requests
+    if vectors := bool(p.bounds) and {"pv", "qv"} <= set(requests.columns):
+        # Before the joins, so that they move one number a row and not two vectors.
+        products = p.segment_constant + segment_dot(list(p.bounds), list(p.segment_weights))
+        x = x.withColumn("_products", F.when((F.size("pv") >= p.bounds[-1]) & (F.size("qv") >= p.bounds[-1]), products).otherwise(0.0))
     for key, side in zip("ui", sides, strict=True):
         x = x.join(side, key, "left")
     # A key without rows: count 0, so its root term is its weight, and its steps are those from 0 on.
@@ -222,9 +226,8 @@ def moment_score(
     total = p.intercept + u["own"] + i["own"] + p.log_difference * (u["l"] - i["l"])
     for letters, w in p.pairs.items():
         total = total + w * u[letters[0]] * i[letters[1]]
-    if p.bounds and {"pv", "qv"} <= set(requests.columns):
-        products = p.segment_constant + segment_dot(list(p.bounds), list(p.segment_weights))
-        total = total + F.when((F.size("pv") >= p.bounds[-1]) & (F.size("qv") >= p.bounds[-1]), products).otherwise(0.0)
+    if vectors:
+        total = total + F.col("_products")
     if n < p.small:
         total = F.lit(p.mean) + u["b"] + i["b"]
     inside = F.lit(True)

@@ -108,3 +108,23 @@ def test_moment_score_of_every_row(spark, data):
     z += -0.00090916 + 0.6753163 * parts[:, :4].sum(axis=1) + 0.8459537 * parts[:, 4:8].sum(axis=1) + 0.8912842 * parts[:, 8:16].sum(axis=1) + 0.6222440 * parts[:, 16:32].sum(axis=1)
     got = rows(spark, "on_moment_calibrated_all", data, "pos", "score")
     assert len(got) == EVENTS and np.allclose([got[k] for k in range(EVENTS)], np.clip(z, 0.5, 5), atol=1e-5)
+
+
+def test_joins_of_the_moment_score_move_no_vectors(spark):
+    from dataclasses import replace
+
+    from skein.operators import online
+    from skein.plans.rating import MOMENTS
+
+    rows = spark.range(40).selectExpr("id as pos", "id % 7 as u", "id % 5 as i", "cast(id % 3 as double) as rating")
+    asked = rows.selectExpr("pos", "u", "i", "transform(sequence(1, 32), k -> cast(k as float)) as pv", "transform(sequence(1, 32), k -> cast(pos as float)) as qv")
+    scored = online.moment_score(asked, rows, replace(MOMENTS, small=1)).select("pos", "score")
+    todo, joins = [scored._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        todo += children
+        if node.nodeName() == "Join":
+            joins += 1
+            assert not any(name in child.output().mkString(" ") for child in children for name in ("pv#", "qv#"))
+    assert joins >= 2 and scored.count() == 40
