@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators import cells
 from skein.operators.graph import ranked
 from skein.stage import discard, stage
 
@@ -25,6 +26,10 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+#: Rounds of biases that are made by joins of rows; more are made over packed cells, which take some passes to lay out.
+PLAIN_ROUNDS = 4
+
+
 def bias_tables(
     ratings: DataFrame, shrink: float = 10.0, rounds: int = 1, item_shrink: float | None = None, weights: tuple[float, float] = (1.0, 1.0), mean: float | None = None
 ) -> tuple[DataFrame, DataFrame, tuple[float, float, float]]:
@@ -32,9 +37,12 @@ def bias_tables(
     average, low, high = limits(ratings)
     mean = average if mean is None else mean
     (wu, wi), item_shrink = weights, shrink if item_shrink is None else item_shrink
+    rounds = max(1, rounds)
+    if rounds > PLAIN_ROUNDS:
+        return *_bias_rounds(ratings, mean, (shrink, item_shrink), rounds, weights), (mean, low, high)
     rows = ratings.select("u", "i", (F.col("rating") - mean).alias("e"))
     bi, bu = None, None
-    for _ in range(max(1, rounds)):
+    for _ in range(rounds):
         left = rows if bi is None else rows.join(bi, "i").withColumn("e", F.col("e") - F.col("bi"))
         bu = left.groupBy("u").agg((wu * F.sum("e") / (shrink + F.count("*"))).alias("bu"))
         # One table a round: users' biases are made on the way to the items', and once more for the last round's.
@@ -42,6 +50,82 @@ def bias_tables(
     return stage(bu), bi, (mean, low, high)
 
 
+def _bias_rounds(ratings: DataFrame, mean: float, shrinks: tuple[float, float], rounds: int, weights: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    """``u, bu`` and ``i, bi`` by rounds over packed cells: a side's bias is weight (sum of e - sum of the other side's biases) / (shrink + count), so that a round moves biases and their sums only.
+
+    Ratings are numbered and laid out twice, by users' and by items' blocks. Ratings without a user or an item count for the mean alone, as in a join; rows without a rating count as rows.
+    """
+    rows = stage(ratings.where("u is not null and i is not null").select("u", "i", (F.col("rating") - mean).alias("e")))
+    own = {k: stage(rows.groupBy(k).agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("s"), F.count("*").alias("n"))) for k in "ui"}
+    numbers, size = {}, {}
+    for k in "ui":
+        numbers[k], size[k] = cells.numbered(own[k].select(k), k)
+    places = rows.where("e is not null")
+    for k, (block, at) in (("u", ("p", "x")), ("i", ("q", "y"))):
+        places = places.join(numbers[k].select(k, F.col("block").alias(block), F.col("at").alias(at)), k)
+    places = stage(places.select("p", "x", "q", "y"))
+    from_users = cells.cells(places, size["i"])
+    from_items = cells.cells(places.select(F.col("q").alias("p"), F.col("y").alias("x"), F.col("p").alias("q"), F.col("x").alias("y")), size["u"])
+    discard(places, rows)
+    known = {}
+    for k, shrink, weight in zip("ui", shrinks, weights, strict=True):
+        # A block's sums and counts as one row, by the same packing as the sums that come back.
+        table = numbers[k].join(own[k], k).select("block", "at", "s", "n")
+        known[k] = stage(table.groupBy("block").applyInPandas(_packed_block(size[k], weight, shrink), "block int, s binary, n binary"))
+    values = {"i": None}
+    for _ in range(rounds):
+        for k, there, other in (("u", from_items, "i"), ("i", from_users, "u")):
+            before = values.get(k)
+            start = known[k].select("block", "s", "n", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("sums"))
+            if values[other] is not None:
+                start = start.unionByName(there.sums(values[other]), allowMissingColumns=True)
+            values[k] = stage(start.groupBy("block").applyInArrow(_biases(size[k]), "block int, v binary"))
+            if before is not None:
+                discard(before)
+    out = []
+    for k in "ui":
+        out.append(stage(numbers[k].join(_unpacked(values[k]), ["block", "at"]).select(k, F.col("v").alias(f"b{k}"))))
+    discard(from_users.pieces, from_items.pieces, *values.values(), *known.values(), *numbers.values(), *own.values())
+    return tuple(out)
+
+
+def _packed_block(size: int, weight: float, shrink: float):
+    def pack(data: pd.DataFrame) -> pd.DataFrame:
+        s, n = np.zeros(size), np.full(size, np.inf)
+        s[data["at"]], n[data["at"]] = data["s"], (shrink + data["n"]) / weight if weight else np.inf
+        return pd.DataFrame({"block": data["block"].iloc[:1].astype("int32"), "s": [s.tobytes()], "n": [n.tobytes()]})
+
+    return pack
+
+
+def _biases(size: int):
+    """A block's biases from its row of sums and shrunken counts, and the sums of the other side's."""
+
+    def make(table: pa.Table) -> pa.Table:
+        known = table.filter(table.column("s").is_valid())
+        came = table.filter(table.column("sums").is_valid())
+        parts = sorted(zip(came.column("places").to_pylist(), came.column("sums").to_pylist(), strict=True))  # always in one order
+        s, n = (np.frombuffer(known.column(c)[0].as_py(), np.float64) for c in "sn")
+        v = (s - cells.gathered([x for _, x in parts], [x for x, _ in parts], size)) / n
+        return pa.table({"block": pa.array([known.column("block")[0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    return make
+
+
+def _unpacked(values: DataFrame) -> DataFrame:
+    """``block, at, v`` of packed values."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, v in zip(*(batch.column(c) for c in ("block", "v")), strict=True):
+                v = np.frombuffer(v.as_buffer(), np.float64)
+                for first in range(0, len(v), 50_000):
+                    cut = v[first : first + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block.as_py(), np.int32)), pa.array(np.arange(first, first + len(cut), dtype=np.int32)), pa.array(cut)], ["block", "at", "v"])
+
+    return values.mapInArrow(unpack, "block int, at int, v double")
+
+
 def score_bias(requests: DataFrame, bu: DataFrame, bi: DataFrame, ends: tuple[float, float, float]) -> DataFrame:
     """``requests`` with ``score``; unknown users and items have bias 0."""
     mean, low, high = ends

@@ -202,3 +202,41 @@ def test_outliers_without_deviation(spark):
 def test_pareto(spark):
     points = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 4.0), (3, 4.5), (4, 4.0)], "time int, error double")
     assert sorted(map(tuple, report.pareto(points).collect())) == [(1, 5.0), (3, 4.0)]
+
+
+def test_many_rounds_of_biases_move_no_rows(spark, monkeypatch):
+    """Biases over packed cells, in many blocks, equal those by joins of rows; once laid out, ratings are in no shuffle of a round."""
+    import numpy as np
+
+    from skein.operators import cells
+
+    rng = np.random.default_rng(8)
+    pairs = [(int(u), int(i), float(r)) for u, i, r in zip(rng.integers(0, 90, 1500) + 5_000_000_000, np.minimum(rng.integers(0, 60, 1500), 40), rng.integers(1, 6, 1500))]
+    rows = spark.createDataFrame([*pairs, (1, 2, None), (5_000_000_001, 3, None)], "u long, i long, rating double")
+    args = (5.0, 7, 2.0, (0.9, 0.95), 3.1)
+    monkeypatch.setattr(models, "PLAIN_ROUNDS", 100)
+    want = [{r[0]: r[1] for r in t.collect()} for t in models.bias_tables(rows, *args)[:2]]
+    monkeypatch.setattr(models, "PLAIN_ROUNDS", 4)
+    monkeypatch.setattr(cells, "FEW", 12)
+    made, make = [], cells.cells
+    monkeypatch.setattr(cells, "cells", lambda *a: made.append(make(*a)) or made[-1])
+    *tables, _ = models.bias_tables(rows, *args)
+    got = [{r[0]: r[1] for r in t.collect()} for t in tables]
+    assert len(made) == 2  # one layout for each direction, whatever the rounds
+    for a, b in zip(got, want, strict=True):
+        assert a.keys() == b.keys() and max(abs(a[k] - (b[k] or 0.0)) for k in a) < 1e-9
+
+
+def test_pieces_hold_all_rows_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.operators import cells
+
+    monkeypatch.setattr(cells, "PIECE", 10)
+    p, q = np.repeat([0, 0, 1, 2], 8).astype(np.int32), np.repeat([0, 1, 1, 0], 8).astype(np.int32)
+    x, y = np.arange(32, dtype=np.int32), np.arange(32, dtype=np.int32)[::-1].copy()
+    whole = pa.RecordBatch.from_arrays([pa.array(a) for a in (p, q, x, y)], ["p", "q", "x", "y"])
+    pieces = [r for b in cells._pack(iter([whole.slice(0, 5), whole.slice(5, 0), whole.slice(5, 27)])) for r in b.to_pylist()]
+    back = [(r["p"], r["q"], a, b) for r in pieces for a, b in zip(np.frombuffer(r["x"], np.int32), np.frombuffer(r["y"], np.int32), strict=True)]
+    assert back == list(zip(p, q, x, y, strict=True)) and len(pieces) == 4
