@@ -23,11 +23,11 @@ from skein.stage import discard, stage, stage_bucketed
 BLOCK, BLOCKS, FEW, PIECE = 1 << 20, 8, 1 << 16, 1 << 20
 
 
-def numbered(ids: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """``key, block, at`` of distinct ids, staged, and ids in a block."""
+def numbered(ids: DataFrame, key: str, least: int = 1) -> tuple[DataFrame, int]:
+    """``key, block, at`` of distinct ids, staged, and ids in a block; ``least`` blocks at least."""
     ids = stage(ids)
     n = ids.count()
-    blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // FEW)), 1)
+    blocks = max(-(-n // BLOCK), min(BLOCKS, -(-n // FEW)), least)
     size = max(1, -(-n // blocks))
     at = F.col("_n")
     out = stage(ranked(ids, key, "_n").select(key, F.floor(at / size).cast("int").alias("block"), (at % size).cast("int").alias("at")))
@@ -66,31 +66,36 @@ class Cells:
     pieces: DataFrame
     size: int
 
-    def sums(self, values: DataFrame) -> DataFrame:
-        """``block, places, sums`` (packed, 32 bits and double): for each place of the getting side the sum of the values (``block, v``, packed doubles) at its rows' other ends; several rows for a block."""
+    def sums(self, values: DataFrame, run: str | None = None) -> DataFrame:
+        """``block, places, sums`` (packed, 32 bits and double): for each place of the getting side the sum of the values (``block, v``, packed doubles) at its rows' other ends; several rows for a block.
+
+        ``run`` names a whole-number column of ``values`` that tells several of them for a block apart; the sums have it too.
+        """
         size = self.size
+        values = values.withColumn("run", F.col(run) if run else F.lit(0))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell, total, seen = None, None, None
 
             def out() -> pa.RecordBatch:
                 at = np.flatnonzero(seen).astype(np.int32)
-                return pa.RecordBatch.from_arrays([pa.array([cell[1]], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["block", "places", "sums"])
+                return pa.RecordBatch.from_arrays([pa.array([cell[0]], pa.int32()), pa.array([cell[2]], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["run", "block", "places", "sums"])
 
             for batch in batches:
-                for p, q, x, y, v in zip(*(batch.column(c) for c in ("p", "q", "x", "y", "v")), strict=True):
-                    if cell != (p.as_py(), q.as_py()):
+                for r, p, q, x, y, v in zip(*(batch.column(c) for c in ("run", "p", "q", "x", "y", "v")), strict=True):
+                    if cell != (r.as_py(), p.as_py(), q.as_py()):
                         if cell:
                             yield out()
-                        cell, total, seen = (p.as_py(), q.as_py()), np.zeros(size), np.zeros(size, bool)
+                        cell, total, seen = (r.as_py(), p.as_py(), q.as_py()), np.zeros(size), np.zeros(size, bool)
                     x, y, v = np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float64)
                     total += np.bincount(y, v[x], size)
                     seen[y] = True
             if cell:
                 yield out()
 
-        met = self.pieces.join(values.withColumnRenamed("block", "p"), "p").select("p", "q", "x", "y", "v")
-        return met.sortWithinPartitions("p", "q").mapInArrow(add, "block int, places binary, sums binary")
+        met = self.pieces.join(values.withColumnRenamed("block", "p"), "p").select("run", "p", "q", "x", "y", "v")
+        made = met.sortWithinPartitions("run", "p", "q").mapInArrow(add, "run int, block int, places binary, sums binary")
+        return made.withColumnRenamed("run", run) if run else made.drop("run")
 
 
 def cells(rows: DataFrame, size: int) -> Cells:
@@ -105,3 +110,17 @@ def gathered(sums: list[np.ndarray], places: list[np.ndarray], size: int) -> np.
     for at, s in zip(places, sums, strict=True):
         out[np.frombuffer(at, np.int32)] += np.frombuffer(s, np.float64)
     return out
+
+
+def unpacked(values: DataFrame) -> DataFrame:
+    """``block, at, v`` of packed values."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, v in zip(*(batch.column(c) for c in ("block", "v")), strict=True):
+                v = np.frombuffer(v.as_buffer(), np.float64)
+                for first in range(0, len(v), 50_000):
+                    cut = v[first : first + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block.as_py(), np.int32)), pa.array(np.arange(first, first + len(cut), dtype=np.int32)), pa.array(cut)], ["block", "at", "v"])
+
+    return values.mapInArrow(unpack, "block int, at int, v double")

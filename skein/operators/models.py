@@ -84,7 +84,7 @@ def _bias_rounds(ratings: DataFrame, mean: float, shrinks: tuple[float, float],
                 discard(before)
     out = []
     for k in "ui":
-        out.append(stage(numbers[k].join(_unpacked(values[k]), ["block", "at"]).select(k, F.col("v").alias(f"b{k}"))))
+        out.append(stage(numbers[k].join(cells.unpacked(values[k]), ["block", "at"]).select(k, F.col("v").alias(f"b{k}"))))
     discard(from_users.pieces, from_items.pieces, *values.values(), *known.values(), *numbers.values(), *own.values())
     return tuple(out)
 
@@ -112,20 +112,6 @@ def _biases(size: int):
     return make
 
 
-def _unpacked(values: DataFrame) -> DataFrame:
-    """``block, at, v`` of packed values."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, v in zip(*(batch.column(c) for c in ("block", "v")), strict=True):
-                v = np.frombuffer(v.as_buffer(), np.float64)
-                for first in range(0, len(v), 50_000):
-                    cut = v[first : first + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block.as_py(), np.int32)), pa.array(np.arange(first, first + len(cut), dtype=np.int32)), pa.array(cut)], ["block", "at", "v"])
-
-    return values.mapInArrow(unpack, "block int, at int, v double")
-
-
 def score_bias(requests: DataFrame, bu: DataFrame, bi: DataFrame, ends: tuple[float, float, float]) -> DataFrame:
     """``requests`` with ``score``; unknown users and items have bias 0."""
     mean, low, high = ends

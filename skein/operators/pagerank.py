@@ -6,16 +6,21 @@ sums by destination, and nothing else. Each node has a row of weight 0 to itself
 whether they are dead ends. A round's ranks are written to the shared folder; the dead ends' share and the change are measured as they are written.
 
 A source with a large part of all edges is dealt over several buckets, to each of which its rank goes.
+
+With ``blocks`` nodes are numbered and dealt into blocks, and edges lie packed between them (:mod:`skein.operators.cells`): a round then shuffles a sum for each node and block that has edges to it, not for each edge.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skein.operators import graph
+from skein.operators import cells, graph
 from skein.stage import discard, stage, stage_bucketed
 
 #: Sources with over 1 / HUBS of a bucket's mean number of edges are dealt over several; so there are at most HUBS x buckets of them.
@@ -39,7 +44,125 @@ class Links:
     dead: int
 
 
-def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = False, blocks: int | None = None) -> Links:
+@dataclass(frozen=True)
+class Blocks:
+    """A graph laid out in blocks: packed edges, numbers of nodes (``node, block, at``), out-degrees (``block, n``; packed doubles, 0 for dead ends), numbers of nodes and of dead ends."""
+
+    links: cells.Cells
+    numbers: DataFrame
+    degrees: DataFrame
+    nodes: int
+    dead: int
+
+
+def _prepare_blocks(edges: DataFrame, nodes: DataFrame | None, distinct: bool, blocks: int) -> Blocks:
+    edges = stage(edges.select("src", "dst"))
+    everyone = stage(graph.node_ids(edges) if nodes is None else nodes.select("node"))
+    numbers, size = cells.numbered(everyone, "node", blocks)
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    seen = Observation()
+    known = numbers.join(out, "node", "left").observe(seen, F.count("*").alias("nodes"), F.count_if(F.col("d").isNull()).alias("dead"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        d = np.full(size, np.nan)  # places without a node
+        d[table.column("at").to_numpy()] = table.column("d").to_numpy()
+        return pa.table({"block": table.column("block")[:1], "n": pa.array([d.tobytes()], pa.binary())})
+
+    degrees = stage(known.select("block", "at", F.coalesce(F.col("d").cast("double"), F.lit(0.0)).alias("d")).groupBy("block").applyInArrow(pack, "block int, n binary"))
+    places = edges.distinct() if distinct else edges
+    for k, block, at in (("src", "p", "x"), ("dst", "q", "y")):
+        places = places.join(numbers.select(F.col("node").alias(k), F.col("block").alias(block), F.col("at").alias(at)), k)
+    links = cells.cells(places, size)
+    discard(edges, everyone)
+    return Blocks(links, numbers, degrees, seen.get["nodes"] or 0, seen.get["dead"] or 0)
+
+
+def _block_round(size: int, terms: list[tuple[int, float, float]]):
+    """A block's next ranks and what of them lies on dead ends and how much they changed, for (number, constant, beta) of each run."""
+
+    def make(table: pa.Table) -> pa.Table:
+        own, came = table.filter(table.column("n").is_valid()), table.filter(table.column("sums").is_valid())
+        d = np.frombuffer(own.column("n")[0].as_py(), np.float64)
+        row = {"block": own.column("block")}
+        parts = sorted(zip(*(came.column(c).to_pylist() for c in ("run", "places", "sums")), strict=True))  # always in one order
+        for k, constant, beta in terms:
+            mine = [p for p in parts if p[0] == k]
+            got = cells.gathered([x for *_, x in mine], [x for _, x, _ in mine], size)
+            before = np.frombuffer(own.column(f"v{k}")[0].as_py(), np.float64)
+            v = np.where(np.isnan(d), 0.0, constant + beta * got)
+            row |= {f"v{k}": pa.array([v.tobytes()], pa.binary()), f"lost{k}": pa.array([float(v[d == 0].sum())]), f"delta{k}": pa.array([float(np.abs(v - before).sum())])}
+        return pa.table(row)
+
+    return make
+
+
+def _sent(ranks: DataFrame, now: list[int]) -> DataFrame:
+    """``run, block, v``: what each place sends along an edge."""
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                d = np.frombuffer(batch.column("n")[r].as_buffer(), np.float64)
+                for k in now:
+                    v = np.frombuffer(batch.column(f"v{k}")[r].as_buffer(), np.float64) / np.where(d > 0, d, np.inf)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), batch.column("block").slice(r, 1), pa.array([v.tobytes()], pa.binary())], ["run", "block", "v"])
+
+    return ranks.mapInArrow(divide, "run int, block int, v binary")
+
+
+def _blocked(links: Blocks, runs: list[tuple[float, float | None]], max_iter: int, dead_ends: str, past: list[DataFrame] | None) -> list[tuple[DataFrame, int, float | None]]:
+    """:func:`pageranks` over blocks."""
+    n, size = max(links.nodes, 1), links.links.size
+    betas = list(dict.fromkeys(beta for beta, _ in runs))
+    number = {beta: k for k, beta in enumerate(betas)}
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v = np.where(np.isnan(np.frombuffer(batch.column("n")[r].as_buffer(), np.float64)), 0.0, 1.0 / n).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), *[pa.array([v], pa.binary()) for _ in betas]], ["block", *[f"v{k}" for k in range(len(betas))]])
+
+    def named(ranks: DataFrame, k: int) -> DataFrame:
+        return links.numbers.join(cells.unpacked(ranks.select("block", F.col(f"v{k}").alias("v"))), ["block", "at"]).select("node", F.col("v").alias("rank"))
+
+    ranks = links.degrees.mapInArrow(begin, "block int, " + ", ".join(f"v{k} binary" for k in range(len(betas))))
+    lost, rounds, kept = dict.fromkeys(betas, links.dead / n), 0, True
+    done: dict[int, tuple[DataFrame, int, float | None]] = {}
+    delta: dict[float, float | None] = dict.fromkeys(betas)
+    if past is not None:
+        past.append(named(ranks, 0).select(F.lit(0).alias("iteration"), "node", "rank"))
+    while rounds < max_iter and len(done) < len(runs):
+        now = list(dict.fromkeys(beta for k, (beta, _) in enumerate(runs) if k not in done))
+        at = [number[b] for b in now]
+        state = ranks.join(links.degrees, "block")
+        terms = [(number[b], (1 - b) / n + (lost[b] * b / n if dead_ends == "spread" else 0.0), b) for b in now]
+        both = state.unionByName(links.links.sums(_sent(state, at), "run"), allowMissingColumns=True)
+        schema = "block int, " + ", ".join(f"v{k} binary, lost{k} double, delta{k} double" for k in at)
+        seen = Observation()
+        after = both.groupBy("block").applyInArrow(_block_round(size, terms), schema)
+        after = stage(after.observe(seen, *[F.sum(f"{c}{k}").alias(f"{c}{k}") for k in at for c in ("lost", "delta")]).select("block", *[f"v{k}" for k in at]))
+        rounds += 1
+        if not kept:
+            discard(ranks)
+        ranks, kept = after, past is not None
+        if past is not None:
+            past.append(named(ranks, 0).select(F.lit(rounds).alias("iteration"), "node", "rank"))
+        measured = {beta for k, (beta, eps) in enumerate(runs) if k not in done and eps is not None}
+        for b in now:
+            lost[b] = seen.get[f"lost{number[b]}"] or 0.0
+            delta[b] = (seen.get[f"delta{number[b]}"] or 0.0) if b in measured else None
+        for k, (b, eps) in enumerate(runs):
+            if k not in done and eps is not None and delta[b] < eps:
+                done[k], kept = (named(ranks, number[b]), rounds, delta[b]), True
+    for k, (b, eps) in enumerate(runs):
+        if k not in done:
+            done[k] = (named(ranks, number[b]), rounds, None if eps is None else delta[b])
+    return [done[k] for k in range(len(runs))]
+
+
+def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = False, blocks: int | None = None) -> Links | Blocks:
+    if blocks:
+        return _prepare_blocks(edges, nodes, distinct, blocks)
     spark = edges.sparkSession
     pairs = stage(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
     out = pairs.groupBy("src").agg(F.sum("n").alias("d"), F.count("*").alias("c"))
@@ -57,13 +180,13 @@ def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = F
     weight = (F.lit(1) if distinct else F.col("n")) / F.col("d")
     rows = linked.select("src", part.alias("part"), "dst", weight.alias("w"), F.lit(False).alias("own"), F.lit(None).cast("boolean").alias("dead"))
     rows = rows.unionByName(known.select("src", F.lit(0).alias("part"), F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"), F.col("d").isNull().alias("dead")))
-    rows = stage(rows.repartitionByRange(blocks, "dst")) if blocks else stage_bucketed(rows, "src", "part")
+    rows = stage_bucketed(rows, "src", "part")
     discard(pairs)
     return Links(rows, None if few else hubs, seen.get["nodes"], seen.get["dead"])
 
 
 def pagerank(
-    edges: DataFrame | Links,
+    edges: DataFrame | Links | Blocks,
     nodes: DataFrame | None = None,
     beta: float = 0.85,
     eps: float | None = None,
@@ -77,7 +200,7 @@ def pagerank(
 
     ``edges``: the edges, or what :func:`prepare` made of them (then ``nodes``, ``distinct`` and ``blocks`` are its business).
     ``dead_ends``: "spread" shares out their rank, "ignore" lets it go, "delete" ranks only what
-    :func:`skein.operators.graph.prune_dead_ends` leaves and gives the rest 0, normalised. ``blocks`` lays edges out by ranges of destinations; the result is the same.
+    :func:`skein.operators.graph.prune_dead_ends` leaves and gives the rest 0, normalised. ``blocks`` lays edges out packed between so many blocks of nodes, or more; the result is the same.
     ``history`` returns all rounds, with ``iteration``.
     """
     if not 0 <= beta <= 1:
@@ -94,7 +217,7 @@ def pagerank(
         discard(edges, alive)
         full = everyone.join(normalised(ranks), "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
         return full, rounds, delta
-    links = edges if isinstance(edges, Links) else prepare(edges, nodes, distinct, blocks)
+    links = edges if isinstance(edges, Links | Blocks) else prepare(edges, nodes, distinct, blocks)
     if not history:
         return pageranks(links, [(beta, eps)], max_iter, dead_ends)[0]
     past: list[DataFrame] = []
@@ -109,11 +232,13 @@ def _history(past: list[DataFrame]) -> DataFrame:
     return out
 
 
-def pageranks(links: Links, runs: list[tuple[float, float | None]], max_iter: int = 200, dead_ends: str = "spread", past: list[DataFrame] | None = None) -> list[tuple[DataFrame, int, float | None]]:
+def pageranks(links: Links | Blocks, runs: list[tuple[float, float | None]], max_iter: int = 200, dead_ends: str = "spread", past: list[DataFrame] | None = None) -> list[tuple[DataFrame, int, float | None]]:
     """What :func:`pagerank` returns for each of several (beta, eps) on one graph, in one row of rounds: edges are read and destinations shuffled once a round for all.
 
     A run ends in the round in which its change falls below its own eps; runs of one beta share their ranks. ``past`` gets the first beta's ranks of each round.
     """
+    if isinstance(links, Blocks):
+        return _blocked(links, runs, max_iter, dead_ends, past)
     n = max(links.nodes, 1)
     betas = list(dict.fromkeys(beta for beta, _ in runs))
     column = {beta: f"r{k}" for k, beta in enumerate(betas)}
