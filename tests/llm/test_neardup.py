@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from skein.llm import neardup
+from skein.llm import batches, neardup
 
 
 def prose(rng, n, vocabulary=4000):
@@ -183,3 +183,25 @@ def test_links_between_blocks_only():
 def test_sketch_is_bounded(spark):
     rows = frame(spark, [(0, "a b c d e f")])
     assert neardup.document_frequencies(rows).sketch.shape == (neardup.SKETCH_DEPTH, 1 << neardup.LEAST_BITS)
+
+
+def test_frequencies_read_only_rows_with_others_again(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(12)
+    copied = prose(rng, 80)
+    texts = [prose(rng, 80) for _ in range(30)] + [copied] * 4 + ["", None]
+    log = str(tmp_path / "texts")
+
+    def counted(batch, column="text"):
+        found = [t or "" for t in batch.column(column).to_pylist()]
+        with open(log, "a") as f:
+            f.write("x" * len(found))
+        return found
+
+    for module in (neardup, batches):
+        monkeypatch.setattr(module, "texts_of", counted)
+    weights = neardup.document_frequencies(frame(spark, list(enumerate(texts))))
+    with open(log) as f:
+        assert len(f.read()) == len(texts) + 4
+    found, counts, starts, _ = neardup.Shingler()([texts[0], copied])
+    cells = neardup._cells(found, weights.bits)
+    assert weights.docs == 31 and np.allclose(np.minimum(*(row[at] for row, at in zip(weights.sketch, cells, strict=True))), 1, atol=1e-5)
