@@ -180,14 +180,27 @@ class Fitted:
         rows = stage(self.ratings.select("u", "i", "rating", fold_of(folds).alias("fold")))
         out = None
         for fold in range(folds):
-            here, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold).drop("fold")
-            fitted = Fitted(stage(rest))
-            asked, done = stage(here.select("u", "i").distinct()), {}
+            base = here = rows.where(F.col("fold") == fold)
+            fitted = Fitted(rows.where(F.col("fold") != fold).drop("fold"))
+            asked, done = None, {}
             for k, part in enumerate(parts):
-                here = here.join(fitted._scored(part, asked, done).withColumnRenamed("score", f"x{k}"), ["u", "i"])
+                if isinstance(part, Bias | ItemMean):
+                    here = fitted._with_score(part, here).withColumnRenamed("score", f"x{k}")
+                else:
+                    asked = stage(base.select("u", "i").distinct()) if asked is None else asked
+                    here = here.join(fitted._scored(part, asked, done).withColumnRenamed("score", f"x{k}"), ["u", "i"])
             self.fits += fitted.fits
+            # Staged by fold: the folds' joins in one union get one task each.
+            here = stage(here.select("u", "i", "rating", "fold", *[f"x{k}" for k in range(len(parts))]))
             out = here if out is None else out.unionByName(here)
-        return stage(out)
+        return out
+
+    def _with_score(self, model: Bias | ItemMean, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``score`` by tables of users and items: no join on pairs."""
+        if isinstance(model, Bias):
+            return models.score_bias(rows, *self._bias(model))
+        means = self.ratings.groupBy("i").agg(F.avg("rating").alias("m"))
+        return rows.join(means, "i", "left").withColumn("score", F.coalesce("m", F.lit(self.ends[0]))).drop("m")
 
     def stacked(self, stack: Stack) -> Model:
         """The stack as a composition with fitted weights, and coefficients if it is calibrated."""
@@ -213,10 +226,10 @@ class Fitted:
                 mean = float((whole - gram)[0, -1] / max((whole - gram)[0, 0], 1.0)) if len(grams) > 1 else self.ends[0]
                 known = calibrate.features(mean)
                 low, high = self.ends[1:]
-                made = calibrate.joined_profiles(here.select("u", "i", F.greatest(F.lit(low), F.least(F.lit(high), score)).alias("score")), rest)
-                made = made.select("u", "i", *[known[c].alias(f"f{k}") for k, c in enumerate(names)]).join(here.select("u", "i", "rating", "fold"), ["u", "i"])
+                made = calibrate.joined_profiles(here.select("u", "i", "rating", "fold", F.greatest(F.lit(low), F.least(F.lit(high), score)).alias("score")), rest)
+                made = stage(made.select("rating", "fold", *[known[c].alias(f"f{k}") for k, c in enumerate(names)]))
                 own = made if own is None else own.unionByName(made)
-            total = sum(fold_grams(stage(own), [F.col(f"f{k}") for k in range(len(names))]).values())
+            total = sum(fold_grams(own, [F.col(f"f{k}") for k in range(len(names))]).values())
             c = solve_gram(total, list(range(1, len(names) + 1)), stack.ridge)
             model = Calibrated(model, tuple((n_, float(x)) for n_, x in zip(names, c[1:], strict=True)), float(c[0]))
         self.tables[stack] = (model,)
@@ -231,11 +244,8 @@ class Fitted:
         if model in done:
             return done[model]
         again = lambda m: self._scored(m, asked, done)
-        if isinstance(model, Bias):
-            out = models.score_bias(asked, *self._bias(model)).select("u", "i", "score")
-        elif isinstance(model, ItemMean):
-            means = self.ratings.groupBy("i").agg(F.avg("rating").alias("m"))
-            out = asked.join(means, "i", "left").select("u", "i", F.coalesce("m", F.lit(self.ends[0])).alias("score"))
+        if isinstance(model, Bias | ItemMean):
+            out = self._with_score(model, asked).select("u", "i", "score")
         elif isinstance(model, Factors):
             self.fits += 1
             out = models.als_scores(asked, self.ratings, model.rank, model.rounds, model.reg, model.weight, model.seed, self._bias(model.base))

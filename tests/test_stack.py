@@ -77,3 +77,12 @@ def test_out_of_fold_scores_know_nothing_of_their_fold(planted):
 def test_no_ratings(spark):
     with pytest.raises(ValueError, match="no ratings"):
         Fitted(spark.createDataFrame([], "u long, i long, rating double")).stacked(Stack((ItemMean(),)))
+
+
+def test_folds_are_scored_without_pairs_and_staged_one_by_one(planted, monkeypatch):
+    staged = []
+    monkeypatch.setattr(compose, "stage", lambda df, real=compose.stage: staged.append(df.columns) or real(df))
+    fitted, _ = planted
+    out = Fitted(fitted).out_of_fold((ItemMean(), Bias(5.0, 1)), 3)
+    assert out.columns == ["u", "i", "rating", "fold", "x0", "x1"] and out.count() == fitted.count()
+    assert staged == [["u", "i", "rating", "fold"]] + [out.columns] * 3
