@@ -42,12 +42,13 @@ def bias_tables(
         return *_bias_rounds(ratings, mean, (shrink, item_shrink), rounds, weights), (mean, low, high)
     rows = ratings.select("u", "i", (F.col("rating") - mean).alias("e"))
     bi, bu = None, None
-    for _ in range(rounds):
+    for round_ in range(rounds):
         left = rows if bi is None else rows.join(bi, "i").withColumn("e", F.col("e") - F.col("bi"))
         bu = left.groupBy("u").agg((wu * F.sum("e") / (shrink + F.count("*"))).alias("bu"))
-        # One table a round: users' biases are made on the way to the items', and once more for the last round's.
+        # One table a round: users' biases are made on the way to the items'; the last round's are written, as they are returned.
+        bu = stage(bu) if round_ == rounds - 1 else bu
         bi = stage(rows.join(bu, "u").groupBy("i").agg((wi * F.sum(F.col("e") - F.col("bu")) / (item_shrink + F.count("*"))).alias("bi")))
-    return stage(bu), bi, (mean, low, high)
+    return bu, bi, (mean, low, high)
 
 
 def _bias_rounds(ratings: DataFrame, mean: float, shrinks: tuple[float, float], rounds: int, weights: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
