@@ -240,22 +240,29 @@ def user_knn(requests: DataFrame, ratings: DataFrame, k: int = 40, shrink: float
     return base.join(change, ["u", "i"], "left").select("u", "i", clip(F.col("score") + F.coalesce("change", F.lit(0.0)), low, high).alias("score"))
 
 
-def als_scores(requests: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 5, reg: float = 0.1, weight: float = 1.0, seed: int = 1, bias: tuple | None = None) -> DataFrame:
-    """``u, i, score``: alternating least squares on the bias model's residuals; pairs that it doesn't know keep the bias score.
+def als_scores(requests: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 5, reg: float = 0.1, weight: float = 1.0, seed: int = 1, bias: tuple | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``u, i, score``, and those columns of the requests that ``keep`` names: alternating least squares on the bias model's residuals; pairs that it doesn't know keep the bias score.
 
-    This is the model that scales. Its solver takes ids of 32 bits, so ids are numbered first.
+    This is the model that scales. Its solver takes ids of 32 bits, so ids are numbered first. A side's biases, numbers and factors are one table, so that ratings and requests move once for each side;
+    the solver's rows are written before it reads them, which it does twice. Ratings that lie by user (:func:`skein.stage.stage_bucketed`) move for their items only.
     """
     from pyspark.ml.recommendation import ALS
 
     bu, bi, ends = bias or bias_tables(ratings)
-    numbers = {k: stage(ranked(ratings.select(k).distinct(), k, f"_{k}")).select(k, F.col(f"_{k}").cast("int").alias(f"_{k}")) for k in "ui"}
-    base = score_bias(ratings, bu, bi, ends).select("u", "i", (F.col("rating") - F.col("score")).alias("e"))
-    base = base.join(numbers["u"], "u").join(numbers["i"], "i")
-    model = ALS(rank=rank, maxIter=rounds, regParam=reg, userCol="_u", itemCol="_i", ratingCol="e", coldStartStrategy="nan", seed=seed).fit(base)
-    scored = score_bias(requests.select("u", "i"), bu, bi, ends).join(numbers["u"], "u", "left").join(numbers["i"], "i", "left")
-    scored = model.transform(scored.fillna(-1, ["_u", "_i"]))  # a number that no row has
-    _, low, high = ends
-    return scored.select("u", "i", clip(F.col("score") + weight * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0)), low, high).alias("score"))
+    mean, low, high = ends
+    sides = {}
+    for k, known in (("u", bu), ("i", bi)):
+        ids = ranked(ratings.select(k).where(F.col(k).isNotNull()).distinct(), k, f"_{k}").select(k, F.col(f"_{k}").cast("int").alias(f"_{k}"))
+        sides[k] = stage(ids.join(known.select(k, f"b{k}"), k, "full"))
+    base = clip(F.lit(mean) + F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0)), low, high)
+    fitted = ratings.join(sides["u"], "u").join(sides["i"], "i")
+    fitted = stage(fitted.select("_u", "_i", (F.col("rating") - base).cast("float").alias("e")))
+    model = ALS(rank=rank, maxIter=rounds, regParam=reg, userCol="_u", itemCol="_i", ratingCol="e", coldStartStrategy="nan", seed=seed).fit(fitted)
+    scored = requests.select("u", "i", *keep)
+    for k, factors in (("u", model.userFactors), ("i", model.itemFactors)):
+        scored = scored.join(sides[k].join(factors.select(F.col("id").alias(f"_{k}"), F.col("features").alias(f"_f{k}")), f"_{k}", "left").drop(f"_{k}"), k, "left")
+    dot = F.aggregate(F.zip_with("_fu", "_fi", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    return scored.select("u", "i", *keep, clip(base + weight * F.coalesce(F.nanvl(dot, F.lit(0.0)), F.lit(0.0)), low, high).alias("score"))
 
 
 #: Ratings in a pair of blocks of :func:`sgd_factors`, about, and ids in a pair.

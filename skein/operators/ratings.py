@@ -60,7 +60,7 @@ def rmse(scored: DataFrame, score: str = "score") -> DataFrame:
 
 def disjoint(fit: DataFrame, evaluated: DataFrame) -> DataFrame:
     """``evaluated``, or an error at the first pair that was also fitted."""
-    seen = fit.select("u", "i", F.lit(True).alias("_fitted")).distinct()
+    seen = fit.select("u", "i").distinct().withColumn("_fitted", F.lit(True))
     both = evaluated.join(seen, ["u", "i"], "left")
     return both.where(F.when(F.col("_fitted"), F.raise_error(F.lit("a pair is in fit and evaluation rows")).cast("boolean")).otherwise(True)).drop("_fitted")
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from skein.operators import compose, design, fit, models, online, ratings
 from skein.operators.compose import Bias, Blend, Ensemble, Factors, Fitted, ItemMean, Neighbours
+from skein.plans import inputs
+from skein.stage import stage_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -300,3 +302,34 @@ def test_a_task_of_gradient_descent_holds_no_more_ids_than_asked(spark, monkeypa
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert len(staged) == 3 + 5 and len(factors) == len({(r["side"], r["id"]) for r in factors}) == 500
     assert all(r["bias"] for r in factors)
+
+
+def test_factors_move_ratings_that_lie_by_user_once(spark):
+    rows = spark.range(6000).selectExpr("id % 100 as u", "id div 100 as i", "cast((id * 7919) % 50 as double) as rating")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        laid = stage_bucketed(rows, "u")
+        bias = models.bias_tables(laid, 5.0, 1)
+        requests = spark.createDataFrame([(1, 1, 2.5), (1, 2, 3.5), (777, 3, 4.5)], "u long, i long, rating double")
+        store = spark.sparkContext._jsc.sc().statusStore()
+        tracker, seen = spark.sparkContext.statusTracker(), set()
+        spark.sparkContext.setJobGroup("als", "als")
+        got = {(r["u"], r["i"]): r for r in models.als_scores(requests, laid, 2, 2, bias=bias, keep=("rating",)).collect()}
+        for job in tracker.getJobIdsForGroup("als"):
+            seen |= set(tracker.getJobInfo(job).stageIds)
+        known = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        moved = sum(s.shuffleWriteRecords() for s in (known.apply(n) for n in range(known.size())) if s.stageId() in seen)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {k: r["rating"] for k, r in got.items()} == {(1, 1): 2.5, (1, 2): 3.5, (777, 3): 4.5}
+    base = {(r["u"], r["i"]): r["score"] for r in models.score_bias(requests, *bias).collect()}
+    assert got[777, 3]["score"] == pytest.approx(base[777, 3])  # a user without factors keeps the bias score
+    assert 6000 <= moved < 12_000
+
+
+def test_ratings_by_user_are_the_same(spark):
+    d = "/root/testdata/sf0.001"
+    plain, by = inputs.ratings(spark, d), inputs.ratings(spark, d, "u")
+    assert by.count() == plain.count() and plain.exceptAll(by).count() == 0
