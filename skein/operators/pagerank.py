@@ -180,7 +180,8 @@ def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = F
     weight = (F.lit(1) if distinct else F.col("n")) / F.col("d")
     rows = linked.select("src", part.alias("part"), "dst", weight.alias("w"), F.lit(False).alias("own"), F.lit(None).cast("boolean").alias("dead"))
     rows = rows.unionByName(known.select("src", F.lit(0).alias("part"), F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"), F.col("d").isNull().alias("dead")))
-    rows = stage_bucketed(rows, "src", "part")
+    # Without hubs all parts are 0: a join on them would be folded to one on sources alone, which buckets by both don't serve, so that edges would move each round.
+    rows = stage_bucketed(rows.drop("part"), "src") if few else stage_bucketed(rows, "src", "part")
     discard(pairs)
     return Links(rows, None if few else hubs, seen.get["nodes"], seen.get["dead"])
 
@@ -252,11 +253,10 @@ def pageranks(links: Links | Blocks, runs: list[tuple[float, float | None]], max
         now = list(dict.fromkeys(beta for k, (beta, _) in enumerate(runs) if k not in done))
         measured = {beta for k, (beta, eps) in enumerate(runs) if k not in done and eps is not None}
         sent = ranks.select(F.col("node").alias("src"), *[column[b] for b in now])
-        if links.hubs is None:
-            sent = sent.withColumn("part", F.lit(0))
-        else:
+        keys = ["src"] if links.hubs is None else ["src", "part"]
+        if links.hubs is not None:
             sent = sent.join(F.broadcast(links.hubs), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        got = links.rows.join(sent, ["src", "part"]).groupBy(F.col("dst").alias("node"))
+        got = links.rows.join(sent, keys).groupBy(F.col("dst").alias("node"))
         sums = [F.sum(F.col(column[b]) * F.col("w")).alias(f"got_{column[b]}") for b in now]
         sums += [F.max(F.when(F.col("own"), F.col(column[b]))).alias(f"before_{column[b]}") for b in now if b in measured]
         constant = {b: (1 - b) / n + (lost[b] * b / n if dead_ends == "spread" else 0.0) for b in now}

@@ -9,6 +9,7 @@ from skein.operators.pagerank import normalised, pagerank, pageranks, prepare
 from skein.plans.inputs import BIPARTITE, EDGES, FOREST, NODES, SPARSE, edges_bipartite, edges_forest, edges_part, edges_sparse
 from skein.plans.registry import Registry
 from skein.sources import text
+from skein.stage import stage
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -228,9 +229,10 @@ def pr_run(spark, d):
 @query()
 def pr_compare_strategies(spark, d):
     """Each treatment of dead ends against spreading them: rounds, last change, rank sum, nodes with and without rank, and overlap of the first ten nodes."""
-    e, out, base = edges_bipartite(spark, d), None, None
+    e, out, base = stage(edges_bipartite(spark, d)), None, None
+    links = prepare(e)
     for how in ("spread", "ignore", "delete"):
-        ranks, rounds, delta = pagerank(e, dead_ends=how, eps=1e-6)
+        ranks, rounds, delta = pagerank(e if how == "delete" else links, dead_ends=how, eps=1e-6)
         top = ranking.top_k(ranks, 10)
         base = base or top
         counts = [F.count_if(F.col("rank") > 0).alias("active"), F.count_if(F.col("rank") == 0).alias("removed"), F.lit(delta).alias("delta")]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph, ranking
 from skein.operators.components import connected_components
-from skein.operators.pagerank import normalised, pagerank
+from skein.operators.pagerank import normalised, pagerank, prepare
 from skein.sources import text
 
 
@@ -196,3 +196,22 @@ def test_blocks_send_sums_of_places_not_edges(spark):
         assert n == m and a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-14 and (x is y is None or abs(x - y) < 1e-12)
     steps = [{(r["iteration"], r["node"]): r["rank"] for r in module.pagerank(edges(spark, pairs), max_iter=2, distinct=True, dead_ends="ignore", history=True, blocks=k)[0].collect()} for k in (None, 3)]
     assert steps[0].keys() == steps[1].keys() and max(abs(steps[0][k] - steps[1][k]) for k in steps[0]) < 1e-14
+
+
+def test_pagerank_moves_no_edges_between_rounds(spark):
+    """Few nodes with many edges each: a round shuffles ranks and sums, by tasks at most, but no edges."""
+    rows = spark.range(40_000).selectExpr("id % 200 as src", "(id * 7919) % 199 as dst")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = prepare(rows)
+        assert links.hubs is None
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        pagerank(links, max_iter=3)[0].collect()
+        seen = {n for job in spark.sparkContext.statusTracker().getJobIdsForGroup("rounds") for n in spark.sparkContext.statusTracker().getJobInfo(job).stageIds}
+        known = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        moved = sum(s.shuffleWriteRecords() for s in (known.apply(n) for n in range(known.size())) if s.stageId() in seen)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < moved < 10_000  # 3 rounds of 200 ranks and of 200 sums from each of 4 buckets
