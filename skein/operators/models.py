@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.operators import cells
+from skein.operators import cells, nearest
 from skein.operators.graph import ranked
 from skein.stage import discard, stage
 
@@ -142,86 +142,38 @@ def ensemble(scored: list[tuple[float, DataFrame]], ends: tuple[float, float, fl
     return long.groupBy("u", "i").agg(clip(F.sum("part") + intercept, low, high).alias("score"))
 
 
-#: Ratings and requests in a block of users of :func:`neighbours`, about, and products of two ratings held at once.
-KNN_ROWS, PRODUCTS = 200_000, 2_000_000
-
-
-def _meet(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``keys`` and in ``ordered`` (sorted) of all pairs of equal values."""
-    first, end = np.searchsorted(ordered, keys), np.searchsorted(ordered, keys, side="right")
-    n = end - first
-    left = np.repeat(np.arange(len(keys)), n)
-    return left, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+#: Ratings or requests in a block of users of :func:`neighbours`, about; ratings that pass by one of its tasks, about; products of two ratings held at once.
+KNN_ROWS, KNN_PASSING, PRODUCTS = 6_000_000, 45_000_000, 2_000_000
 
 
 def neighbours(requests: DataFrame, residuals: DataFrame, k: int, absolute: bool = True) -> DataFrame:
     """``u, i, v, s, e``: for each distinct request the k raters of its item most like its user (ties: least id), with their likeness and residual.
 
-    Likeness is the shrunken cosine of residuals over shared items; raters without one aren't taken. Users are dealt into blocks of some ``KNN_ROWS`` ratings by ranges of ids, and each pair of blocks that meet in an
-    item is one task: it makes the products of its users' residuals, keeps the k best for each request and forgets the rest. So no pair of users is ever a row: a rating is sent to those blocks only that
-    have to do with its item (so never more often than the item has raters and requests), and at most k rows for each request and block come back. A user's ratings, one for each item at most, are in one block.
+    Likeness is the shrunken cosine of residuals over shared items; raters without one aren't taken. Users are dealt into blocks of some ``KNN_ROWS`` ratings by ranges of ids. A task holds a block's users that request
+    something (:mod:`skein.operators.nearest`); all ratings of items that the block has to do with pass by it, packed. So no pair of users is ever a row: a rating is sent once to each block that has to do with its item, and
+    at most k rows for each request, task and run of users come back. Where more than ``KNN_PASSING`` ratings would pass by, they are dealt over several tasks that all hold the block.
+    A user's ratings, one for each item at most, are in one piece. ``residuals`` are read several times.
     """
-    asked = requests.select("u", "i").where("u is not null and i is not null").distinct()
-    rated = residuals.where("u is not null and i is not null and e is not null")
-    rows = rated.select("u", "i", "e", F.lit(True).alias("rates")).unionByName(asked.select("u", "i", F.lit(0.0).alias("e"), F.lit(False).alias("rates")))
-    rows = stage(rows)
-    counts = rows.agg(F.count_if("rates").alias("r"), F.count_if(~F.col("rates")).alias("a")).first()
-    blocks = max(1, math.ceil(max(counts["r"], counts["a"]) / KNN_ROWS))
-    ranges = rows.repartitionByRange(blocks, "u").select("u", "i", "e", "rates", F.spark_partition_id().alias("block"))
-    users = ranges.groupBy("u").agg(F.first("block").alias("block"), F.sqrt(F.sum(F.col("e") * F.col("e"))).alias("norm"))
-    rows = rows.join(stage(users), "u")
-    rows = stage(rows)
-    # Blocks with raters of an item, each with or without requests: every pair of them that an item has is a task.
-    meets = rows.groupBy("i", "block").agg(F.max("rates").alias("has"))
-    held = meets.groupBy("i").agg(F.collect_list(F.when(F.col("has"), F.col("block"))).alias("with_raters"), F.collect_list("block").alias("any"))
-    met = rows.join(held, "i")
-    kind = F.when(F.col("rates"), 0).otherwise(2)
-    ours = met.select(F.col("block").alias("p"), F.explode("with_raters").alias("q"), kind.alias("kind"), "u", "i", "e", "norm")
-    theirs = met.where("rates").select(F.explode("any").alias("p"), F.col("block").alias("q"), F.lit(1).alias("kind"), "u", "i", "e", "norm")
-    rows = ours.unionByName(theirs)
-
-    def best(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"u": [], "i": [], "v": [], "s": [], "e": []})]
-        ours, theirs, wanted = (data[data["kind"] == n] for n in range(3))
-        ours = ours[ours["u"].isin(wanted["u"])].sort_values(["u", "i"])
-        theirs = theirs.sort_values(["i", "u"])
-        wanted = wanted[wanted["i"].isin(theirs["i"]) & wanted["u"].isin(ours["u"])].sort_values(["u", "i"])
-        if len(ours) and len(wanted):
-            u, i, e = (ours[c].to_numpy() for c in ("u", "i", "e"))
-            users, known = np.unique(u), np.unique(theirs["u"])
-            items, residual = theirs["i"].to_numpy(), theirs["e"].to_numpy()
-            at, by = np.searchsorted(users, u), np.searchsorted(known, theirs["u"].to_numpy())
-            norm_u, norm_v = np.empty(len(users)), np.empty(len(known))
-            norm_u[at], norm_v[by] = ours["norm"].to_numpy(), theirs["norm"].to_numpy()
-            wu, wi = wanted["u"].to_numpy(), wanted["i"].to_numpy()
-            # Users are gone through in runs of about PRODUCTS products, those of requests with raters included.
-            size = np.zeros(len(users))
-            for whose, what in ((u, i), (wu, wi)):
-                n = np.searchsorted(items, what, side="right") - np.searchsorted(items, what)
-                size += np.bincount(np.searchsorted(users, whose), n, len(users))
-            run = np.cumsum(size) // PRODUCTS
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(users)]])
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                low, high = users[a], users[b - 1]
-                mine = slice(np.searchsorted(u, low), np.searchsorted(u, high, side="right"))
-                x, y = _meet(i[mine], items)
-                pair, which = np.unique(at[mine][x] * len(known) + by[y], return_inverse=True)
-                s = np.bincount(which, e[mine][x] * residual[y], len(pair)) / (norm_u[pair // len(known)] * norm_v[pair % len(known)] + 1e-6)
-                asks = slice(np.searchsorted(wu, low), np.searchsorted(wu, high, side="right"))
-                x, y = _meet(wi[asks], items)
-                who = wu[asks][x]
-                asked_pair = np.searchsorted(users, who) * len(known) + by[y]
-                place = np.minimum(np.searchsorted(pair, asked_pair), max(len(pair) - 1, 0))
-                good = (pair[place] == asked_pair) & (known[by[y]] != who) if len(pair) else np.zeros(len(x), bool)
-                x, y, s = x[good], y[good], s[place[good]]
-                order = np.lexsort((by[y], -np.abs(s) if absolute else -s, x))
-                rank = np.arange(len(order)) - np.searchsorted(x[order], x[order])
-                order = order[rank < k]
-                x, y = x[order], y[order]
-                out.append(pd.DataFrame({"u": wu[asks][x], "i": wi[asks][x], "v": known[by[y]], "s": s[order], "e": residual[y]}))
-        return pd.concat(out[1:] or out)
-
-    near = rows.groupBy("p", "q").applyInPandas(best, "u long, i long, v long, s double, e double")
+    asked = stage(requests.select("u", "i").where("u is not null and i is not null").distinct())
+    rated = residuals.select("u", "i", "e").where("u is not null and i is not null and e is not null")
+    rows = rated.unionByName(asked.select("u", "i", F.lit(None).cast("double").alias("e")))
+    counts = rows.agg(F.count("e").alias("r"), F.count("*").alias("n")).first()
+    blocks = max(1, math.ceil(max(counts["r"], counts["n"] - counts["r"]) / KNN_ROWS))
+    parts = max(1, math.ceil(counts["r"] / KNN_PASSING))
+    cuts = F.percentile_approx("u", F.array(*[F.lit(b / blocks) for b in range(1, blocks)]), 10_000)
+    bounds = (rows.agg(cuts).first()[0] or []) if blocks > 1 else []  # a number a block
+    block = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b < F.col("u"))) if bounds else F.lit(0)
+    # The blocks that have to do with an item, as bits of words.
+    bit = lambda w: F.expr(f"bit_or(if(_b div {nearest.BITS} = {w}, shiftleft(1L, _b % {nearest.BITS}), 0L))").alias(f"m{w}")
+    meets = rows.select("i", block.alias("_b")).groupBy("i").agg(*[bit(w) for w in range(-(-blocks // nearest.BITS))])
+    laid = rows.join(meets, "i").select("u", "i", "e", *meets.columns[1:]).repartition("u").sortWithinPartitions("u", "i")
+    sent = laid.mapInArrow(nearest.sender(bounds, parts), nearest.SENT)
+    find = nearest.finder(k, absolute, PRODUCTS)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from find(batches)
+
+    near = sent.repartition("p", "q").sortWithinPartitions("p", "q", "kind").groupBy("p", "q").applyInArrow(best, "u long, i long, v long, s double, e double")
     order = F.abs("s") if absolute else F.col("s")
     return near.withColumn("n", F.row_number().over(Window.partitionBy("u", "i").orderBy(order.desc(), "v"))).where(F.col("n") <= k).drop("n")
 

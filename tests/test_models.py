@@ -259,6 +259,36 @@ def test_neighbours_send_ratings_to_blocks_of_their_items_only(spark, monkeypatc
     assert sent[1] < 6 * sent[0]
 
 
+def test_neighbours_of_mixed_users_send_a_rating_once_a_block(spark, monkeypatch):
+    """Where every item has raters in all blocks, a rating passes by each block once and is held by one, in as many tasks as share the block; with many blocks, parts and batches the result is that of one block."""
+    rng = np.random.default_rng(4)
+    rows = {(int(u), int(i)): float(e) for u, i, e in zip(rng.integers(0, 300, 3000), rng.integers(0, 60, 3000), rng.normal(0, 1, 3000), strict=True)}
+    table = spark.createDataFrame([(10**12 + u, -(10**12) + i, e) for (u, i), e in rows.items()], "u long, i long, e double")
+    asked = table.where("pmod(u + i, 3) = 0").selectExpr("u", "i + 1 as i")
+    whole = {tuple(r) for r in models.neighbours(asked, table, 5).collect()}
+    sent, original = [], type(table).groupBy
+
+    def watched(self, *keys):
+        if keys == ("p", "q"):
+            sent.append(self.where("kind != 1").agg(F.sum(F.octet_length("e"))).first()[0] / 8)
+        return original(self, *keys)
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        for limit, passing, blocks, parts in ((len(rows) // 4 + 1, 10**6, 4, 1), (len(rows) // 70, len(rows) // 2, 71, 3)):
+            monkeypatch.setattr(models, "KNN_ROWS", limit)
+            monkeypatch.setattr(models, "KNN_PASSING", passing)
+            monkeypatch.setattr(type(table), "groupBy", watched)
+            near = models.neighbours(asked, table, 5)
+            monkeypatch.setattr(type(table), "groupBy", original)
+            got = {tuple(r) for r in near.collect()}
+            assert {r[:3] for r in got} == {r[:3] for r in whole} and len(got) == len(whole)
+            assert sent.pop() <= (blocks + parts) * len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_gram_of_components_made_in_the_tasks(spark):
     """Products of two vectors' components, made from rows in a task, sum to what they sum to here."""
     rng = np.random.default_rng(12)
