@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from skein.operators import cells, nearest
 from skein.operators.graph import ranked
-from skein.stage import discard, stage
+from skein.stage import discard, stage, stage_parted
 
 
 def limits(ratings: DataFrame) -> tuple[float, float, float]:
@@ -217,25 +217,47 @@ def als_scores(requests: DataFrame, ratings: DataFrame, rank: int = 8, rounds: i
     return scored.select("u", "i", *keep, clip(base + weight * F.coalesce(F.nanvl(dot, F.lit(0.0)), F.lit(0.0)), low, high).alias("score"))
 
 
-#: Ratings in a pair of blocks of :func:`sgd_factors`, about, and ids in a pair.
-BLOCK_RATINGS, BLOCK_IDS = 2_000_000, 2_000_000
+#: Ratings in a pair of blocks of :func:`sgd_factors`, about, and ids in a pair; ratings of a piece, and ids of one.
+BLOCK_RATINGS, BLOCK_IDS, SGD_PIECE, ID_PIECE = 2_000_000, 2_000_000, 20_000, 50_000
+#: Levels that are found at once; what is left after them is walked rating by rating.
+LEVELS = 64
+
+
+def _before(ids: np.ndarray) -> np.ndarray:
+    """For each place the one before it with the same id, or -1."""
+    order = np.argsort(ids, kind="stable")
+    out = np.full(len(ids), -1)
+    same = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
 
 
 def _levels(u: np.ndarray, i: np.ndarray) -> np.ndarray:
     """A level for each rating in turn: one above those of the ratings before it of the same user or item. Ratings of one level share no factor."""
-    users, items = [-1] * (int(u.max()) + 1), [-1] * (int(i.max()) + 1)
-    out = []
-    for a, b in zip(u.tolist(), i.tolist(), strict=True):
-        level = max(users[a], items[b]) + 1
-        users[a] = items[b] = level
-        out.append(level)
-    return np.array(out)
+    by_user, by_item = _before(u), _before(i)
+    level = np.full(len(u) + 1, -1)  # the last place stands for none before
+    done = np.zeros(len(u) + 1, bool)
+    done[-1] = True
+    left = np.arange(len(u))
+    for k in range(LEVELS):
+        if not len(left):
+            break
+        ready = done[by_user[left]] & done[by_item[left]]
+        level[left[ready]] = k
+        done[left[ready]] = True
+        left = left[~ready]
+    if len(left):
+        found = level.tolist()
+        for at, a, b in zip(left.tolist(), by_user[left].tolist(), by_item[left].tolist(), strict=True):
+            found[at] = max(found[a], found[b]) + 1
+        level = np.array(found)
+    return level[:-1]
 
 
 def _descend(users: tuple, items: tuple, u: np.ndarray, i: np.ndarray, e: np.ndarray, rate: float, reg: float) -> None:
     """Steps of one sequential descent over ratings in their order, in place; ``users`` and ``items`` are (biases, factors) and ``u`` and ``i`` places there. Steps of one level are made at once."""
     (bu, p), (bi, q) = users, items
-    level = _levels(np.unique(u, return_inverse=True)[1], np.unique(i, return_inverse=True)[1])
+    level = _levels(u, i)
     order = np.argsort(level, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
         a, b = u[at], i[at]
@@ -245,83 +267,131 @@ def _descend(users: tuple, items: tuple, u: np.ndarray, i: np.ndarray, e: np.nda
         p[a], q[b] = x + rate * (off[:, None] * y - reg * x), y + rate * (off[:, None] * x - reg * y)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[tuple]:
+    """Rows that come by ``keys`` (whole numbers) in pieces of at most so many: the keys' values and the other columns."""
+    cell, held, n = None, [], 0
+    for batch in batches:
+        at = [batch.column(c).to_numpy() for c in keys]
+        rest = [batch.column(c).to_numpy() for c in batch.schema.names if c not in keys]
+        first = 0
+        while first < batch.num_rows:
+            now = tuple(int(c[first]) for c in at)
+            if held and (now != cell or n >= limit):
+                yield cell, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, n = [], 0
+            cell = now
+            ends = [np.flatnonzero(c[first:] != x) for c, x in zip(at, now, strict=True)]
+            end = min([first + limit - n, batch.num_rows, *[first + int(e[0]) for e in ends if len(e)]])
+            held.append([c[first:end] for c in rest])
+            n += end - first
+            first = end
+    if held:
+        yield cell, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _rows(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], [n for n, _ in schema])
+
+
+_FACTORS = [("kind", pa.int32()), ("block", pa.int32()), ("key", pa.int64()), ("a", pa.binary()), ("e", pa.binary()), ("factors", pa.binary())]
+_RATINGS = [("stratum", pa.int32()), ("p", pa.int32()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("e", pa.binary())]
+
+
 def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 10, rate: float = 0.02, reg: float = 0.02, blocks: int | None = None, seed: int = 1, target: str = "rating", mean: float | None = None) -> DataFrame:
     """``side, id, bias, factors`` of matrix factorisation by stochastic gradient descent, in strata.
 
     Users and items are dealt into ``blocks`` each (by default so that a pair of blocks has some ``BLOCK_RATINGS`` ratings; more where a pair would have over ``BLOCK_IDS`` ids). An epoch goes through the strata:
-    in one, each block of users meets another block of items, so tasks share no factor and the steps are those of one sequential descent in some order. A task holds the factors of its two blocks;
-    ratings pass by them in Arrow batches, by a hash and then in random order, and steps in a batch that share no factor are made together. A user with very many
-    ratings is met in a part of them at a time. Factors are the same table for all, so their axes agree.
+    in one, each block of users meets another block of items, so tasks share no factor and the steps are those of one sequential descent in some order. A task holds the factors of its two blocks.
+    Ratings are packed once, by a hash, in pieces of at most ``SGD_PIECE`` that lie by stratum; in each epoch a task's pieces come in another order, each with its ratings in random order, and steps in a piece that share
+    no factor are made together. Factors move packed too. A user with very many ratings is met in a part of them at a time. Factors are the same table for all, so their axes agree.
     """
     mean = ratings.agg(F.avg(target)).first()[0] if mean is None else mean
     known = stage(ratings.where(F.col("u").isNotNull() & F.col("i").isNotNull() & F.col(target).isNotNull()).select("u", "i", (F.col(target) - (mean or 0.0)).alias("e")))
     ids = None
-    for side, key in (("user", "u"), ("item", "i")):
-        own = known.select(F.lit(side).alias("side"), F.col(key).alias("id")).distinct()
+    for kind, key in enumerate("ui"):
+        own = known.select(F.lit(kind).alias("kind"), F.col(key).alias("id")).distinct()
         ids = own if ids is None else ids.unionByName(own)
     ids = stage(ids)
     blocks = blocks or math.ceil(math.sqrt(known.count() / BLOCK_RATINGS))
     blocks = max(1, blocks, math.ceil(ids.count() / BLOCK_IDS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    draw = F.array(*[F.randn(seed + k) * 0.1 for k in range(rank)])
-    factors = stage(ids.select("side", "id", block("id").alias("block"), F.lit(0.0).alias("bias"), draw.alias("factors")))
+    id_piece, rating_piece = ID_PIECE, SGD_PIECE
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, home), (id_,) in _pieces(batches, ["kind", "block"], id_piece):
+            draw = np.random.default_rng([seed, kind, home, int(id_[0]) % (1 << 63)]).normal(0, 0.1, (len(id_), rank))
+            yield _rows([(kind, home, int(id_[0]), id_.tobytes(), np.zeros(len(id_)).tobytes(), draw.tobytes())], _FACTORS)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (p, q), (u, i, e) in _pieces(batches, ["p", "q"], rating_piece):
+            at = np.lexsort((e, i, u))
+            u, i, e = u[at], i[at], e[at]
+            key = hash((int(u[0]), int(i[0]))) >> 1
+            yield _rows([((q - p) % blocks, p, key, u.tobytes(), i.tobytes(), e.tobytes())], _RATINGS)
+
+    laid = ids.select("kind", block("id").alias("block"), "id").repartition("kind", "block").sortWithinPartitions("kind", "block", "id")
+    factors = stage(laid.mapInArrow(drawn, "kind int, block int, key long, a binary, e binary, factors binary"))
     discard(ids)
-    schema = "side string, id long, block int, bias double, factors array<double>"
+    # Dealt by a hash of the pair, so that a piece has few ratings of one user or item.
+    laid = known.select(block("u").alias("p"), block("i").alias("q"), "u", "i", "e").repartition("u", "i").sortWithinPartitions("p", "q", F.xxhash64("u", "i", F.lit(seed)), "u", "i", "e")
+    pieces = stage_parted(laid.mapInArrow(packed, "stratum int, p int, key long, a binary, b binary, e binary"), "stratum")
+    discard(known)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held, met = None, [[], []], 0  # the factors of the task at hand, by kind: batches, then (ids, blocks, biases, factors); and batches of ratings that it met
+        task, held, met = None, [[], []], 0  # the factors of the task at hand, by kind: pieces, then (ids, biases, factors) and the block; and pieces of ratings that it met
 
         def ready() -> None:
             for k in range(2):
                 if isinstance(held[k], list):
-                    parts = held[k] or [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty((0, rank)))]
-                    held[k] = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                    parts = held[k] or [(0, np.empty(0, np.int64), np.empty(0), np.empty((0, rank)))]
+                    held[k] = (parts[0][0], *(np.concatenate(c) for c in list(zip(*parts, strict=True))[1:]))
 
         def done() -> Iterator[pa.RecordBatch]:
             ready()
-            for side, (id_, home, bias, rows) in zip(("user", "item"), held, strict=True):
-                for at in range(0, len(id_), 50_000):
-                    cut = slice(at, at + 50_000)
-                    n = len(id_[cut])
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rank), pa.array(rows[cut].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([side] * n), pa.array(id_[cut]), pa.array(home[cut]), pa.array(bias[cut]), lists], ["side", "id", "block", "bias", "factors"])
+            for kind, (home, id_, bias, rows) in enumerate(held):
+                for at in range(0, len(id_), id_piece):
+                    cut = slice(at, at + id_piece)
+                    yield _rows([(kind, home, int(id_[at]), id_[cut].tobytes(), bias[cut].tobytes(), rows[cut].tobytes())], _FACTORS)
 
         for batch in batches:
-            tasks, kinds, step = (batch.column(c).to_numpy() for c in ("task", "kind", "step"))
-            starts = [0, *(np.flatnonzero((np.diff(tasks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
-            for first, end in zip(starts[:-1], starts[1:], strict=True):
-                if first == end:
-                    continue
-                if tasks[first] != task:
+            for now, kind, step, home, a, b, e, rows in zip(*(batch.column(c) for c in ("task", "kind", "step", "block", "a", "b", "e", "factors")), strict=True):
+                if now.as_py() != task:
                     if task is not None:
                         yield from done()
-                    task, held, met = int(tasks[first]), [[], []], 0
-                part, kind = batch.slice(first, end - first), int(kinds[first])
-                a, b, e = (part.column(c).to_numpy() for c in "abe")
-                if kind < 2:
-                    held[kind].append((a, b.astype(np.int32), e, part.column("factors").flatten().to_numpy().reshape(-1, rank)))
+                    task, held, met = now.as_py(), [[], []], 0
+                a, e = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(e.as_buffer(), np.float64)
+                if kind.as_py() < 2:
+                    held[kind.as_py()].append((home.as_py(), a, e, np.frombuffer(rows.as_buffer(), np.float64).reshape(-1, rank)))
                     continue
                 ready()
                 users, items = held
-                order = np.lexsort((e, b, a))[np.random.default_rng([seed, task, int(step[first]), *([met] if met else [])]).permutation(len(e))]
-                _descend(users[2:], items[2:], np.searchsorted(users[0], a[order]), np.searchsorted(items[0], b[order]), e[order], rate, reg)
+                order = np.random.default_rng([seed, task, step.as_py(), *([met] if met else [])]).permutation(len(e))
+                u, i = np.searchsorted(users[1], a), np.searchsorted(items[1], np.frombuffer(b.as_buffer(), np.int64))
+                _descend(users[2:], items[2:], u[order], i[order], e[order], rate, reg)
                 met += 1
         if task is not None:
             yield from done()
 
-    side = F.when(F.col("side") == "user", 0).otherwise(1)
     for epoch in range(epochs):
         for stratum in range(blocks):
             # Block b of users meets block (b + stratum) of items.
-            task = F.when(F.col("side") == "user", F.col("block")).otherwise(F.pmod(F.col("block") - stratum, F.lit(blocks))).cast("int")
-            own = factors.select(task.alias("task"), side.alias("kind"), F.col("id").alias("order"), F.col("id").alias("a"), F.col("block").cast("long").alias("b"), F.col("bias").alias("e"), "factors")
-            here = known.where(F.pmod(block("i") - block("u"), F.lit(blocks)) == stratum)
-            here = here.select(block("u").alias("task"), F.lit(2).alias("kind"), F.xxhash64("u", "i", F.lit(seed), F.lit(epoch)).alias("order"), F.col("u").alias("a"), F.col("i").alias("b"), "e", F.lit(None).cast("array<double>").alias("factors"))
-            tasks = own.unionByName(here).repartitionById(blocks, F.col("task")).sortWithinPartitions("task", "kind", "order", "a", "b", "e").withColumn("step", F.lit(epoch * blocks + stratum))
-            after = stage(tasks.mapInArrow(descend, schema))
+            task = F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - stratum, F.lit(blocks))).cast("int")
+            own = factors.select(task.alias("task"), "kind", F.lit(0).cast("long").alias("order"), "key", "block", "a", F.lit(None).cast("binary").alias("b"), "e", "factors")
+            here = pieces.where(F.col("stratum") == stratum).select(F.col("p").alias("task"), F.lit(2).alias("kind"), F.xxhash64("key", F.lit(seed), F.lit(epoch)).alias("order"), "key", "p", "a", "b", "e", F.lit(None).cast("binary").alias("factors"))
+            tasks = own.unionByName(here.withColumnRenamed("p", "block")).repartitionById(blocks, F.col("task")).sortWithinPartitions("task", "kind", "order", "key", "a").withColumn("step", F.lit(epoch * blocks + stratum))
+            after = stage(tasks.mapInArrow(descend, "kind int, block int, key long, a binary, e binary, factors binary"))
             discard(factors)
             factors = after
-    return factors.drop("block")
+    discard(pieces)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, a, e, rows in zip(*(batch.column(c) for c in ("kind", "a", "e", "factors")), strict=True):
+                a, e, rows = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(e.as_buffer(), np.float64), np.frombuffer(rows.as_buffer(), np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * rank), pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array([("user", "item")[kind.as_py()]] * len(a)), pa.array(a), pa.array(e), lists], ["side", "id", "bias", "factors"])
+
+    return factors.mapInArrow(unpacked, "side string, id long, bias double, factors array<double>")
 
 
 def score_factors(requests: DataFrame, factors: DataFrame, ends: tuple[float, float, float], base: DataFrame | None = None, weight: float = 1.0) -> DataFrame:

@@ -334,6 +334,38 @@ def test_a_task_of_gradient_descent_holds_no_more_ids_than_asked(spark, monkeypa
     assert all(r["bias"] for r in factors)
 
 
+def test_levels_are_one_above_those_before(monkeypatch):
+    """Those found at once and those walked one by one, of a crowded item."""
+    rng = np.random.default_rng(7)
+    u, i = rng.integers(0, 40, 500), np.where(rng.random(500) < 0.4, 3, rng.integers(0, 90, 500))
+    want, users, items = [], {}, {}
+    for a, b in zip(u.tolist(), i.tolist(), strict=True):
+        want.append(max(users.get(a, -1), items.get(b, -1)) + 1)
+        users[a] = items[b] = want[-1]
+    for most in (0, 3, 64, 10**6):
+        monkeypatch.setattr(models, "LEVELS", most)
+        assert models._levels(u, i).tolist() == want
+
+
+def test_gradient_descent_moves_pieces_and_meets_each_rating_once_an_epoch(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(10**11 + int(a), -(10**11) + int(b), float(r)) for a, b, r in zip(rng.integers(0, 300, 4000), rng.integers(0, 200, 4000), rng.normal(0, 1, 4000), strict=True)]
+    table = spark.createDataFrame(rows, "u long, i long, rating double")
+    moved, original = [], type(table).repartitionById
+    monkeypatch.setattr(type(table), "repartitionById", lambda self, *a: moved.append(self.count()) or original(self, *a))
+    monkeypatch.setattr(models, "SGD_PIECE", 300)
+    monkeypatch.setattr(models, "ID_PIECE", 70)
+    got = models.sgd_factors(table, 2, 2, 1e-7, 0.0, 2, mean=0.0).collect()
+    assert len(moved) == 4 and max(moved) < 60
+    # With so small a rate a bias is the rate times the sum of its ratings, twice.
+    for side, k in (("user", 0), ("item", 1)):
+        sums = {}
+        for r in rows:
+            sums[r[k]] = sums.get(r[k], 0.0) + r[2]
+        found = {r["id"]: r["bias"] / 2e-7 for r in got if r["side"] == side}
+        assert found.keys() == sums.keys() and all(abs(found[x] - y) < 0.5 + 0.1 * abs(y) for x, y in sums.items())
+
+
 def test_factors_move_ratings_that_lie_by_user_once(spark):
     rows = spark.range(6000).selectExpr("id % 100 as u", "id div 100 as i", "cast((id * 7919) % 50 as double) as rating")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
