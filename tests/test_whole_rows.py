@@ -63,6 +63,20 @@ def test_fourier_picks_its_frequencies(spark, data):
     assert np.allclose([got[k][f"u_cos{at}"] for k in range(EVENTS)], np.cos(2 * np.pi * 11 * data[1] / 120), atol=1e-5)
 
 
+def test_fourier_is_fitted_at_the_frequencies_it_picks(spark, data):
+    """The planted waves of the users, at frequencies that no plan names, are what the fit gives for every row."""
+    _, users, rating, _ = data
+    got = {r["pos"]: r for r in catalog.QUERIES["fit_fourier"](spark, data[0]).collect()}
+    assert len(got) == EVENTS and {got[0][f"u_f{k}"] for k in range(3)} == {7, 11, 23}
+    assert np.allclose([got[k]["fit"] for k in range(EVENTS)], rating - 2.5, atol=2e-3)
+
+
+def test_fourier_finds_frequencies_among_many_ids(spark):
+    """A frequency above half of 65,536, which is in one bin with its neighbours where ids are dealt into that many."""
+    rows = spark.range(0, 200_000).selectExpr("id as u", "sin(2 * pi() * 70001 * id / 200000) + 0.4 * sin(2 * pi() * 12 * id / 200000) as e")
+    assert fit.top_frequencies(fit.frequency_points(rows, "u", "e", 200_000), 2) == [70_001, 12]
+
+
 def test_ridge_and_mixed_segments_of_all_rows(spark, data):
     _, users, rating, _ = data
     x = np.stack([np.ones(EVENTS), users / 150, np.arange(EVENTS) % 97 / 97], axis=1)
