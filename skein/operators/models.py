@@ -332,8 +332,9 @@ def sgd_factors(ratings: DataFrame, rank: int = 8, epochs: int = 10, rate: float
     laid = ids.select("kind", block("id").alias("block"), "id").repartition("kind", "block").sortWithinPartitions("kind", "block", "id")
     factors = stage(laid.mapInArrow(drawn, "kind int, block int, key long, a binary, e binary, factors binary"))
     discard(ids)
-    # Dealt by a hash of the pair, so that a piece has few ratings of one user or item.
-    laid = known.select(block("u").alias("p"), block("i").alias("q"), "u", "i", "e").repartition("u", "i").sortWithinPartitions("p", "q", F.xxhash64("u", "i", F.lit(seed)), "u", "i", "e")
+    # Dealt by a hash of the pair, so that a piece has few ratings of one user or item; into as many parts as there are shuffle partitions, so that pieces don't depend on how the rows lie.
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = known.select(block("u").alias("p"), block("i").alias("q"), "u", "i", "e").repartition(parts, "u", "i").sortWithinPartitions("p", "q", F.xxhash64("u", "i", F.lit(seed)), "u", "i", "e")
     pieces = stage_parted(laid.mapInArrow(packed, "stratum int, p int, key long, a binary, b binary, e binary"), "stratum")
     discard(known)
 
