@@ -160,11 +160,17 @@ def _blocked(links: Blocks, runs: list[tuple[float, float | None]], max_iter: in
     return [done[k] for k in range(len(runs))]
 
 
-def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = False, blocks: int | None = None) -> Links | Blocks:
+def _counted(edges: DataFrame) -> DataFrame:
+    """``src, dst, n``: each edge once, with how often it comes."""
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = False, blocks: int | None = None, counted: bool = False) -> Links | Blocks:
+    """``counted`` edges come once, with how often they are there (``src, dst, n``)."""
     if blocks:
-        return _prepare_blocks(edges, nodes, distinct, blocks)
+        return _prepare_blocks(edges.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))) if counted else edges, nodes, distinct, blocks)
     spark = edges.sparkSession
-    pairs = stage(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    pairs = stage(edges if counted else _counted(edges))
     out = pairs.groupBy("src").agg(F.sum("n").alias("d"), F.count("*").alias("c"))
     everyone = (graph.node_ids(pairs) if nodes is None else nodes.select("node")).withColumnRenamed("node", "src")
     seen = Observation()
@@ -209,13 +215,14 @@ def pagerank(
     if dead_ends not in ("spread", "ignore", "delete"):
         raise ValueError(f"unknown treatment of dead ends: {dead_ends}")
     if dead_ends == "delete":
-        edges = stage(edges.select("src", "dst"))  # read several times
-        everyone = stage(graph.node_ids(edges)) if nodes is None else nodes.select("node")
-        alive = stage(graph.prune_dead_ends(edges))
-        ends = [alive.withColumnRenamed("node", c) for c in ("src", "dst")]
-        inner = edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
-        ranks, rounds, delta = pagerank(inner, alive, beta, eps, max_iter, "spread", distinct, blocks)
-        discard(edges, alive)
+        pairs = stage(_counted(edges))
+        known = stage(graph.node_ids(pairs, F.count("n").alias("degree")))
+        everyone = (known if nodes is None else nodes).select("node")
+        alive = stage(graph.prune_dead_ends(pairs, known=known))
+        # What has an edge to a node that is left is left too, but for null, which no join meets.
+        inner = pairs.where("src is not null").join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "n")
+        ranks, rounds, delta = pagerank(prepare(inner, alive, distinct, blocks, counted=True), beta=beta, eps=eps, max_iter=max_iter)
+        discard(pairs, alive)
         full = everyone.join(normalised(ranks), "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
         return full, rounds, delta
     links = edges if isinstance(edges, Links | Blocks) else prepare(edges, nodes, distinct, blocks)
