@@ -171,11 +171,13 @@ def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = F
         return _prepare_blocks(edges.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))) if counted else edges, nodes, distinct, blocks)
     spark = edges.sparkSession
     pairs = stage(edges if counted else _counted(edges))
-    out = pairs.groupBy("src").agg(F.sum("n").alias("d"), F.count("*").alias("c"))
-    everyone = (graph.node_ids(pairs) if nodes is None else nodes.select("node")).withColumnRenamed("node", "src")
+    sums = [F.sum("n").alias("d"), F.count("n").alias("c")]
+    if nodes is None:
+        known = graph.node_ids(pairs, *sums).withColumnRenamed("node", "src")
+    else:
+        known = nodes.select(F.col("node").alias("src")).join(pairs.groupBy("src").agg(*sums), "src", "left")
     seen = Observation()
-    known = everyone.join(out, "src", "left").observe(seen, F.count("*").alias("nodes"), F.count_if(F.col("d").isNull()).alias("dead"), F.sum("c").alias("links"))
-    known = stage(known)
+    known = stage(known.observe(seen, F.count("*").alias("nodes"), F.count_if(F.col("d").isNull()).alias("dead"), F.sum("c").alias("links")))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = max(1, (seen.get["links"] or 0) // (HUBS * buckets))
     hubs = known.where(F.col("c") > most).select("src", F.ceil(F.col("c") / most).cast("int").alias("parts"))

@@ -101,3 +101,35 @@ def test_node_sums_take_one_pass(spark, tmp_path):
     for node, d, c in got:
         leaving = 0 if node is None else sum(a == node for a, _ in ODD)
         assert c == leaving and d == (2 * leaving or None)
+
+
+def spread(pairs, rounds):
+    """Ranks with dead ends shared out; null counts as a node and a dead end, and drops out after the first round unless an edge leads to it."""
+    nodes = {x for e in pairs for x in e}
+    d = {x: 0 if x is None else sum(a == x for a, _ in pairs) for x in nodes}
+    n, rank = len(nodes), {x: 1 / len(nodes) for x in nodes}
+    into = {b for a, b in pairs if a is not None}
+    lost = sum(not d[x] for x in nodes) / n
+    for _ in range(rounds):
+        new = {x: 0.15 / n + 0.85 * lost / n for x in nodes if x is not None or x in into}
+        for a, b in pairs:
+            if a is not None:
+                new[b] += 0.85 * rank[a] / d[a]
+        rank = new
+        lost = sum(r for x, r in rank.items() if x is not None and not d[x])
+    return rank
+
+
+def test_degrees_of_odd_edges_stay(spark):
+    for pairs in (ODD, [e for e in ODD if e[1] is not None], [e for e in ODD if None not in e]):
+        rows = pagerank(spark.createDataFrame(pairs, "src long, dst long"), max_iter=3)[0].collect()
+        assert len(rows) == len({r["node"] for r in rows}) and near({r["node"]: r["rank"] for r in rows}, spread(pairs, 3))
+
+
+def test_layout_reads_edges_twice(spark, tmp_path):
+    """Beside the grouping of what comes in: one scan for nodes and degrees, one for the layout."""
+    from skein.operators.pagerank import prepare
+
+    rows = ring(300, 20)
+    edges = lying(spark, tmp_path / "edges", rows)
+    assert rows_read(spark, "layout", lambda: prepare(edges)) < 3.5 * len(rows)
