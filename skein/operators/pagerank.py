@@ -36,9 +36,10 @@ def weighted(edges: DataFrame, distinct: bool = False) -> DataFrame:
 
 @dataclass(frozen=True)
 class Links:
-    """A graph laid out for any number of runs: ``rows`` (``src, part, dst, w, own, dead``), parts of hubs (``src, parts``; None without), number of nodes, and of dead ends."""
+    """A graph laid out for any number of runs: ``rows`` (``src, part, dst, w, own, dead``), its nodes (``node``), parts of hubs (``src, parts``; None without), number of nodes, and of dead ends."""
 
     rows: DataFrame
+    everyone: DataFrame
     hubs: DataFrame | None
     nodes: int
     dead: int
@@ -182,6 +183,7 @@ def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = F
     most = max(1, (seen.get["links"] or 0) // (HUBS * buckets))
     hubs = known.where(F.col("c") > most).select("src", F.ceil(F.col("c") / most).cast("int").alias("parts"))
     few = hubs.isEmpty()
+    hubs = None if few else stage(hubs)  # each round reads them
     part = F.lit(0) if few else F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
     linked = pairs.join(known.select("src", "d"), "src")
     linked = linked if few else linked.join(F.broadcast(hubs), "src", "left")  # at most HUBS x buckets rows
@@ -191,7 +193,7 @@ def prepare(edges: DataFrame, nodes: DataFrame | None = None, distinct: bool = F
     # Without hubs all parts are 0: a join on them would be folded to one on sources alone, which buckets by both don't serve, so that edges would move each round.
     rows = stage_bucketed(rows.drop("part"), "src") if few else stage_bucketed(rows, "src", "part")
     discard(pairs)
-    return Links(rows, None if few else hubs, seen.get["nodes"], seen.get["dead"])
+    return Links(rows, known.select(F.col("src").alias("node")), hubs, seen.get["nodes"], seen.get["dead"])
 
 
 def pagerank(
@@ -252,7 +254,7 @@ def pageranks(links: Links | Blocks, runs: list[tuple[float, float | None]], max
     n = max(links.nodes, 1)
     betas = list(dict.fromkeys(beta for beta, _ in runs))
     column = {beta: f"r{k}" for k, beta in enumerate(betas)}
-    ranks = links.rows.where("own").select(F.col("src").alias("node"), *[F.lit(1.0 / n).alias(c) for c in column.values()])
+    ranks = links.everyone.select("node", *[F.lit(1.0 / n).alias(c) for c in column.values()])
     lost, rounds, kept = dict.fromkeys(betas, links.dead / n), 0, True
     done: dict[int, tuple[DataFrame, int, float | None]] = {}
     delta: dict[float, float | None] = dict.fromkeys(betas)

@@ -133,3 +133,25 @@ def test_layout_reads_edges_twice(spark, tmp_path):
     rows = ring(300, 20)
     edges = lying(spark, tmp_path / "edges", rows)
     assert rows_read(spark, "layout", lambda: prepare(edges)) < 3.5 * len(rows)
+
+
+def test_rounds_read_edges_once_each(spark, tmp_path):
+    """The first round takes its ranks from the nodes, and no round looks for hubs among all nodes again."""
+    from skein.operators.pagerank import prepare
+
+    links = prepare(lying(spark, tmp_path / "ring", ring(300, 20)))
+    assert links.hubs is None and rows_read(spark, "first", lambda: pagerank(links, max_iter=1)[0].write.format("noop").mode("overwrite").save()) <= 20 * 300 + 3 * 300
+    hub = [(0, k) for k in range(1, 2000)] + [(k, 0) for k in range(1, 2000)]
+    links = prepare(lying(spark, tmp_path / "hub", hub))
+    assert links.hubs is not None and rows_read(spark, "hubs", lambda: links.hubs.collect()) == 1
+    got = {r["node"]: r["rank"] for r in pagerank(links, max_iter=2)[0].collect()}
+    # The hub gets all that the others have, and they share what it has: after two rounds each has its first share of what came back.
+    first = 0.15 / 2000 + 0.85 * 1999 / 2000
+    leaf = 0.15 / 2000 + 0.85 / 2000 / 1999
+    assert near(got, dict.fromkeys(range(1, 2000), 0.15 / 2000 + 0.85 * first / 1999) | {0: 0.15 / 2000 + 0.85 * 1999 * leaf})
+
+
+def test_history_begins_with_every_node(spark):
+    rows = pagerank(spark.createDataFrame(ODD, "src long, dst long"), max_iter=1, history=True)[0].where("iteration = 0").collect()
+    nodes = {x for e in ODD for x in e}
+    assert len(rows) == len(nodes) and {r["node"]: r["rank"] for r in rows} == dict.fromkeys(nodes, 1 / len(nodes))
